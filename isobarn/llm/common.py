@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from isobarn.session import shared_dir
+from isobarn.session import shared_dir, ship_package
 
 #: Rows of an Arrow batch; texts may be very long, so batches are kept small.
 BATCH_ROWS = 500
@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts fits in a Python worker."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isobarn.llm import packing
+from isobarn.llm import decontaminate, packing, quality, simhash
 from isobarn.llm.common import table
 
 
@@ -23,5 +24,50 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
-ORACLE: dict[str, str] = {}
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    network = quality.trained(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(documents, network)
+    held_out = F.coalesce(~quality.learnable(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
+}
+
+#: DuckDB SQL over the same tables.
+ORACLE = {
+    "op6_benchmark_decontamination": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (
+  SELECT DISTINCT item, l, array_to_string(ws[i : i + l - 1], ' ') AS gram
+  FROM (SELECT item, ws, least(len(ws), 13) AS l, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM b WHERE len(ws) > 0)),
+ls AS (SELECT DISTINCT l FROM g),
+p AS (SELECT r, l, ws, unnest(range(1, len(ws) - l + 2)) AS i FROM w, ls WHERE len(ws) >= l),
+h AS (SELECT p.r, p.i, p.l, g.item FROM (SELECT r, l, i, array_to_string(ws[i : i + l - 1], ' ') AS gram FROM p) p JOIN g ON p.gram = g.gram AND p.l = g.l),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS k FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.ws) AS contaminated
+FROM w LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+""",
+}
