@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobarn.llm import decontaminate, packing, quality, simhash
+from isobarn.llm import decontaminate, packing, pii, quality, simhash, substring
 from isobarn.llm.common import table
 
 
@@ -24,6 +24,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_spans(documents, pii.selector(documents))
+    counts = [F.expr(f"bigint(size(filter(_found.base, s -> s.kind = {i})))").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    base = F.sha2(pii.spans_text("_found.base"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.spans_text("_found.spans").alias("spans"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -44,6 +56,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_pii": op5_pii,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
@@ -51,6 +65,16 @@ QUERIES = {
 
 #: DuckDB SQL over the same tables.
 ORACLE = {
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS r FROM documents),
+s AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+d AS (SELECT gram FROM s GROUP BY gram HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, k FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM s JOIN d USING (gram))),
+n AS (SELECT r, list(k) AS gone FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN n USING (r)
+""",
     "op6_benchmark_decontamination": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
