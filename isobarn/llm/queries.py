@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobarn.llm import decontaminate, packing, pii, quality, simhash, substring
+from isobarn.llm import chat, decontaminate, html, langid, packing, pii, quality, simhash, sketch, substring
 from isobarn.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.learned(pages))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,27 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", fixed), (-1, 1, "assistant", fixed)], rows.schema)
+    found = chat.read_back(chat.formatted(chat.canonical(rows.unionByName(more))))
+    turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.learned(documents))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     network = quality.trained(documents, table(spark, sf_dir, "labels"))
@@ -56,10 +86,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
@@ -93,5 +127,19 @@ t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' O
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.ws) AS contaminated
 FROM w LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+""",
+    "op8_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *,
+  replace(replace(replace(replace(replace(replace(replace(replace(text, '%', '%25'), '<|', '%3C|'), '<s>', '%3Cs>'), '</s>', '%3C/s>'), '<<SYS>>', '%3C<SYS>>'), '<</SYS>>', '%3C</SYS>>'), '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]') AS body,
+  replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<|', '%3C|'), '<s>', '%3Cs>'), '</s>', '%3C/s>'), '<<SYS>>', '%3C<SYS>>'), '<</SYS>>', '%3C</SYS>>'), '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]'), '|', '%7C'), chr(10), '%0A') AS head
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + 13) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
