@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES: list[str] = ["daily", "resampling"]
 
 
 def _collect(attribute: str) -> dict:
