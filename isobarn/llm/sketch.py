@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import as_bytes, materialize, mix64, prepare
+from isobarn.llm.common import as_bytes, mix64, prepare
 
 K = 128
 WORDS = 5
@@ -137,72 +137,68 @@ def _compare(doc_id: int | None, text: str, own: np.ndarray, following: str, nex
 
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Ranges of ids for each shuffle partition; several make partitions even.
+RANGES = 4
+#: Stands for a missing id, after all others.
+_NO_ID = -(1 << 63)
+
+
+def _range_heads(documents: DataFrame, n: int) -> np.ndarray:
+    """Largest id of each of at most n ranges of about equal size, descending: n numbers, from the ids alone."""
+    ids = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"))
+    parts = ids.repartitionByRange(n, F.col("id").desc()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("head"))
+    return np.array(sorted((r["head"] for r in parts.select("head").collect()), reverse=True), np.int64)
 
 
 def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's, by descending doc_id.
 
-    The documents are sorted by range, so a document and the next one meet in one task, except at the ends of the
-    ranges: a task's first and last documents leave the task unfinished and meet in a join on the range's number.
-    Nulls come last in the order; rows with one doc_id are ordered by text.
+    Ids are cut into ranges, and each range's documents are sorted in one task; the first document of a range is
+    also sent to the range before it, as the successor of its last one. Texts travel once, compressed. Null ids
+    come last in the order; rows with one doc_id are ordered by their compressed texts.
     """
     spark = documents.sparkSession
     prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
+    heads = spark.sparkContext.broadcast(_range_heads(documents, RANGES * n))  # a number for each range
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        rising, count = heads.value[::-1], len(heads.value)
         for batch in batches:
+            ids = batch.column(0).fill_null(_NO_ID).to_numpy()
+            # ranges are numbered from the largest ids on
+            own = count - 1 - np.searchsorted(rising, ids, side="left")
+            first = heads.value[own] == ids
             z = [zstandard.ZstdCompressor(level=3).compress(x) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "text"])
+            at = np.concatenate([np.arange(len(ids)), np.flatnonzero(first)])
+            guest = np.arange(len(at)) >= len(ids)
+            range_ = np.where(guest, (own[at] - 1) % count, own[at])
+            columns = [pa.array(range_, pa.int64()), pa.array(guest), batch.column(0).take(pa.array(at)), pa.array([z[i] for i in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "guest", "doc_id", "z"])
 
-    packed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(pack, "doc_id bigint, text binary")
-    ranged = packed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyspark import TaskContext
-
-        task, held, seen = TaskContext.get().partitionId(), None, False
-        blank = [None] * len(_NAMES)
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, kinds)], [*_NAMES, "task", "end", "text"])
 
+        range_, held, met = None, None, False
         for batch in batches:
             rows = []
-            for doc_id, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own_text = zstandard.ZstdDecompressor().decompress(z).decode()
-                own = fingerprint(own_text.encode(), k, words)
+            for now, guest, doc_id, z in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != range_:
+                    range_, held, met = now, None, False
+                if guest and met:
+                    continue
+                met = guest
+                text = zstandard.ZstdDecompressor().decompress(z).decode()
+                own = fingerprint(text.encode(), k, words)
                 if held:
-                    rows.append((*_compare(*held, own_text, own, k, words), task, None, None))
-                else:
-                    rows.append((*blank[:3], to_text(own), *blank[4:], task, "first", z))
-                held = (doc_id, own_text, own)
-            yield batch_of(rows)
-        if held:
-            last = zstandard.ZstdCompressor(level=3).compress(held[1].encode())
-            yield batch_of([(held[0], len(held[1]), None, to_text(held[2]), *blank[4:], task, "last", last)])
-
-    done = materialize(ranged.mapInArrow(run, _RESULT + ", task int, end string, text binary"), "neighbours")
-    tasks = sorted(r["task"] for r in done.where("end = 'last'").select("task").collect())  # one small number per range
-    following = spark.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1])) or [], "task int, next_task int")
-    first = done.where("end = 'first'").select(F.col("task").alias("next_task"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    ends = done.where("end = 'last'").select("task", "doc_id", "text", "fingerprint").join(following, "task").join(first, "next_task")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                texts = [zstandard.ZstdDecompressor().decompress(x[c]).decode() for c in ("text", "next_text")]
-                rows.append(_compare(x["doc_id"], texts[0], from_text(x["fingerprint"]), texts[1], from_text(x["next_fingerprint"]), k, words))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], _NAMES)
+                    rows.append(_compare(*held, text, own, k, words))
+                held = (doc_id, text, own)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], _NAMES)
 
-    return done.where("end IS NULL").select(*_NAMES).union(ends.mapInArrow(finish, _RESULT))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    dealt = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(deal, "range bigint, guest boolean, doc_id bigint, z binary")
+    placed = dealt.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "z")
+    return placed.mapInArrow(compare, _RESULT)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from isobarn.llm import boosting, chat, decontaminate, html, langid, packing, pii, quality, queries, simhash, sketch, substring
 
@@ -72,7 +73,7 @@ def test_fingerprints_estimate_likeness(documents, rows):
     found = collections.defaultdict(list)
     for r in sketch.compare_with_next(documents).collect():
         found[r.doc_id, r.n_chars].append(r)
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), zstandard.compress(x[1].encode(), 3)))
     by_text = collections.defaultdict(set)
     for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
         cut = len(t) // 3
