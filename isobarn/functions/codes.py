@@ -50,10 +50,10 @@ def thunderstorm_probability(
     ]
     zero = F.lit(0.0)
     score = sum((F.coalesce(s * w, zero) for s, w in parts), zero) / sum((F.coalesce(w, zero) for _, w in parts), zero) * 100
-    score = F.when((shower > 0.1 * dt_hours) & (energy > 300) & (cin < 50), F.least(score * 1.3, F.lit(100.0))).otherwise(score)
-    score = F.when(F.coalesce(shower, rain) <= 0, score * 0.7).otherwise(score)
-    score = F.when(cin > 100, score * 0.3).otherwise(score)
-    score = score * F.when(cover >= 60, F.lit(1.0)).otherwise(0.6 + 0.4 * (cover - 30) / 30) * (0.8 + 0.2 * tropics)
+    factor = lambda rule, f: F.when(rule, F.lit(f)).otherwise(F.lit(1.0))
+    boosted = F.least(score * factor((shower > 0.1 * dt_hours) & (energy > 300) & (cin < 50), 1.3), F.lit(100.0))
+    damped = factor(F.coalesce(shower, rain) <= 0, 0.7) * factor(cin > 100, 0.3) * F.when(cover >= 60, F.lit(1.0)).otherwise(0.6 + 0.4 * (cover - 30) / 30)
+    score = boosted * damped * (0.8 + 0.2 * tropics)
     blocked = (energy <= 10) | (cover < 30) | F.coalesce(cin > 250, F.lit(False)) | F.coalesce(lifted > 2, F.lit(False))
     return F.when(blocked, F.lit(0.0)).otherwise(clamp(score, 0.0, 100.0))
 

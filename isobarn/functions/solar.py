@@ -168,7 +168,7 @@ def diffuse_radiation(df: DataFrame, shortwave: str, time: str, lat: str, lon: s
     """Add diffuse_radiation from the clearness and the sun's angle; everything is diffuse at low sun."""
     df = with_geometry(df, time, lat, lon, dt)
     df = df.withColumn("_z", F.when(F.col("_up"), _lit_height()).otherwise(F.lit(0.0)))
-    df = df.withColumns({"_k": F.col(shortwave) / F.least(F.col("_z") * SOLAR_CONSTANT, F.lit(0.95 * SOLAR_CONSTANT)), "_z": F.col("_z"), "_i": F.acos(clamp(F.col("_z"), -1.0, 1.0))})
+    df = df.withColumns({"_k": F.col(shortwave) / F.greatest(F.least(F.col("_z") * SOLAR_CONSTANT, F.lit(0.95 * SOLAR_CONSTANT)), F.lit(1.0)), "_i": F.acos(clamp(F.col("_z"), -1.0, 1.0))})
     share = F.lit(DIFFUSE_CONSTANT)
     for factor, k, z in DIFFUSE_TERMS:
         share = share + factor * F.pow(F.col("_k"), F.lit(float(k))) * F.pow(F.col("_i"), F.lit(float(z)))

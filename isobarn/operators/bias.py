@@ -49,7 +49,7 @@ def apply_bias(df: DataFrame, reference: DataFrame, control: DataFrame, kind: st
     """Correct values by the difference (add) or ratio (multiply) of two tables of seasonal means, within bounds."""
     by = keys(df, by)
     df = at_season(at_season(df, reference, "_m", bins, by, time), control, "_o", bins, by, time)
-    out = F.col(value) + F.col("_m") - F.col("_o") if kind == "add" else F.col(value) * F.col("_m") / F.col("_o")
+    out = F.col(value) + F.col("_m") - F.col("_o") if kind == "add" else F.col(value) * F.try_divide("_m", "_o")
     if bounds:
         out = F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(bounds[0])), F.lit(bounds[1])))
     return df.withColumn(value, out).drop("_m", "_o")

@@ -129,6 +129,17 @@ def resolve(output: str, columns: set[str], _open: frozenset[str] = frozenset())
     return None
 
 
+def inputs_of(outputs: list[str]) -> set[str]:
+    """All names from which the outputs may be derived, themselves included."""
+    found, open_ = set(), list(outputs)
+    while open_:
+        name = open_.pop()
+        if name not in found:
+            found.add(name)
+            open_ += [i for rule in RULES.get(name, []) for i in rule.inputs]
+    return found
+
+
 def derive(df: DataFrame, outputs: list[str]) -> DataFrame:
     """Add the outputs. An output that no rule can give is an error that names it."""
     columns = set(df.columns)

@@ -52,20 +52,21 @@ def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, G
     series are joined once, all models are mixed by priority, and outputs are derived in one projection.
     """
     product = PRODUCTS[request.product]
-    raw = sorted({name for r in derive.RULES.values() for rule in r for name in rule.inputs} | set(request.hourly))
+    needed = sorted({aggregate.DAILY[o][0] for o in request.daily})
+    raw = sorted(derive.inputs_of([*request.hourly, *needed]) - {"elevation"})
     mixed = []
     for model in request.models or list(series):
         cells = locate(places, grids[model]).select(key, "start", "stop", F.col("cell_id").alias("location_id"))
         own = series[model].where(F.col("variable").isin(raw)).join(cells, "location_id")
         mixed.append(own.where("valid_time >= start AND valid_time < stop").select(key, "variable", "valid_time", "value"))
     mix = combine.seamless(mixed, product.smooth and len(mixed) > 1, [key, "variable"])
-    names = [x for x in raw if x in request.hourly or any(x in rule.inputs for o in request.hourly for rule in derive.RULES.get(o, []))]
+    present = {r["variable"] for r in mix.select("variable").distinct().collect()}  # names of variables, a short list
+    names = [x for x in raw if x in present]
     wide = mix.where(F.col("variable").isin(names)).groupBy(key, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
     wide = wide.join(places.select(key, "elevation", "utc_offset_seconds"), key)
     hourly = derive.derive(wide, request.hourly).select(key, "valid_time", *request.hourly)
     out = {"hourly": hourly}
     if request.daily:
-        needed = sorted({aggregate.DAILY[o][0] for o in request.daily})
         long = derive.derive(wide, needed).select(key, "utc_offset_seconds", "valid_time", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x"))
         long = long.select(key, "utc_offset_seconds", "valid_time", "x.variable", "x.value")
         out["daily"] = aggregate.daily_summary(long, request.daily, request.steps or 86400 // product.dt, product.dt, [key], "utc_offset_seconds")

@@ -17,7 +17,7 @@ from isobarn.functions.meteo import col
 
 def _round(x: Column) -> Column:
     """Halves away from zero."""
-    return (F.signum(x) * F.floor(F.abs(x) + 0.5)).cast("long")
+    return F.round(x).cast("long")
 
 
 @dataclass(frozen=True)
@@ -104,14 +104,14 @@ class Grid:
         return (x - self.x0) / self.dx, (y - self.y0) / self.dy
 
     def xy(self, lat: Column, lon: Column) -> tuple[Column, Column]:
-        """Nearest cell by rounding; null outside. Circular grids take one cell beyond their border."""
+        """Nearest cell by rounding, each null outside. Circular grids take one cell beyond their border."""
         x, y = map(_round, self._plane(lat, lon))
+        found_x, found_y = F.when(x.between(0, self.nx - 1), x), F.when(y.between(0, self.ny - 1), y)
         if self.circles:
-            x = F.when(x == -1, F.lit(0)).when(x.isin(self.nx, self.nx + 1), F.lit(self.nx - 1)).otherwise(x)
+            found_x = found_x.when(x == -1, F.lit(0)).when(x.isin(self.nx, self.nx + 1), F.lit(self.nx - 1))
         if self.reaches_poles:
-            y = F.when(y == -1, F.lit(0)).when(y == self.ny, F.lit(self.ny - 1)).otherwise(y)
-        inside = (x >= 0) & (x < self.nx) & (y >= 0) & (y < self.ny)
-        return F.when(inside, x), F.when(inside, y)
+            found_y = found_y.when(y == -1, F.lit(0)).when(y == self.ny, F.lit(self.ny - 1))
+        return found_x, found_y
 
     def cell(self, lat: Column, lon: Column) -> Column:
         x, y = self.xy(lat, lon)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["daily", "resampling"]
+MODULES: list[str] = ["daily", "resampling", "derived", "places", "climate"]
 
 
 def _collect(attribute: str) -> dict:

@@ -211,7 +211,7 @@ def json_documents(result: DataFrame, place: list[str], section: str, units: dic
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c))
     row = F.struct(F.col(time).alias("time"), *[(finite(c) if dict(result.dtypes)[c] in ("double", "float") else F.col(c)).alias(c) for c in units])
     grouped = result.groupBy(*place).agg(F.sort_array(F.collect_list(row)).alias("_r"))
-    arrays = F.struct(*[F.transform("_r", lambda x, c=c: x[c]).alias(c) for c in ("time", *units)])
+    arrays = F.struct(*[F.col("_r").getField(c).alias(c) for c in ("time", *units)])  # a field of an array of rows is an array
     described = F.struct(*[F.lit(u).alias(c) for c, u in units.items()])
     return grouped.select(F.to_json(F.struct(*place, described.alias(f"{section}_units"), arrays.alias(section)), {"ignoreNullFields": "false"}).alias("value"))
 
