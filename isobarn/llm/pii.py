@@ -151,10 +151,10 @@ def _spans_sql(score: str, threshold: float) -> str:
     return with_spans(f"array_sort(concat(base, cast({added} AS {SPAN})))")
 
 
-def personal_spans(documents: DataFrame, model: tuple[str, float]) -> DataFrame:
-    """The documents with _found: struct of base and of all spans (start, kind, stop; code points, stop exclusive)."""
-    bound = documents.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return bound.withColumn("_found", F.expr(f"transform(array(_t), t -> {_spans_sql(*model)})[0]")).drop("_t")
+def personal_spans(documents: DataFrame, model: tuple[str, float], into: str = "_found") -> DataFrame:
+    """The documents with `into`: struct of base and of all spans (start, kind, stop; code points, stop exclusive)."""
+    bound = "transform(array(coalesce(string(text), '')), t -> %s)[0]".replace("%s", _spans_sql(*model))
+    return documents.withColumn(into, F.expr(bound))
 
 
 def spans_text(spans: str) -> Column:
@@ -165,17 +165,20 @@ def spans_text(spans: str) -> Column:
 
 def redact(documents: DataFrame, model: tuple[str, float]) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows the text where it exists."""
-    merged = f"""aggregate(_found.spans, cast(array() AS {SPAN}), (acc, s) -> if(size(acc) > 0 AND s.start < element_at(acc, -1).stop,
+    name = "_found"
+    while name in documents.columns:
+        name += "_"
+    merged = f"""aggregate({name}.spans, cast(array() AS {SPAN}), (acc, s) -> if(size(acc) > 0 AND s.start < element_at(acc, -1).stop,
         array_append(slice(acc, 1, size(acc) - 1), named_struct('start', element_at(acc, -1).start, 'kind', element_at(acc, -1).kind, 'stop', greatest(element_at(acc, -1).stop, s.stop))),
         array_append(acc, s)))"""
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     pieces = f"""aggregate({merged}, named_struct('at', 0, 'out', cast(array() AS array<string>)),
         (a, s) -> named_struct('at', s.stop, 'out', array_append(array_append(a.out, substr(text, a.at + 1, s.start - a.at)), array({kinds})[s.kind])),
         a -> array_join(array_append(a.out, substr(text, a.at + 1)), ''))"""
-    found = personal_spans(documents, model)
-    text = F.when(F.size("_found.spans") > 0, F.expr(pieces)).otherwise(F.col("text"))
+    found = personal_spans(documents, model, name)
+    text = F.when(F.size(f"{name}.spans") > 0, F.expr(pieces)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_found.spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(f"{name}.spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
