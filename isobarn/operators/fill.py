@@ -65,7 +65,10 @@ def fill_backwards(df: DataFrame, summation: bool = False, by: list[str] | None
 
 
 def hermite_filled(values: np.ndarray, bounds: tuple[float, float] | None = None) -> np.ndarray:
-    """One series filled by cubics through four points at the spacing of the next two valid values."""
+    """One series filled by cubics through four points at the spacing of the next two valid values.
+
+    Where there is no value at that spacing before a gap, the last one before it is taken.
+    """
     out = values.astype(float).copy()
     width, t = 0, 0
     while t < len(out):
@@ -79,7 +82,10 @@ def hermite_filled(values: np.ndarray, bounds: tuple[float, float] | None = None
         if len(ahead) == 2:
             width = int(ahead[1]) - stop
         begin = max(stop - width, 0)
-        four = [out[begin - width if begin >= width else begin], out[begin], out[stop], out[ahead[-1]]]
+        if np.isnan(out[begin]) and t > 0:
+            begin = t - 1
+        before = begin - width if begin >= width and not np.isnan(out[begin - width]) else begin
+        four = [out[before], out[begin], out[stop], out[ahead[-1]]]
         at = np.arange(t, stop)
         f = (at - begin) / max(stop - begin, 1)
         cubic = four[1] + f * ((four[2] - four[0]) / 2 + f * (four[0] - 2.5 * four[1] + 2 * four[2] - four[3] / 2 + f * ((four[3] - four[0]) / 2 + 1.5 * (four[1] - four[2]))))

@@ -23,10 +23,11 @@ def stream_fields(spark: SparkSession, path: str, schema: str = SCHEMA, files_pe
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def stream_deaccumulate(steps: DataFrame, by: list[str], watermark: str = "2 days") -> DataFrame:
+def stream_deaccumulate(steps: DataFrame, by: list[str], watermark: str = "2 days", keep_days: int = 16) -> DataFrame:
     """Differences of accumulated steps to the step before, by key and run; late steps are dropped.
 
-    steps: by, run_time, step_start, step_end, step_type (accum, avg or other), value. State is one step a key.
+    steps: by, run_time, step_start, step_end, step_type (accum, avg or other), value. State is one step a key and
+    goes when the watermark is keep_days past the run.
     """
     ship_package(steps.sparkSession)
     names = [*by, "run_time", "step_start", "step_end", "value"]
@@ -52,7 +53,8 @@ def stream_deaccumulate(steps: DataFrame, by: list[str], watermark: str = "2 day
             rows.append((*key, out_start, end, out_value))
         if last:
             state.update(last)
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 2 * 86_400_000)
+            run_ms = int(pd.Timestamp(key[-1]).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), run_ms) + keep_days * 86_400_000)
         yield pd.DataFrame(rows, columns=names)
 
     watched = steps.withWatermark("run_time", watermark)
