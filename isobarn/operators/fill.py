@@ -16,12 +16,17 @@ from isobarn.session import ship_package
 
 
 def _with_neighbours(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
-    """Add _i, and value and position of the last valid row before (_v0, _i0) and the next from here (_v1, _i1)."""
+    """Add _i, and value and position of the last valid row before (_v0, _i0) and the next from here (_v1, _i1).
+
+    The next valid row is the last one of the reversed order: frames that grow take one step a row, while a frame that
+    shrinks would be summed up anew for each row. Both orders share one shuffle.
+    """
     w = ordered(by, time)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_i", F.row_number().over(w) - 1)
     at = F.when(F.col(value).isNotNull(), F.col("_i"))
-    return df.withColumns({"_v0": F.last(value, True).over(before), "_i0": F.last(at, True).over(before), "_v1": F.first(value, True).over(after), "_i1": F.first(at, True).over(after)})
+    return df.withColumns({"_v0": F.last(value, True).over(before), "_i0": F.last(at, True).over(before), "_v1": F.last(value, True).over(after), "_i1": F.last(at, True).over(after)})
 
 
 def _drop(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isobarn.operators.grids import Grid
 from isobarn.operators.requests import time_spine
+from isobarn.session import tune
 
 #: A 5-degree grid of the world.
 WORLD = Grid("world", 72, 36, -177.5, -87.5, 5.0, 5.0)
@@ -20,6 +21,7 @@ def _off_ties(digits: int) -> float:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; its zoneless times are read as times of the session."""
+    tune(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 

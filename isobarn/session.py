@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: HotSpot doesn't compile methods of more bytecode. Stages with longer ones are then run by split projections instead,
+#: which are compiled; wide derivations get several times faster.
+HUGE_METHOD = "8000"
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -22,6 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -30,6 +34,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """The setting that wide projections need, for sessions made elsewhere."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") != HUGE_METHOD:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
