@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from isobarn.operators import bias as B
 from isobarn.plans import tables as T
 from isobarn.session import shared_dir
+from isobarn.sources import storage as S
 from isobarn.streaming import streams as R
 
 LOC = ["location_id"]
@@ -114,6 +115,53 @@ def streamed_probability(spark, sf_dir):
     return T.tidy(_run(spark, R.stream_probability(_stream(spark, sf_dir), 3600, ["variable"], 20.0), "probability"))
 
 
+def _path(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/isobarn/{name}-{uuid.uuid4().hex}"
+
+
+def _canonical(spark, sf_dir, high):
+    return T.model(spark, sf_dir, high).select(F.lit("events").alias("domain"), "variable", "location_id", F.lit(0).alias("member"), F.lit(0).alias("lead_day"), "valid_time", "value")
+
+
+def stored_series(spark, sf_dir):
+    """Written in time chunks, read back by domain, variables and range."""
+    path = _path(spark, "store")
+    S.write_series(_canonical(spark, sf_dir, False), path)
+    found = S.read_series(spark, path, "events", ["view", "click"], "2024-01-10 00:00:00", "2024-01-25 12:00:00")
+    return T.tidy(found.select("variable", "location_id", "valid_time", "value"))
+
+
+def stored_year(spark, sf_dir):
+    """A compacted month of complete chunks, and what differs from its source."""
+    own = _canonical(spark, sf_dir, False)
+    path = _path(spark, "year")
+    S.compact_yearly(own, 2024, allow_missing=True).write.parquet(path)
+    copy = spark.read.parquet(path)
+    lost = S.verify_compaction(own, copy).groupBy("variable").agg(F.count(F.lit(1)).alias("lost"))
+    return copy.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).join(lost, "variable", "left").fillna(0, ["lost"])
+
+
+def upserted_batches(spark, sf_dir):
+    """Two models merged into one store as micro-batches, the second one twice."""
+    path = _path(spark, "upsert")
+    batch = R.upsert_batch(path)
+    batch(_canonical(spark, sf_dir, False), 0)
+    for _ in range(2):
+        batch(_canonical(spark, sf_dir, True).withColumn("value", F.col("value") + 100), 1)
+    return T.tidy(spark.read.parquet(path).select("variable", "location_id", "valid_time", "value"))
+
+
+def streamed_pairs(spark, sf_dir):
+    """Hours in which a user has both a view and a click, from two streams."""
+    own = _stream(spark, sf_dir).withColumn("valid_time", F.date_trunc("hour", "valid_time")).withColumn("value", F.lit(1.0))
+    side = lambda v: own.where(F.col("variable") == v).select("location_id", "valid_time", "value")
+    out = _path(spark, "pairs")
+    pairs = R.stream_pair(side("view"), side("click"), ["location_id"])
+    query = pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(out).select("location_id", "valid_time")
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _r = T.r
@@ -168,4 +216,9 @@ ORACLE = {
       SELECT variable, to_timestamp(h * 3600)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS value FROM e GROUP BY ALL""",
     "streamed_mean_spread": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS spread, count(value) AS members FROM events GROUP BY ALL",
     "streamed_probability": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('100.0 * count(*) FILTER (value >= 20) / count(*)')} AS precipitation_probability FROM events GROUP BY ALL HAVING count(*) > 1",
+    "stored_series": f"WITH {T.MODELS} SELECT variable, location_id, valid_time, {_r('value')} AS value FROM low WHERE variable IN ('view', 'click') AND valid_time >= TIMESTAMP '2024-01-10' AND valid_time < TIMESTAMP '2024-01-25 12:00:00'",
+    "stored_year": f"WITH {T.MODELS} SELECT variable, count(*) AS n, CAST(0 AS BIGINT) AS lost FROM low GROUP BY ALL",
+    "upserted_batches": f"WITH {T.MODELS} SELECT variable, location_id, valid_time, {_r('coalesce(high.value + 100, low.value)')} AS value FROM low FULL OUTER JOIN high USING (variable, location_id, valid_time)",
+    "streamed_pairs": """SELECT DISTINCT user_id AS location_id, date_trunc('hour', ts)::TIMESTAMP AS valid_time FROM events a WHERE event_type = 'view'
+      AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'click' AND b.user_id = a.user_id AND date_trunc('hour', b.ts) = date_trunc('hour', a.ts))""",
 }

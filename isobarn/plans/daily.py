@@ -106,7 +106,8 @@ def corrected_elevation(spark, sf_dir):
 def parsed_names(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").groupBy("event_type", (F.col("event_id") % 5).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     suffix = F.element_at(F.array(*[F.lit(x) for x in ("_850hPa", "_2m", "_spread", "_2m_previous_day3", "_500hPa_member07")]), F.col("k").cast("int") + 1)
-    return Q.parse_variable_names(e.withColumn("variable", F.concat("event_type", suffix))).drop("event_type", "k")
+    found = Q.parse_variable_names(e.withColumn("variable", F.concat("event_type", suffix))).drop("event_type", "k")
+    return found.fillna(-1, ["level", "height"])
 
 
 def selected_variables(spark, sf_dir):
@@ -196,7 +197,7 @@ ORACLE = {
       SELECT location_id, variable, valid_time, {_r("CASE variable WHEN 'view' THEN least(greatest(v, 0), 15) WHEN 'click' THEN least(v, 20) ELSE v END")} AS value, {_r('cell_elevation')} AS cell_elevation, {_r('elevation')} AS elevation FROM c""",
     "parsed_names": """WITH e AS (SELECT event_type, event_id % 5 AS k, count(*) AS n FROM events GROUP BY ALL)
       SELECT n, event_type || ['_850hPa', '_2m', '_spread', '_2m_previous_day3', '_500hPa_member07'][k + 1] AS variable, event_type AS base,
-      CASE k WHEN 0 THEN 850 WHEN 4 THEN 500 END AS level, CASE WHEN k IN (1, 3) THEN 2 END AS height, CASE k WHEN 2 THEN 'spread' ELSE 'value' END AS statistic,
+      CASE k WHEN 0 THEN 850 WHEN 4 THEN 500 ELSE -1 END AS level, CASE WHEN k IN (1, 3) THEN 2 ELSE -1 END AS height, CASE k WHEN 2 THEN 'spread' ELSE 'value' END AS statistic,
       CASE k WHEN 3 THEN 3 ELSE 0 END AS lead_day, CASE k WHEN 4 THEN 7 ELSE 0 END AS member FROM e""",
     "selected_variables": f"WITH {T.HOURLY} SELECT location_id, variable, valid_time, {_r('value')} AS value FROM hourly WHERE variable IN ('view', 'click')",
     "local_time_ranges": f"""WITH {T.PLACES}, b AS (SELECT place_id, utc_offset_seconds AS o, (1706963040 + utc_offset_seconds) // 86400 * 86400 - utc_offset_seconds AS d FROM places),

@@ -274,4 +274,16 @@ ORACLE = {
       SELECT place_id, to_timestamp(CASE WHEN arg > 1 OR arg < -1 THEN m0 ELSE m0 + trunc((noon - half - eqt / 60) * 3600) END)::TIMESTAMP AS sunrise,
       to_timestamp(CASE WHEN arg > 1 THEN m0 WHEN arg < -1 THEN m0 + 86400 ELSE m0 + trunc((noon + half - eqt / 60) * 3600) END)::TIMESTAMP AS sunset,
       {_r('CASE WHEN arg > 1 THEN 0 WHEN arg < -1 THEN 86400 ELSE half * 7200 END', 2)} AS daylight_duration FROM b""",
+    "derived_outputs": f"""WITH {_UV.replace('SELECT ' + _K + ',', 'SELECT *,')}, d AS (SELECT *, {_CLAMP(f"100 * exp({_MAG('dew_point_2m')} - {_MAG('temperature_2m')})", 0, 100)} AS rh, pressure_msl / {_BAR('temperature_2m', 'elevation')} AS sp,
+        CASE WHEN temperature_2m < 0 THEN precipitation ELSE 0 END AS swe FROM s),
+      e AS (SELECT *, rh / 100 * 610.5 * exp(17.27 * temperature_2m / (237.7 + temperature_2m)) AS vp FROM d)
+      SELECT {_K}, {_r('speed')} AS wind_speed_10m, {_r('direction')} AS wind_direction_10m, {_r(f'speed * {_F80!r}')} AS wind_speed_80m, {_r('rh')} AS relative_humidity_2m,
+      {_r('temperature_2m + 0.348 * vp / 100 - 0.7 * speed * 0.75 + 0.7 * greatest(0.1 * (shortwave_radiation - 550), 0) / (speed * 0.75 + 10) - 4.25')} AS apparent_temperature,
+      {_r('sp')} AS surface_pressure, {_r('(sp * 100 - vp) / (287.058 * (temperature_2m + 273.15)) + vp / (461.495 * (temperature_2m + 273.15))')} AS air_density,
+      {_r('swe * 0.7')} AS snowfall, {_r('greatest(precipitation - swe, 0)')} AS rain,
+      CAST(coalesce({_class_sql('swe * 0.7', codes.SNOW, 0.01)}, {_class_sql('precipitation', codes.DRIZZLE_AND_RAIN, 0.01)}, {_class_sql('cloud_cover', codes.CLOUDS, 0)}) AS INTEGER) AS weather_code,
+      {_r('greatest(shortwave_radiation - direct_radiation, 0)')} AS diffuse_radiation, {_r(f"greatest({_TET('temperature_2m')} - {_TET('dew_point_2m')}, 0)")} AS vapour_pressure_deficit FROM e""",
+    "is_day": f"""WITH {T.PLACES}, {_SUN}, l AS (SELECT *, floor(lon / 15 * 3600) AS sh FROM sunt), m AS (SELECT *, floor((s + sh) / 86400) * 86400 - sh AS m0, 12 - lon / 15 AS noon FROM l), {_position_cte('m', '(m0 + floor(noon * 3600))')},
+      a AS (SELECT *, -(sin(radians(0.83333)) + sin(radians(lat)) * sin(radians(decl))) / (cos(radians(lat)) * cos(radians(decl))) AS arg FROM sun), b AS (SELECT *, degrees(acos(least(greatest(arg, -1), 1))) / 15 AS half FROM a)
+      SELECT place_id, CAST(hour AS INTEGER) AS hour, CAST(CASE WHEN arg > 1 THEN 0 WHEN arg < -1 THEN 1 WHEN s > m0 + trunc((noon - half - eqt / 60) * 3600) AND s < m0 + trunc((noon + half - eqt / 60) * 3600) THEN 1 ELSE 0 END AS INTEGER) AS is_day FROM b""",
 }
