@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from isobarn.session import shared_dir, ship_package
 
@@ -49,3 +50,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows with a key, chosen by its hash, for fitting a model.
+
+    A share of the hash's range that holds about four times as many rows is filtered first. So the tasks together send
+    some 4 * most rows to the task that picks, however large the table is.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, 4.0 * most / max(1, df.count()))
+    return rows.where(spread < int(share * (1 << 40))).orderBy(spread, key).limit(most)

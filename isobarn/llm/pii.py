@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobarn.llm import boosting
+from isobarn.llm.common import hash_sample
 
 #: Kinds in their order within a tie of starts.
 KINDS = ["email", "ip", "card", "phone"]
@@ -116,8 +117,7 @@ _FEATURES = "named_struct(" + ", ".join(f"'{n}', double({e})" for n, e in FEATUR
 
 def training_candidates(documents: DataFrame, rows: int = SAMPLE_ROWS, candidates: int = SAMPLE_CANDIDATES) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `candidates` candidates of at most `rows` documents, by the hash of the id."""
-    chosen = documents.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("t"))
-    chosen = chosen.where("rlike(t, '[0-9@]')").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = hash_sample(documents.select("doc_id", F.col("text").cast("string").alias("t")), "doc_id", rows).where("rlike(t, '[0-9@]')")
     spans = chosen.select("doc_id", F.expr(base_sql()).alias("base"), F.explode(F.expr(candidate_sql())).alias("c"))
     label = F.expr("int(exists(base, b -> b.start = c.start AND b.stop = c.stop AND b.kind = c.kind))")
     found = spans.select("doc_id", "c.start", F.expr(_FEATURES).alias("f"), label.alias("y"))
