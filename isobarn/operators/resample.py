@@ -74,10 +74,10 @@ def upsample_solar(df: DataFrame, low: str, high: DataFrame, potential: str, dt_
     a, b, c, d = (F.col(x) for x in ("_ka", "_k", "_kc", "_kd"))
     df = df.withColumns({"_ka": F.coalesce(a, b, c, d), "_k": F.coalesce(b, a, c, d), "_kc": F.coalesce(c, b, d, a), "_kd": F.coalesce(d, c, b, a)})
     n = dt_old // dt_new
-    # interval means belong to the interval's middle
-    df = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    shift = (dt_old - dt_new) // 2
-    df = df.withColumns({"_f": (F.col("_j") * dt_new - shift % dt_new) / dt_old, time: F.timestamp_seconds(seconds(time) - shift + shift % dt_new + F.col("_j") * dt_new - shift % dt_new)})
+    # interval means belong to the interval's middle, so a row serves the new steps around its own middle
+    first = -((n - 1) // 2)
+    df = df.withColumn("_j", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
+    df = df.withColumns({"_f": (F.col("_j") + (n - 1) / 2) / n, time: F.timestamp_seconds(seconds(time) + F.col("_j") * dt_new)})
     joined = df.join(high.select(*by, time, F.col(potential).alias("_high")), [*by, time])
     f, sun = F.col("_f"), F.col("_high")
     bent = cubic(F.col("_ka"), F.col("_k"), F.col("_kc"), F.col("_kd"), f) * sun

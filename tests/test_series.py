@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from isobarn.functions import solar
 from isobarn.operators import aggregate, bias, combine, fill, requests, resample
 
 N = None
@@ -158,3 +159,15 @@ def test_month_and_week_axis(spark):
     p = spark.sql("SELECT 1 AS id, timestamp'2024-01-10 00:00:00' AS start, timestamp'2024-04-01 00:00:00' AS stop")
     assert [r.valid_time.month for r in requests.time_spine(p, "month").collect()] == [2, 3]
     assert all(r.valid_time.weekday() == 0 for r in requests.time_spine(p, "week").collect())
+
+
+def test_solar_upsampling_follows_the_sun(spark):
+    axis = "SELECT 1L AS location_id, explode(sequence(timestamp'2024-05-01 01:00:00', timestamp'2024-05-02 00:00:00', interval {} minute)) AS valid_time, 47.0D AS lat, 8.0D AS lon"
+    share = lambda dt: solar.potential_radiation(spark.sql(axis.format(dt // 60)), "valid_time", "lat", "lon", dt).withColumn("sun", F.col("potential_radiation") / solar.SOLAR_CONSTANT)
+    low = share(3600).select("location_id", "valid_time", "sun", (F.col("potential_radiation") * 0.6).alias("value"))
+    high = share(900).select("location_id", "valid_time", "sun")
+    out = resample.upsample_solar(low, "sun", high, "sun", 3600, 900)
+    joined = out.join(high.withColumnRenamed("sun", "want"), ["location_id", "valid_time"])
+    assert joined.count() == out.count() > 85
+    assert joined.where(f"value IS NULL OR abs(value - 0.6 * want * {solar.SOLAR_CONSTANT}) > 1").count() == 0
+    assert out.where("value < 0").count() == 0
