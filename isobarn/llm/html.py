@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import prepare
+from isobarn.llm.common import hash_sample, prepare
 
 #: Bound of the labelled sample from which weights are learned.
 SAMPLE_PAGES = 400
@@ -172,7 +172,7 @@ def learned(pages: DataFrame, most: int = SAMPLE_PAGES) -> Weights:
             rows = [[{"tag": t, "words": n, "own": o} for t, n, o in page] for page in found]
             yield pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["page"])
 
-    chosen = pages.where("html IS NOT NULL").select("page_id", F.col("html").cast("string").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    chosen = hash_sample(pages.select("page_id", F.col("html").cast("string").alias("html")), "page_id", most).where("html IS NOT NULL")
     found = chosen.select("html").mapInArrow(describe, "page array<struct<tag:string,words:int,own:boolean>>").collect()
     return learn([[(x["tag"], x["words"], x["own"]) for x in r["page"]] for r in found])
 
