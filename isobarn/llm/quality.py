@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import as_bytes, prepare
+from isobarn.llm.common import as_bytes, hash_sample, prepare
 
 WIDTH = 6
 FILTERS = 16
@@ -133,12 +133,8 @@ def learnable(doc_id: Column) -> Column:
 
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CHUNKS) -> tuple[list[np.ndarray], np.ndarray]:
     """Chunks and labels of at most `rows` labelled documents, chosen by the hash of the id."""
-    chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(rows)
-    )
+    own = labels.where(F.col("quality").isNotNull() & learnable(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    chosen = hash_sample(own, "doc_id", rows)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
