@@ -13,6 +13,8 @@ from isobarn.session import shared_dir, ship_package
 
 #: Rows of an Arrow batch; texts may be very long, so batches are kept small.
 BATCH_ROWS = 500
+#: Column that tells rows apart where ids are null or repeat; written with a table, so that each read gives the same.
+TAG = "_isobarn_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_tag(df: DataFrame) -> DataFrame:
+    """Rows with a number each. It is stable only once the result is written."""
+    return df.withColumn(TAG, F.monotonically_increasing_id())
+
+
+def tagged(df: DataFrame) -> DataFrame:
+    """Rows with a stable TAG: as it was written with them, or from a copy written now."""
+    return df if TAG in df.columns else materialize(with_tag(df), "tagged")
+
+
 def as_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of a string column; None stays None."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -226,9 +226,3 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, words: int =
     named = rooted.join(smallest, "root").select("code", "component_id")
     digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
     return rows.join(named, "code").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(documents: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component."""
-    found = near_duplicates(documents, distance, words)
-    return documents.join(found.where("doc_id > component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)

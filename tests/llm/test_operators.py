@@ -11,7 +11,7 @@ import pytest
 import xxhash
 import zstandard
 
-from isobarn.llm import boosting, chat, decontaminate, html, langid, packing, pii, quality, queries, simhash, sketch, substring
+from isobarn.llm import boosting, chat, decontaminate, html, langid, near, packing, pii, quality, queries, simhash, sketch, substring
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -259,6 +259,50 @@ def test_simhash_components(documents, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def _jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def _stays(rows):
+    """Brute force: places of the rows that the near-dedup stage keeps, as the texts and ids left."""
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * _jaccard(rows[i][1], rows[j][1]) >= 4 - 1e-9:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    groups = collections.defaultdict(list)
+    for r, row in zip(root, rows):
+        groups[r].append(row[0])
+    return collections.Counter(min(ids, key=lambda x: (x is None, x)) for ids in groups.values())
+
+
+@pytest.mark.parametrize("small", [8, 3])
+def test_near_dedup_stage_finds_all_of_similarity(spark, small, monkeypatch):
+    monkeypatch.setattr(near, "PAIRS", small)  # with 3, large buckets must be split
+    rng = random.Random(5)
+    rows = []
+    for _ in range(25):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(120)]
+        rows.append(" ".join(base))
+        for changed in (1, 2, 3, 4, 6):  # Jaccard of about 0.92 down to 0.6
+            own = list(base)
+            for k in rng.sample(range(5, 115), changed):
+                own[k] = "new" + str(rng.randrange(10**6))
+            rows.append(" ".join(own))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    rows = list(zip(ids, rows))
+    found = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = _stays(rows)
+    assert len(want) < 0.7 * len(rows)
+    assert collections.Counter(r.doc_id for r in found) == want
+
+
 @pytest.mark.parametrize("limit", [4096, 8])
 def test_gray_index_finds_all_links(spark, limit):
     rng = np.random.default_rng(5)
