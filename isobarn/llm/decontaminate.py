@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isobarn.llm.common import TAG, tagged
+
 N = 13
 #: A document is contaminated if one in so many of its words is hit.
 ONE_IN = 20
@@ -96,6 +98,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = N, one_in
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = N, one_in: int = ONE_IN) -> DataFrame:
-    """The documents that are not contaminated."""
-    found = contamination(documents, benchmark, n, one_in).where("contaminated").select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(*documents.columns)
+    """The documents that are not contaminated. Rows are judged each, whatever their doc_id."""
+    rows = tagged(documents)
+    found = contamination(rows.select(F.col(TAG).alias("doc_id"), "text"), benchmark, n, one_in)
+    bad = found.where("contaminated").select(F.col("doc_id").alias(TAG))
+    return rows.join(bad, TAG, "left_anti").select(*documents.columns)

@@ -234,6 +234,14 @@ def test_decontamination(spark, documents, rows):
     assert decontaminate.drop_contaminated(documents, bench).columns == documents.columns
 
 
+def test_decontamination_drops_rows_and_not_ids(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    rows = [(1, item), (1, "clean text under the same id"), (None, item), (None, "clean text without an id"), (2, item), (2, item), (3, "clean"), (3, "clean")]
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    found = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), bench).collect()
+    assert collections.Counter(map(tuple, found)) == collections.Counter(r for r in rows if r[1] != item)
+
+
 # 7 near duplicates
 def test_simhash_components(documents, rows, nothing):
     def code(text):
@@ -303,6 +311,14 @@ def test_near_dedup_stage_finds_all_of_similarity(spark, small, monkeypatch):
     assert collections.Counter(r.doc_id for r in found) == want
 
 
+def test_near_dedup_stage_drops_rows_and_not_ids(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text), (1, text), (1, "a different text under the same id"), (None, text), (None, "twice without an id"), (None, "twice without an id"), (5, None), (4, ""), (4, " ")]
+    found = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    left = collections.Counter((r.doc_id, (r.text or "").strip()) for r in found)
+    assert left == collections.Counter([(1, text), (1, rows[2][1]), (None, rows[4][1]), (4, "")])
+
+
 @pytest.mark.parametrize("limit", [4096, 8])
 def test_gray_index_finds_all_links(spark, limit):
     rng = np.random.default_rng(5)
