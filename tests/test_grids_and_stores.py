@@ -161,3 +161,12 @@ def test_stream_aggregates_equal_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("resampled").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = {r.valid_time.hour + 24 * (r.valid_time.day - 1): r.value for r in spark.table("resampled").collect()}
     assert got[3] == 2.0 and got[0] == 0.0
+
+
+def test_streamed_run_counts_are_exact(spark, tmp_path):
+    rows = spark.range(60).select(F.lit("d").alias("domain"), F.timestamp_seconds(F.col("id") * 21600).alias("run_time"), F.explode(F.sequence(F.lit(1), 360 + F.col("id"))).alias("step"))
+    rows = rows.select("domain", "run_time", F.timestamp_seconds(F.col("step") * 3600).alias("valid_time"))
+    found = streams.stream_run_metadata(rows.union(rows))
+    assert sorted(r.n_times for r in found.collect()) == list(range(360, 420))
+    streams.publish_run_metadata(str(tmp_path / "runs"), 380)(found, 0)
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 40
