@@ -1,10 +1,10 @@
 """Quality score of documents by a byte-level convolutional network in numpy (operator 10).
 
 A filter is a table of one weight per offset and byte value, so a convolution over bytes is a sum of table rows.
-Overlapping chunks cover the whole document; each filter's response is max-pooled per chunk, the chunk maxima are
-averaged and maximised over the document, and one linear layer with a sigmoid gives the probability. The network
-is fitted in the driver on at most TRAIN_ROWS labelled rows with at most TRAIN_CHUNKS chunks each (documented
-bounds, whatever the corpus size); scoring reads every byte of every text.
+Overlapping chunks cover the whole document; each filter's response is max-pooled per chunk; the mean, the largest and the
+smallest of the chunks' maxima go through one linear layer with a sigmoid, which gives the probability. (A document of a
+few words over and over is known by what its chunks lack: the smallest maxima.) The network is fitted in the driver on at
+most TRAIN_ROWS labelled rows, all their chunks (a documented bound, whatever the corpus size); scoring reads every byte of every text.
 
 Defined results: null or empty text is scored as one chunk of padding; rows with null labels or ids are not
 learned from; without labels every score is 0.5; repeated rows are scored once each; extra columns are ignored.
@@ -24,10 +24,9 @@ from isobarn.llm.common import as_bytes, hash_sample, prepare
 WIDTH = 6
 FILTERS = 16
 CHUNK = 512
-#: Bounds of the training sample: labelled rows, and chunks taken of each.
-TRAIN_ROWS = 2000
-TRAIN_CHUNKS = 12
-EPOCHS = 14
+#: Bound of the training sample: labelled rows.
+TRAIN_ROWS = 1500
+EPOCHS = 12
 #: Chunks convolved at a time.
 BLOCK = 16
 
@@ -52,6 +51,7 @@ class ByteNetwork:
             "bias": np.zeros(filters, np.float32),
             "mean": rng.normal(0, 0.1, filters).astype(np.float32),
             "most": rng.normal(0, 0.1, filters).astype(np.float32),
+            "least": rng.normal(0, 0.1, filters).astype(np.float32),
             "constant": np.zeros(1, np.float32),
         }
 
@@ -76,19 +76,19 @@ class ByteNetwork:
                 where[i : i + BLOCK] = sums.argmax(axis=1)
         return np.maximum(best + self.params["bias"], 0), where
 
-    def documents(self, maxima: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean and maximum over each document's chunks, and the probability. first: each document's first row."""
+    def documents(self, maxima: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean, largest and smallest over each document's chunks, and the probability. first: each document's first row."""
         counts = np.diff(np.append(first, len(maxima)))[:, None]
-        mean, most = np.add.reduceat(maxima, first) / counts, np.maximum.reduceat(maxima, first)
-        logit = mean @ self.params["mean"] + most @ self.params["most"] + self.params["constant"]
-        return mean, most, 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
+        mean, most, least = np.add.reduceat(maxima, first) / counts, np.maximum.reduceat(maxima, first), np.minimum.reduceat(maxima, first)
+        logit = mean @ self.params["mean"] + most @ self.params["most"] + least @ self.params["least"] + self.params["constant"]
+        return mean, most, least, 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         cut = [chunks(x) for x in texts]
         if not cut:
             return np.zeros(0)
         first = np.cumsum([0] + [len(x) for x in cut[:-1]])
-        return self.documents(np.concatenate([self.pooled(x)[0] for x in cut]), first)[2]
+        return self.documents(np.concatenate([self.pooled(x)[0] for x in cut]), first)[3]
 
     def fit(self, cut: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.02, seed: int = 7) -> ByteNetwork:
         rng, p = np.random.default_rng(seed), self.params
@@ -105,13 +105,13 @@ class ByteNetwork:
                 sizes = np.array([len(cut[i]) for i in own])
                 first = np.cumsum(sizes) - sizes
                 maxima, where = self.pooled(rows, positions=True)
-                mean, most, probability = self.documents(maxima, first)
+                mean, most, least, probability = self.documents(maxima, first)
                 error = ((probability - labels[own]) * weight[own] / len(own)).astype(np.float32)
                 doc = np.repeat(np.arange(len(own)), sizes)
-                g = {"mean": mean.T @ error, "most": most.T @ error, "constant": error.sum(keepdims=True)}
-                at_most = (maxima == most[doc]) & (maxima > 0)
-                at_most = at_most / np.maximum(np.add.reduceat(at_most, first, dtype=np.float32)[doc], 1)
-                back = error[doc, None] * (p["mean"] / sizes[doc, None] + p["most"] * at_most) * (maxima > 0)
+                g = {"mean": mean.T @ error, "most": most.T @ error, "least": least.T @ error, "constant": error.sum(keepdims=True)}
+                at_most, at_least = ((maxima == x[doc]) & (maxima > 0) for x in (most, least))
+                at_most, at_least = (x / np.maximum(np.add.reduceat(x, first, dtype=np.float32)[doc], 1) for x in (at_most, at_least))
+                back = error[doc, None] * (p["mean"] / sizes[doc, None] + p["most"] * at_most + p["least"] * at_least) * (maxima > 0)
                 g["bias"] = back.sum(axis=0)
                 g["filters"] = np.zeros_like(p["filters"])
                 filters = np.arange(back.shape[1])
@@ -131,18 +131,14 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CHUNKS) -> tuple[list[np.ndarray], np.ndarray]:
+def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Chunks and labels of at most `rows` labelled documents, chosen by the hash of the id."""
     own = labels.where(F.col("quality").isNotNull() & learnable(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = hash_sample(own, "doc_id", rows)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in as_bytes(batch.column(1)):
-                cut = chunks(text)
-                rng = np.random.default_rng(len(cut))
-                out.append(cut[np.sort(rng.choice(len(cut), min(most, len(cut)), replace=False))].tobytes())
+            out = [chunks(text).tobytes() for text in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "quality", "rows"])
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
