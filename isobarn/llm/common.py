@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from isobarn.session import shared_dir, ship_package
 
-#: Rows of an Arrow batch; texts may be very long, so batches are kept small.
+#: Rows and bytes of an Arrow batch; texts may be very long, so batches are kept small.
 BATCH_ROWS = 500
+BATCH_BYTES = 32 << 20
+#: Keys with over one in so many of all rows are joined apart; there are fewer than so many of them.
+HOT = 2000
 #: Column that tells rows apart where ids are null or repeat; written with a table, so that each read gives the same.
 TAG = "_isobarn_row"
 
@@ -22,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a batch of long texts fits in a Python worker."""
+    """Small Arrow batches, in rows and bytes, so that a batch of long texts fits in a Python worker.
+
+    The settings stay on the session, as plans are only run later; a single text is one batch at least.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,6 +46,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with facts, which have one row a key and the number `n` of its rows among `total`.
+
+    Keys with many rows (fewer than HOT of them, so their facts are broadcast) are joined where the rows lie; only the
+    rows of the others are dealt by key. `rows` is read twice.
+    """
+    often = F.col(n) > max(1, total // HOT)
+    hot, cold = F.broadcast(facts.where(often).drop(n)), facts.where(~often).drop(n)
+    there = rows.join(hot, key)
+    others = rows.join(F.broadcast(facts.where(often).select(key)), key, "left_anti").join(cold, key)
+    return there.unionByName(others)
+
+
 def with_tag(df: DataFrame) -> DataFrame:
     """Rows with a number each. It is stable only once the result is written."""
     return df.withColumn(TAG, F.monotonically_increasing_id())

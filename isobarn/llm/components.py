@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two grouped minima and two joins; rounds grow with the logarithm of the longest chain. Each
+Every round is two grouped minima and two joins, in which the centres of large stars are joined apart; rounds grow with the logarithm of the longest chain. Each
 round's edges are written to the shared folder, so a lost executor costs one round at most.
 """
 
@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import materialize
+from isobarn.llm.common import attach, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return attach(both, least, "u", "n", 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    to_least = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    to_least = attach(down, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return to_least.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u <> v").distinct(), "edges")
     before = _signature(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        large = materialize(_large_star(edges, before[0]), "edges")
+        edges = materialize(_small_star(large, before[0]), "edges")
         now = _signature(edges)
         if now == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import as_bytes, materialize, prepare
+from isobarn.llm.common import as_bytes, attach, materialize, prepare
 from isobarn.llm.components import connected_components
 
 WORDS = 4
@@ -70,7 +70,7 @@ def bit_classes(distance: int) -> list[list[int]]:
     """By level: masks that divide the 64 bits into distance + 1 classes, each level in another way."""
     n = distance + 1
     wide = -(-64 // n)
-    rules = (lambda i: i // wide, lambda i: i % n, lambda i: i // 3 % n, lambda i: i // 7 % n)
+    rules = (lambda i: i // wide, lambda i: i % n, lambda i: i // 3 % n, lambda i: i // 7 % n, lambda i: i * 5 % 64 // 2 % n, lambda i: i // 11 % n)
     return [[sum(1 << i for i in range(64) if rule(i) == j) for j in range(n)] for rule in rules]
 
 
@@ -218,11 +218,13 @@ def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     rows = materialize(fingerprints(documents, words), "fingerprints")
-    codes = materialize(rows.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
+    codes = materialize(rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "codes")
     links = connected_components(stars(keyed(codes.select("code"), distance), distance))
-    rooted = codes.join(links, codes.code == links.vertex, "left").select("code", "least", F.coalesce("root", "code").alias("root"))
+    rooted = codes.join(links, codes.code == links.vertex, "left").select("code", "least", "copies", F.coalesce("root", "code").alias("root"))
     rooted = materialize(rooted, "roots")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("code", "component_id")
+    total = rooted.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    # a component of many codes, and a code of many rows, is a hot key of its join
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = materialize(attach(rooted.select("code", "copies", "root"), smallest, "root", "n", total["codes"]).select("code", "component_id", "copies"), "named")
     digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
-    return rows.join(named, "code").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return attach(rows, named, "code", "copies", total["rows"]).select("doc_id", digits.alias("fingerprint"), "component_id")
