@@ -12,6 +12,7 @@ texts have equal sketches, extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,17 +139,18 @@ def _compare(doc_id: int | None, text: str, own: np.ndarray, following: str, nex
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-#: Ranges of ids for each shuffle partition; several make partitions even.
+#: Ranges of ids for each shuffle partition at least; several make partitions even. Rows of a range at most, about.
 RANGES = 4
-#: Stands for a missing id, after all others.
-_NO_ID = -(1 << 63)
+RANGE_ROWS = 4000
+#: Stands for a missing id, after all others; its negative is a number as well.
+_NO_ID = -(1 << 63) + 1
 
 
-def _range_heads(documents: DataFrame, n: int) -> np.ndarray:
-    """Largest id of each of at most n ranges of about equal size, descending: n numbers, from the ids alone."""
-    ids = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"))
-    parts = ids.repartitionByRange(n, F.col("id").desc()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("head"))
-    return np.array(sorted((r["head"] for r in parts.select("head").collect()), reverse=True), np.int64)
+def _range_heads(placed: DataFrame, n: int) -> list[tuple[int, int]]:
+    """First row of each of at most n ranges of about equal size, as (-id, hash), ascending: n pairs, from ids and hashes alone."""
+    ids = placed.select((-F.greatest("doc_id", F.lit(_NO_ID))).alias("id"), "h")
+    parts = ids.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "h")).alias("head"))
+    return sorted({(r["id"], r["h"]) for r in parts.select("head.*").collect()})
 
 
 def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
@@ -156,28 +158,31 @@ def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> D
 
     Ids are cut into ranges, and each range's documents are sorted in one task; the first document of a range is
     also sent to the range before it, as the successor of its last one. Texts travel once, compressed. Null ids
-    come last in the order; rows with one doc_id are ordered by their compressed texts.
+    come last in the order; rows with one doc_id are ordered by a hash of their texts, so that they too are cut into ranges.
     """
     spark = documents.sparkSession
     prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    heads = spark.sparkContext.broadcast(_range_heads(documents, RANGES * n))  # a number for each range
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    placed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // RANGE_ROWS))
+    n = -(-ranges // RANGES)
+    heads = spark.sparkContext.broadcast(_range_heads(placed, ranges))  # a pair of numbers for each range
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        rising, count = heads.value[::-1], len(heads.value)
+        count = len(heads.value)
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy()
+            ids, hashes = (-np.maximum(batch.column(0).fill_null(_NO_ID).to_numpy(), _NO_ID)).tolist(), batch.column(2).to_pylist()
             # ranges are numbered from the largest ids on
-            own = count - 1 - np.searchsorted(rising, ids, side="left")
-            first = heads.value[own] == ids
+            own = np.array([bisect_right(heads.value, x) - 1 for x in zip(ids, hashes)], np.int64)
+            first = np.array([heads.value[r] == x for r, x in zip(own, zip(ids, hashes))], bool)
             z = [zstandard.ZstdCompressor(level=3).compress(x) for x in as_bytes(batch.column(1))]
             at = np.concatenate([np.arange(len(ids)), np.flatnonzero(first)])
             guest = np.arange(len(at)) >= len(ids)
             range_ = np.where(guest, (own[at] - 1) % count, own[at])
-            columns = [pa.array(range_, pa.int64()), pa.array(guest), batch.column(0).take(pa.array(at)), pa.array([z[i] for i in at], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["range", "guest", "doc_id", "z"])
+            columns = [pa.array(range_, pa.int64()), pa.array(guest), *(batch.column(c).take(pa.array(at)) for c in (0, 2)), pa.array([z[i] for i in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "guest", "doc_id", "h", "z"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -185,7 +190,7 @@ def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> D
         range_, held, met = None, None, False
         for batch in batches:
             rows = []
-            for now, guest, doc_id, z in zip(*(c.to_pylist() for c in batch.columns)):
+            for now, guest, doc_id, _, z in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != range_:
                     range_, held, met = now, None, False
                 if guest and met:
@@ -198,7 +203,5 @@ def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> D
                 held = (doc_id, text, own)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], _NAMES)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    dealt = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(deal, "range bigint, guest boolean, doc_id bigint, z binary")
-    placed = dealt.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "z")
-    return placed.mapInArrow(compare, _RESULT)
+    dealt = placed.mapInArrow(deal, "range bigint, guest boolean, doc_id bigint, h bigint, z binary")
+    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "h", "z").mapInArrow(compare, _RESULT)
