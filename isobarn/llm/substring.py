@@ -8,7 +8,7 @@ about one row for ten words. Occurrences are counted by grouping on hashes with
 returns to its document, which needs no join on a hot hash. Equal texts are found the same way, and one of
 them stands for all at the last level. The last level's hashes have 96 bits, so windows are told apart at any size.
 
-Texts travel compressed. Rows are told apart by a hash of id and text.
+Texts travel compressed. Rows are told apart by 96 bits of hashes of id and text.
 
 Defined results: null text has no words; texts shorter than the window keep all words; repeated rows are copies of
 each other; an empty table gives an empty result; extra columns are ignored.
@@ -119,21 +119,22 @@ def _restore(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-_HITS = "h1 bigint, h2 bigint, key bigint, pos int, n int"
+_HITS = "h1 bigint, h2 bigint, key bigint, low int, pos int, n int"
 
 
-def _hits(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    """A batch of (key, positions, first hashes, second hashes, weight)."""
+def _hits(rows: list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """A batch of ((key, low), positions, first hashes, second hashes, weight)."""
     join = lambda i, kind: np.concatenate([x[i] for x in rows]).astype(kind) if rows else np.zeros(0, kind)
     sizes = [len(x[1]) for x in rows]
     columns = [
         join(2, np.uint64).view(np.int64),
         join(3, np.uint64).view(np.int64),
-        np.repeat(np.array([x[0] for x in rows], np.int64), sizes),
+        np.repeat(np.array([x[0][0] for x in rows], np.int64), sizes),
+        np.repeat(np.array([x[0][1] for x in rows], np.int32), sizes),
         join(1, np.int32),
         np.repeat(np.array([x[4] for x in rows], np.int32), sizes),
     ]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "key", "pos", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "key", "low", "pos", "n"])
 
 
 def _first_level(source: DataFrame, window: int, length: int) -> DataFrame:
@@ -142,7 +143,7 @@ def _first_level(source: DataFrame, window: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for *key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 digest = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), "<u8")
                 rows.append((key, np.array([ALONE]), digest[:1], digest[1:], 1))
                 words = text.split()
@@ -152,7 +153,7 @@ def _first_level(source: DataFrame, window: int, length: int) -> DataFrame:
                     rows.append((key, at, own, np.full(len(at), length, np.uint64), 1))
             yield _hits(rows)
 
-    return source.select("key", "text").mapInArrow(run, _HITS)
+    return source.select("key", "low", "text").mapInArrow(run, _HITS)
 
 
 def _next_level(table: DataFrame, window: int, length: int, earlier: list[int]) -> DataFrame:
@@ -167,11 +168,11 @@ def _next_level(table: DataFrame, window: int, length: int, earlier: list[int])
                 weight = 2 if x["first_copy"] else 1
                 if length < window:
                     at, own = representatives(hashes, window, length, keep)
-                    rows.append((x["key"], at, own, np.full(len(at), length, np.uint64), weight))
+                    rows.append(((x["key"], x["low"]), at, own, np.full(len(at), length, np.uint64), weight))
                 else:
                     at = np.flatnonzero(keep)
                     second = window_hashes(hashes, window, 0xC2B2AE3D27D4EB4F) & np.uint64(0xFFFFFFFF)
-                    rows.append((x["key"], at, window_hashes(hashes, window)[at], second[at], weight))
+                    rows.append(((x["key"], x["low"]), at, window_hashes(hashes, window)[at], second[at], weight))
             yield _hits(rows)
 
     return table.mapInArrow(run, _HITS)
@@ -183,10 +184,10 @@ def _single(row: dict, earlier: list[int]) -> dict[int, np.ndarray]:
 
 def _once(hits: DataFrame, name: str) -> DataFrame:
     """Positions that occur once, by document; texts equal to others leave one mark, at their smallest key."""
-    counted = hits.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
+    counted = hits.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("key", "low")).alias("row"), F.min("pos").alias("pos"))
     kept = counted.where((F.col("n") == 1) | (F.col("pos") == ALONE))
     mark = F.when(F.col("n") > 1, F.lit(FIRST_COPY)).otherwise(F.col("pos"))
-    return kept.select("key", mark.alias("pos")).groupBy("key").agg(F.collect_list("pos").alias(name))
+    return kept.select("row.key", "row.low", mark.alias("pos")).groupBy("key", "low").agg(F.collect_list("pos").alias(name))
 
 
 def _digest(words: list[bytes]) -> str:
@@ -195,9 +196,9 @@ def _digest(words: list[bytes]) -> str:
 
 def _settle(joined: DataFrame, window: int, earlier: list[int], fresh: bool, last: bool) -> DataFrame:
     """Close the documents whose result is known: n_removed and kept are set, and the text is dropped."""
-    schema = "key bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string, first_copy boolean, z binary"
-    names = ["key", "doc_id", "n_words", "n_removed", "kept", "first_copy", "z", *(f"once{x}" for x in earlier)]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), *[pa.list_(pa.int32())] * len(earlier)]
+    schema = "key bigint, low int, doc_id bigint, n_words bigint, n_removed bigint, kept string, first_copy boolean, z binary"
+    names = ["key", "low", "doc_id", "n_words", "n_removed", "kept", "first_copy", "z", *(f"once{x}" for x in earlier)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), *[pa.list_(pa.int32())] * len(earlier)]
     before = earlier[:-1] if last else earlier
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +210,11 @@ def _settle(joined: DataFrame, window: int, earlier: list[int], fresh: bool, las
                 first_copy = x.get("first_copy") or FIRST_COPY in marks
                 for length in earlier:
                     x[f"once{length}"] = [p for p in x[f"once{length}"] or [] if p >= 0]
-                row = [x["key"], x["doc_id"], len(words), None, None, first_copy, None, *[None] * len(earlier)]
+                row = [x["key"], x["low"], x["doc_id"], len(words), None, None, first_copy, None, *[None] * len(earlier)]
                 copied = fresh and not marks  # another row stands for this text
                 if copied or len(words) < window:
                     gone = len(words) if len(words) >= window else 0
-                    row[3:5] = gone, _digest([] if gone else words)
+                    row[4:6] = gone, _digest([] if gone else words)
                 else:
                     hashes = word_hashes(words)
                     keep = alive(hashes, window, _single(x, before))
@@ -224,9 +225,9 @@ def _settle(joined: DataFrame, window: int, earlier: list[int], fresh: bool, las
                         ends[:-1][np.flatnonzero(keep)] += 1
                         np.subtract.at(ends, np.flatnonzero(keep) + window, 1)
                         covered = np.cumsum(ends)[:-1] > 0
-                        row[3:5] = int(covered.sum()), _digest([w for w, c in zip(words, covered.tolist()) if not c])
+                        row[4:6] = int(covered.sum()), _digest([w for w, c in zip(words, covered.tolist()) if not c])
                     else:
-                        row[6:] = x["z"], *(x[f"once{length}"] for length in earlier)
+                        row[7:] = x["z"], *(x[f"once{length}"] for length in earlier)
                 out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
 
@@ -236,23 +237,23 @@ def _settle(joined: DataFrame, window: int, earlier: list[int], fresh: bool, las
 def _packed(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [_compress(x) for x in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["key", "doc_id", "z"])
+            z = [_compress(x) for x in as_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], ["key", "low", "doc_id", "z"])
 
-    return source.select("key", "doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, z binary")
+    return source.select("key", "low", "doc_id", "text").mapInArrow(run, "key bigint, low int, doc_id bigint, z binary")
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     prepare(documents.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.hash(text, "doc_id").alias("low"))
     climbed, closed = levels(window, first), []
     open_ = _packed(source)
     for i, length in enumerate(climbed):
         last = length == window
         hits = _next_level(open_, window, length, climbed[:i]) if i else _first_level(source, window, length)
-        joined = open_.join(_once(hits, f"once{length}"), "key", "left")
+        joined = open_.join(_once(hits, f"once{length}"), ["key", "low"], "left")
         settled = materialize(_settle(joined, window, climbed[: i + 1], i == 0, last and i > 0), f"repeats{length}")
         closed.append(settled.where("z IS NULL"))
         open_ = settled.where("z IS NOT NULL").drop("n_words", "n_removed", "kept")
