@@ -62,15 +62,26 @@ LAYOUTS = [
     {"paths": {"id", "system", "prompt", "response"}, "id": "id", "turns": "concat(array(struct('system' AS role, system AS text)), " + _pair("prompt", "response") + ")"},
 ]
 MAPPINGS = {fingerprint(x["paths"]): x for x in LAYOUTS}
+MAPPINGS_PATHS = [x["paths"] for x in LAYOUTS]
+
+
+#: Paths that any layout knows; others don't count for the fingerprint.
+KNOWN = set().union(*MAPPINGS_PATHS)
 
 
 def layout(table: DataFrame) -> dict:
-    """The mapping whose paths have the table's hash; among several, the one with the most paths."""
+    """The mapping that the hash of the table's known paths selects.
+
+    Where no mapping has that hash, since further columns bear names that other layouts know, the largest layout that the
+    table holds whole is taken.
+    """
     own = set(paths(table.schema))
-    found = [x for code, x in MAPPINGS.items() if fingerprint(own & x["paths"]) == code]
-    if not found:
+    if found := MAPPINGS.get(fingerprint(own & KNOWN)):
+        return found
+    held = [x for x in LAYOUTS if x["paths"] <= own]
+    if not held:
         raise ValueError(f"no mapping for a table with the paths {sorted(own)}")
-    return max(found, key=lambda x: len(x["paths"]))
+    return max(held, key=lambda x: len(x["paths"]))
 
 
 def canonical(table: DataFrame) -> DataFrame:
@@ -84,6 +95,41 @@ def canonical(table: DataFrame) -> DataFrame:
     return table.select(F.col(own["id"]).alias("conv_id"), F.expr(f"cast({turns} AS {TURNS})").alias("turns"))
 
 
+#: Types of the top fields that layouts know, for records that come as JSON.
+_FIELDS = {"messages": "array<struct<role:string,content:string>>", "conversations": "array<struct<from:string,value:string>>"}
+
+
+def canonical_records(records: DataFrame, column: str = "record") -> DataFrame:
+    """conv_id (as string), turns and layout of JSON records of mixed layouts, each mapped by its own fingerprint.
+
+    A record's fingerprint is the hash of the nested paths of its known fields, computed for each row; it selects one of
+    the mappings of whole conversations. conv_id is null and turns are empty, and layout is null, where none fits. Turns as
+    rows have no place in a record.
+    """
+    whole = [x for x in LAYOUTS if not x.get("rows")]
+    tops = sorted({p.split(".")[0].removesuffix("[]") for x in whole for p in x["paths"]})
+    shape = lambda t: f"regexp_replace(schema_of_variant(variant_get(v, '$.{t}')), ': (?!ARRAY|OBJECT)[A-Z]+([(][0-9,]*[)])?', '')"
+
+    def told(x: dict) -> str:
+        """The same shape, from the paths of a layout."""
+        inner: dict[str, list[str]] = {}
+        for p in x["paths"]:
+            top, _, rest = p.partition(".")
+            inner.setdefault(top.removesuffix("[]"), []).extend([rest] if rest else [])
+        return ";".join(f"{t}=" + (f"ARRAY<OBJECT<{', '.join(sorted(inner[t]))}>>" if inner[t] else "") for t in sorted(inner))
+
+    parts = ", ".join(f"if(variant_get(v, '$.{t}') IS NULL, NULL, concat('{t}=', {shape(t) if t in _FIELDS else repr('')}))" for t in tops)
+    code = F.expr(f"sha2(array_join(array_compact(array({parts})), ';'), 256)")
+    fields = [F.expr(f"try_variant_get(v, '$.{t}', '{_FIELDS.get(t, 'string')}')").alias(t) for t in tops]
+    rows = records.select(F.expr(f"try_parse_json(`{column}`)").alias("v")).select(code.alias("code"), *fields)
+    turns, conv, name = F.expr(f"cast(array() AS {TURNS})"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    for i, x in enumerate(whole):
+        same = F.col("code") == hashlib.sha256(told(x).encode()).hexdigest()
+        turns = F.when(same, F.expr(f"cast(transform({x['turns']}, t -> struct(coalesce(t.role, '') AS role, coalesce(t.text, '') AS text)) AS {TURNS})")).otherwise(turns)
+        conv, name = F.when(same, F.col(x["id"])).otherwise(conv), F.when(same, F.lit(i)).otherwise(name)
+    return rows.select(conv.alias("conv_id"), turns.alias("turns"), name.alias("layout"))
+
+
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("%"), F.lit("%25"))
     for mark in CONTROL:

@@ -40,7 +40,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.personal_spans(documents, pii.selector(documents))
-    counts = [F.expr(f"bigint(size(filter(_found.base, s -> s.kind = {i})))").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    counts = [F.expr(f"bigint(size(filter(_found.base, s -> s.kind = {i})))").alias(f"n_{kind}") for i, kind in enumerate(pii.BASE_KINDS)]
     base = F.sha2(pii.spans_text("_found.base"), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii.spans_text("_found.spans").alias("spans"))
 
@@ -58,7 +58,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     fixed = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", fixed), (-1, 1, "assistant", fixed)], rows.schema)
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    more = spark.sql(f"SELECT cast(a AS {kinds[0]}) AS conv_id, cast(b AS {kinds[1]}) AS turn, cast(c AS {kinds[2]}) AS role, cast(d AS {kinds[3]}) AS text FROM VALUES (-1, 0, 'user', '{fixed}'), (-1, 1, 'assistant', '{fixed}') AS f(a, b, c, d)")
     found = chat.read_back(chat.formatted(chat.canonical(rows.unionByName(more))))
     turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return found.select(
