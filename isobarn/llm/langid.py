@@ -28,6 +28,8 @@ DOCUMENT = 300
 #: Parts in which a language's n-grams are ranked before the parts' best are ranked together.
 PARTS = 64
 UNKNOWN = "und"
+#: Different n-grams of a task's languages beyond which their counts are handed on.
+HELD = 1_000_000
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
@@ -102,6 +104,10 @@ def learned(documents: DataFrame) -> Profiles:
     """Profiles from all rows with text, language and id that are not held out."""
     prepare(documents.sparkSession)
 
+    def handed(sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (codes, counts) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -116,8 +122,10 @@ def learned(documents: DataFrame) -> Profiles:
                     codes, where = np.unique(both, return_inverse=True)
                     counts = np.bincount(where, weight, len(codes)).astype(np.int64)
                 sums[lang] = codes, counts
-        for lang, (codes, counts) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            if sum(len(codes) for codes, _ in sums.values()) > HELD:
+                yield from handed(sums)
+                sums = {}
+        yield from handed(sums)
 
     rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
