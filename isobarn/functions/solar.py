@@ -20,6 +20,7 @@ LOW_SUN = 5 / SOLAR_CONSTANT
 #: Degrees of the sun below the horizon at rise and set.
 HORIZON = 0.83333
 YEAR = 31_557_600
+MOST_KNOTS = 100_000
 
 
 def epoch(time: Column) -> Column:
@@ -248,9 +249,12 @@ def build_ephemeris(spark, start: str, stop: str, step_days: int = 20) -> DataFr
 def attach_ephemeris(df: DataFrame, ephemeris: DataFrame, time: str) -> DataFrame:
     """Add sun_declination and sun_equation_of_time by a cubic through four knots; the table repeats as a ring.
 
-    Knots are numbered and joined by number; a century of them is some 1,800 rows, so the side is broadcast.
+    Knots are numbered and joined by number; a century of them is some 1,800 rows, so the side is broadcast. A table of over
+    MOST_KNOTS is an error.
     """
     bounds = ephemeris.agg(F.min(epoch(F.col("knot_time"))).alias("first"), F.max(epoch(F.col("knot_time"))).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if bounds["n"] > MOST_KNOTS:
+        raise ValueError(f"an ephemeris of over {MOST_KNOTS:,} knots")
     step = (bounds["last"] - bounds["first"]) / max(1, bounds["n"] - 1)
     number = F.round((epoch(F.col("knot_time")) - bounds["first"]) / step).cast("long")
     names = {"sun_declination": "declination_deg", "sun_equation_of_time": "equation_of_time_min"}

@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobarn.operators.series import keys, ordered
+from isobarn.operators.series import bounded, keys, ordered
 
 #: Steps before a gap in which the lower model fades in.
 FADE = 3
+#: Degrees of a routing tile, and how many tiles may be broadcast.
+TILE = 10
+MOST_TILES = 200_000
 
 
 def fill_from_lower_priority(high: DataFrame, low: DataFrame, smooth: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
@@ -57,12 +60,15 @@ def rank_models(df: DataFrame, rank: str, by: list[str], value: str = "value") -
 def route_models(places: DataFrame, regions: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """key, domain, priority: the models of the first region that holds the place.
 
-    regions: south, north, west, east, rank, domains (array). A routing table has tens of rows and is broadcast.
+    regions: south, north, west, east, rank, domains (array). Regions and places are joined by tiles of TILE degrees, so a
+    place meets the regions of its tile only; the tiles of a routing table of tens of regions are broadcast.
     """
-    if regions.count() > 10_000:
-        raise ValueError("a routing table of over 10,000 regions")
+    tile = lambda c: F.floor(c / TILE)
+    over = lambda a, b: F.explode(F.sequence(tile(F.col(a)), tile(F.col(b))))
+    tiles = regions.where("south <= north AND west <= east").withColumn("_y", over("south", "north")).withColumn("_x", over("west", "east"))
     inside = (F.col(lat) >= F.col("south")) & (F.col(lat) <= F.col("north")) & (F.col(lon) >= F.col("west")) & (F.col(lon) < F.col("east"))
-    best = places.join(F.broadcast(regions), inside).groupBy(key).agg(F.min_by("domains", "rank").alias("domains"))
+    keyed = places.withColumns({"_y": tile(F.col(lat)), "_x": tile(F.col(lon))})
+    best = keyed.join(bounded(tiles, MOST_TILES, "a table of routing tiles"), ["_y", "_x"]).where(inside).groupBy(key).agg(F.min_by("domains", "rank").alias("domains"))
     return best.select(key, F.posexplode("domains").alias("priority", "domain"))
 
 

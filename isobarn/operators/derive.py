@@ -9,10 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobarn.functions import air, codes, meteo
+from isobarn.operators.series import bounded
+
+
+# fixed value: factor of radiation in the archives of one provider
+ARCHIVE_RADIATION = 10_000_000 / (3600 * 3600)
 
 
 @dataclass(frozen=True)
@@ -24,11 +29,14 @@ class Rule:
 
 
 RULES: dict[str, list[Rule]] = {}
+#: Rules that a dataset prefers to the general ones.
+DATASET_RULES: dict[str, dict[str, list[Rule]]] = {}
 
 
-def register_rule(output: str, inputs: list[str], expression: Callable[..., Column], unit: str = "") -> None:
-    """Add a rule; later rules for an output are tried after earlier ones."""
-    RULES.setdefault(output, []).append(Rule(output, tuple(inputs), expression, unit))
+def register_rule(output: str, inputs: list[str], expression: Callable[..., Column], unit: str = "", dataset: str | None = None) -> None:
+    """Add a rule; later rules for an output are tried after earlier ones, those of a dataset before all general ones."""
+    table = RULES if dataset is None else DATASET_RULES.setdefault(dataset, {})
+    table.setdefault(output, []).append(Rule(output, tuple(inputs), expression, unit))
 
 
 def _same(x: Column) -> Column:
@@ -111,19 +119,38 @@ def _register_all() -> None:
         # currents and waves are named by where they go
         r(f"{name}_direction", [f"{name}_u", f"{name}_v"], lambda u, v: meteo.wind_direction(-u, -v), "°")
     r("growing_degree_days_base_0_limit_50", ["temperature_2m"], meteo.growing_degree, "")
+    # daily climate data have extremes and means in place of hours
+    d = "daily_climate"
+    extremes = ["temperature_2m_max", "temperature_2m_min"]
+    r("dew_point_2m_mean", [*extremes, "relative_humidity_2m_mean"], meteo.dew_point_daily, "°C", d)
+    r("vapour_pressure_deficit_max", [*extremes, "relative_humidity_2m_mean"], lambda a, b, h: meteo.vapour_pressure_deficit_daily(a, b, rh_mean=h), "kPa", d)
+    r("leaf_wetness_probability_mean", [*extremes, "relative_humidity_2m_mean", "precipitation_sum"], meteo.leaf_wetness_daily, "%", d)
+    r("growing_degree_days_base_0_limit_50", extremes, lambda a, b: meteo.growing_degree((a + b) / 2) * 24, "", d)
+    r("snowfall_sum", ["snowfall_water_equivalent_sum"], meteo.snowfall, "cm", d)
+    r("rain_sum", ["precipitation_sum", "snowfall_water_equivalent_sum"], meteo.rain, "mm", d)
+    for x in ("soil_moisture", "soil_temperature"):
+        r(f"{x}_0_to_100cm_mean", [f"{x}_0_to_7cm_mean", f"{x}_7_to_28cm_mean", f"{x}_28_to_100cm_mean"], meteo.soil_0_to_100cm, "", d)
+        r(f"{x}_0_to_100cm_mean", [f"{x}_0_to_10cm_mean"], _same, "", d)
+    # reanalysis has radiation as direct and global; its gusts and winds at 100 m only stand in for others
+    r("wind_speed_80m", ["wind_u_component_100m", "wind_v_component_100m"], lambda u, v: meteo.wind_at_height(meteo.wind_speed(u, v), 100, 80), "m/s", "reanalysis")
+    r("rain", ["precipitation", "snowfall_water_equivalent"], meteo.rain, "mm", "reanalysis")
+    r("weather_code", ["cloud_cover", "precipitation", "snowfall"], codes.weather_code, "wmo code", "reanalysis")
+    # humidity of open pressure-level data comes from specific humidity
+    for p in (1000, 925, 850, 700, 500, 300, 250, 200, 50):
+        r(f"relative_humidity_{p}hPa", [f"specific_humidity_{p}hPa", f"temperature_{p}hPa"], lambda q, t, p=p: meteo.humidity_from_specific(q, t, F.lit(float(p))), "%", "pressure_levels")
 
 
 _register_all()
 
 
-def resolve(output: str, columns: set[str], _open: frozenset[str] = frozenset()) -> Column | None:
+def resolve(output: str, columns: set[str], _open: frozenset[str] = frozenset(), dataset: str | None = None) -> Column | None:
     """The output as an expression over the columns, by the first rule that can be met; None if there is none."""
     if output in columns:
         return F.col(output)
     if output in _open:
         return None
-    for rule in RULES.get(output, []):
-        inputs = [resolve(i, columns, _open | {output}) for i in rule.inputs]
+    for rule in [*DATASET_RULES.get(dataset or "", {}).get(output, []), *RULES.get(output, [])]:
+        inputs = [resolve(i, columns, _open | {output}, dataset) for i in rule.inputs]
         if all(i is not None for i in inputs):
             return rule.expression(*inputs)
     return None
@@ -140,10 +167,10 @@ def inputs_of(outputs: list[str]) -> set[str]:
     return found
 
 
-def derive(df: DataFrame, outputs: list[str]) -> DataFrame:
-    """Add the outputs. An output that no rule can give is an error that names it."""
+def derive(df: DataFrame, outputs: list[str], dataset: str | None = None) -> DataFrame:
+    """Add the outputs, a dataset's own rules first. An output that no rule can give is an error that names it."""
     columns = set(df.columns)
-    found = {o: resolve(o, columns) for o in outputs}
+    found = {o: resolve(o, columns, dataset=dataset) for o in outputs}
     if missing := [o for o, x in found.items() if x is None]:
         raise ValueError(f"no rule gives {missing} from {sorted(columns)}")
     return df.withColumns({o: x for o, x in found.items() if o not in columns})
@@ -157,17 +184,39 @@ def phase_corrected(df: DataFrame, temperature: str, model_height: str, height:
     return df.withColumns({snow: F.when(far, fixed).otherwise(F.col(snow)), code: F.when(far, codes.cut_code_at_freezing(F.col(code), F.col(temperature))).otherwise(F.col(code))})
 
 
-def scale_fixes(df: DataFrame, fixes: dict[tuple[str, str], float]) -> DataFrame:
+# fixed values: factors by domain and variable of stored data; showers are 0 where a domain has none but precipitation
+SCALE_FIXES = {(domain, "shortwave_radiation"): ARCHIVE_RADIATION for domain in ("meteofrance_arome_france0025", "meteofrance_arome_france_hd", "meteofrance_arome_france0025_15min", "meteofrance_arome_france_hd_15min", "meteofrance_arpege_europe", "meteofrance_arpege_world025")} | {
+    (domain, f"geopotential_height_{level}hPa"): 9.80665 for domain in ("jma_gsm", "jma_msm_upper_level") for level in (1000, 925, 850, 700, 600, 500, 400, 300, 250, 200, 150, 100, 70, 50)
+}
+NO_SHOWERS = ["ncep_gfs025", "ncep_nam_conus", "ncep_gefs025", "ncep_gefs05", "ncep_gefs025_ensemble_mean", "ncep_gefs05_ensemble_mean", "ncep_hrrr_conus", "ncep_hrrr_conus_15min", "ncep_nbm_conus"]
+# fixed values: weather codes of the symbols 1 to 32 of one provider
+SYMBOLS = [0, 1, 2, 3, 3, 45, 45, 61, 63, 65, 66, 66, 66, 71, 73, 75, 81, 81, 82, 85, 85, 85, 85, 85, 86, 95, 95, 95, 96, 99, 96, 99]
+
+
+def zero_showers(series: DataFrame, domains: list[str] | None = None) -> DataFrame:
+    """Adds showers of 0 to the precipitation of domains that store none."""
+    own = series.where(F.col("domain").isin(domains or NO_SHOWERS) & (F.col("variable") == "precipitation"))
+    return series.unionByName(own.withColumns({"variable": F.lit("showers"), "value": F.col("value") * 0}))
+
+
+def scale_fixes(df: DataFrame, fixes: dict[tuple[str, str], float] | None = None) -> DataFrame:
     """Multiply values by (domain, variable): a dataset's corrections as data."""
+    fixes = SCALE_FIXES if fixes is None else fixes
     factor = F.lit(1.0)
     for (domain, variable), f in fixes.items():
         factor = F.when((F.col("domain") == domain) & (F.col("variable") == variable), F.lit(f)).otherwise(factor)
     return df.withColumn("value", F.col("value") * factor)
 
 
-def symbol_to_code(df: DataFrame, table: DataFrame, symbol: str = "symbol") -> DataFrame:
-    """A provider's weather symbols by a lookup table of (symbol, weather_code)."""
-    return df.join(F.broadcast(table.limit(10_000)), symbol, "left")
+def symbol_table(spark: SparkSession) -> DataFrame:
+    """(symbol, weather_code) of SYMBOLS."""
+    return spark.createDataFrame(list(enumerate(SYMBOLS, 1)), "symbol int, weather_code int")
+
+
+def symbol_to_code(df: DataFrame, table: DataFrame | None = None, symbol: str = "symbol") -> DataFrame:
+    """A provider's weather symbols by a lookup table of (symbol, weather_code); unknown ones are null."""
+    table = symbol_table(df.sparkSession) if table is None else table
+    return df.join(bounded(table, 10_000, "a table of symbols"), symbol, "left")
 
 
 def model_height(sea_level: Column, surface: Column, temperature: Column, landmask: Column) -> Column:

@@ -73,8 +73,9 @@ def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, G
     return out
 
 
-def elevation(places: DataFrame, heights: DataFrame) -> DataFrame:
-    return read_elevation(places, heights)
+def elevation(places: DataFrame, heights: DataFrame, rows_per_degree: int = 1200) -> DataFrame:
+    """Heights of places."""
+    return read_elevation(places, heights, rows_per_degree)
 
 
 def flood(members: DataFrame, key: str = "place_id", statistics: bool = True) -> DataFrame:

@@ -6,13 +6,16 @@ All take the long table and fill `value`; positions are row numbers in time orde
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT, cubic
 from isobarn.operators.series import keys, ordered
-from isobarn.session import ship_package
+
+#: Spacings (in steps) at which cubic filling looks for filled or odd neighbours; equal spacings have no limit.
+ODD_SPACING = 24
+#: Hours without a value that solar filling bridges.
+SOLAR_HOURS = 12
 
 
 def _with_neighbours(df: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
@@ -69,113 +72,139 @@ def fill_backwards(df: DataFrame, summation: bool = False, by: list[str] | None
     return _drop(df.withColumn(value, F.coalesce(out, F.col(value))).drop("_n"))
 
 
-def hermite_filled(values: np.ndarray, bounds: tuple[float, float] | None = None) -> np.ndarray:
-    """One series filled by cubics through four points at the spacing of the next two valid values.
-
-    Where there is no value at that spacing before a gap, the last one before it is taken.
-    """
-    out = values.astype(float).copy()
-    width, t = 0, 0
-    while t < len(out):
-        if not np.isnan(out[t]):
-            t += 1
-            continue
-        ahead = np.flatnonzero(~np.isnan(out[t:]))[:2] + t
-        if not len(ahead):
-            break
-        stop = int(ahead[0])
-        if len(ahead) == 2:
-            width = int(ahead[1]) - stop
-        begin = max(stop - width, 0)
-        if np.isnan(out[begin]) and t > 0:
-            begin = t - 1
-        before = begin - width if begin >= width and not np.isnan(out[begin - width]) else begin
-        four = [out[before], out[begin], out[stop], out[ahead[-1]]]
-        at = np.arange(t, stop)
-        f = (at - begin) / max(stop - begin, 1)
-        cubic = four[1] + f * ((four[2] - four[0]) / 2 + f * (four[0] - 2.5 * four[1] + 2 * four[2] - four[3] / 2 + f * ((four[3] - four[0]) / 2 + 1.5 * (four[1] - four[2]))))
-        out[at] = np.clip(cubic, *bounds) if bounds else cubic
-        t = stop + 1
+def _at_offset(columns: Column, steps: Column, most: int, window, ahead: bool = False) -> Column:
+    """A column some rows before (or after) the row, where the number of rows is a column too, of at most `most`."""
+    shift = F.lead if ahead else F.lag
+    out = F.lit(None)
+    for n in range(most, 0, -1):
+        out = F.when(steps == n, shift(columns, n).over(window)).otherwise(out)
     return out
 
 
-def _per_series(df: DataFrame, kernel, by: list[str], time: str, value: str, other: list[str]) -> DataFrame:
-    """Apply a kernel to each series; the series are independent and run in parallel."""
-
-    ship_package(df.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        filled = kernel(*(pdf[c].to_numpy(float, na_value=np.nan) for c in [value, *other]))
-        return pdf.assign(**{value: pd.array(np.where(np.isnan(filled), None, filled), dtype="Float64")})
-
-    return df.groupBy(*by).applyInPandas(run, df.schema)
-
-
 def fill_hermite(df: DataFrame, bounds: tuple[float, float] | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """By cubics; each step may build on values filled before, so a series is walked in order."""
-    return _per_series(df, lambda v: hermite_filled(v, bounds), keys(df, by), time, value, [])
-
-
-def solar_filled(values: np.ndarray, potential: np.ndarray, mean_preserving: bool = True, low: float = 5.0) -> np.ndarray:
-    """One series of radiation filled by the clearness, interpolated by a cubic between gap centres.
+    """By a cubic through the end of the gap (c), the valid value after it (d), and two points before it (b and a) as far
+    from each other as d from c.
 
-    A value after a gap is the mean over the gap and itself if mean_preserving; the steps then share it in
-    proportion to clearness times potential radiation, so that their mean is the value. Without light all are 0.
+    Where b or a is no valid value, spacings of up to ODD_SPACING steps take what the first pass filled there; else the last
+    two valid values before the gap are b and a. A missing a is b. Without a d the spacing is the gap's own and d is c. Gaps at
+    either end stay. Two passes of windows over one shuffle.
+    """
+    by = keys(df, by)
+    w = ordered(by, time)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*by).orderBy(F.col(time).desc())
+    df = _with_neighbours(df, by, time, value)
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_i").alias("i")))
+    df = df.withColumns({"_n": F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "_p": F.last(here, True).over(before)})
+    valid = F.col(value).isNotNull()
+    # of a valid row: what its gap needs; a row of the gap finds it by its next valid row
+    spacing = F.coalesce(F.col("_n.i") - F.col("_i"), F.col("_i") - F.col("_p.i"))
+    df = df.withColumns({"_w": spacing, "_pp": F.last(F.when(valid, F.col("_p")), True).over(before), "_first": F.first(value).over(w)})
+    for _ in range(2):
+        known = F.coalesce(F.col(value), F.col("_x")) if "_x" in df.columns else F.col(value)
+        twice = F.least(F.col("_w"), F.lit(ODD_SPACING + 1))
+        df = df.withColumns({"_k": known, "_bi": F.greatest(F.col("_i") - F.col("_w"), F.lit(0))})
+        b = F.when(F.col("_bi") == F.col("_p.i"), F.col("_p.v")).when(F.col("_i") < F.col("_w"), F.first("_k").over(w)).otherwise(_at_offset(F.col("_k"), twice, ODD_SPACING, w))
+        ai = F.col("_bi") - F.col("_w")
+        a = F.when((F.col("_bi") == F.col("_p.i")) & (ai == F.col("_pp.i")), F.col("_pp.v"))
+        for n in range(1, ODD_SPACING + 1):
+            a = a.when(twice == n, F.lag("_k", 2 * n).over(w))
+        df = df.withColumns({"_b": b, "_a": F.when(ai < 0, F.lit(None)).otherwise(a), "_alone": ai < 0})
+        last = "_x" in df.columns
+        point = F.when(F.col("_b").isNull() & F.lit(last), F.struct(F.col("_p.v").alias("b"), F.col("_p.i").alias("at"), F.coalesce("_pp.v", "_p.v").alias("a")))
+        enough = F.col("_b").isNotNull() & (F.col("_a").isNotNull() | F.col("_alone") | F.lit(last))
+        point = point.when(enough, F.struct(F.col("_b").alias("b"), F.col("_bi").alias("at"), F.coalesce("_a", "_b").alias("a")))
+        end = F.when(valid, F.struct(point.alias("p"), F.col(value).alias("c"), F.coalesce(F.col("_n.v"), F.col(value)).alias("d"), F.col("_i").alias("at")))
+        df = df.withColumn("_e", F.last(end, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+        f = (F.col("_i") - F.col("_e.p.at")) / (F.col("_e.at") - F.col("_e.p.at"))
+        x = cubic(F.col("_e.p.a"), F.col("_e.p.b"), F.col("_e.c"), F.col("_e.d"), f)
+        x = x if bounds is None else F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(bounds[0])), F.lit(bounds[1])))
+        df = df.withColumn("_x", F.when(~valid & F.col("_i0").isNotNull(), x))
+    return _drop(df.withColumn(value, F.coalesce(F.col(value), F.col("_x")))).drop("_n", "_p", "_pp", "_w", "_k", "_bi", "_b", "_a", "_alone", "_e", "_x")
+
+
+def fill_solar(df: DataFrame, shape: str, dt: int = 3600, mean_preserving: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value", passes: int = 2) -> DataFrame:
+    """Radiation by the shape of the clear sky, column `shape` (interval means, see solar.clear_sky_radiation).
+
+    The clearness of a gap with its end, of an equally long time before and of one after are points of a quadratic curve
+    through their borders; a step gets clearness times shape. If mean_preserving, the value after a gap is the mean over the
+    gap and itself, which the steps then share so that it stays their mean. Gaps without light are 0. A gap of over
+    SOLAR_HOURS ends the filling of its series. The spacing of the first two values tells how far the first one reaches back.
+
+    The mean before a gap is that of the values held back over their gaps, in a further pass that of the filled steps. All
+    are windows over one shuffle.
     """
-    out, valid = values.astype(float).copy(), np.flatnonzero(~np.isnan(values))
-    if not len(valid):
-        return out
-    gaps = np.diff(np.concatenate([[valid[0] - (valid[1] - valid[0] if len(valid) > 1 else 1)], valid]))
-    starts = np.maximum(valid - gaps + 1, 0) if mean_preserving else valid
-    light = np.array([potential[a : b + 1].mean() for a, b in zip(starts, valid)])
-    clearness = np.where(light > low, out[valid] / np.maximum(light, low), np.nan)
-    known = np.flatnonzero(~np.isnan(clearness))
-    if not len(known):
-        for a, b in zip(starts, valid):
-            out[a : b + 1] = out[b]
-        return out
-    centre = (starts + valid) / 2
-    for n, (a, b) in enumerate(zip(starts if mean_preserving else valid - gaps + 1, valid)):
-        a = max(int(a), 0)
-        steps = np.arange(a, b + 1)
-        k = np.maximum(np.interp(steps, centre[known], clearness[known]), 0)
-        shape = k * potential[steps]
+    by = keys(df, by)
+    w, whole = ordered(by, time), Window.partitionBy(*by)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    most = SOLAR_HOURS * 3600 // dt + 2
+    v, valid, c = F.col(value), F.col(value).isNotNull(), F.col
+    ratio = lambda x, light: F.least(x / light, F.lit(SOLAR_CONSTANT * 0.95))
+    df = _with_neighbours(df, by, time, value)
+    df = df.withColumn("_nth", F.when(valid, F.count(value).over(upto)))
+    one, two = (F.min(F.when(c("_nth") == k, c("_i"))).over(whole) for k in (1, 2))
+    df = df.withColumn("_first", F.when(two.isNull(), one).otherwise(F.greatest(one - (two - one - 1), F.lit(0))))
+    df = df.withColumns({"_s": F.sum(shape).over(upto), "_x": F.when(c("_i") >= c("_first"), c("_v1"))})
+    # a valid row ends a gap of _g steps, itself included
+    df = df.withColumn("_g", F.when(valid, c("_i") - F.coalesce(c("_i0"), c("_first") - 1)))
+    width = F.when(c("_g") <= most, c("_g"))
+    stopped = F.coalesce(F.max(F.when(valid, (c("_g") > most).cast("int"))).over(upto), F.lit(0)) > 0
+    df = df.withColumn("_stopped", stopped)
+    for _ in range(passes if mean_preserving else 1):
+        df = df.withColumn("_h", F.sum("_x").over(upto))
+        df = df.withColumn("_at", F.struct(c("_s").alias("s"), c("_h").alias("h"), v.alias("v"), c(shape).alias("now"), c("_i").alias("i")))
+        earlier = F.lit(None)
+        for n in range(most, 0, -1):
+            earlier = F.when(width == n, F.lag("_at", 2 * n).over(w)).otherwise(earlier)
+        df = df.withColumns({"_a": earlier, "_b": _at_offset(c("_at"), width, most, w), "_d": _at_offset(c("_at"), width, most, w, ahead=True)})
         if mean_preserving:
-            out[steps] = shape * (out[b] / shape.mean()) if shape.mean() > 0 else (0.0 if light[n] <= 0 else out[b])
+            zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+            light = {"b": (c("_b.s") - zero("_a.s")) / width, "c": (c("_s") - zero("_b.s")) / width, "d": (c("_d.s") - c("_s")) / width}
+            mean_b = (c("_b.h") - zero("_a.h")) / width
         else:
-            out[steps[:-1]] = shape[:-1]
-    return out
-
-
-def fill_solar(df: DataFrame, potential: str, mean_preserving: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Radiation by the shape of the potential radiation in column `potential`. Series without gaps pass untouched."""
-    by = keys(df, by)
-    marked = df.withColumn("_gaps", F.max(F.col(value).isNull()).over(Window.partitionBy(*by)))
-    whole, holed = marked.where("NOT _gaps").drop("_gaps"), marked.where("_gaps").drop("_gaps")
-    return whole.unionByName(_per_series(holed, lambda v, p: solar_filled(v, p, mean_preserving), by, time, value, [potential]))
-
-
-def backfilled_scans(value: np.ndarray, scan: np.ndarray, mean: np.ndarray, now: np.ndarray, low: float) -> np.ndarray:
-    """Interval means of one series of instant satellite values. mean, now: the sun's height over the interval and at
-    scan time. Around sunset, the last clearness stands in for values that are 0 or missing."""
-    out, clearness = value.astype(float).copy(), np.nan
-    for t in range(len(out)):
-        if np.isnan(scan[t]):
-            continue
-        if mean[t] <= 0:
-            out[t], clearness = 0.0, np.nan
-        elif (np.isnan(out[t]) or out[t] == 0) and mean[t] > low and np.isfinite(clearness):
-            out[t], clearness = clearness * mean[t], np.nan
-        elif not np.isnan(out[t]):
-            if mean[t] <= low or now[t] <= low or now[t] / mean[t] < 0.05:
-                out[t], clearness = 0.0, np.nan
-            else:
-                clearness = out[t] / now[t]
-                out[t] = clearness * mean[t]
-    return out
+            light, mean_b = {"b": c("_b.now"), "c": c(shape), "d": c("_d.now")}, c("_b.v")
+        kc = F.when((light["c"] > LOW_SUN) & (v > 0), ratio(v, light["c"]))
+        # what reaches back to before the first value says nothing
+        known_b = (c("_b.i") - width >= F.greatest(c("_first") - int(mean_preserving), F.lit(-int(mean_preserving)))) & c("_b.i").isNotNull()
+        kb = F.when(known_b & (light["b"] > LOW_SUN), ratio(mean_b, light["b"])).otherwise(kc)
+        kd = F.when(c("_d.v").isNotNull() & (light["d"] > LOW_SUN), ratio(c("_d.v"), light["d"])).otherwise(kc)
+        df = df.withColumns({"_kb": kb, "_kc": kc, "_kd": kd})
+        middle = F.coalesce("_kc", "_kb", "_kd")
+        end = F.when(valid & (c("_g") > 1), F.struct(v.alias("v"), c("_i").alias("i"), c("_g").alias("g"), middle.alias("c"), F.coalesce(c("_kb"), middle).alias("b"), F.coalesce(c("_kd"), middle).alias("d")))
+        # the nearest end of a gap from here on, if this row is in that gap
+        df = df.withColumn("_e", F.last(end, True).over(back))
+        inside = (c("_i") > c("_e.i") - c("_e.g")) & ~c("_stopped") & (c("_e.g") <= most) & (c("_i") >= c("_first"))
+        df = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
+        f = (c("_i") - (c("_e.i") - c("_e.g"))) / c("_e.g")
+        curve = (1 - f) * (1 - f) * (c("_e.b") + c("_e.c")) / 2 + 2 * f * (1 - f) * c("_e.c") + f * f * (c("_e.c") + c("_e.d")) / 2
+        df = df.withColumn("_y", F.when(c("_in"), F.greatest(curve, F.lit(0.0)) * c(shape)))
+        if mean_preserving:
+            total = F.sum("_y").over(Window.partitionBy(*by, "_e.i"))
+            scale = F.when(c("_e.v") > 5, F.when(total > 5, c("_e.v") * c("_e.g") / total).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
+            found = F.when(c("_e.c").isNotNull(), c("_y") * scale).when(c("_i") < c("_e.i"), F.lit(0.0)).otherwise(v)
+        else:
+            found = F.when(c("_i") == c("_e.i"), v).when(c("_e.c").isNotNull(), c("_y")).otherwise(F.lit(0.0))
+        df = df.withColumn("_x", F.when(c("_in"), found).otherwise(v))
+    return _drop(df.withColumn(value, c("_x"))).drop("_nth", "_s", "_h", "_at", "_g", "_stopped", "_a", "_b", "_d", "_kb", "_kc", "_kd", "_e", "_in", "_x", "_y")
 
 
 def backfill_scan_time(df: DataFrame, scan_hours: str, mean_height: str, scan_height: str, low: float, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Instant radiation at scan time to means over the step; heights are columns (see functions.solar)."""
-    return _per_series(df, lambda v, s, m, n: backfilled_scans(v, s, m, n, low), keys(df, by), time, value, [scan_hours, mean_height, scan_height])
+    """Instant satellite radiation at scan time to means over the step; heights of the sun are columns (see functions.solar).
+
+    A value counts for the step by the ratio of the sun's mean height to that at scan time. Without sun, or with too little
+    to divide by, it is 0. Around sunset scans are 0 or missing while the sun is still up: the first such step after a good
+    one takes that one's clearness; further ones stay as they are. Steps without a scan time are untouched.
+    """
+    v, mean, now, c = F.col(value), F.col(mean_height), F.col(scan_height), F.col
+    there = c(scan_hours).isNotNull() & ~F.isnan(c(scan_hours))
+    weak = (mean <= low) | (now <= low) | (F.try_divide(now, mean) < 0.05)
+    lost = (v.isNull() | (v == 0)) & (mean > low)
+    kind = F.when(~there, None).when(mean <= 0, "dark").when(lost, "lost").when(v.isNull(), None).when(weak, "dark").otherwise("good")
+    df = df.withColumn("_kind", kind)
+    event = F.when(c("_kind").isNotNull(), F.struct(c("_kind").alias("kind"), F.try_divide(v, now).alias("k")))
+    before = ordered(keys(df, by), time).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_last", F.last(event, True).over(before))
+    filled = F.when(c("_last.kind") == "good", c("_last.k") * mean).otherwise(v)
+    out = F.when(c("_kind") == "dark", F.lit(0.0)).when(c("_kind") == "good", F.try_divide(v, now) * mean).when(c("_kind") == "lost", filled).otherwise(v)
+    return df.withColumn(value, out).drop("_kind", "_last")

@@ -160,8 +160,10 @@ def rows_from_counts(spark: SparkSession, counts: list[int]) -> DataFrame:
 def locate_gaussian(places: DataFrame, rows: DataFrame, lines: int, key: str, domain: str = "gaussian", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Add domain and cell_id: the nearer of the nearest cells in the two rows around the place.
 
-    rows has 2 * lines entries (2,560 for the finest grids), so it is broadcast.
+    rows has 2 * lines entries (2,560 for the finest grids), so it is broadcast; another number of rows is an error.
     """
+    if rows.count() != 2 * lines:
+        raise ValueError(f"rows of {2 * lines} latitudes are needed")
     dy = 180 / (2 * lines + 0.5)
     upper = F.greatest(F.lit(0), F.least(F.lit(2 * lines - 2), (lines - 1 - (F.col(lat) - dy / 2) / dy).cast("long")))
     near = places.withColumn("y", F.explode(F.array(upper, upper + 1))).join(F.broadcast(rows), "y")
@@ -267,6 +269,12 @@ def box_is_covered(spark: SparkSession, grid: Grid, south: float, west: float, n
     return spark.range(1).select((corners[0] & corners[1] & corners[2] & corners[3]).alias("covered"))
 
 
+def require_full_cover(boxes: DataFrame, grid: Grid) -> DataFrame:
+    """Boxes (south, west, north, east) whose four corners all lie on the grid."""
+    corners = [grid.cell(F.col(a), F.col(b)).isNotNull() for a in ("south", "north") for b in ("west", "east")]
+    return boxes.where(corners[0] & corners[1] & corners[2] & corners[3])
+
+
 def drop_open_sea(cells: DataFrame, radius: int = 1) -> DataFrame:
     """Cells of the domain without those whose whole neighbourhood is sea."""
     steps = F.sequence(F.lit(-radius), F.lit(radius))

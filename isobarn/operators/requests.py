@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobarn.operators.series import keys, seconds
+from isobarn.operators.series import bounded, keys, seconds
 
-#: Alias names of variables.
+# fixed values: alias names of variables
 ALIASES = {
     "windspeed": "wind_speed", "winddirection": "wind_direction", "windgusts": "wind_gusts", "relativehumidity": "relative_humidity",
     "dewpoint": "dew_point", "cloudcover": "cloud_cover", "weathercode": "weather_code", "vapor_pressure": "vapour_pressure",
-    "soil_moisture_index": "soil_moisture_index", "freezinglevel_height": "freezing_level_height",
+    "freezinglevel_height": "freezing_level_height",
 }
 
 
@@ -121,6 +121,7 @@ UNITS = {
     ("cm", "inch"): (1 / 2.54, 0.0, "inch"),
     ("m", "inch"): (3.280839895, 0.0, "ft"),
 }
+# fixed values: decimals by unit
 DIGITS = {"°C": 1, "°F": 1, "km/h": 1, "mp/h": 1, "kn": 1, "m/s": 2, "mm": 2, "cm": 2, "inch": 3, "hPa": 1, "%": 0, "W/m²": 1, "m": 2, "ft": 0, "wmo code": 0, "s": 2}
 
 
@@ -149,7 +150,7 @@ def correct_elevation(series: DataFrame, variables: list[str], model: str = "cel
 
 def clamp_values(series: DataFrame, bounds: DataFrame, value: str = "value") -> DataFrame:
     """Keep values within lower_bound and upper_bound of their variable; a bound may be null."""
-    joined = series.join(F.broadcast(bounds.select("variable", "lower_bound", "upper_bound").limit(10_000)), "variable", "left")
+    joined = series.join(bounded(bounds.select("variable", "lower_bound", "upper_bound"), 10_000, "a table of bounds"), "variable", "left")
     out = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("lower_bound")), F.col("upper_bound")))
     return joined.withColumn(value, out).select(*series.columns)
 
@@ -184,10 +185,10 @@ def order_result(result: DataFrame, place: str, columns: list[str], time: str =
     return result.orderBy(place, time).select(place, time, *columns)
 
 
-def limit_places(places: DataFrame, n: int, reject: bool = True) -> DataFrame:
+def limit_places(places: DataFrame, n: int, reject: bool = True, key: str = "place_id") -> DataFrame:
     """The places, if there are at most n; else an error, or the first n by id."""
     if not reject:
-        return places.limit(n)
+        return places.orderBy(key).limit(n)
     found = places.limit(n + 1).count()
     if found > n:
         raise ValueError(f"over {n} places")

@@ -96,6 +96,16 @@ def downsample(df: DataFrame, dt_old: int, dt_new: int, kind: str = "instant", b
     return found.withColumn(value, F.when(F.col("_n") == dt_new // dt_old, F.col(value))).drop("_n")
 
 
+#: Steps that a kind of resampling looks beyond either end of a range.
+PADDING = {"instant": 0, "mean": 1, "sum": 1, "linear": 1, "degrees": 1, "backwards": 1, "backwards_sum": 1, "hermite": 2, "solar": 2}
+
+
+def expand_for_resampling(places: DataFrame, kind: str, dt: int, start: str = "start", stop: str = "stop") -> DataFrame:
+    """Ranges widened by the steps that the kind needs, for the scan before it."""
+    a, b = padded_range(F.col(start), F.col(stop), dt, PADDING[kind])
+    return places.withColumns({start: a, stop: b})
+
+
 def padded_range(start: Column, stop: Column, dt: int, padding: int) -> tuple[Column, Column]:
     """The range to read for an interpolation that looks `padding` steps beyond either end."""
     return start - F.expr(f"interval {padding * dt} second"), stop + F.expr(f"interval {padding * dt} second")

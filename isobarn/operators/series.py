@@ -15,6 +15,18 @@ def keys(df: DataFrame, by: list[str] | None = None) -> list[str]:
     return by if by is not None else [k for k in KEYS if k in df.columns]
 
 
+def stored_keys(df: DataFrame, by: list[str] | None = None) -> list[str]:
+    """The keys of stored rows: those of the series, and the lead day and run where the table has them."""
+    return by if by is not None else [k for k in [*KEYS, "lead_day", "run_time"] if k in df.columns]
+
+
+def bounded(table: DataFrame, most: int, what: str) -> DataFrame:
+    """A small table, to be broadcast; an error where it has over `most` rows."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"{what} of over {most:,} rows")
+    return F.broadcast(table)
+
+
 def ordered(by: list[str], time: str = "valid_time") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(time)
 

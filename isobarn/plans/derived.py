@@ -11,8 +11,6 @@ from isobarn.operators import derive as D
 from isobarn.plans import tables as T
 
 KEYS = ["place_id", "line", "part"]
-#: The sun's tables are long expressions; they are checked on every place and hour of the places' days.
-HOURS = [0, 5, 9, 12, 16, 21]
 
 
 def wind(spark, sf_dir):
@@ -90,9 +88,8 @@ def derived_outputs(spark, sf_dir):
 
 
 def _sun_hours(spark, sf_dir):
-    p = T.places(spark, sf_dir).where("lat BETWEEN -80 AND 80")
-    hours = F.explode(F.array(*[F.lit(h) for h in HOURS]))
-    p = p.withColumn("hour", hours)
+    """Every place and hour of a day each, polar days and nights included."""
+    p = T.places(spark, sf_dir).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return p.withColumn("valid_time", F.timestamp_seconds(F.lit(1704067200) + (F.col("place_id") * 17 % 366) * 86400 + F.col("hour") * 3600)).select("place_id", "lat", "lon", "elevation", "hour", "valid_time")
 
 
@@ -102,7 +99,8 @@ def sun_position(spark, sf_dir):
 
 
 def radiation(spark, sf_dir):
-    s = solar.potential_radiation(_sun_hours(spark, sf_dir), "valid_time", "lat", "lon", 3600)
+    s = solar.with_sun_position(_sun_hours(spark, sf_dir), solar.epoch(F.col("valid_time")))  # once, for all that follow
+    s = solar.potential_radiation(s, "valid_time", "lat", "lon", 3600)
     s = solar.clear_sky_radiation(s, "valid_time", "lat", "lon", 3600)
     s = solar.instant_factor(s, "valid_time", "lat", "lon", 3600)
     s = s.withColumn("direct", F.col("potential_radiation") * 0.5)
@@ -110,7 +108,7 @@ def radiation(spark, sf_dir):
     s = solar.sunshine_duration(s, "direct", "valid_time", "lat", "lon", 3600)
     s = s.withColumn("shortwave", F.col("potential_radiation") * 0.7)
     s = solar.diffuse_radiation(s, "shortwave", "valid_time", "lat", "lon", 3600)
-    return T.tidy(s.drop("lat", "lon", "elevation", "valid_time", "direct", "shortwave"), 3)
+    return T.tidy(s.drop("lat", "lon", "elevation", "valid_time", "direct", "shortwave", "sun_declination", "sun_equation_of_time"), 3)
 
 
 def tilted_radiation(spark, sf_dir):
@@ -138,7 +136,7 @@ def ephemeris_lookup(spark, sf_dir):
 
 
 def moon(spark, sf_dir):
-    p = T.places(spark, sf_dir).where("lat BETWEEN -60 AND 60").withColumn("midnight", F.timestamp_seconds(F.lit(1704067200) + (F.col("place_id") * 17 % 366) * 86400))
+    p = T.places(spark, sf_dir).withColumn("midnight", F.timestamp_seconds(F.lit(1704067200) + (F.col("place_id") * 17 % 366) * 86400))
     found = solar.moon_events(p, "place_id", "midnight", "lat", "lon")
     return T.tidy(found.withColumn("phase", solar.moon_phase(F.col("midnight"))))
 
@@ -176,7 +174,7 @@ def _class_sql(x: str, classes: list, least: float) -> str:
     return f"CASE WHEN {x} >= {least} THEN CASE {cases} END END"
 
 
-_SUN = """sunh AS (SELECT place_id, lat, lon, unnest([0, 5, 9, 12, 16, 21]) AS hour FROM places WHERE lat BETWEEN -80 AND 80),
+_SUN = """sunh AS (SELECT place_id, lat, lon, unnest(range(24)) AS hour FROM places),
 sunt AS (SELECT *, CAST(1704067200 + (place_id * 17 % 366) * 86400 + hour * 3600 AS DOUBLE) AS s FROM sunh)"""
 
 

@@ -181,9 +181,12 @@ def merged_rolling(spark, sf_dir):
 
 
 def merged_previous_days(spark, sf_dir):
-    one = T.runs(spark, sf_dir).where("run_time = timestamp'2024-01-10 00:00:00'")
-    later = T.runs(spark, sf_dir).where("run_time = timestamp'2024-01-11 00:00:00'")
-    return T.tidy(S.merge_previous_days(S.by_lead_day(one), later, 7, KEY))
+    """Runs of even days are stored by lead day; those of odd days are merged into them, of several the newest."""
+    runs = T.runs(spark, sf_dir)
+    newest = lambda df: df.groupBy(*KEY, "lead_day", "valid_time").agg(F.max_by("value", "run_time").alias("value"))
+    even = F.datediff("run_time", F.lit("2024-01-01")) % 2 == 0
+    stored, new = newest(S.by_lead_day(runs.where(even))), newest(S.by_lead_day(runs.where(~even)))
+    return T.tidy(S.merge_series(stored, new, [*KEY, "lead_day"]))
 
 
 def run_metadata(spark, sf_dir):
@@ -271,8 +274,9 @@ ORACLE = {
     "changed_rows": f"WITH {T.MODELS} SELECT *, 'a' AS side FROM (SELECT location_id, variable, valid_time FROM low EXCEPT SELECT location_id, variable, valid_time FROM high)",
     "merged_series": f"""WITH {T.MODELS} SELECT location_id, variable, valid_time, {_r('coalesce(CASE WHEN location_id % 2 = 0 THEN high.value * 2 END, low.value)')} AS value FROM high FULL OUTER JOIN low USING (location_id, variable, valid_time)""",
     "merged_rolling": f"""WITH {T.MODELS} SELECT location_id, variable, valid_time, {_r('coalesce(high.value, low.value)')} AS value FROM high FULL OUTER JOIN low USING (location_id, variable, valid_time) WHERE valid_time >= TIMESTAMP '2024-01-15'""",
-    "merged_previous_days": f"""WITH {T.RUNS}, l AS (SELECT *, unnest(range(1, least(CAST(floor(epoch(valid_time - run_time) / 86400) AS BIGINT), 7) + 1)) AS lead_day FROM runs WHERE run_time IN (TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11'))
-      SELECT location_id, variable, valid_time, lead_day, {_r('arg_max(value, run_time)')} AS value FROM l GROUP BY ALL""",
+    "merged_previous_days": f"""WITH {T.RUNS}, l AS (SELECT *, unnest(range(1, least(CAST(floor(epoch(valid_time - run_time) / 86400) AS BIGINT), 7) + 1)) AS lead_day FROM runs),
+      n AS (SELECT location_id, variable, valid_time, lead_day, date_diff('day', TIMESTAMP '2024-01-01', run_time) % 2 = 0 AS even, arg_max(value, run_time) AS value FROM l GROUP BY ALL)
+      SELECT location_id, variable, valid_time, lead_day, {_r('coalesce(max(value) FILTER (NOT even), max(value) FILTER (even))')} AS value FROM n GROUP BY ALL""",
     "run_metadata": f"""WITH {T.RUNS} SELECT domain, run_time::TIMESTAMP AS run_time, min(valid_time)::TIMESTAMP AS start, max(valid_time)::TIMESTAMP AS "end", count(DISTINCT valid_time) AS n_times,
       string_agg(DISTINCT variable, ',' ORDER BY variable) AS variables, {_r('epoch(max(valid_time) - min(valid_time)) / nullif(count(DISTINCT valid_time) - 1, 0)')} AS step_seconds FROM runs GROUP BY ALL""",
     "scan_health": f"""WITH {T.HOURLY}, v AS (SELECT variable, valid_time, avg(value) AS value FROM hourly GROUP BY ALL),

@@ -6,28 +6,39 @@ of some variables, places and hours prunes partitions and skips row groups. Writ
 
 from __future__ import annotations
 
+import datetime as dt_
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isobarn.operators.series import SCHEMA, keys, seconds
+from isobarn.operators.series import SCHEMA, bounded, keys, seconds, stored_keys
 
-#: Steps of an hour in one time chunk.
+#: Seconds of one time chunk, and the location numbers that share a file of it.
 CHUNK_SECONDS = 14 * 86400
+LOCATIONS = 20_000
+#: Rows up to which a table of mappings is broadcast.
+MOST_MAPPINGS = 100_000
 
 
 def time_chunk(time: str | Column = "valid_time", chunk: int = CHUNK_SECONDS) -> Column:
     return F.floor(seconds(time) / chunk)
 
 
-def write_series(series: DataFrame, path: str, mode: str = "overwrite", chunk: int = CHUNK_SECONDS) -> None:
-    """One sorted set of files for each domain, variable and time chunk; only the chunks at hand are replaced."""
-    out = series.withColumn("time_chunk", time_chunk("valid_time", chunk))
-    out = out.repartition("domain", "variable", "time_chunk").sortWithinPartitions("domain", "variable", "time_chunk", "location_id", "valid_time")
+def by_chunk(series: DataFrame, parts: list[str], locations: int = LOCATIONS) -> DataFrame:
+    """Rows dealt by chunk and range of locations, and sorted: one task writes a file of each, however many places there are."""
+    band = F.floor(F.col("location_id") / locations)
+    return series.repartition(*parts, band).sortWithinPartitions(*parts, "location_id", "valid_time")
+
+
+def write_series(series: DataFrame, path: str, mode: str = "overwrite", chunk: int = CHUNK_SECONDS, locations: int = LOCATIONS) -> None:
+    """Sorted files for each domain, variable, time chunk and range of locations; only the chunks at hand are replaced."""
+    out = by_chunk(series.withColumn("time_chunk", time_chunk("valid_time", chunk)), ["domain", "variable", "time_chunk"], locations)
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("domain", "variable", "time_chunk").parquet(path)
 
 
 def read_series(spark: SparkSession, path: str, domain: str | None = None, variables: list[str] | None = None, start: str | None = None, stop: str | None = None, chunk: int = CHUNK_SECONDS) -> DataFrame:
-    """A time range of variables. The range is turned into chunk numbers as well, so that partitions are pruned."""
+    """A time range of variables (UTC). The range is turned into chunk numbers as well, so that partitions are pruned."""
     df = spark.read.schema(SCHEMA + ", time_chunk bigint").parquet(path)
     if domain:
         df = df.where(F.col("domain") == domain)
@@ -36,24 +47,33 @@ def read_series(spark: SparkSession, path: str, domain: str | None = None, varia
     for text, chunk_rule, rule in ((start, lambda c, n: c >= n, lambda c, t: c >= t), (stop, lambda c, n: c <= n, lambda c, t: c < t)):
         if text:
             moment = F.lit(text).cast("timestamp")
-            number = spark.range(1).select(time_chunk(moment, chunk).alias("n")).first()["n"]
+            number = int(dt_.datetime.fromisoformat(text).replace(tzinfo=dt_.UTC).timestamp() // chunk)
             df = df.where(chunk_rule(F.col("time_chunk"), F.lit(number))).where(rule(F.col("valid_time"), moment))
     return df.drop("time_chunk")
 
 
-def read_run(runs: DataFrame, run_time: str, spine: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-    """One model run, on a regular axis if given; an error if there is no such run."""
+def read_run(runs: DataFrame, run_time: str, spine: DataFrame | None = None, by: list[str] | None = None, fill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One model run; an error if there is no such run. On a regular axis if one is given: irregular steps are placed on it
+    and the steps between them filled by `fill` (see operators.fill)."""
     own = runs.where(F.col("run_time") == F.lit(run_time).cast("timestamp"))
     if own.isEmpty():
         raise ValueError(f"no run {run_time}")
-    return own if spine is None else spine.join(own, [*keys(runs, by), "valid_time"], "left")
+    if spine is None:
+        return own
+    placed = spine.join(own.drop("run_time"), [*keys(runs, by), "valid_time"], "left").withColumn("run_time", F.lit(run_time).cast("timestamp"))
+    return fill(placed) if fill else placed
 
 
 def merge_series(existing: DataFrame, new: DataFrame, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """New values win, missing ones never erase. One grouped pass over both."""
-    on = [*keys(existing, by), time]
-    both = existing.select(*on, value, F.lit(0).alias("_new")).unionByName(new.select(*on, value, F.lit(1).alias("_new")))
-    return both.groupBy(*on).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_new"))).alias(value))
+    """New values win, missing ones never erase. One grouped pass over both.
+
+    Lead days and runs are part of the key where the table has them. Other columns are those of the newest row.
+    """
+    on = [*stored_keys(existing, by), time]
+    others = [c for c in existing.columns if c not in (*on, value)]
+    both = existing.withColumn("_new", F.lit(0)).unionByName(new.select(*on, value, *others).withColumn("_new", F.lit(1)))
+    kept = [F.max_by(c, "_new").alias(c) for c in others]
+    return both.groupBy(*on).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_new"))).alias(value), *kept).select(*existing.columns)
 
 
 def merge_rolling(existing: DataFrame, new: DataFrame, run: Column, retain_days: int, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
@@ -69,8 +89,9 @@ def by_lead_day(run: DataFrame, days: int = 7, time: str = "valid_time") -> Data
 
 def merge_previous_days(existing: DataFrame, run: DataFrame, days: int = 7, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """Forecasts by lead day: day d of a run skips its first d days."""
-    by = [*keys(existing, by), "lead_day"]
-    return merge_series(existing, by_lead_day(run, days, time), by, time, value)
+    on = [*[k for k in keys(existing, by) if k != "lead_day"], "lead_day"]
+    columns = [*on, time, value]
+    return merge_series(existing.select(*columns), by_lead_day(run, days, time).select(*columns), on, time, value)
 
 
 #: Pressure levels and the greatest height in metres that full runs keep.
@@ -153,10 +174,10 @@ def scan_health(series: DataFrame, dt: int = 3600, chunk: int = CHUNK_SECONDS, v
 def ingest_fields(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     """A provider's rows as series: mapping has domain, source_variable, variable, multiply, add. Unmapped rows go.
 
-    One job with a table of mappings serves all providers; the table is metadata of bounded size.
+    One job with a table of mappings serves all providers; a table of over MOST_MAPPINGS rows is an error.
     """
-    table = mapping.select("domain", "source_variable", "variable", "multiply", "add").limit(100_000)
-    joined = raw.withColumnRenamed("variable", "source_variable").join(F.broadcast(table), ["domain", "source_variable"])
+    table = bounded(mapping.select("domain", "source_variable", "variable", "multiply", "add"), MOST_MAPPINGS, "a mapping table")
+    joined = raw.withColumnRenamed("variable", "source_variable").join(table, ["domain", "source_variable"])
     value = F.when(~F.isnan("value"), F.col("value")) * F.coalesce("multiply", F.lit(1.0)) + F.coalesce("add", F.lit(0.0))
     return joined.withColumn("value", value).drop("source_variable", "multiply", "add")
 

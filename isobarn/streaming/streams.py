@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from isobarn.operators.series import SCHEMA, keys
+from isobarn.operators.series import SCHEMA, stored_keys
 from isobarn.session import ship_package
-from isobarn.sources.storage import CHUNK_SECONDS, build_run_metadata, merge_series, time_chunk
+from isobarn.sources.storage import CHUNK_SECONDS, build_run_metadata, by_chunk, merge_series, time_chunk
 
 
 def stream_fields(spark: SparkSession, path: str, schema: str = SCHEMA, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,23 +40,28 @@ def stream_deaccumulate(steps: DataFrame, by: list[str], watermark: str = "2 day
             state.remove()
             return
         last = state.get if state.exists else None
-        rows = []
-        for _, x in pd.concat(list(batches)).sort_values("step_end", kind="stable").iterrows():
-            start, end, value = int(x["step_start"]), int(x["step_end"]), float(x["value"])
-            if end <= start or (last and end <= last[0]):
-                continue
-            out_value, out_start = value, start
-            if last and last[0] != start and x["step_type"] in ("accum", "avg"):
-                length, before = end - start, last[0] - start
-                out_value = value - last[1] if x["step_type"] == "accum" else (value * length - last[1] * before) / (length - before)
-                out_start = last[0]
-            last = (end, value)
-            rows.append((*key, out_start, end, out_value))
+        own = pd.concat(list(batches)).sort_values("step_end", kind="stable")
+        own = own[own["step_end"] > own["step_start"]].drop_duplicates("step_end")
+        if last:
+            own = own[own["step_end"] > last[0]]
+        if len(own):
+            # each step beside the one before it, the first beside the state's
+            before = own[["step_end", "value"]].shift()
+            if last:
+                before.iloc[0] = last
+            goes_on = before["step_end"].notna() & (before["step_end"] != own["step_start"]) & own["step_type"].isin(["accum", "avg"])
+            length, earlier = own["step_end"] - own["step_start"], before["step_end"] - own["step_start"]
+            mean = (own["value"] * length - before["value"] * earlier) / (length - earlier)
+            difference = (own["value"] - before["value"]).where(own["step_type"] == "accum", mean)
+            out = pd.DataFrame({"step_start": before["step_end"].where(goes_on, own["step_start"]).astype("int64"), "step_end": own["step_end"], "value": difference.where(goes_on, own["value"])})
+            last = (int(own["step_end"].iloc[-1]), float(own["value"].iloc[-1]))
+        else:
+            out = pd.DataFrame(columns=["step_start", "step_end", "value"])
         if last:
             state.update(last)
             run_ms = int(pd.Timestamp(key[-1]).timestamp() * 1000)
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), run_ms) + keep_days * 86_400_000)
-        yield pd.DataFrame(rows, columns=names)
+        yield out.assign(**dict(zip([*by, "run_time"], key)))[names]
 
     watched = steps.withWatermark("run_time", watermark)
     return watched.groupBy(*by, "run_time").applyInPandasWithState(run, out, "step long, value double", "append", GroupStateTimeout.EventTimeTimeout)
@@ -85,8 +91,8 @@ def stream_resample(events: DataFrame, dt: int, by: list[str], kind: str = "mean
     """Values over (t - dt, t], labelled by t."""
     rule = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[kind]
     # windows are closed on the left; a microsecond back makes them closed on the right
-    moved = events.withWatermark(time, watermark).withColumn("_w", F.window(F.col(time) - F.expr("interval 1 microsecond"), f"{dt} seconds"))
-    found = moved.groupBy(*by, "_w").agg(rule(value).alias(value))
+    moved = events.withColumn(time, F.col(time) - F.expr("interval 1 microsecond")).withWatermark(time, watermark)
+    found = moved.groupBy(*by, F.window(time, f"{dt} seconds").alias("_w")).agg(rule(value).alias(value))
     return found.select(*by, F.col("_w.end").alias(time), value)
 
 
@@ -96,10 +102,10 @@ def stream_sliding_mean(events: DataFrame, hours: int, by: list[str], watermark:
     return found.select(*by, F.col("window.end").alias(time), value)
 
 
-def upsert_batch(path: str, by: list[str] | None = None, chunk: int = CHUNK_SECONDS, lead_days: int = 0) -> Callable[[DataFrame, int], None]:
+def upsert_batch(path: str, by: list[str] | None = None, chunk: int = CHUNK_SECONDS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the batch's time chunks are merged with the stored ones and replaced as a whole.
 
-    Merging the same batch again gives the same chunks, so a repeated batch does no harm. The merge is staged beside the
+    Rows are told apart by series, lead day, run and time, as far as the batch has them. Merging the same batch again gives the same chunks, so a repeated batch does no harm. The merge is staged beside the
     table first, because a table can't be read and replaced at once.
     """
 
@@ -107,16 +113,17 @@ def upsert_batch(path: str, by: list[str] | None = None, chunk: int = CHUNK_SECO
         spark = batch.sparkSession
         own = batch.withColumn("time_chunk", time_chunk("valid_time", chunk))
         parts = [p for p in ("domain", "variable") if p in batch.columns] + ["time_chunk"]
-        names = [*keys(batch, by), "time_chunk"]
+        names = [*stored_keys(batch, by), "time_chunk"]
         try:
             stored = spark.read.schema(own.schema).parquet(path).join(own.select(*parts).distinct(), parts, "left_semi")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = own.limit(0)
         staging = f"{path.rstrip('/')}_staging/{batch_id}"
         merge_series(stored, own, names).write.mode("overwrite").parquet(staging)
-        spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        whole = by_chunk(spark.read.schema(own.schema).parquet(staging), parts)
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     return run
 
@@ -127,11 +134,12 @@ def stream_upsert(series: DataFrame, path: str, checkpoint: str, by: list[str] |
 
 
 def publish_run_metadata(path: str, expected_steps: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over run counts: metadata of the runs that have become complete."""
+    """A foreachBatch function over run counts: metadata of the runs that have become complete. Each run is a partition,
+    so other runs of the domain stay, and a repeated batch does no harm."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         done = batch.where(F.col("n_times") >= expected_steps)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "run_time").parquet(path)
 
     return run
 

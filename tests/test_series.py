@@ -74,21 +74,53 @@ def test_filling_keeps_valid_values(series):
         assert all(a == pytest.approx(b) for a, b in zip(got(kernel(series(values))), values) if b is not None)
 
 
-def test_solar_filling_keeps_the_mean():
-    import numpy as np
-
-    light = np.array([0, 0, 100, 300, 500, 600, 500, 300, 100, 0, 0, 0.0])
-    values = np.array([0, np.nan, np.nan, 100, np.nan, np.nan, 400, np.nan, np.nan, 150, 0, 0.0])
-    out = fill.solar_filled(values, light)
-    assert not np.isnan(out).any() and out[4:7].mean() == pytest.approx(400) and out[7:10].mean() == pytest.approx(150) and out[9] == 0
-
+@pytest.mark.parametrize(
+    "values, bounds, want",
+    [
+        ([0, 1, N, 3, N, 5, N, 0], None, [0, 1, 1.875, 3, 4.4375, 5, 2.625, 0]),
+        ([0, 1, N, N, 3, N, N, 5, N, N, 0], None, [0, 1, 1.5185186, 2.2592592, 3, 3.925926, 4.851852, 5, 3.6666665, 1.5555556, 0]),
+        ([0, 1, N, N, 3, N, N, 5, N, N, 0], (1, 3), [0, 1, 1.5185186, 2.2592592, 3, 3, 3, 5, 3, 1.5555556, 0]),
+        ([N, 1, N, N, 3, N, N, 5, N, N, 0], None, [N, 1, 1.5185186, 2.2592592, 3, 3.925926, 4.851852, 5, 3.6666665, 1.5555556, 0]),
+        ([N, 1, N, 3, N, 5, N, 0, N, N, 10, N, N, 5], None, [N, 1, 1.875, 3, 4.4375, 5, 0.7013891, 0, 2.8194444, 7.2430553, 10, 9.259259, 6.8518515, 5]),
+        ([N, N], None, [N, N]),
+        ([N, 2, N, N], None, [N, 2, N, N]),
+    ],
+)
+def test_cubic_filling(series, values, bounds, want):
+    close(got(fill.fill_hermite(series(values), bounds)), want)
 
-def test_scan_backfill():
-    import numpy as np
 
-    mean, now = np.array([0.5, 0.3, 0.1, 0.0]), np.array([0.55, 0.35, 0.05, 0.0])
-    out = fill.backfilled_scans(np.array([550.0, 350.0, 0.0, 0.0]), np.zeros(4), mean, now, 0.004)
-    assert out.tolist() == pytest.approx([500, 300, 100, 0])
+@pytest.mark.parametrize(
+    "hour, preserving, values, want",
+    [
+        (12, True, [N, N, N, 320.9375, N, N, 246.95312, N, N, 2.578125, N, N, 0, N, N, 0], [N, 316.5745, 327.14203, 319.096, 355.45486, 253.89552, 131.50894, 33.647484, 6.0189605, 0.35008436, 0, 0, 0, 0, 0, 0]),
+        (12, False, [N, N, N, 304.3659, N, N, 101.99449, N, N, 0, N, N, 0, N, N, 0], [N, 293.12817, 279.38104, 304.3659, 142.60036, 101.0161, 101.99449, 69.3253, 34.452053, 0, 0, 0, 0, 0, 0, 0]),
+        (14, False, [321.95593, N, 247.148], [321.95593, 268.21445, 247.148]),
+        (14, False, [321.95593, N], [321.95593, N]),
+    ],
+)
+def test_solar_filling(spark, hour, preserving, values, want):
+    start = dt.datetime(2022, 8, 16, hour, tzinfo=dt.UTC)
+    rows = [(1, start + dt.timedelta(hours=i), v if v is None else float(v), 51.5, -23.0) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "location_id bigint, valid_time timestamp, value double, lat double, lon double")
+    found = got(fill.fill_solar(solar.clear_sky_radiation(table, "valid_time", "lat", "lon", 3600), "clear_sky_radiation", 3600, preserving))
+    for x, y in zip(found, want):
+        assert (x is None and y is None) or x == pytest.approx(y, rel=3e-3, abs=3e-3)
+
+
+def test_solar_filling_keeps_the_mean(series):
+    light = [0, 0, 100, 300, 500, 600, 500, 300, 100, 0, 0, 0.0]
+    values = [0, N, N, 100, N, N, 400, N, N, 150, 0, 0]
+    table = series(values).withColumn("light", F.element_at(F.array(*[F.lit(float(x)) for x in light]), F.hour("valid_time") + 1))
+    out = got(fill.fill_solar(table, "light"))
+    assert None not in out and sum(out[4:7]) == pytest.approx(1200) and sum(out[7:10]) == pytest.approx(450) and out[9] == 0
+
+
+def test_scan_backfill(series):
+    heights = [(0.5, 0.55), (0.3, 0.35), (0.1, 0.05), (0.0, 0.0), (0.2, 0.2)]
+    column = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in heights]), F.hour("valid_time") + 1)
+    table = series([550, 350, 0, 0, N]).withColumns({"scan": F.lit(0.0), "mean": column(0), "now": column(1)})
+    close(got(fill.backfill_scan_time(table, "scan", "mean", "now", 0.004)), [500, 300, 100, 0, N])
 
 
 def test_sections(spark):
