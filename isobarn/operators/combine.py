@@ -148,6 +148,12 @@ def merge_sections(sections: dict[str, DataFrame], on: list[str]) -> DataFrame:
     return checked.where("_same = 1").select(*[c for c in first.columns if c in on], *value_columns)
 
 
+def member_columns(wide: DataFrame, outputs: list[str], members: int, on: list[str]) -> DataFrame:
+    """Members side by side: member 0 under the output's name, others with the suffix _memberNN."""
+    name = lambda o, m: o if m == 0 else f"{o}_member{m:02d}"
+    return wide.groupBy(*on).agg(*[F.max(F.when(F.col("member") == m, F.col(o))).alias(name(o, m)) for o in outputs for m in range(members)])
+
+
 def stack_models(models: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [m.withColumn("domain", F.lit(name)) for name, m in models.items()])
 

@@ -1,14 +1,17 @@
-"""Requests for many places in one job: cells, model mix, derivation, daily aggregates, units."""
+"""Requests for many places in one job: ranges, cells, runs and members, resampling, model mix, derivation, daily aggregates, units."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.operators import aggregate, combine, derive, requests
-from isobarn.operators.grids import Grid, filter_bounding_box, locate, read_elevation
+from isobarn.functions import solar
+from isobarn.operators import aggregate, combine, derive, requests, resample
+from isobarn.operators.grids import Grid, best_terrain_cell, filter_bounding_box, locate, nearest_sea_cell, read_elevation
+from isobarn.sources.catalog import variable
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,7 @@ class Product:
     max_days: int = 16
     dt: int = 3600
     smooth: bool = True
+    members: int | None = 1
 
 
 PRODUCTS = {
@@ -29,50 +33,172 @@ PRODUCTS = {
     for p in (
         Product("forecast"), Product("archive", forecast_days=0, past_days=92), Product("historical_forecast", forecast_days=0, past_days=92),
         Product("previous_runs"), Product("single_run"), Product("satellite", forecast_days=0, past_days=1, smooth=False),
-        Product("seasonal", forecast_days=92, max_days=274, dt=21600), Product("ensemble", max_days=36), Product("marine"),
-        Product("air_quality", forecast_days=5, max_days=7), Product("climate", forecast_days=0, dt=86400), Product("flood", forecast_days=92, max_days=210, dt=86400),
+        Product("seasonal", forecast_days=92, max_days=274, dt=21600, members=None), Product("ensemble", max_days=36, members=None), Product("marine"),
+        Product("air_quality", forecast_days=5, max_days=7), Product("climate", forecast_days=0, dt=86400), Product("flood", forecast_days=92, max_days=210, dt=86400, members=None),
     )
 }
 
 
 @dataclass
 class Request:
+    """hourly, daily: outputs. units: temperature, wind, precipitation, length (see requests.convert_units). past_days and
+    forecast_days count only with now. cells: nearest, land or sea. run: one model run's time; None takes, of runs, the one with
+    the shortest lead. lead_day: forecasts of so many days before, where series have them."""
+
     hourly: list[str]
     daily: list[str] = field(default_factory=list)
     models: list[str] = field(default_factory=list)
     product: str = "forecast"
     units: dict[str, str] = field(default_factory=dict)
     steps: int | None = None
-
-
-def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id") -> dict[str, DataFrame]:
-    """Sections hourly and daily for all places. series: long tables by model, in order of priority.
-
-    places: key, lat, lon, elevation, utc_offset_seconds, start, stop. Each model's cells are found by arithmetic, its
-    series are joined once, all models are mixed by priority, and outputs are derived in one projection.
+    now: str | None = None
+    past_days: int | None = None
+    forecast_days: int | None = None
+    cells: str = "nearest"
+    correct_elevation: bool = True
+    run: str | None = None
+    lead_day: int = 0
+    members: int | None = None
+    dt: int | None = None
+
+
+def _cells(places: DataFrame, grid: Grid, heights: DataFrame | None, request: Request, key: str) -> DataFrame:
+    """key, location_id and cell_elevation of the cell that serves each place."""
+    if heights is None:
+        return locate(places, grid).select(key, F.col("cell_id").alias("location_id"), F.lit(None).cast("double").alias("cell_elevation"))
+    if request.cells == "land":
+        found = best_terrain_cell(places, heights, grid, key)
+        return found.select(key, F.col("cell_id").alias("location_id"), "cell_elevation")
+    here = heights.where("elevation IS NOT NULL").select("cell_id", F.col("elevation").alias("cell_elevation"))
+    found = nearest_sea_cell(places, heights, grid, key).select(key, "cell_id") if request.cells == "sea" else locate(places, grid).select(key, "cell_id")
+    return found.join(here, "cell_id").select(key, F.col("cell_id").alias("location_id"), "cell_elevation")
+
+
+def _one_run(series: DataFrame, request: Request) -> DataFrame:
+    if "lead_day" in series.columns:
+        series = series.where(F.col("lead_day") == request.lead_day).drop("lead_day")
+    if "run_time" not in series.columns:
+        return series
+    if request.run:
+        return series.where(F.col("run_time") == F.lit(request.run).cast("timestamp")).drop("run_time")
+    return combine.latest_by_lead(series).drop("run_time")
+
+
+def _solar(part: DataFrame, dt_old: int, dt_new: int, by: list[str]) -> DataFrame:
+    """Radiation to shorter steps by the potential radiation of the place."""
+    low = solar.potential_radiation(part, "valid_time", "lat", "lon", dt_old).withColumn("_low", F.col("potential_radiation") / solar.SOLAR_CONSTANT).drop("potential_radiation", "potential_radiation_instant")
+    steps = dt_old // dt_new
+    fine = part.select(*by, "lat", "lon", F.timestamp_seconds(F.unix_seconds("valid_time") + F.explode(F.sequence(F.lit(-((steps - 1) // 2)), F.lit(steps // 2))) * dt_new).alias("valid_time")).distinct()
+    high = solar.potential_radiation(fine, "valid_time", "lat", "lon", dt_new).withColumn("_high", F.col("potential_radiation") / solar.SOLAR_CONSTANT)
+    return resample.upsample_solar(low, "_low", high, "_high", dt_old, dt_new, None, by).drop("_low")
+
+
+def resampled(series: DataFrame, names: list[str], dt_old: int, dt_new: int, by: list[str]) -> DataFrame:
+    """Each variable to other steps by its kind of interpolation. series: by (with variable), lat, lon, valid_time, value."""
+    if dt_old == dt_new:
+        return series
+    kinds: dict[str, list[str]] = {}
+    for name in names:
+        kinds.setdefault(variable(name)["interpolation"], []).append(name)
+    parts = []
+    for kind, own in kinds.items():
+        part = series.where(F.col("variable").isin(own))
+        if dt_new > dt_old:
+            parts.append(resample.downsample(part, dt_old, dt_new, {"backwards_sum": "sum", "solar": "mean"}.get(kind, "instant"), [*by, "lat", "lon"]))
+        elif kind == "solar":
+            parts.append(_solar(part, dt_old, dt_new, by))
+        elif kind in ("backwards", "backwards_sum"):
+            parts.append(resample.upsample_backwards(part, dt_old, dt_new, kind == "backwards_sum"))
+        else:
+            up = {"hermite": resample.upsample_hermite, "degrees": resample.upsample_degrees}.get(kind, resample.upsample_linear)
+            parts.append(up(part, dt_old, dt_new, by=by))
+    columns = [*by, "lat", "lon", "valid_time", "value"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
+def _mixed(models: list[DataFrame], names: list[str], smooth: bool, by: list[str]) -> DataFrame:
+    """Models by priority: blended, but for codes, flags and soil types, which are cut hard."""
+    if not smooth or len(models) == 1:
+        return combine.seamless(models, False, by)
+    cut = [n for n in names if variable(n)["unit"] in ("wmo code", "")]
+    blended = combine.seamless([m.where(~F.col("variable").isin(cut)) for m in models], True, by)
+    return blended.unionByName(combine.seamless([m.where(F.col("variable").isin(cut)) for m in models], False, by)) if cut else blended
+
+
+def _unit(output: str, wanted: dict[str, str]) -> tuple[Column, str]:
+    """An output column in the wanted units, and its unit."""
+    base = output
+    for kind in ("_max", "_min", "_mean", "_sum"):
+        base = base.removesuffix(kind)
+    rules = derive.RULES.get(base, [])
+    unit = variable(base)["unit"] or (rules[0].unit if rules else "")
+    amount = wanted.get("precipitation") or ("inch" if wanted.get("length") == "imperial" else "mm")
+    for (own, name), (factor, shift, new) in requests.UNITS.items():
+        if own == unit and name in (wanted.get("temperature"), wanted.get("wind"), amount):
+            return (F.col(output) * factor + shift).alias(output), new
+    return F.col(output), unit
+
+
+def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id", heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
+    """Sections hourly and daily for all places, ordered by place and time. series: long tables by model, in order of priority.
+
+    places: key, lat, lon, elevation, utc_offset_seconds, and start and stop unless the request has now. heights: cells with
+    elevation by model, for land and sea cells and the correction by height. steps: seconds of a model's step. available: raw
+    variables of the models; without it their names are read from the series, which for stored series is a partition column.
+    Each model's cells are found by arithmetic and its series are joined once; outputs are derived in one projection.
     """
     product = PRODUCTS[request.product]
+    if request.now:
+        past, ahead = (b if a is None else a for a, b in ((request.past_days, product.past_days), (request.forecast_days, product.forecast_days)))
+        places = requests.time_range_for(places, F.lit(request.now).cast("timestamp"), past, ahead, max_days=product.max_days)
+    models = request.models or list(series)
     needed = sorted({aggregate.DAILY[o][0] for o in request.daily})
     raw = sorted(derive.inputs_of([*request.hourly, *needed]) - {"elevation"})
+    if available is None:
+        found = [series[m].where(F.col("variable").isin(raw)).select("variable").distinct() for m in models]
+        available = [r["variable"] for r in reduce(DataFrame.union, found).distinct().collect()]  # names of variables, a short list
+    names = [x for x in raw if x in set(available)]
+    corrected = [n for n in names if variable(n)["elevation_correctable"]]
+    dt = request.dt or product.dt
+    has_members = any("member" in series[m].columns for m in models)
+    on = [key, "member"] if has_members else [key]
     mixed = []
-    for model in request.models or list(series):
-        cells = locate(places, grids[model]).select(key, "start", "stop", F.col("cell_id").alias("location_id"))
-        own = series[model].where(F.col("variable").isin(raw)).join(cells, "location_id")
-        mixed.append(own.where("valid_time >= start AND valid_time < stop").select(key, "variable", "valid_time", "value"))
-    mix = combine.seamless(mixed, product.smooth and len(mixed) > 1, [key, "variable"])
-    present = {r["variable"] for r in mix.select("variable").distinct().collect()}  # names of variables, a short list
-    names = [x for x in raw if x in present]
-    wide = mix.where(F.col("variable").isin(names)).groupBy(key, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
+    for model in models:
+        own_dt = (steps or {}).get(model, dt)
+        cells = _cells(places, grids[model], (heights or {}).get(model), request, key)
+        wanted = places.select(key, "lat", "lon", "elevation", "start", "stop").join(cells, key)
+        wide_range = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
+        own = _one_run(series[model].where(F.col("variable").isin(names)), request)
+        if has_members:
+            own = own if "member" in own.columns else own.withColumn("member", F.lit(0))
+            n = request.members if request.members is not None else product.members
+            own = own if n is None else own.where(F.col("member") < n)
+        read = own.join(wide_range, "location_id").where("valid_time >= start AND valid_time < stop")
+        if request.correct_elevation and corrected:
+            read = requests.correct_elevation(read, corrected)
+        read = resampled(read.select(*on, "variable", "lat", "lon", "valid_time", "value"), names, own_dt, dt, [*on, "variable"])
+        if own_dt > dt:
+            read = read.join(wanted.select(key, "start", "stop"), key).where("valid_time >= start AND valid_time < stop")
+        mixed.append(read.select(*on, "variable", "valid_time", "value"))
+    mix = _mixed(mixed, names, product.smooth, [*on, "variable"])
+    wide = mix.groupBy(*on, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
     wide = wide.join(places.select(key, "elevation", "utc_offset_seconds"), key)
-    hourly = derive.derive(wide, request.hourly).select(key, "valid_time", *request.hourly)
-    out = {"hourly": hourly}
+    outputs = [_unit(o, request.units)[0] for o in request.hourly]
+    hourly = derive.derive(wide, request.hourly).select(*on, "valid_time", *outputs)
+    out = {"hourly": hourly.orderBy(*on, "valid_time")}
     if request.daily:
-        long = derive.derive(wide, needed).select(key, "utc_offset_seconds", "valid_time", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x"))
-        long = long.select(key, "utc_offset_seconds", "valid_time", "x.variable", "x.value")
-        out["daily"] = aggregate.daily_summary(long, request.daily, request.steps or 86400 // product.dt, product.dt, [key], "utc_offset_seconds")
+        long = derive.derive(wide, needed).select(*on, "utc_offset_seconds", "valid_time", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x"))
+        long = long.select(*on, "utc_offset_seconds", "valid_time", "x.variable", "x.value")
+        found = aggregate.daily_summary(long, request.daily, request.steps or 86400 // dt, dt, on, "utc_offset_seconds")
+        out["daily"] = found.select(*on, "day", *[_unit(o, request.units)[0] for o in request.daily]).orderBy(*on, "day")
     return out
 
 
+def output_units(outputs: list[str], wanted: dict[str, str]) -> dict[str, str]:
+    """The unit of each output of a request, for the sinks."""
+    return {o: _unit(o, wanted)[1] for o in outputs}
+
+
 def elevation(places: DataFrame, heights: DataFrame, rows_per_degree: int = 1200) -> DataFrame:
     """Heights of places."""
     return read_elevation(places, heights, rows_per_degree)
@@ -90,4 +216,4 @@ def bounding_box(cells: DataFrame, grid: Grid, box: tuple[float, float, float, f
     return forecast(places, series, {grid.domain: grid}, request)
 
 
-__all__ = ["PRODUCTS", "Product", "Request", "bounding_box", "elevation", "flood", "forecast", "requests"]
+__all__ = ["PRODUCTS", "Product", "Request", "bounding_box", "elevation", "flood", "forecast", "output_units", "requests"]

@@ -44,6 +44,22 @@ class Projection:
         k = F.sqrt(2 / (1 + across)) if self.kind == "lambert_area" else 2 / (1 + across)
         return r * k * F.cos(phi) * F.sin(lam - lam0), r * k * (math.cos(phi1) * F.sin(phi) - math.sin(phi1) * F.cos(phi) * F.cos(lam - lam0))
 
+    def point(self, lat: float, lon: float) -> tuple[float, float]:
+        """forward for one place, as numbers."""
+        p, r, phi, lam = self.params, self.radius, math.radians(lat), math.radians(lon)
+        if self.kind == "rotated":
+            tilt, turn = math.radians(90 + p["lat"]), lam - math.radians(p["lon"])
+            x, y, z = math.cos(turn) * math.cos(phi), math.sin(turn) * math.cos(phi), math.sin(phi)
+            return -math.degrees(math.atan2(y, math.cos(tilt) * x + math.sin(tilt) * z)), -math.degrees(math.asin(-math.sin(tilt) * x + math.cos(tilt) * z))
+        if self.kind == "lambert":
+            n, f, rho0, lam0 = self._cone()
+            rho, theta = f / math.tan(math.pi / 4 + phi / 2) ** n, n * math.remainder(lam - lam0, 2 * math.pi)
+            return r * rho * math.sin(theta), r * (rho0 - rho * math.cos(theta))
+        away, phi1 = lam - math.radians(p["lon"]), math.radians(p["lat"])
+        across = math.sin(phi1) * math.sin(phi) + math.cos(phi1) * math.cos(phi) * math.cos(away)
+        k = math.sqrt(2 / (1 + across)) if self.kind == "lambert_area" else 2 / (1 + across)
+        return r * k * math.cos(phi) * math.sin(away), r * k * (math.cos(phi1) * math.sin(phi) - math.sin(phi1) * math.cos(phi) * math.cos(away))
+
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         """Latitude and longitude, the latter in -180 to 180."""
         p = self.params

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from isobarn.operators import combine as C
-from isobarn.operators import facade, grids
+from isobarn.operators import grids
 from isobarn.plans import tables as T
 from isobarn.sources import storage as S
 
@@ -140,17 +140,6 @@ def json_documents(spark, sf_dir):
     return docs.select(F.get_json_object("value", "$.location_id").cast("bigint").alias("location_id"), F.size(F.from_json(F.get_json_object("value", "$.hourly.view"), "array<double>")).cast("bigint").alias("n"), F.get_json_object("value", "$.hourly.time[0]").alias("first"))
 
 
-def forecast_request(spark, sf_dir):
-    """All places, two models, raw and derived outputs and daily aggregates, by the request façade."""
-    grid = grids.Grid("w", 12, 6, -165.0, -75.0, 30.0, 30.0)
-    names = F.create_map(*[F.lit(x) for p in {"view": "temperature_2m", "click": "dew_point_2m", "purchase": "precipitation", "error": "wind_u_component_10m", "signup": "wind_v_component_10m"}.items() for x in p])
-    rename = lambda df: df.withColumns({"location_id": F.col("location_id") % 72, "variable": names[F.col("variable")]}).groupBy("location_id", "variable", "valid_time").agg(F.avg("value").alias("value"))
-    p = T.places(spark, sf_dir).withColumns({"start": F.lit("2024-01-05").cast("timestamp"), "stop": F.lit("2024-01-09").cast("timestamp"), "utc_offset_seconds": F.lit(0)})
-    request = facade.Request(["temperature_2m", "relative_humidity_2m", "wind_speed_10m"], ["temperature_2m_max", "precipitation_sum"], steps=1)
-    out = facade.forecast(p, {"high": rename(T.model(spark, sf_dir, True)), "low": rename(T.model(spark, sf_dir, False))}, {"high": grid, "low": grid}, request)
-    return T.tidy(out["daily"], 4)
-
-
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _r = T.r
