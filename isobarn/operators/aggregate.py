@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobarn.functions import meteo, solar
 from isobarn.functions.meteo import growing_degree
+from isobarn.operators.requests import resolve_alias
 from isobarn.operators.series import keys, ordered, seconds
 
 
@@ -56,20 +58,50 @@ def daily_interval_extreme(df: DataFrame, own: str, hourly: str, by: list[str],
     return df.groupBy(*by, local_day(time, offset).alias("day")).agg(F.coalesce(f(own), f(hourly)).alias(kind))
 
 
-#: Daily outputs: name -> (variable, kind). More are added with register_aggregation.
+# fixed values: variables of daily outputs by the aggregates they have
+_EXTREMES = "apparent_temperature cape cloud_cover dew_point_2m precipitation_probability pressure_msl relative_humidity_2m surface_pressure temperature_2m visibility wet_bulb_temperature_2m wind_gusts_10m wind_speed_10m wind_speed_100m wind_speed_200m sea_surface_temperature snow_depth soil_temperature_0_to_7cm soil_moisture_0_to_7cm wave_height".split()
+_SUMS = "precipitation rain showers snowfall snowfall_water_equivalent et0_fao_evapotranspiration sunshine_duration".split()
+_MAXIMA = "updraft uv_index uv_index_clear_sky vapour_pressure_deficit wind_wave_height swell_wave_height wave_period wind_wave_period wind_wave_peak_period swell_wave_period swell_wave_peak_period".split()
+_LAYERS = "0_to_100cm 0_to_10cm 0_to_7cm 7_to_28cm 28_to_100cm 100_to_255cm".split()
+#: Daily outputs: name -> (variable, kind). Old spellings are resolved (see requests.ALIASES). More are added with register_aggregation.
 DAILY: dict[str, tuple[str, str]] = {
-    **{f"{v}_{k}": (v, k) for v in ("temperature_2m", "apparent_temperature", "dew_point_2m", "wet_bulb_temperature_2m", "relative_humidity_2m", "cloud_cover", "pressure_msl", "surface_pressure", "visibility", "cape", "wind_speed_10m", "wind_gusts_10m", "soil_temperature_0_to_7cm", "soil_moisture_0_to_7cm", "wave_height") for k in ("max", "min", "mean")},
-    **{f"{v}_sum": (v, "sum") for v in ("precipitation", "rain", "showers", "snowfall", "et0_fao_evapotranspiration", "sunshine_duration")},
+    **{f"{v}_{k}": (v, k) for v in _EXTREMES for k in ("max", "min", "mean")},
+    **{f"{v}_sum": (v, "sum") for v in _SUMS},
+    **{f"{v}_max": (v, "max") for v in _MAXIMA},
+    **{f"{v}_{layer}_mean": (f"{v}_{layer}", "mean") for v in ("soil_moisture", "soil_temperature", "soil_moisture_index") for layer in _LAYERS},
+    **{f"{v}_{k}": (v, f"members_{k}") for v in ("river_discharge",) for k in ("max", "min", "mean", "median", "p25", "p75")},
+    "river_discharge": ("river_discharge", "mean"),
     "shortwave_radiation_sum": ("shortwave_radiation", "radiation_sum"),
     "direct_radiation_sum": ("direct_radiation", "radiation_sum"),
     "precipitation_hours": ("precipitation", "precipitation_hours"),
-    "precipitation_probability_max": ("precipitation_probability", "max"),
-    "uv_index_max": ("uv_index", "max"),
+    "et0_fao_evapotranspiration": ("et0_fao_evapotranspiration", "sum"),
     "weather_code": ("weather_code", "max"),
-    "vapour_pressure_deficit_max": ("vapour_pressure_deficit", "max"),
     "leaf_wetness_probability_mean": ("leaf_wetness_probability", "mean"),
     "growing_degree_days_base_0_limit_50": ("temperature_2m", "growing_degree_days"),
-}
+}
+#: Daily directions: name -> (weight, direction): the direction of the vector sum.
+DOMINANT: dict[str, tuple[str, str]] = {f"wind_direction_{z}m_dominant": (f"wind_speed_{z}m", f"wind_direction_{z}m") for z in (10, 100, 200)} | {f"{w}_direction_dominant": (f"{w}_height", f"{w}_direction") for w in ("wave", "wind_wave", "swell_wave")}
+#: Daily events of a place, which need no series.
+EVENTS = ["sunrise", "sunset", "daylight_duration", "moonrise", "moonset", "moon_phase"]
+
+
+def daily_inputs(outputs: list[str]) -> list[str]:
+    """Variables that daily outputs need."""
+    names = [resolve_alias(o) for o in outputs if o not in EVENTS]
+    return sorted({v for n in names for v in (DOMINANT[n] if n in DOMINANT else DAILY[n][:1])})
+
+
+def daily_events(days: DataFrame, outputs: list[str], key: str, offset: str = "utc_offset_seconds") -> DataFrame:
+    """Adds sunrise, sunset, daylight_duration, moonrise, moonset and moon_phase to days of places. days: key, day, lat, lon, offset."""
+    out = days.withColumn("_midnight", F.timestamp_seconds(seconds(F.col("day").cast("timestamp")) - F.col(offset)))
+    if {"sunrise", "sunset", "daylight_duration"} & set(outputs):
+        out = solar.sunrise_sunset(out, "_midnight", "lat", "lon")
+    if {"moonrise", "moonset"} & set(outputs):
+        moons = solar.moon_events(out.select(key, "_midnight", "lat", "lon"), key, "_midnight", "lat", "lon")
+        out = out.join(moons, [key, "_midnight"], "left")
+    if "moon_phase" in outputs:
+        out = out.withColumn("moon_phase", solar.moon_phase(F.timestamp_seconds(seconds("_midnight") + 43200)))
+    return out.select(*days.columns, *[o for o in outputs if o in EVENTS])
 
 
 def register_aggregation(output: str, variable: str, kind: str) -> None:
@@ -77,16 +109,34 @@ def register_aggregation(output: str, variable: str, kind: str) -> None:
 
 
 def daily_summary(df: DataFrame, outputs: list[str], steps: int | None = 24, dt: int = 3600, by: list[str] | None = None, offset: str | int = 0, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Named daily outputs of the long table in one grouped pass over the variables they need."""
+    """Named daily outputs of the long table in one grouped pass over the variables they need.
+
+    Directions are weighted by their speed or height, which takes the two side by side first. Statistics over members (of
+    river discharge) are those of all values of a day.
+    """
     by = [k for k in keys(df, by) if k != "variable"]
-    wanted = {o: DAILY[o] for o in outputs}
-    df = df.where(F.col("variable").isin(sorted({v for v, _ in wanted.values()})))
+    wanted = {o: resolve_alias(o) for o in outputs}
+    df = df.where(F.col("variable").isin(daily_inputs(outputs)))
+    directions = {o: DOMINANT[n] for o, n in wanted.items() if n in DOMINANT}
+    if directions:
+        more = [k for k in ("member",) if k in df.columns and k not in by]
+        pairs = df.groupBy(*by, *more, time).agg(*[F.max(F.when(F.col("variable") == v, F.col(value))).alias(v) for v in sorted({v for p in directions.values() for v in p})])
+        parts = [F.struct(F.lit(f"{side}:{o}").alias("variable"), (-F.col(s) * rule(F.radians(d))).alias(value)) for o, (s, d) in directions.items() for side, rule in (("east", F.sin), ("north", F.cos))]
+        pairs = pairs.select(*by, time, F.explode(F.array(*parts)).alias("_p")).select(*by, time, "_p.variable", F.col(f"_p.{value}").alias(value)).where(F.col(value).isNotNull())
+        df = df.select(*by, time, "variable", value).unionByName(pairs)
     columns = []
-    for output, (variable, kind) in wanted.items():
+    for output, name in wanted.items():
+        if output in directions:
+            east, north = (F.sum(F.when(F.col("variable") == f"{side}:{output}", F.col(value))) for side in ("east", "north"))
+            columns.append((F.degrees(F.atan2(east, north)) + 180).alias(output))
+            continue
+        variable, kind = DAILY[name]
         own = F.when(F.col("variable") == variable, F.col(value))
-        rule = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum}.get(kind)
+        rule = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum}.get(kind.removeprefix("members_"))
         if rule:
             found = rule(own)
+        elif kind.startswith("members_"):
+            found = quantile_at(F.sort_array(F.collect_list(own)), {"median": 0.5, "p25": 0.25, "p75": 0.75}[kind.removeprefix("members_")])
         elif kind == "radiation_sum":
             found = F.round(F.sum(own) * (dt / 1e6), 2)
         elif kind == "precipitation_hours":
@@ -104,6 +154,40 @@ def period_view(df: DataFrame, period: str, kinds: dict[str, str], by: list[str]
     return df.groupBy(*by, F.date_trunc(period, F.col(time)).alias(period)).agg(*[rule[k](c).alias(c) for c, k in kinds.items()])
 
 
+def period_anomaly(view: DataFrame, normals: DataFrame, by: list[str], column: str, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """by, <column>_mean, <column>_anomaly against normals (by, normal), and the percent of members whose anomaly is above each
+    threshold (_gt<n>) and below its negative (_lt<n>). view: by, one row for each member."""
+    joined = view.join(normals.select(*by, "normal"), by)
+    off = F.col(column) - F.col("normal")
+    name = lambda t: f"{t:g}".replace(".", "_")
+    share = lambda c: F.avg(F.when(c, 100.0).when(c.isNotNull(), 0.0))
+    odds = [x for t in thresholds for x in (share(off > t).alias(f"{column}_anomaly_gt{name(t)}"), share(off < -t).alias(f"{column}_anomaly_lt{name(t)}"))]
+    return joined.groupBy(*by).agg(F.avg(column).alias(f"{column}_mean"), F.avg(off).alias(f"{column}_anomaly"), *odds)
+
+
+def period_outputs(wide: DataFrame, outputs: list[str]) -> DataFrame:
+    """Weekly and monthly outputs that a wide table lacks, from those it has: snowfall and snow depth from water, wind from components."""
+    out = wide
+    for name in outputs:
+        if name in wide.columns:
+            continue
+        base, kind = name.rsplit("_", 1)
+        height = base.rsplit("_", 1)[-1]
+        col = lambda x, k=kind: F.col(f"{x}_{k}")
+        if base == "snowfall":
+            found = meteo.snowfall(col("snowfall_water_equivalent"))
+        elif base == "snow_depth":
+            found = meteo.snow_depth_from_water(col("snow_depth_water_equivalent"), F.col("snow_density_mean"))
+        elif base.startswith("wind_speed_"):
+            found = meteo.wind_speed(col(f"wind_u_component_{height}"), col(f"wind_v_component_{height}"))
+        elif base.startswith("wind_direction_"):
+            found = meteo.wind_direction(col(f"wind_u_component_{height}"), col(f"wind_v_component_{height}"))
+        else:
+            raise ValueError(f"no rule gives {name}")
+        out = out.withColumn(name, found)
+    return out
+
+
 def block_aggregate(df: DataFrame, n: float, kind: str, previous: bool = False, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """Blocks of n rows (may be fractional); null if a value is missing. previous: the block's value is the last one's."""
     by = keys(df, by)

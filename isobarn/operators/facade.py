@@ -127,6 +127,8 @@ def _mixed(models: list[DataFrame], names: list[str], smooth: bool, by: list[str
 
 def _unit(output: str, wanted: dict[str, str]) -> tuple[Column, str]:
     """An output column in the wanted units, and its unit."""
+    if output in aggregate.EVENTS or output in aggregate.DOMINANT:
+        return F.col(output), "°" if output in aggregate.DOMINANT else ""
     base = output
     for kind in ("_max", "_min", "_mean", "_sum"):
         base = base.removesuffix(kind)
@@ -152,7 +154,7 @@ def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, G
         past, ahead = (b if a is None else a for a, b in ((request.past_days, product.past_days), (request.forecast_days, product.forecast_days)))
         places = requests.time_range_for(places, F.lit(request.now).cast("timestamp"), past, ahead, max_days=product.max_days)
     models = request.models or list(series)
-    needed = sorted({aggregate.DAILY[o][0] for o in request.daily})
+    needed = aggregate.daily_inputs(request.daily)
     raw = sorted(derive.inputs_of([*request.hourly, *needed]) - {"elevation"})
     if available is None:
         found = [series[m].where(F.col("variable").isin(raw)).select("variable").distinct() for m in models]
@@ -189,7 +191,11 @@ def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, G
     if request.daily:
         long = derive.derive(wide, needed).select(*on, "utc_offset_seconds", "valid_time", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x"))
         long = long.select(*on, "utc_offset_seconds", "valid_time", "x.variable", "x.value")
-        found = aggregate.daily_summary(long, request.daily, request.steps or 86400 // dt, dt, on, "utc_offset_seconds")
+        own = [o for o in request.daily if o not in aggregate.EVENTS]
+        found = aggregate.daily_summary(long, own, request.steps or 86400 // dt, dt, on, "utc_offset_seconds")
+        if len(own) < len(request.daily):
+            days = found.select(key, "day").distinct().join(places.select(key, "lat", "lon", "utc_offset_seconds"), key)
+            found = found.join(aggregate.daily_events(days, request.daily, key).drop("lat", "lon", "utc_offset_seconds"), [key, "day"])
         out["daily"] = found.select(*on, "day", *[_unit(o, request.units)[0] for o in request.daily]).orderBy(*on, "day")
     return out
 

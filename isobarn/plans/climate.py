@@ -90,12 +90,11 @@ def _stream(spark, sf_dir):
 
 
 def _run(spark, stream, name):
-    """Run a stream to its end and read what it wrote."""
+    """Run a stream to its end in append mode and read what it wrote: what the watermark has closed."""
     out = f"{shared_dir(spark).rstrip('/')}/isobarn/{name}-{uuid.uuid4().hex}"
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    query = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", out + "-checkpoint").foreachBatch(write).start()
+    query = stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def streamed_resample(spark, sf_dir):
@@ -211,11 +210,12 @@ ORACLE = {
       q AS (SELECT location_id, part, avg(v) AS m, avg(CASE WHEN v < 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS dry FROM p GROUP BY ALL),
       s AS (SELECT location_id, day, least(day // 7, 51) AS part FROM (SELECT DISTINCT location_id FROM q), (SELECT unnest(range(365)) AS day))
       SELECT location_id, 1998 AS period, CAST(day AS INTEGER) AS day, {_r('CASE WHEN day % 7 >= round(dry * 7) THEN m / (greatest(7 - round(dry * 7), 1) / 7) ELSE 0 END')} AS normal FROM s LEFT JOIN q USING (location_id, part)""",
-    "streamed_resample": f"SELECT event_type AS variable, to_timestamp(CAST(ceil(epoch(ts) / 10800.0) AS BIGINT) * 10800)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS value FROM events GROUP BY ALL",
+    "streamed_resample": f"""SELECT * FROM (SELECT event_type AS variable, to_timestamp(CAST(ceil(epoch(ts) / 10800.0) AS BIGINT) * 10800)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS value FROM events GROUP BY ALL)
+      WHERE valid_time <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "streamed_sliding_mean": f"""WITH e AS (SELECT event_type AS variable, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) + k AS h FROM events, (SELECT unnest(range(1, 9)) AS k))
-      SELECT variable, to_timestamp(h * 3600)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS value FROM e GROUP BY ALL""",
-    "streamed_mean_spread": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS spread, count(value) AS members FROM events GROUP BY ALL",
-    "streamed_probability": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('100.0 * count(*) FILTER (value >= 20) / count(*)')} AS precipitation_probability FROM events GROUP BY ALL HAVING count(*) > 1",
+      SELECT variable, to_timestamp(h * 3600)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS value FROM e WHERE to_timestamp(h * 3600)::TIMESTAMP <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    "streamed_mean_spread": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS spread, count(value) AS members FROM events WHERE date_trunc('hour', ts) <= (SELECT date_trunc('hour', max(ts)) - INTERVAL 6 HOUR FROM events) GROUP BY ALL",
+    "streamed_probability": f"SELECT event_type AS variable, date_trunc('hour', ts)::TIMESTAMP AS valid_time, {_r('100.0 * count(*) FILTER (value >= 20) / count(*)')} AS precipitation_probability FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events) GROUP BY ALL HAVING count(*) > 1",
     "stored_series": f"WITH {T.MODELS} SELECT variable, location_id, valid_time, {_r('value')} AS value FROM low WHERE variable IN ('view', 'click') AND valid_time >= TIMESTAMP '2024-01-10' AND valid_time < TIMESTAMP '2024-01-25 12:00:00'",
     "stored_year": f"WITH {T.MODELS} SELECT variable, count(*) AS n, CAST(0 AS BIGINT) AS lost FROM low GROUP BY ALL",
     "upserted_batches": f"WITH {T.MODELS} SELECT variable, location_id, valid_time, {_r('coalesce(high.value + 100, low.value)')} AS value FROM low FULL OUTER JOIN high USING (variable, location_id, valid_time)",

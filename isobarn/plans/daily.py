@@ -53,6 +53,39 @@ def daily_named_outputs(spark, sf_dir):
     return T.tidy(A.daily_summary(h, outputs, None, by=["location_id"]))
 
 
+def daily_directions_and_layers(spark, sf_dir):
+    """Directions by vector sums, statistics of discharge, soil layers and old spellings in one request."""
+    e = T.table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("valid_time")).agg(F.avg("value").alias("v"), F.max("event_id").alias("k"))
+    rows = F.array(*[F.struct(F.lit(n).alias("variable"), x.cast("double").alias("value")) for n, x in {"wind_speed_10m": F.col("v"), "wind_direction_10m": F.col("k") % 360, "river_discharge": F.col("v") * 2, "soil_moisture_7_to_28cm": F.col("v") / 100, "cloud_cover": F.col("k") % 101}.items()])
+    long = e.select(F.col("user_id").alias("location_id"), "valid_time", F.explode(rows).alias("x")).select("location_id", "valid_time", "x.variable", "x.value")
+    outputs = ["wind_direction_10m_dominant", "river_discharge_median", "river_discharge_p75", "soil_moisture_7_to_28cm_mean", "cloudcover_max", "windspeed_10m_mean"]
+    return T.tidy(A.daily_summary(long, outputs, None, by=["location_id"]), 3)
+
+
+def daily_sun_events(spark, sf_dir):
+    """Sunrise, sunset and daylight of every place on a day of its own, by its offset."""
+    days = T.places(spark, sf_dir).select("place_id", "lat", "lon", "utc_offset_seconds", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("place_id") * 17 % 366).cast("int")).alias("day"))
+    found = A.daily_events(days, ["sunrise", "sunset", "daylight_duration", "moon_phase"], "place_id")
+    return T.tidy(found.select("place_id", "day", "sunrise", "sunset", "daylight_duration", "moon_phase"), 2)
+
+
+def weekly_anomalies(spark, sf_dir):
+    """Weekly means of members against normals, and the odds of being above and below."""
+    m = T.members(spark, sf_dir)
+    view = A.period_view(m, "week", {"value": "mean"}, ["location_id", "member"])
+    normals = view.groupBy("location_id", "week").agg((F.avg("value") - 0.02).alias("normal"))
+    return T.tidy(A.period_anomaly(view, normals, ["location_id", "week"], "value", (0.0, 0.1)))
+
+
+def weekly_outputs(spark, sf_dir):
+    """Weekly outputs from others: snow from water, wind from components."""
+    w = T.weather(spark, sf_dir).withColumn("valid_time", F.col("valid_time").cast("timestamp"))
+    names = {"snowfall_water_equivalent_mean": "precipitation", "wind_u_component_10m_mean": "wind_u_component_10m", "wind_v_component_10m_mean": "wind_v_component_10m", "snow_depth_water_equivalent_mean": "cloud_cover", "snow_density_mean": "pressure_msl"}
+    view = A.period_view(w.select((F.col("part") % 20).alias("location_id"), "valid_time", *[F.col(c).alias(n) for n, c in names.items()]), "week", {n: "mean" for n in names}, ["location_id"])
+    outputs = ["snowfall_mean", "snow_depth_mean", "wind_speed_10m_mean"]
+    return T.tidy(A.period_outputs(view, outputs).select("location_id", "week", *outputs))
+
+
 def weekly_monthly_view(spark, sf_dir):
     d = T.daily_long(spark, sf_dir).withColumn("valid_time", F.col("date").cast("timestamp"))
     week = A.period_view(d, "week", {"value": "mean"}, ["location_id"]).select("location_id", F.lit("week").alias("period"), F.col("week").alias("start"), "value")
@@ -147,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         daily_summary, daily_complete, daily_radiation_and_hours, daily_dominant_direction, daily_dominant_direction_uv, daily_interval_extreme,
-        daily_named_outputs, weekly_monthly_view, ensemble_mean_spread, ensemble_quantiles, precipitation_probability, block_aggregate,
+        daily_named_outputs, daily_directions_and_layers, daily_sun_events, weekly_anomalies, weekly_outputs, weekly_monthly_view, ensemble_mean_spread, ensemble_quantiles, precipitation_probability, block_aggregate,
         cumulative_count_below, growing_degree_days, coverage_report, converted_units, corrected_elevation, parsed_names, selected_variables,
         local_time_ranges, aligned_runs, expanded_requests, query_cost, selected_members,
     )
@@ -172,6 +205,16 @@ ORACLE = {
       {_r("round(sum(value + 0.0007) FILTER (variable = 'purchase') * 0.0036, 2)")} AS shortwave_radiation_sum, {_r("max(value + 0.0007) FILTER (variable = 'error')")} AS wind_speed_10m_max,
       {_r("max(value + 0.0007) FILTER (variable = 'signup')")} AS wind_gusts_10m_max, {_r("sum(least(greatest(value + 0.0007, 0), 50) / 24) FILTER (variable = 'view')")} AS growing_degree_days_base_0_limit_50
       FROM hourly GROUP BY ALL""",
+    "daily_directions_and_layers": f"""WITH e AS (SELECT user_id AS location_id, date_trunc('hour', ts) AS t, avg(value) AS v, max(event_id) AS k FROM events GROUP BY ALL),
+      d AS (SELECT location_id, CAST(t AS DATE) AS day, list(v * 2 ORDER BY v) AS q, sum(-v * sin(radians(CAST(k % 360 AS DOUBLE)))) AS ea, sum(-v * cos(radians(CAST(k % 360 AS DOUBLE)))) AS no, avg(v / 100) AS soil, max(k % 101) AS cloud, avg(v) AS speed FROM e GROUP BY ALL)
+      SELECT location_id, day, {_r('degrees(atan2(ea, no)) + 180', 3)} AS wind_direction_10m_dominant, """
+    + ", ".join(f"{_r(f'q[least(CAST(floor(len(q) * {x}) AS BIGINT), len(q) - 1) + 1] * (1 - (len(q) * {x} - floor(len(q) * {x}))) + q[least(CAST(floor(len(q) * {x}) AS BIGINT) + 1, len(q) - 1) + 1] * (len(q) * {x} - floor(len(q) * {x}))', 3)} AS river_discharge_{n}" for x, n in ((0.5, "median"), (0.75, "p75")))
+    + f""", {_r('soil', 3)} AS soil_moisture_7_to_28cm_mean, {_r('cloud', 3)} AS cloudcover_max, {_r('speed', 3)} AS windspeed_10m_mean FROM d""",
+    "weekly_anomalies": f"""WITH {T.MEMBERS}, v AS (SELECT location_id, member, date_trunc('week', valid_time)::TIMESTAMP AS week, avg(value) AS x FROM members GROUP BY ALL), n AS (SELECT location_id, week, avg(x) - 0.02 AS n FROM v GROUP BY ALL), o AS (SELECT *, x - n AS o FROM v JOIN n USING (location_id, week))
+      SELECT location_id, week, {_r('avg(x)')} AS value_mean, {_r('avg(o)')} AS value_anomaly, {_r('100.0 * count(*) FILTER (o > 0) / count(*)')} AS value_anomaly_gt0, {_r('100.0 * count(*) FILTER (o < 0) / count(*)')} AS value_anomaly_lt0,
+      {_r('100.0 * count(*) FILTER (o > 0.1) / count(*)')} AS value_anomaly_gt0_1, {_r('100.0 * count(*) FILTER (o < -0.1) / count(*)')} AS value_anomaly_lt0_1 FROM o GROUP BY ALL""",
+    "weekly_outputs": f"""WITH {T.WEATHER}, w AS (SELECT part % 20 AS location_id, date_trunc('week', valid_time)::TIMESTAMP AS week, avg(precipitation) AS p, avg(wind_u_component_10m) AS u, avg(wind_v_component_10m) AS v, avg(cloud_cover) AS c, avg(pressure_msl) AS d FROM weather GROUP BY ALL)
+      SELECT location_id, week, {_r('p * 0.7')} AS snowfall_mean, {_r('c / d')} AS snow_depth_mean, {_r('sqrt(u * u + v * v)')} AS wind_speed_10m_mean FROM w""",
     "weekly_monthly_view": f"""WITH {T.DAILY} SELECT location_id, 'week' AS period, date_trunc('week', date)::TIMESTAMP AS start, {_r('avg(value)')} AS value FROM daily_long GROUP BY ALL
       UNION ALL SELECT location_id, 'month', date_trunc('month', date)::TIMESTAMP, {_r('sum(value)')} FROM daily_long GROUP BY ALL""",
     "ensemble_mean_spread": f"WITH {T.MEMBERS} SELECT location_id, valid_time, {_r('avg(value)')} AS mean, {_r('stddev_samp(value)')} AS spread FROM members GROUP BY ALL",

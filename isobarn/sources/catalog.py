@@ -10,8 +10,9 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isobarn.operators.grids import Grid, Projection
+from isobarn.operators.grids import Grid, Projection, in_region
 
 # fixed values: variables by name: pattern, unit, interpolation, digits of a step as a factor, bounds, corrected by height
 VARIABLES = [
@@ -212,8 +213,38 @@ def variables_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, variable string, unit string, interpolation string, scalefactor double, lower_bound double, upper_bound double, elevation_correctable boolean")
 
 
+# fixed values: regions of the best models in order: name, south, north, west, east, the domain whose grid must hold the place, and
+# the domains by priority. The region of the UK lacks a triangle of the Channel.
+CHANNEL = [(49.9, -0.2), (49.9, 1.8), (51.1, 1.8)]
+REGIONS = [
+    ("benelux", 49.35, 53.79, 2.19, 7.66, "knmi_harmonie_arome_netherlands", ["knmi_harmonie_arome_netherlands", "ecmwf_ifs", "ecmwf_ifs025", "dwd_icon_d2", "dwd_icon_eu", "dwd_icon"]),
+    ("nordic", 54.9, 90.1, -180.0, 180.1, "metno_nordic_pp", ["metno_nordic_pp", "ecmwf_ifs"]),
+    ("uk", 49.9, 61.0, -11.0, 1.8, None, ["ukmo_uk_deterministic_2km", "ukmo_global_deterministic_10km", "ecmwf_ifs", "ecmwf_ifs025"]),
+    ("central_europe", -90.0, 90.1, -180.0, 180.1, "dwd_icon_d2", ["dwd_icon_d2", "ecmwf_ifs", "ecmwf_ifs025", "dwd_icon_eu", "dwd_icon"]),
+    ("western_europe", 42.10, 51.32, -6.18, 8.35, "meteofrance_arome_france_hd", ["meteofrance_arome_france_hd", "meteofrance_arome_france0025", "meteofrance_arpege_europe", "ecmwf_ifs", "dwd_icon_eu", "dwd_icon"]),
+    ("northern_europe", 44.0, 66.0, -180.0, 180.1, "dmi_harmonie_arome_europe", ["dmi_harmonie_arome_europe", "ecmwf_ifs", "dwd_icon_eu", "dwd_icon"]),
+    ("north_america", -90.0, 90.1, -180.0, 180.1, "ncep_hrrr_conus", ["ncep_hrrr_conus", "ncep_nbm_conus", "ecmwf_ifs", "ncep_gfs013", "dwd_icon"]),
+    ("japan", 27.4, 42.65, 125.0, 145.0, "jma_msm", ["jma_msm", "ecmwf_ifs", "dwd_icon"]),
+    ("eastern_europe", -90.0, 90.1, -180.0, 180.1, "dwd_icon_eu", ["dwd_icon_eu", "ecmwf_ifs", "dwd_icon"]),
+    ("world", -90.0, 90.1, -180.0, 180.1, None, ["ecmwf_ifs", "ncep_gfs013", "dwd_icon"]),
+]
+
+
+def best_match(places: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """key, region, priority, domain: the models of the first of REGIONS that serves a place; no join, as the table is in the plan."""
+    out = F.lit(None)
+    for name, south, north, west, east, needs, domains in reversed(REGIONS):
+        inside = (F.col(lat) >= south) & (F.col(lat) < north) & (F.col(lon) >= west) & (F.col(lon) < east)
+        if name == "uk":
+            inside = inside & in_region(F.col(lat), F.col(lon), (south, west, north, east), CHANNEL)
+        if needs:
+            inside = inside & grid_of(needs).cell(F.col(lat), F.col(lon)).isNotNull()
+        out = F.when(inside, F.struct(F.lit(name).alias("region"), F.array(*map(F.lit, domains)).alias("domains"))).otherwise(out)
+    return places.withColumn("_m", out).select(key, F.col("_m.region").alias("region"), F.posexplode("_m.domains").alias("priority", "domain"))
+
+
 def grid_of(domain: str) -> Grid | str:
     return next(d.grid for _, domains in FAMILIES.values() for d in domains if d.name == domain)
 
 
-__all__ = ["FAMILIES", "Domain", "domains_table", "fields", "grid_of", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_table"]
+__all__ = ["FAMILIES", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_table"]
