@@ -201,6 +201,10 @@ ORACLE = {
       SELECT location_id, season, {_r('coalesce(m.mean, o.mean)')} AS mean FROM o FULL OUTER JOIN m USING (location_id, season)""",
     "value_bins": f"WITH {_TIMED} SELECT location_id, {_r('min(value)')} AS bin_min, {_r('(max(value) - min(value)) / 99')} AS bin_width FROM timed GROUP BY ALL",
     "seasonal_distribution": f"WITH {_TIMED}, {_share('timed', 3)}, {_cdf('wt', 'location_id, season', 20)}",
+    "sliding_distribution": f"""WITH {_TIMED}, {_share('timed', 4)}, sp AS (SELECT location_id, round(min(epoch(valid_time)) / 31557600) AS fy, greatest(floor((round(max(epoch(valid_time)) / 31557600) - round(min(epoch(valid_time)) / 31557600) + 1) / 2), 1) AS bl FROM timed GROUP BY ALL),
+      yb AS (SELECT wt.*, (epoch(valid_time) / 31557600 - fy - 1) / 2 AS pl, bl FROM wt JOIN sp USING (location_id)),
+      wy AS (SELECT location_id, value, season, CAST(floor(pl) AS BIGINT) + o AS block, weight * CASE o WHEN 0 THEN 1 - (pl - floor(pl)) ELSE pl - floor(pl) END AS weight FROM yb, (SELECT unnest([0, 1]) AS o) WHERE floor(pl) + o >= 0 AND floor(pl) + o < bl),
+      {_cdf('wy', 'location_id, block, season', 20)}""",
     "trend_removed": f"""WITH {T.DAILY}, i AS (SELECT *, CAST(row_number() OVER (PARTITION BY location_id ORDER BY date) - 1 AS DOUBLE) AS i FROM daily_long), f AS (SELECT location_id, regr_slope(value, i) AS m, regr_intercept(value, i) AS c FROM i GROUP BY ALL)
       SELECT location_id, date, {_r('value - i * m - c / 2', 4)} AS value FROM i JOIN f USING (location_id)""",
     "daily_normals": f"""WITH {T.DAILY}, p AS (SELECT location_id, value, y AS period, date - DATE '1970-01-01' + o AS d FROM daily_long, (SELECT unnest([1996, 1999]) AS y), (SELECT unnest([-2, -1, 0, 1, 2]) AS o) WHERE year(date) >= y - 2 AND year(date) < y + 2)

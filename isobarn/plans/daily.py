@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isobarn.operators import aggregate as A
 from isobarn.operators import requests as Q
 from isobarn.plans import tables as T
+from isobarn.plans.derived import _position_cte
 
 KEY = ["location_id", "variable"]
 
@@ -210,6 +211,11 @@ ORACLE = {
       SELECT location_id, day, {_r('degrees(atan2(ea, no)) + 180', 3)} AS wind_direction_10m_dominant, """
     + ", ".join(f"{_r(f'q[least(CAST(floor(len(q) * {x}) AS BIGINT), len(q) - 1) + 1] * (1 - (len(q) * {x} - floor(len(q) * {x}))) + q[least(CAST(floor(len(q) * {x}) AS BIGINT) + 1, len(q) - 1) + 1] * (len(q) * {x} - floor(len(q) * {x}))', 3)} AS river_discharge_{n}" for x, n in ((0.5, "median"), (0.75, "p75")))
     + f""", {_r('soil', 3)} AS soil_moisture_7_to_28cm_mean, {_r('cloud', 3)} AS cloudcover_max, {_r('speed', 3)} AS windspeed_10m_mean FROM d""",
+    "daily_sun_events": f"""WITH {T.PLACES}, d AS (SELECT *, CAST(1704067200 + (place_id * 17 % 366) * 86400 - utc_offset_seconds AS DOUBLE) AS m0, 12 - lon / 15 AS noon FROM places), {_position_cte('d', '(m0 + floor(noon * 3600))')},
+      a AS (SELECT *, -(sin(radians(0.83333)) + sin(radians(lat)) * sin(radians(decl))) / (cos(radians(lat)) * cos(radians(decl))) AS arg FROM sun), b AS (SELECT *, degrees(acos(least(greatest(arg, -1), 1))) / 15 AS half FROM a)
+      SELECT place_id, DATE '2024-01-01' + CAST(place_id * 17 % 366 AS INTEGER) AS day, to_timestamp(CASE WHEN arg > 1 OR arg < -1 THEN m0 ELSE m0 + trunc((noon - half - eqt / 60) * 3600) END)::TIMESTAMP AS sunrise,
+      to_timestamp(CASE WHEN arg > 1 THEN m0 WHEN arg < -1 THEN m0 + 86400 ELSE m0 + trunc((noon + half - eqt / 60) * 3600) END)::TIMESTAMP AS sunset, {_r('CASE WHEN arg > 1 THEN 0 WHEN arg < -1 THEN 86400 ELSE half * 7200 END', 2)} AS daylight_duration,
+      {_r('(m0 + 43200 - 947182440) / (29.530588853 * 86400) - floor((m0 + 43200 - 947182440) / (29.530588853 * 86400))', 2)} AS moon_phase FROM b""",
     "weekly_anomalies": f"""WITH {T.MEMBERS}, v AS (SELECT location_id, member, date_trunc('week', valid_time)::TIMESTAMP AS week, avg(value) AS x FROM members GROUP BY ALL), n AS (SELECT location_id, week, avg(x) - 0.02 AS n FROM v GROUP BY ALL), o AS (SELECT *, x - n AS o FROM v JOIN n USING (location_id, week))
       SELECT location_id, week, {_r('avg(x)')} AS value_mean, {_r('avg(o)')} AS value_anomaly, {_r('100.0 * count(*) FILTER (o > 0) / count(*)')} AS value_anomaly_gt0, {_r('100.0 * count(*) FILTER (o < 0) / count(*)')} AS value_anomaly_lt0,
       {_r('100.0 * count(*) FILTER (o > 0.1) / count(*)')} AS value_anomaly_gt0_1, {_r('100.0 * count(*) FILTER (o < -0.1) / count(*)')} AS value_anomaly_lt0_1 FROM o GROUP BY ALL""",

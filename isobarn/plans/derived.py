@@ -129,10 +129,10 @@ def is_day(spark, sf_dir):
 
 
 def ephemeris_lookup(spark, sf_dir):
+    """Sun positions between the knots of a century's table."""
     table = solar.build_ephemeris(spark, "1950-01-01 00:00:00", "2049-12-31 00:00:00")
     s = solar.attach_ephemeris(_sun_hours(spark, sf_dir), table, "valid_time")
-    exact = solar.with_sun_position(s.withColumnsRenamed({"sun_declination": "d", "sun_equation_of_time": "e"}), solar.epoch(F.col("valid_time")))
-    return exact.groupBy((F.abs(F.col("d") - F.col("sun_declination")) < 0.02).alias("declination_close"), (F.abs(F.col("e") - F.col("sun_equation_of_time")) < 0.1).alias("equation_close")).agg(F.count(F.lit(1)).alias("n"))
+    return T.tidy(s.select("place_id", "hour", "sun_declination", "sun_equation_of_time"), 5)
 
 
 def moon(spark, sf_dir):
@@ -192,7 +192,33 @@ g1 AS (SELECT *, sin(radians(lat)) * sin(radians(decl)) AS a, cos(radians(lat))
 g2 AS (SELECT *, hh - floor(hh / (2 * pi())) * 2 * pi() - pi() AS h, CASE WHEN -a / b > 1 OR -a / b < -1 THEN pi() ELSE acos(least(greatest(-a / b, -1), 1)) END AS rise FROM g1)"""
 _CUT = lambda name, cut: f"{name} AS (SELECT *, greatest(-(rise{cut}), h - w) AS lo, least(rise{cut}, h) AS hi FROM {{src}})"
 
+_DEC = "acos(least(greatest(b / cos(radians(lat)), -1), 1)) * sign(a * sign(lat))"
+
+
+def _tilted(slope: str, panel: str) -> str:
+    facing = f"greatest(cos(zen) * cos({slope}) + sin(zen) * sin({slope}) * cos(azi - pi() - ({panel})), 0)"
+    return f"CASE WHEN hi > lo THEN CASE WHEN z <= 0.0001 THEN 300 ELSE 300 / z END * {facing} + (1 + cos({slope})) / 2 * 120 + 420 * 0.2 * (1 - (1 + cos({slope})) / 2) ELSE 0 END"
+
+
+_KNOT = lambda c: "b.{0} + f * ((c.{0} - a.{0}) / 2 + f * (a.{0} - 2.5 * b.{0} + 2 * c.{0} - d.{0} / 2 + f * ((d.{0} - a.{0}) / 2 + 1.5 * (b.{0} - c.{0}))))".format(c)
 ORACLE = {
+    "ephemeris_lookup": f"""WITH {T.PLACES}, {_SUN}, ks AS (SELECT k, CAST(-631152000 + k * 1728000 AS DOUBLE) AS s FROM (SELECT unnest(range(1827)) AS k)), {_position_cte('ks', 's')}, kk AS (SELECT k, decl, eqt FROM sun),
+      j AS (SELECT place_id, hour, (s + 631152000) / 1728000 - floor((s + 631152000) / 1728000) AS f, CAST(floor((s + 631152000) / 1728000) AS BIGINT) % 1827 AS k FROM sunt)
+      SELECT place_id, CAST(hour AS INTEGER) AS hour, {_r(_KNOT('decl'), 5)} AS sun_declination, {_r(_KNOT('eqt'), 5)} AS sun_equation_of_time
+      FROM j JOIN kk b ON b.k = j.k JOIN kk a ON a.k = (j.k + 1826) % 1827 JOIN kk c ON c.k = (j.k + 1) % 1827 JOIN kk d ON d.k = (j.k + 2) % 1827""",
+    "tilted_radiation": f"""WITH {T.PLACES}, {_SUN}, {_GEO}, g3 AS (SELECT *, greatest(-(CASE WHEN rise = pi() THEN rise ELSE rise - radians(3) END), h - w) AS lo, least(CASE WHEN rise = pi() THEN rise ELSE rise - radians(3) END, h) AS hi, {_DEC} AS dec FROM g2),
+      g4 AS (SELECT *, greatest(hi - lo, 0.001) AS wd FROM g3), g5 AS (SELECT *, least(greatest((b * (sin(hi) - sin(lo)) + a * (hi - lo)) / wd, -1), 1) AS z,
+        atan2(-(cos(dec) * (cos(lo) - cos(hi))) / wd, cos(radians(lat)) * sin(dec) - sin(radians(lat)) * cos(dec) * (sin(hi) - sin(lo)) / wd) AS azi FROM g4), g6 AS (SELECT *, acos(z) AS zen FROM g5)
+      SELECT place_id, CAST(hour AS INTEGER) AS hour, {_r(_tilted('radians(30)', 'radians(-45)'), 3)} AS fixed, {_r(_tilted('radians(0)', 'radians(0)'), 3)} AS flat, {_r(_tilted('zen', 'azi - pi()'), 3)} AS global_tilted_irradiance FROM g6""",
+    "moon": f"""WITH {T.PLACES}, p AS (SELECT place_id, lat, lon, CAST(1704067200 + (place_id * 17 % 366) * 86400 AS DOUBLE) AS m0 FROM places), t AS (SELECT *, (m0 + 3600 * hour - 946728000) / 86400 AS d FROM p, (SELECT unnest(range(-1, 26)) AS hour)),
+      u AS (SELECT *, 218.316 + 13.176396 * d AS l, radians(134.963 + 13.064993 * d) AS m, radians(93.272 + 13.229350 * d) AS fm, radians(297.850 + 12.190749 * d) AS el, radians(357.529 + 0.98560028 * d) AS ms FROM t),
+      v AS (SELECT *, radians(l + 6.289 * sin(m) + 1.274 * sin(2 * el - m) + 0.658 * sin(2 * el) + 0.214 * sin(2 * m) - 0.186 * sin(ms)) AS lo, radians(5.128 * sin(fm)) AS la, radians(23.4393 - 3.563e-7 * d) AS ob FROM u),
+      w AS (SELECT *, atan2(sin(lo) * cos(ob) - tan(la) * sin(ob), cos(lo)) AS ra, asin(sin(la) * cos(ob) + cos(la) * sin(ob) * sin(lo)) AS dec, radians(280.46061837 + 360.98564736629 * d + lon) AS st FROM v),
+      x AS (SELECT place_id, m0, hour, asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(st - ra)) AS hh FROM w), y AS (SELECT *, degrees(hh) - 0.9507 * cos(hh) AS y1 FROM x),
+      z AS (SELECT *, lag(y1) OVER o AS y0, lead(y1) OVER o AS y2 FROM y WINDOW o AS (PARTITION BY place_id ORDER BY hour)), c AS (SELECT *, y1 / (y1 - y2) AS ln, (y0 - 2 * y1 + y2) / 2 AS bend FROM z WHERE hour BETWEEN 0 AND 23 AND y1 * y2 <= 0 AND y1 <> y2),
+      e AS (SELECT place_id, y2 > y1 AS up, to_timestamp(round(m0 + 3600 * (hour + least(greatest(ln - bend * ln * (ln - 1) / ((y2 - y1) + bend * (2 * ln - 1)), 0), 1))))::TIMESTAMP AS at_ FROM c)
+      SELECT p.place_id, to_timestamp(m0)::TIMESTAMP AS midnight, min(at_) FILTER (up) AS moonrise, min(at_) FILTER (NOT up) AS moonset,
+      {_r('(m0 - 947182440) / (29.530588853 * 86400) - floor((m0 - 947182440) / (29.530588853 * 86400))')} AS phase FROM p LEFT JOIN e USING (place_id) GROUP BY p.place_id, m0""",
     "wind": f"""WITH {_UV} SELECT {_K}, {_r('u')} AS u, {_r('v')} AS v, {_r('speed')} AS speed, {_r('direction')} AS direction, {_r('-speed * sin(radians(direction))')} AS u_back, {_r('-speed * cos(radians(direction))')} AS v_back,
       {_r(f'speed * {_F80!r}')} AS speed_80m, {_r('sqrt((u * 0.5) ** 2 + (v * 1.5) ** 2) / speed')} AS speed_spread, {_r('degrees(sqrt((v * 0.5) ** 2 + (u * 1.5) ** 2) / (u * u + v * v))')} AS direction_spread,
       {_r('(direction - 12.5 + 360) % 360')} AS turned FROM s""",
