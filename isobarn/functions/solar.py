@@ -40,18 +40,23 @@ def with_sun_position(df: DataFrame, seconds: Column, prefix: str = "sun_") -> D
             p + "o": F.radians(125.04 - 1934.136 * c("t")),
         }
     )
-    center = (1.914602 - 0.004817 * c("t")) * F.sin(c("m")) + (0.019993 - 0.000101 * c("t")) * F.sin(2 * c("m")) + 0.000289 * F.sin(3 * c("m"))
+    # multiples of an angle come from its sine and cosine, so that a row takes ten trigonometric functions
+    df = df.withColumns({p + "sm": F.sin(c("m")), p + "cm": F.cos(c("m")), p + "s2": F.sin(2 * c("l0")), p + "c2": F.cos(2 * c("l0"))})
+    sm, s2, c2, t = c("sm"), c("s2"), c("c2"), c("t")
+    twice = 2 * sm * c("cm")
+    center = (1.914602 - 0.004817 * t) * sm + (0.019993 - 0.000101 * t) * twice + 0.000289 * sm * (3 - 4 * sm * sm)
     df = df.withColumns(
         {
             p + "long": c("l0") + F.radians(center - 0.00569 - 0.00478 * F.sin(c("o"))),
-            p + "tilt": F.radians(23.439291 - 0.0130042 * c("t") + 0.00256 * F.cos(c("o"))),
+            p + "tilt": F.radians(23.439291 - 0.0130042 * t + 0.00256 * F.cos(c("o"))),
         }
     )
-    df = df.withColumn(p + "y", F.pow(F.tan(c("tilt") / 2), F.lit(2.0)))
-    y, e, m, l0 = c("y"), c("e"), c("m"), c("l0")
-    equation = y * F.sin(2 * l0) - 2 * e * F.sin(m) + 4 * e * y * F.sin(m) * F.cos(2 * l0) - 0.5 * y * y * F.sin(4 * l0) - 1.25 * e * e * F.sin(2 * m)
+    df = df.withColumn(p + "ct", F.cos(c("tilt")))
+    df = df.withColumn(p + "y", (1 - c("ct")) / (1 + c("ct")))
+    y, e = c("y"), c("e")
+    equation = y * s2 - 2 * e * sm + 4 * e * y * sm * c2 - y * y * s2 * c2 - 1.25 * e * e * twice
     df = df.withColumns({prefix + "declination": F.degrees(F.asin(F.sin(c("tilt")) * F.sin(c("long")))), prefix + "equation_of_time": 4 * F.degrees(equation)})
-    return df.drop(*[p + x for x in ("t", "l0", "m", "e", "o", "long", "tilt", "y")])
+    return df.drop(*[p + x for x in ("t", "l0", "m", "e", "o", "long", "tilt", "y", "sm", "cm", "s2", "c2", "ct")])
 
 
 def sun_distance(time: Column) -> Column:
@@ -77,9 +82,10 @@ def with_geometry(df: DataFrame, time: str, lat: str, lon: str, dt: int, cutoff:
             "_b": F.cos(F.radians(c(lat))) * F.cos(F.radians(c("sun_declination"))),
             "_h": F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi,
             "_w": F.lit(math.radians(15 * dt / 3600)),
-            "_r2": F.pow(sun_distance(c(time)), F.lit(2.0)),
+            "_r": sun_distance(c(time)),
         }
     )
+    df = df.withColumn("_r2", c("_r") * c("_r")).drop("_r")
     edge = -c("_a") / c("_b")
     df = df.withColumn("_rise", F.when((edge > 1) | (edge < -1), F.lit(math.pi)).otherwise(F.acos(clamp(edge, -1.0, 1.0)) - math.radians(cutoff)))
     df = df.withColumns({"_lo": F.greatest(-c("_rise"), c("_h") - c("_w")), "_hi": F.least(c("_rise"), c("_h"))})

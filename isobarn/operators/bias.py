@@ -36,23 +36,25 @@ def seasonal_weighted_means(df: DataFrame, bins: int = 6, by: list[str] | None =
     return found.withColumn("mean", F.when(F.col("w") > 0.001, F.col("s") / F.col("w"))).drop("s", "w")
 
 
-def at_season(df: DataFrame, weights: DataFrame, name: str, bins: int, by: list[str], time: str = "valid_time") -> DataFrame:
-    """Add the seasonal mean at each row's time, on the line between two bins."""
-    own, place = season(time, bins)
-    for suffix, number in (("_a", own), ("_b", (own + 1) % bins)):
-        side = weights.select(*by, F.col("season").alias("_s"), F.col("mean").alias(name + suffix))
-        df = df.withColumn("_s", number).join(side, [*by, "_s"], "left").drop("_s")
-    return df.withColumn(name, F.col(name + "_a") * (1 - place) + F.col(name + "_b") * place).drop(name + "_a", name + "_b")
+def _by_season(weights: DataFrame, name: str, bins: int, by: list[str]) -> DataFrame:
+    """A series' seasonal means as one array."""
+    return weights.groupBy(*by).agg(F.array(*[F.max(F.when(F.col("season") == k, F.col("mean"))) for k in range(bins)]).alias(name))
 
 
 def apply_bias(df: DataFrame, reference: DataFrame, control: DataFrame, kind: str = "add", bins: int = 6, bounds: tuple[float, float] | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Correct values by the difference (add) or ratio (multiply) of two tables of seasonal means, within bounds."""
+    """Correct values by the difference (add) or ratio (multiply) of two tables of seasonal means, within bounds.
+
+    A series' means are two arrays by season, so the series is joined once.
+    """
     by = keys(df, by)
-    df = at_season(at_season(df, reference, "_m", bins, by, time), control, "_o", bins, by, time)
+    own, place = season(time, bins)
+    means = _by_season(reference, "_ms", bins, by).join(_by_season(control, "_os", bins, by), by, "full_outer")
+    between = lambda name: F.get(name, own.cast("int")) * (1 - place) + F.get(name, ((own + 1) % bins).cast("int")) * place
+    df = df.join(means, by, "left").withColumns({"_m": between("_ms"), "_o": between("_os")})
     out = F.col(value) + F.col("_m") - F.col("_o") if kind == "add" else F.col(value) * F.try_divide("_m", "_o")
     if bounds:
         out = F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(bounds[0])), F.lit(bounds[1])))
-    return df.withColumn(value, out).drop("_m", "_o")
+    return df.withColumn(value, out).drop("_m", "_o", "_ms", "_os")
 
 
 def interpolated_weights(weights: DataFrame, corners: DataFrame, key: str) -> DataFrame:
