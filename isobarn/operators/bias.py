@@ -112,7 +112,7 @@ def year_block(time: str | Column, first_year: Column, years: int = 10) -> tuple
 def sliding_cdf(df: DataFrame, ranges: DataFrame, seasons: int = 4, years: int = 10, n: int = QUANTILES, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """by, block, season, bin, cdf: distributions by season and block of years, shared in both directions."""
     by = keys(df, by)
-    span = df.groupBy(*by).agg(F.round(F.min(seconds(time)) / YEAR).alias("first_year"), F.greatest(F.floor((F.round(F.max(seconds(time)) / YEAR) - F.round(F.min(seconds(time)) / YEAR) + 1) / years), F.lit(1)).alias("blocks"))
+    span = _span(df, by, time, years)
     own = _shared(df.where(F.col(value).isNotNull()), time, seasons).join(span, by)
     block, place = year_block(time, F.col("first_year"), years)
     parts = F.array(F.struct(block.alias("block"), (1 - place).alias("share")), F.struct((block + 1).alias("block"), place.alias("share")))
@@ -126,30 +126,38 @@ def _curve(cdf: DataFrame, group: list[str], name: str) -> DataFrame:
     return cdf.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias(name))
 
 
-def _at_time(df: DataFrame, cdf: DataFrame, name: str, seasons: int, by: list[str], time: Column, span: DataFrame | None = None, years: int = 10) -> DataFrame:
-    """Add the distribution at a time: between two seasons, and two blocks of years where it has blocks."""
-    own, place = season(time, seasons)
-    if "block" not in cdf.columns:
-        curves = _curve(cdf, [*by, "season"], "_c")
-        for suffix, number in (("_a", own), ("_b", (own + 1) % seasons)):
-            df = df.withColumn("season", number).join(curves.withColumnRenamed("_c", "_c" + suffix), [*by, "season"], "left").drop("season")
-        return df.withColumn("_p", place).withColumn(name, F.expr("zip_with(_c_a, _c_b, (a, b) -> a * (1 - _p) + b * _p)")).drop("_c_a", "_c_b", "_p")
-    block, inside = year_block(time, F.col("first_year"), years)
-    last = F.col("blocks") - 1
-    low, high = F.least(F.greatest(block, F.lit(0)), last), F.least(F.greatest(block + 1, F.lit(0)), last)
-    df = df.join(span, by).withColumns({"_low": low, "_high": high, "_q": F.when((block < 0) | (block >= last), F.lit(0.0)).otherwise(inside)})
-    low_side = _at_block(df, cdf, "_low", "_x", seasons, by, time)
-    both = _at_block(low_side, cdf, "_high", "_y", seasons, by, time)
-    return both.withColumn(name, F.expr("zip_with(_x, _y, (a, b) -> a * (1 - _q) + b * _q)")).drop("_x", "_y", "_q", "_low", "_high", "first_year", "blocks")
+def _span(df: DataFrame, by: list[str], time: str, years: int) -> DataFrame:
+    """First year and number of blocks of each series."""
+    first, last = F.round(F.min(seconds(time)) / YEAR), F.round(F.max(seconds(time)) / YEAR)
+    return df.groupBy(*by).agg(first.alias("first_year"), F.greatest(F.floor((last - first + 1) / years), F.lit(1)).alias("blocks"))
+
+
+def _all_curves(cdf: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """All distributions of a series in one row: a map from block and season to a curve."""
+    group = [*by, *(["block"] if "block" in cdf.columns else []), "season"]
+    key = (F.col("block") * 100 if "block" in cdf.columns else F.lit(0)) + F.col("season")
+    return _curve(cdf, group, "_c").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key.cast("int").alias("k"), "_c"))).alias(name))
+
 
+def _between(a: Column, b: Column, place: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * (1 - place) + y * place)
 
-def _at_block(df: DataFrame, cdf: DataFrame, block: str, name: str, seasons: int, by: list[str], time: Column) -> DataFrame:
-    curves = _curve(cdf, [*by, "block", "season"], "_c")
+
+def _at_time(name: str, seasons: int, time: Column, years: int | None = None) -> Column:
+    """The distribution at a time, from the map of column `name`: between two seasons and, with years, between two blocks, whose
+    first year and number are columns too."""
     own, place = season(time, seasons)
-    for suffix, number in (("_a", own), ("_b", (own + 1) % seasons)):
-        side = curves.withColumnRenamed("_c", "_c" + suffix).withColumnRenamed("block", block)
-        df = df.withColumn("season", number).join(side, [*by, block, "season"], "left").drop("season")
-    return df.withColumn("_p", place).withColumn(name, F.expr("zip_with(_c_a, _c_b, (a, b) -> a * (1 - _p) + b * _p)")).drop("_c_a", "_c_b", "_p")
+
+    def of_block(block: Column) -> Column:
+        at = lambda s: F.try_element_at(F.col(name), (block * 100 + s).cast("int"))
+        return _between(at(own), at((own + 1) % seasons), place)
+
+    if years is None:
+        return of_block(F.lit(0))
+    block, inside = year_block(time, F.col(name + "_first"), years)
+    last = F.col(name + "_blocks") - 1
+    low, high = F.least(F.greatest(block, F.lit(0)), last), F.least(F.greatest(block + 1, F.lit(0)), last)
+    return _between(of_block(low), of_block(high), F.when((block < 0) | (block >= last), F.lit(0.0)).otherwise(inside))
 
 
 def cdf_lookup(curve: str, value: Column, low: str = "bin_min", width: str = "bin_width", n: int = QUANTILES) -> Column:
@@ -186,27 +194,25 @@ def quantile_delta_mapping(reference: DataFrame, control: DataFrame, kind: str =
     """
     by = keys(control, by)
     least = None if kind == "add" else 0.0
-    rename = lambda t, p: t.withColumnsRenamed({"bin_min": p + "_min", "bin_width": p + "_width"})
-    end = reference.groupBy(*by).agg((F.max(seconds(time)) - YEAR * years // 2).alias("_end"))
+    facts = reference.groupBy(*by).agg((F.max(seconds(time)) - YEAR * years // 2).alias("_end"))
     past = linear_trend_removed(reference, by, time, value) if detrend else reference
     during = control
     if detrend:
         stop = reference.groupBy(*by).agg(F.max(time).alias("_stop"))
         during = linear_trend_removed(control.join(stop, by).where(F.col(time) <= F.col("_stop")).drop("_stop"), by, time, value)
-    span = lambda t: t.groupBy(*by).agg(F.round(F.min(seconds(time)) / YEAR).alias("first_year"), F.greatest(F.floor((F.round(F.max(seconds(time)) / YEAR) - F.round(F.min(seconds(time)) / YEAR) + 1) / years), F.lit(1)).alias("blocks"))
-    tables = {}
-    for name, data, sliding in (("r", past, not detrend), ("c", during, not detrend), ("f", control, True)):
+    for name, data, sliding in (("_r", past, not detrend), ("_c", during, not detrend), ("_f", control, True)):
         ranges = value_range_bins(data, n, least, by, value)
         cdf = sliding_cdf(data, ranges, 4, years, n, by, time, value) if sliding else seasonal_cdf(data, ranges, 3, n, by, time, value)
-        tables[name] = (ranges, cdf, span(data) if sliding else None, 4 if sliding else 3)
-    out = control.join(end, by)
+        facts = facts.join(ranges.withColumnsRenamed({"bin_min": name + "_min", "bin_width": name + "_width"}), by).join(_all_curves(cdf, name + "_map", by), by)
+        if sliding:
+            facts = facts.join(_span(data, by, time, years).withColumnsRenamed({"first_year": name + "_map_first", "blocks": name + "_map_blocks"}), by)
+    # all that is known of a series is one row, so the series is joined once
+    out = control.join(facts, by)
     over = seconds(time) >= F.col("_end")
     back = F.col("_end") + seconds(time) % YEAR - YEAR
-    then = F.timestamp_seconds(F.when(over, back).otherwise(seconds(time))) if not detrend else F.col(time)
-    for name, at in (("f", F.col(time)), ("r", then), ("c", then)):
-        ranges, cdf, spans, seasons = tables[name]
-        out = _at_time(out.withColumn("_t", at), cdf, f"_{name}", seasons, by, F.col("_t"), spans, years).drop("_t")
-        out = out.join(rename(ranges, f"_{name}"), by)
+    then = F.col(time) if detrend else F.timestamp_seconds(F.when(over, back).otherwise(seconds(time)))
+    sliding, seasons = (years, 4) if not detrend else (None, 3)
+    out = out.withColumns({"_f": _at_time("_f_map", 4, F.col(time), years), "_r": _at_time("_r_map", seasons, then, sliding), "_c": _at_time("_c_map", seasons, then, sliding)})
     out = out.withColumn("_e", cdf_lookup("_f", F.col(value), "_f_min", "_f_width", n))
     mapped, own = cdf_inverse("_r", F.col("_e"), "_r_min", "_r_width", n), cdf_inverse("_c", F.col("_e"), "_c_min", "_c_width", n)
     if kind == "add":
