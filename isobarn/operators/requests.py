@@ -22,6 +22,19 @@ def resolve_alias(name: str) -> str:
     return name
 
 
+# fixed values: dataset names that ensemble requests use, and the ensemble each stands for
+ENSEMBLE_ALIASES = {
+    "icon_global": "dwd_icon_eps", "icon_eu": "dwd_icon_eu_eps", "icon_d2": "dwd_icon_d2_eps", "ecmwf_ifs025": "ecmwf_ifs025_ensemble", "ecmwf_aifs025": "ecmwf_aifs025_ensemble", "gem_global": "cmc_gem_geps",
+    "gfs025": "ncep_gefs025", "gfs05": "ncep_gefs05", "meteoswiss_icon_ch1": "meteoswiss_icon_ch1_ensemble", "meteoswiss_icon_ch2": "meteoswiss_icon_ch2_ensemble",
+}
+
+
+def select_datasets(series: DataFrame, names: str | list[str], ensemble: bool = False) -> DataFrame:
+    """Rows of the datasets, given as a list or comma-separated; in ensemble requests, names of models stand for their ensembles."""
+    wanted = [n.strip() for n in (names.split(",") if isinstance(names, str) else names)]
+    return series.where(F.col("domain").isin(sorted({ENSEMBLE_ALIASES.get(n, n) if ensemble else n for n in wanted})))
+
+
 def select_variables(series: DataFrame, names: str | list[str]) -> DataFrame:
     """Rows of the variables, given as a list or comma-separated, old names included."""
     wanted = names.split(",") if isinstance(names, str) else names
@@ -55,6 +68,30 @@ def time_range_for(places: DataFrame, now: Column, past_days: int = 0, forecast_
     return places.withColumns({"start": F.timestamp_seconds(today - 86400 * past_days), "stop": F.timestamp_seconds(today + 86400 * forecast_days)})
 
 
+def date_range_for(places: DataFrame, start_date: str, end_date: str, offset: str = "utc_offset_seconds", earliest: str = "1940-01-01", latest: str = "2100-01-01") -> DataFrame:
+    """Add start and stop (read times) of whole local days from start_date to end_date, both included, aligned to whole hours of
+    the offset. Dates must be ordered and within the limits."""
+    if not earliest <= start_date <= end_date <= latest:
+        raise ValueError(f"dates must be ordered and within {earliest} to {latest}")
+    hours = F.floor(F.col(offset) / 3600) * 3600
+    day = lambda text: F.unix_seconds(F.lit(text).cast("timestamp")) - hours
+    return places.withColumns({"start": F.timestamp_seconds(day(start_date)), "stop": F.timestamp_seconds(day(end_date) + 86400)})
+
+
+def run_range_for(places: DataFrame, run: str, steps: int, dt: int) -> DataFrame:
+    """Add start and stop of a single run: so many steps from the run's time on."""
+    first = F.lit(run).cast("timestamp")
+    return places.withColumns({"start": first, "stop": F.timestamp_seconds(F.unix_seconds(first) + steps * dt)})
+
+
+def step_range_for(places: DataFrame, now: Column, steps: int, dt: int = 3600, past: int = 0, initial: str = "next") -> DataFrame:
+    """Add start and stop of so many steps of dt seconds (900 for quarters): from the step after now (next), the one that now
+    lies in (current), or midnight of its day (midnight), and `past` steps before it."""
+    seconds_now = F.unix_seconds(now)
+    first = {"next": F.ceil(seconds_now / dt) * dt, "current": F.floor(seconds_now / dt) * dt, "midnight": F.floor(seconds_now / 86400) * 86400}[initial]
+    return places.withColumns({"start": F.timestamp_seconds(first - past * dt), "stop": F.timestamp_seconds(first + steps * dt)})
+
+
 def steps_ahead(now: Column, steps: int, dt: int, past: int = 0) -> tuple[Column, Column]:
     """Start and stop of so many steps from the one after now, or from past steps before it."""
     first = F.ceil(F.unix_seconds(now) / dt) * dt

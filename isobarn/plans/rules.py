@@ -12,6 +12,7 @@ from isobarn.operators import derive as D
 from isobarn.operators import facade, grids, resample
 from isobarn.operators import requests as Q
 from isobarn.plans import tables as T
+from isobarn.sources import storage as S
 
 KEYS = ["place_id", "line", "part"]
 REGION = grids.Grid("region", 120, 60, -60.0, -30.0, 1.0, 1.0)
@@ -104,6 +105,31 @@ def widened_ranges(spark, sf_dir):
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
 
 
+def requested_ranges(spark, sf_dir):
+    """Dates, single runs, and steps from the next, the current and the first step of the day."""
+    p, now = T.places(spark, sf_dir), F.lit("2024-02-03 12:24:00").cast("timestamp")
+    found = {"dates": Q.date_range_for(p, "2024-01-05", "2024-01-07"), "run": Q.run_range_for(p, "2024-01-05 06:00:00", 10, 10800), "next": Q.step_range_for(p, now, 4), "current": Q.step_range_for(p, now, 8, 900, 2, "current"), "midnight": Q.step_range_for(p, now, 24, 3600, 0, "midnight")}
+    parts = [x.select("place_id", F.lit(n).alias("kind"), "start", "stop") for n, x in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+def selected_datasets(spark, sf_dir):
+    """Rows of datasets by the names of requests and of ensemble requests."""
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("dwd_icon", "dwd_icon_eps", "ncep_gefs05", "gfs05", "other")]), (F.col("location_id") % 5 + 1).cast("int"))
+    h = T.hourly(spark, sf_dir).withColumn("domain", domain)
+    one = Q.select_datasets(h, "dwd_icon, gfs05").withColumn("kind", F.lit("plain"))
+    return one.unionByName(Q.select_datasets(h, ["icon_global", "gfs05"], True).withColumn("kind", F.lit("ensemble"))).groupBy("kind", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_with_sections(spark, sf_dir):
+    """Hourly and daily sections in one document a place, with the decimals of their units."""
+    h = T.hourly(spark, sf_dir).where("variable = 'view'").select("location_id", F.date_format("valid_time", "yyyy-MM-dd'T'HH:mm").alias("time"), (F.col("value") + 0.0001).alias("view"))
+    d = T.hourly(spark, sf_dir).where("variable = 'click'").groupBy("location_id", F.date_format("valid_time", "yyyy-MM-dd").alias("time")).agg(F.max("value").alias("click_max"))
+    docs = S.json_sections({"hourly": (h, {"view": "°C"}), "daily": (d, {"click_max": "mm"})}, ["location_id"], {"hourly": "time", "daily": "time"})
+    at = lambda path, kind: F.from_json(F.get_json_object("value", path), kind)
+    return docs.select(F.get_json_object("value", "$.location_id").cast("bigint").alias("location_id"), F.size(at("$.hourly.view", "array<double>")).cast("bigint").alias("hours"), F.round(F.array_max(at("$.hourly.view", "array<double>")), 1).alias("most"), F.size(at("$.daily.click_max", "array<double>")).cast("bigint").alias("days"), F.get_json_object("value", "$.daily_units.click_max").alias("unit"))
+
+
 def placed_steps(spark, sf_dir):
     """Hours with events on the regular axis of their place."""
     h = T.hourly(spark, sf_dir).where("variable = 'view'").select("location_id", "valid_time", "value")
@@ -176,6 +202,12 @@ ORACLE = {
       SELECT place_id, TIMESTAMP '2024-01-05' + to_hours(CAST(3 * h AS INTEGER)) AS valid_time, {_r('lat')} AS lat, {_r('elevation')} AS elevation FROM p, (SELECT unnest(range(8)) AS h)""",
     "widened_ranges": f"""WITH {T.PLACES}, b AS (SELECT place_id, (1706963040 + utc_offset_seconds) // 86400 * 86400 - utc_offset_seconds AS d FROM places)
       SELECT place_id, kind, to_timestamp(d - 86400 - pad)::TIMESTAMP AS start, to_timestamp(d + 172800 + pad)::TIMESTAMP AS stop FROM b, (VALUES ('instant', 0), ('linear', 3600), ('hermite', 21600), ('solar', 43200)) AS k(kind, pad)""",
+    "requested_ranges": f"""WITH {T.PLACES}, d AS (SELECT place_id, 1704412800 - utc_offset_seconds AS s FROM places), k(kind, a, b) AS (VALUES ('run', 1704434400, 1704434400 + 108000), ('next', 1706965200, 1706965200 + 14400), ('current', 1706962500 - 1800, 1706962500 + 7200), ('midnight', 1706918400, 1706918400 + 86400))
+      SELECT place_id, 'dates' AS kind, to_timestamp(s)::TIMESTAMP AS start, to_timestamp(s + 3 * 86400)::TIMESTAMP AS stop FROM d UNION ALL SELECT place_id, kind, to_timestamp(a)::TIMESTAMP, to_timestamp(b)::TIMESTAMP FROM places, k""",
+    "selected_datasets": f"""WITH {T.HOURLY}, h AS (SELECT ['dwd_icon', 'dwd_icon_eps', 'ncep_gefs05', 'gfs05', 'other'][location_id % 5 + 1] AS domain FROM hourly)
+      SELECT CASE WHEN domain IN ('dwd_icon', 'gfs05') THEN 'plain' ELSE 'ensemble' END AS kind, domain, count(*) AS n FROM h WHERE domain IN ('dwd_icon', 'gfs05', 'dwd_icon_eps', 'ncep_gefs05') GROUP BY ALL""",
+    "json_with_sections": f"""WITH {T.HOURLY}, v AS (SELECT location_id, count(*) AS hours, round(max(round(value + 0.0001, 1)), 1) AS most FROM hourly WHERE variable = 'view' GROUP BY ALL), c AS (SELECT location_id, count(DISTINCT CAST(valid_time AS DATE)) AS days FROM hourly WHERE variable = 'click' GROUP BY ALL)
+      SELECT location_id, coalesce(hours, -1) AS hours, most, coalesce(days, -1) AS days, CASE WHEN days IS NOT NULL THEN 'mm' END AS unit FROM v FULL OUTER JOIN c USING (location_id)""",
     "placed_steps": f"WITH {T.REGULAR}, {T.HOURLY} SELECT r.location_id, r.valid_time, {_r('h.value')} AS value FROM regular r LEFT JOIN (SELECT * FROM hourly WHERE variable = 'view') h USING (location_id, valid_time)",
     "bias_between_cells": f"""WITH {T.DAILY}, {_SEASON}, c AS (SELECT s_suppkey AS place_id, s_suppkey + k * 7 AS cell_id, w FROM supplier, (VALUES (0, 0.1::DOUBLE), (1, 0.2::DOUBLE), (2, 0.3::DOUBLE), (3, 0.4::DOUBLE)) AS v(k, w))
       SELECT place_id, season, {_r('sum(c.w * mean) / sum(c.w) FILTER (mean IS NOT NULL)')} AS mean FROM c JOIN m ON location_id = cell_id GROUP BY ALL""",

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isobarn.operators.requests import DIGITS
 from isobarn.operators.series import SCHEMA, bounded, keys, seconds, stored_keys
 
 #: Seconds of one time chunk, and the location numbers that share a file of it.
@@ -227,9 +228,11 @@ def write_csv(result: DataFrame, units: dict[str, str], path: str, events: list[
     result.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def json_documents(result: DataFrame, place: list[str], section: str, units: dict[str, str], time: str = "valid_time") -> DataFrame:
-    """One JSON document a place: its columns, the units, and arrays by time; non-finite values are null."""
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c))
+def json_documents(result: DataFrame, place: list[str], section: str, units: dict[str, str], time: str = "valid_time", decimals: bool = False) -> DataFrame:
+    """One JSON document a place: its columns, the units, and arrays by time; non-finite values are null. decimals: as many as
+    the unit has."""
+    rounded = lambda c: F.round(F.col(c), DIGITS.get(units[c], 2)) if decimals else F.col(c)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), rounded(c))
     row = F.struct(F.col(time).alias("time"), *[(finite(c) if dict(result.dtypes)[c] in ("double", "float") else F.col(c)).alias(c) for c in units])
     grouped = result.groupBy(*place).agg(F.sort_array(F.collect_list(row)).alias("_r"))
     arrays = F.struct(*[F.col("_r").getField(c).alias(c) for c in ("time", *units)])  # a field of an array of rows is an array
@@ -237,5 +240,23 @@ def json_documents(result: DataFrame, place: list[str], section: str, units: dic
     return grouped.select(F.to_json(F.struct(*place, described.alias(f"{section}_units"), arrays.alias(section)), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def json_sections(sections: dict[str, tuple[DataFrame, dict[str, str]]], place: list[str], time: dict[str, str] | None = None, decimals: bool = True) -> DataFrame:
+    """One JSON document a place with several sections (hourly, daily...): name -> (table, units). A section without rows is left out.
+
+    Each section is grouped by place for itself; the documents are then merged by place.
+    """
+    out, names = None, []
+    for name, (table, units) in sections.items():
+        own = json_documents(table, place, name, units, (time or {}).get(name, "valid_time"), decimals)
+        kinds = dict(table.dtypes)
+        keys_ = [F.get_json_object("value", f"$.{p}").cast(kinds[p]).alias(p) for p in place]
+        part = own.select(*keys_, *[F.get_json_object("value", f"$.{x}").alias(x) for x in (f"{name}_units", name)])
+        out = part if out is None else out.join(part, place, "full_outer")
+        names += [f"{name}_units", name]
+    head = F.to_json(F.struct(*place))
+    body = F.concat_ws(",", *[F.when(F.col(n).isNotNull(), F.concat(F.lit(f'"{n}":'), F.col(n))) for n in names])
+    return out.select(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), body, F.lit("}")).alias("value"))
+
+
 def write_json(result: DataFrame, place: list[str], section: str, units: dict[str, str], path: str) -> None:
     json_documents(result, place, section, units).write.mode("overwrite").text(path)
