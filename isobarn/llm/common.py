@@ -16,6 +16,8 @@ BATCH_ROWS = 500
 BATCH_BYTES = 32 << 20
 #: Keys with over one in so many of all rows are joined apart; there are fewer than so many of them.
 HOT = 2000
+#: Rows up to which a table of some numbers each is broadcast whole (about 20 MB).
+FEW = 500_000
 #: Column that tells rows apart where ids are null or repeat; written with a table, so that each read gives the same.
 TAG = "_isobarn_row"
 
@@ -49,9 +51,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def attach(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined with facts, which have one row a key and the number `n` of its rows among `total`.
 
-    Keys with many rows (fewer than HOT of them, so their facts are broadcast) are joined where the rows lie; only the
-    rows of the others are dealt by key. `rows` is read twice.
+    Up to FEW rows there are as few facts, which are broadcast. Beyond, keys with many rows (fewer than HOT of them, so
+    their facts are broadcast) are joined where the rows lie; only the rows of the others are dealt by key. `rows` is
+    read twice then.
     """
+    if total <= FEW:
+        return rows.join(F.broadcast(facts.drop(n)), key)
     often = F.col(n) > max(1, total // HOT)
     hot, cold = F.broadcast(facts.where(often).drop(n)), facts.where(~often).drop(n)
     there = rows.join(hot, key)

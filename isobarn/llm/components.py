@@ -29,9 +29,13 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """vertex, root for every vertex that is not its component's smallest. edges: u, v (bigint), u <> v."""
-    edges = materialize(edges.where("u <> v").distinct(), "edges")
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """vertex, root for every vertex that is not its component's smallest. edges: u, v (bigint), u <> v. known: the result of
+    an earlier run, to whose components the edges are added; its stars take the place of the edges they came from."""
+    edges = edges.where("u <> v")
+    if known is not None:
+        edges = edges.union(known.select("vertex", "root"))
+    edges = materialize(edges.distinct(), "edges")
     before = _signature(edges)
     while before[0]:
         large = materialize(_large_star(edges, before[0]), "edges")

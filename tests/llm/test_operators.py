@@ -460,8 +460,11 @@ def test_near_dedup_stage_drops_rows_and_not_ids(spark):
     assert left == collections.Counter([(1, text), (1, rows[2][1]), (None, rows[4][1]), (4, "")])
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
-def test_gray_index_finds_all_links(spark, limit):
+@pytest.mark.parametrize("limit, few", [(4096, 500_000), (8, 500_000), (8, 0)])
+def test_gray_index_finds_all_links(spark, limit, few, monkeypatch):
+    from isobarn.llm import common
+
+    monkeypatch.setattr(common, "FEW", few)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
     codes = [*base]
@@ -659,9 +662,13 @@ def test_very_long_texts(spark):
     assert chat.read_back(chat.formatted(chat.canonical(turns))).first().loss_text == long
 
 
-def test_hot_keys_are_joined_apart(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_hot_keys_are_joined_apart(spark, few, monkeypatch):
+    from isobarn.llm import common
     from isobarn.llm.common import attach
 
+    monkeypatch.setattr(common, "FEW", few)
+
     rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id")
     facts = rows.groupBy("k").agg({"id": "min", "*": "count"}).withColumnsRenamed({"min(id)": "least", "count(1)": "n"})
     found = attach(rows, facts, "k", "n", 5000)
