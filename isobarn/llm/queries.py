@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobarn.llm import chat, decontaminate, html, langid, packing, pii, quality, simhash, sketch, substring
+from isobarn.llm import chat, decontaminate, html, langid, middle, packing, pii, quality, repair, simhash, sketch, substring
 from isobarn.llm.common import table
 
 
@@ -85,6 +85,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    cuts = [F.col(f"{part}_units").alias(f"{part}_chars") for part in ("prefix", "middle")]
+    return found.select("doc_id", "n", "form", *cuts, F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -96,6 +107,8 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL over the same tables.
@@ -142,5 +155,70 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(length(head) + length(body) + 13) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op12_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, CAST(length(text) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substr(text, 1, a) AS head, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS tail FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+z AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(key) + 1), lambda i: CAST(ord(substr(key, CAST(i AS INT), 1)) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS what FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+s AS (
+  SELECT conv_id, i, turn, role, text, substr(role, 1, 1) AS r, body = '' AS blank, seen AND body <> '' AS dup,
+    body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS cut, body = '' OR seen AS bad FROM o),
+p AS (
+  SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS more, coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au'), false) AS wrong FROM s),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::BIGINT) AS blank, sum(dup::BIGINT) AS duplicate,
+    sum(cut::BIGINT) AS truncated, sum(wrong::BIGINT) AS illegal, count(*) AS n FROM p GROUP BY conv_id),
+-- least cost and string of edits from each of four states, from the last row on
+v AS (
+  SELECT conv_id, n AS i, {'c': 0::BIGINT, 'e': ''} AS q0, {'c': 6::BIGINT, 'e': 'II'} AS q1, {'c': 3::BIGINT, 'e': 'I'} AS q2, {'c': 0::BIGINT, 'e': ''} AS q3 FROM g
+  UNION ALL
+  SELECT conv_id, i - 1, least(w0, {'c': w2.c + 3, 'e': 'I' || w2.e}, {'c': w3.c + 6, 'e': 'II' || w3.e}), least(w1, {'c': w2.c + 3, 'e': 'I' || w2.e}, {'c': w3.c + 6, 'e': 'II' || w3.e}),
+    least(w2, {'c': w3.c + 3, 'e': 'I' || w3.e}), least(w3, {'c': w2.c + 3, 'e': 'I' || w2.e})
+  FROM (
+    SELECT v.conv_id, v.i,
+      least({'c': q0.c + 4, 'e': 'D' || q0.e}, CASE WHEN bad THEN {'c': 999999999999, 'e': ''} ELSE {'c': q2.c + more + 3, 'e': 'R' || q2.e} END,
+        CASE WHEN bad OR r NOT IN ('s', 'u') THEN {'c': 999999999999, 'e': ''} WHEN r = 's' THEN {'c': q1.c + more, 'e': 'K' || q1.e} ELSE {'c': q2.c + more, 'e': 'K' || q2.e} END) AS w0,
+      least({'c': q1.c + 4, 'e': 'D' || q1.e}, CASE WHEN bad THEN {'c': 999999999999, 'e': ''} ELSE {'c': q2.c + more + 3, 'e': 'R' || q2.e} END,
+        CASE WHEN bad OR r <> 'u' THEN {'c': 999999999999, 'e': ''} ELSE {'c': q2.c + more, 'e': 'K' || q2.e} END) AS w1,
+      least({'c': q2.c + 4, 'e': 'D' || q2.e}, CASE WHEN bad THEN {'c': 999999999999, 'e': ''} ELSE {'c': q3.c + more + 3, 'e': 'R' || q3.e} END,
+        CASE WHEN bad OR r <> 'a' THEN {'c': 999999999999, 'e': ''} ELSE {'c': q3.c + more, 'e': 'K' || q3.e} END) AS w2,
+      least({'c': q3.c + 4, 'e': 'D' || q3.e}, CASE WHEN bad THEN {'c': 999999999999, 'e': ''} ELSE {'c': q2.c + more + 3, 'e': 'R' || q2.e} END,
+        CASE WHEN bad OR r <> 'u' THEN {'c': 999999999999, 'e': ''} ELSE {'c': q2.c + more, 'e': 'K' || q2.e} END) AS w3
+    FROM v JOIN p ON p.conv_id IS NOT DISTINCT FROM v.conv_id AND p.i = v.i)),
+best AS (SELECT conv_id, q0.c AS cost, q0.e AS audit FROM v WHERE i = 0),
+-- the edits one after another: how many rows and how many repaired turns stand before each
+l AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM best),
+m AS (
+  SELECT conv_id, j, audit[j] AS e, length(replace(audit[1:j], 'I', '')) AS i, length(replace(audit[1:j], 'D', '')) AS place FROM l),
+x AS (
+  SELECT m.conv_id, m.j, m.e, m.place, p.role, p.text FROM m LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND p.i = m.i AND m.e <> 'I' WHERE m.e <> 'D'),
+y AS (SELECT *, max(CASE WHEN place = 1 AND e = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM x),
+a AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS repaired FROM y GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
 }
