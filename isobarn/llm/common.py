@@ -40,12 +40,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     The files survive lost executors and are computed once, however often the result is used. They stay
-    until the folder's owner clears it; the folder is the one that spark.checkpoint.dir names.
+    until `discard` or the folder's owner clears them; the folder is the one that spark.checkpoint.dir names.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/isobarn/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._isobarn_files = path
+    return found
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of results of `materialize` that nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "_isobarn_files", None):
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and two joins, in which the centres of large stars are joined apart; rounds grow with the logarithm of the longest chain. Each
-round's edges are written to the shared folder, so a lost executor costs one round at most.
+round's edges are written to the shared folder, so a lost executor costs one round at most; the round before is deleted then.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import attach, materialize
+from isobarn.llm.common import attach, discard, materialize
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -39,9 +39,12 @@ def connected_components(edges: DataFrame, known: DataFrame | None = None) -> Da
     before = _signature(edges)
     while before[0]:
         large = materialize(_large_star(edges, before[0]), "edges")
-        edges = materialize(_small_star(large, before[0]), "edges")
+        last, edges = edges, materialize(_small_star(large, before[0]), "edges")
+        discard(last, large)
         now = _signature(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+    found = edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
+    found._isobarn_files = edges._isobarn_files  # for discard
+    return found

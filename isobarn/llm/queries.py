@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobarn.llm import chat, decontaminate, html, langid, middle, packing, pii, quality, repair, simhash, sketch, substring
+from isobarn.llm import chat, decontaminate, html, langid, middle, minmax, packing, pii, quality, repair, simhash, sketch, substring
 from isobarn.llm.common import table
 
 
@@ -85,6 +85,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = middle.restored(F.col("output"), F.col("form"))
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_minmax_near_dedup": op11_minmax_near_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_conversation_repair": op13_conversation_repair,
 }

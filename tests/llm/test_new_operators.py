@@ -1,4 +1,4 @@
-"""Operators 12 and 13 against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+"""Operators 11 to 13 against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
 import functools
@@ -10,11 +10,92 @@ import zlib
 import numpy as np
 import pytest
 
-from isobarn.llm import middle, queries, repair
+from isobarn.llm import middle, minmax, queries, repair
 
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
 
+# 11 min-max near-dedup
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _shingles(text, words=3):
+    own = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW))
+    return frozenset(tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))) if own else frozenset()
+
+
+def _classes(rows):
+    """Size of the set, smallest id of the class and whether it is the row's own, for every row, by comparing all sets."""
+    ids = collections.defaultdict(list)
+    for i, t in rows:
+        ids[_shingles(t)].append(i)
+    sets = [s for s in ids if s]
+    up = {s: s for s in ids}
+
+    def top(s):
+        while up[s] is not s:
+            s = up[s]
+        return s
+
+    for k, a in enumerate(sets):
+        for b in sets[:k]:
+            common = len(a & b)
+            if 100 * common >= 85 * (len(a) + len(b) - common):
+                up[top(a)] = top(b)
+    least = {}
+    for s, own in ids.items():
+        found = [i for i in own if i is not None] + ([least[top(s)]] if top(s) in least else [])
+        if found and s:
+            least[top(s)] = min(found)
+    out = collections.Counter()
+    for i, t in rows:
+        s = _shingles(t)
+        c = least.get(top(s)) if s else i
+        out[i, len(s), c, i is not None and i == c] += 1
+    return out
+
+
+def _copies(seed, n, words, edits):
+    """n copies of one text with up to so many words changed, some of them copies of copies."""
+    rng = random.Random(seed)
+    made = [[f"w{rng.randrange(10**6)}" for _ in range(words)]]
+    for _ in range(n - 1):
+        own = list(rng.choice(made) if rng.random() < 0.3 else made[0])
+        for _ in range(rng.randint(0, edits)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        made.append(own)
+    return [" ".join(x) for x in made]
+
+
+@pytest.mark.parametrize("block_rows", [2048, 40])
+def test_classes_equal_brute_force(spark, documents, rows, monkeypatch, block_rows):
+    monkeypatch.setattr(minmax, "BLOCK_ROWS", block_rows)
+    texts = _copies(1, 400, 120, 9) + _copies(2, 60, 30, 2) + _copies(3, 30, 8, 1) + _copies(4, 6, 900, 60)
+    texts += [None, "", "one", "ONE", "one two", "\t", "a b c d e f g", "a b c d e f g"] + [t.upper() for t in texts[:5]]
+    random.Random(5).shuffle(texts)
+    more = [(1000 + i, t) for i, t in enumerate(texts)] + [(1003, texts[9]), (None, texts[4]), (None, texts[11]), (1007, texts[7])]
+    table = spark.createDataFrame(more, "doc_id bigint, text string").selectExpr("*", "1 AS n", "'z' AS code", "2 AS mark").unionByName(documents.select("doc_id", "text"), allowMissingColumns=True)
+    found = collections.Counter(map(tuple, minmax.near_duplicates(table).collect()))
+    assert found == _classes(more + rows)
+
+
+def test_families_that_chain_are_split(spark):
+    """Texts that share half their shingles with the next one share keys here and there, and no class."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 100])) for i in range(590)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert collections.Counter(map(tuple, minmax.near_duplicates(table).collect())) == _classes(rows)
+
+
+def test_common_counts_are_exact():
+    rng = np.random.default_rng(3)
+    for m, most in ((1, 5), (2, 0), (3, 30), (40, 60), (300, 25)):
+        sets = [np.unique(rng.integers(0, 90, rng.integers(0, most + 1)).astype(np.uint64)) for _ in range(m)]
+        counts = minmax.common_counts(sets)
+        assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(i + 1, m))
+
+
 # 12 fill in the middle
 def _cut(doc_id, text):
     h = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
@@ -174,7 +255,7 @@ def test_blocks_of_any_length_agree(block):
 
 
 def test_nothing_gives_nothing(spark, nothing):
-    assert middle.fill_in_middle(nothing).count() == 0
+    assert middle.fill_in_middle(nothing).count() == 0 and minmax.near_duplicates(nothing).count() == 0
     talks = spark.createDataFrame([], SCHEMA)
     assert repair.repair(repair.damaged(talks)).count() == 0 and repair.repair(repair.damaged(talks), as_rows=True).count() == 0
 
