@@ -93,18 +93,93 @@ def with_geometry(df: DataFrame, time: str, lat: str, lon: str, dt: int, cutoff:
     return df if given else df.drop("sun_declination", "sun_equation_of_time")
 
 
-def _mean_height() -> Column:
-    """Mean sine of the height over the interval; 0 without sun."""
-    return F.when(F.col("_up"), at_least(F.col("_sum") / F.col("_w"), 0.0)).otherwise(F.lit(0.0))
-
-
-def _lit_height() -> Column:
-    """Mean sine of the height over the lit part."""
-    return F.col("_sum") / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0.001))
-
-
-def _instant_height() -> Column:
-    return F.col("_a") + F.col("_b") * F.cos(F.col("_h"))
+class Sun:
+    """The columns of an interval's geometry as with_geometry names them, behind a prefix, and outputs as expressions over them."""
+
+    def __init__(self, prefix: str = ""):
+        self.a, self.b, self.h, self.w, _, self.lo, self.hi, self.up, self.sum, self.r2 = (F.col(prefix + x) for x in _GEOMETRY)
+
+    def mean_height(self) -> Column:
+        """Mean sine of the height over the interval; 0 without sun."""
+        return F.when(self.up, at_least(self.sum / self.w, 0.0)).otherwise(F.lit(0.0))
+
+    def lit_height(self) -> Column:
+        """Mean sine of the height over the lit part."""
+        return self.sum / F.greatest(self.hi - self.lo, F.lit(0.001))
+
+    def instant_height(self) -> Column:
+        return self.a + self.b * F.cos(self.h)
+
+    def potential(self) -> Column:
+        return SOLAR_CONSTANT * self.mean_height() / self.r2
+
+    def potential_instant(self) -> Column:
+        return SOLAR_CONSTANT * at_least(self.instant_height(), 0.0) / self.r2
+
+    def clear_sky(self) -> Column:
+        middle, half = (self.lo + self.hi) / 2, (self.hi - self.lo) / 2
+
+        def lit(shift: float) -> Column:
+            height = self.a + self.b * F.cos(middle + half * shift)
+            return F.when(height < 0.005, F.lit(0.0)).otherwise(height * F.exp(-0.057 / height))
+
+        total = half * (5 / 9 * (lit(-0.77459667) + lit(0.77459667)) + 8 / 9 * lit(0.0)) / (self.r2 * self.w)
+        dark = (self.a < 0) & (-self.a / self.b >= 1)
+        return F.when(self.up & ~dark, 1098 * total).otherwise(F.lit(0.0))
+
+    def instant_factor(self) -> Column:
+        mean, now = self.mean_height(), self.instant_height()
+        return F.when((mean > 0) & (now > 0), now / mean).otherwise(F.lit(0.0))
+
+    def direct_normal(self, direct: Column) -> Column:
+        """Of a geometry with a cutoff of CUTOFF degrees, as are the next three."""
+        return F.when(direct.isNull(), None).when((direct <= 0) | ~self.up, F.lit(0.0)).otherwise(direct / F.greatest(self.lit_height(), F.lit(math.sin(math.radians(CUTOFF)))))
+
+    def direct_normal_instant(self, direct: Column) -> Column:
+        now = self.instant_height()
+        return F.when(direct.isNull(), None).when((direct <= 0) | (now <= 0), F.lit(0.0)).otherwise(direct / F.greatest(now, F.lit(math.sin(math.radians(CUTOFF)))))
+
+    def sunshine(self, direct: Column, dt: int) -> Column:
+        height = self.lit_height()
+        normal = F.when(height <= 0.0001, direct).otherwise(direct / height)
+        lit = dt * (self.hi - self.lo) / self.w
+        found = F.least(F.greatest(normal - 60, F.lit(0.0)) / 120 * lit, lit)
+        return F.when(direct.isNull(), None).when((direct <= 0) | ~self.up, F.lit(0.0)).otherwise(found)
+
+    def diffuse(self, shortwave: Column) -> Column:
+        z = F.when(self.up, self.lit_height()).otherwise(F.lit(0.0))
+        clearness, angle = shortwave / F.greatest(F.least(z * SOLAR_CONSTANT, F.lit(0.95 * SOLAR_CONSTANT)), F.lit(1.0)), F.acos(clamp(z, -1.0, 1.0))
+        share = F.lit(DIFFUSE_CONSTANT)
+        for factor, k, i in DIFFUSE_TERMS:
+            share = share + factor * F.pow(clearness, F.lit(float(k))) * F.pow(angle, F.lit(float(i)))
+        return F.when(z <= LOW_SUN, shortwave).otherwise(F.least(share * shortwave, shortwave))
+
+    def tilted(self, direct: Column, diffuse: Column, lat: Column, tilt: float | None, azimuth: float | None) -> Column:
+        """On a panel with tilt and azimuth (0 south, -90 east), None to track the sun."""
+        width = F.greatest(self.hi - self.lo, F.lit(0.001))
+        lat_r, dec = F.radians(lat), F.acos(clamp(self.b / F.cos(F.radians(lat)), -1.0, 1.0)) * F.signum(self.a * F.signum(lat))
+        z, dec = clamp(self.sum / width, -1.0, 1.0), F.when(lat == 0, F.lit(0.0)).otherwise(dec)
+        east = -(F.cos(dec) * (F.cos(self.lo) - F.cos(self.hi))) / width
+        north = F.cos(lat_r) * F.sin(dec) - F.sin(lat_r) * F.cos(dec) * (F.sin(self.hi) - F.sin(self.lo)) / width
+        zenith, around = F.acos(z), F.atan2(east, north)
+        panel = around - math.pi if azimuth is None else F.lit(math.radians(azimuth))
+        slope = zenith if tilt is None else F.lit(math.radians(tilt))
+        sky = (1 + F.cos(slope)) / 2
+        both = direct + diffuse
+        normal = F.when(z <= 0.0001, direct).otherwise(direct / z)
+        facing = F.greatest(F.cos(zenith) * F.cos(slope) + F.sin(zenith) * F.sin(slope) * F.cos(around - math.pi - panel), F.lit(0.0))
+        total = normal * facing + sky * diffuse + both * 0.2 * (1 - sky)
+        return F.when(both.isNull(), None).when((both <= 0) | ~self.up, F.lit(0.0)).otherwise(total)
+
+
+#: Degrees above the horizon below which direct radiation isn't turned to the sun or a panel.
+CUTOFF = 3.0
+
+
+def attach_sun(df: DataFrame, prefix: str, time: str, lat: str, lon: str, dt: int, cutoff: float = 0.0) -> DataFrame:
+    """Add an interval's geometry under a prefix, for Sun; the sun's position is computed once for several of them."""
+    df = df if "sun_declination" in df.columns else with_sun_position(df, epoch(F.col(time)))
+    return with_geometry(df, time, lat, lon, dt, cutoff).withColumnsRenamed({x: prefix + x for x in _GEOMETRY})
 
 
 def _done(df: DataFrame) -> DataFrame:
@@ -113,32 +188,18 @@ def _done(df: DataFrame) -> DataFrame:
 
 def potential_radiation(df: DataFrame, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add potential_radiation (interval mean) and potential_radiation_instant at the top of the atmosphere, W/m²."""
-    df = with_geometry(df, time, lat, lon, dt)
-    mean = SOLAR_CONSTANT * _mean_height() / F.col("_r2")
-    instant = SOLAR_CONSTANT * at_least(_instant_height(), 0.0) / F.col("_r2")
-    return _done(df.withColumns({"potential_radiation": mean, "potential_radiation_instant": instant}))
+    df, sun = with_geometry(df, time, lat, lon, dt), Sun()
+    return _done(df.withColumns({"potential_radiation": sun.potential(), "potential_radiation_instant": sun.potential_instant()}))
 
 
 def clear_sky_radiation(df: DataFrame, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add clear_sky_radiation: three-point Gauss-Legendre mean of the attenuated radiation, W/m²."""
-    df = with_geometry(df, time, lat, lon, dt)
-    c = F.col
-    middle, half = (c("_lo") + c("_hi")) / 2, (c("_hi") - c("_lo")) / 2
-
-    def lit(shift: float) -> Column:
-        height = c("_a") + c("_b") * F.cos(middle + half * shift)
-        return F.when(height < 0.005, F.lit(0.0)).otherwise(height * F.exp(-0.057 / height))
-
-    total = half * (5 / 9 * (lit(-0.77459667) + lit(0.77459667)) + 8 / 9 * lit(0.0)) / (c("_r2") * c("_w"))
-    dark = (c("_a") < 0) & (-c("_a") / c("_b") >= 1)
-    return _done(df.withColumn("clear_sky_radiation", F.when(c("_up") & ~dark, 1098 * total).otherwise(F.lit(0.0))))
+    return _done(with_geometry(df, time, lat, lon, dt).withColumn("clear_sky_radiation", Sun().clear_sky()))
 
 
 def instant_factor(df: DataFrame, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add instant_factor: the sun's height at the time over its mean in the interval; 0 without sun."""
-    df = with_geometry(df, time, lat, lon, dt)
-    mean, now = _mean_height(), _instant_height()
-    return _done(df.withColumn("instant_factor", F.when((mean > 0) & (now > 0), now / mean).otherwise(F.lit(0.0))))
+    return _done(with_geometry(df, time, lat, lon, dt).withColumn("instant_factor", Sun().instant_factor()))
 
 
 def to_interval_mean(instant: Num, factor: Num) -> Column:
@@ -148,22 +209,13 @@ def to_interval_mean(instant: Num, factor: Num) -> Column:
 
 def direct_normal(df: DataFrame, direct: str, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add direct_normal_irradiance (interval) and direct_normal_irradiance_instant from direct horizontal radiation."""
-    df = with_geometry(df, time, lat, lon, dt, cutoff=3.0)
-    value, low = F.col(direct), math.sin(math.radians(3))
-    interval = F.when(value.isNull(), None).when((value <= 0) | ~F.col("_up"), F.lit(0.0)).otherwise(value / F.greatest(_lit_height(), F.lit(low)))
-    now = _instant_height()
-    instant = F.when(value.isNull(), None).when((value <= 0) | (now <= 0), F.lit(0.0)).otherwise(value / F.greatest(now, F.lit(low)))
-    return _done(df.withColumns({"direct_normal_irradiance": interval, "direct_normal_irradiance_instant": instant}))
+    df, sun = with_geometry(df, time, lat, lon, dt, cutoff=CUTOFF), Sun()
+    return _done(df.withColumns({"direct_normal_irradiance": sun.direct_normal(F.col(direct)), "direct_normal_irradiance_instant": sun.direct_normal_instant(F.col(direct))}))
 
 
 def sunshine_duration(df: DataFrame, direct: str, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add sunshine_duration in seconds: direct normal radiation from 60 to 180 W/m² counts from none to all."""
-    df = with_geometry(df, time, lat, lon, dt)
-    value, height = F.col(direct), _lit_height()
-    normal = F.when(height <= 0.0001, value).otherwise(value / height)
-    lit = dt * (F.col("_hi") - F.col("_lo")) / F.col("_w")
-    found = F.least(F.greatest(normal - 60, F.lit(0.0)) / 120 * lit, lit)
-    return _done(df.withColumn("sunshine_duration", F.when(value.isNull(), None).when((value <= 0) | ~F.col("_up"), F.lit(0.0)).otherwise(found)))
+    return _done(with_geometry(df, time, lat, lon, dt).withColumn("sunshine_duration", Sun().sunshine(F.col(direct), dt)))
 
 
 # fixed values: terms of the diffuse share by clearness k and zenith angle z, as (factor, power of k, power of z)
@@ -173,35 +225,13 @@ DIFFUSE_CONSTANT = 0.718
 
 def diffuse_radiation(df: DataFrame, shortwave: str, time: str, lat: str, lon: str, dt: int) -> DataFrame:
     """Add diffuse_radiation from the clearness and the sun's angle; everything is diffuse at low sun."""
-    df = with_geometry(df, time, lat, lon, dt)
-    df = df.withColumn("_z", F.when(F.col("_up"), _lit_height()).otherwise(F.lit(0.0)))
-    df = df.withColumns({"_k": F.col(shortwave) / F.greatest(F.least(F.col("_z") * SOLAR_CONSTANT, F.lit(0.95 * SOLAR_CONSTANT)), F.lit(1.0)), "_i": F.acos(clamp(F.col("_z"), -1.0, 1.0))})
-    share = F.lit(DIFFUSE_CONSTANT)
-    for factor, k, z in DIFFUSE_TERMS:
-        share = share + factor * F.pow(F.col("_k"), F.lit(float(k))) * F.pow(F.col("_i"), F.lit(float(z)))
-    found = F.when(F.col("_z") <= LOW_SUN, F.col(shortwave)).otherwise(F.least(share * F.col(shortwave), F.col(shortwave)))
-    return _done(df.withColumn("diffuse_radiation", found).drop("_k", "_z", "_i"))
+    return _done(with_geometry(df, time, lat, lon, dt).withColumn("diffuse_radiation", Sun().diffuse(F.col(shortwave))))
 
 
 def tilted_irradiance(df: DataFrame, direct: str, diffuse: str, time: str, lat: str, lon: str, dt: int, tilt: float | None = 0.0, azimuth: float | None = 0.0) -> DataFrame:
     """Add global_tilted_irradiance on a panel with tilt and azimuth (0 south, -90 east), None to track the sun."""
-    df = with_geometry(df, time, lat, lon, dt, cutoff=3.0)
-    c = F.col
-    width = F.greatest(c("_hi") - c("_lo"), F.lit(0.001))
-    lat_r, dec = F.radians(c(lat)), F.acos(clamp(c("_b") / F.cos(F.radians(c(lat))), -1.0, 1.0)) * F.signum(c("_a") * F.signum(c(lat)))
-    df = df.withColumns({"_z": clamp(c("_sum") / width, -1.0, 1.0), "_dec": F.when(c(lat) == 0, F.lit(0.0)).otherwise(dec)})
-    east = -(F.cos(c("_dec")) * (F.cos(c("_lo")) - F.cos(c("_hi")))) / width
-    north = F.cos(lat_r) * F.sin(c("_dec")) - F.sin(lat_r) * F.cos(c("_dec")) * (F.sin(c("_hi")) - F.sin(c("_lo"))) / width
-    df = df.withColumns({"_zen": F.acos(c("_z")), "_azi": F.atan2(east, north)})
-    panel = c("_azi") - math.pi if azimuth is None else F.lit(math.radians(azimuth))
-    slope = c("_zen") if tilt is None else F.lit(math.radians(tilt))
-    sky = (1 + F.cos(slope)) / 2
-    both = c(direct) + c(diffuse)
-    normal = F.when(c("_z") <= 0.0001, c(direct)).otherwise(c(direct) / c("_z"))
-    facing = F.greatest(F.cos(c("_zen")) * F.cos(slope) + F.sin(c("_zen")) * F.sin(slope) * F.cos(c("_azi") - math.pi - panel), F.lit(0.0))
-    total = normal * facing + sky * c(diffuse) + both * 0.2 * (1 - sky)
-    found = F.when(both.isNull(), None).when((both <= 0) | ~c("_up"), F.lit(0.0)).otherwise(total)
-    return _done(df.withColumn("global_tilted_irradiance", found).drop("_z", "_dec", "_zen", "_azi"))
+    df = with_geometry(df, time, lat, lon, dt, cutoff=CUTOFF)
+    return _done(df.withColumn("global_tilted_irradiance", Sun().tilted(F.col(direct), F.col(diffuse), F.col(lat), tilt, azimuth)))
 
 
 def _half_day(df: DataFrame, seconds: Column, lat: str) -> DataFrame:

@@ -19,28 +19,34 @@ MOST_TILES = 200_000
 
 def fill_from_lower_priority(high: DataFrame, low: DataFrame, smooth: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """The high model, and the low one where it is missing; before such a step the low one counts 3/4, 2/4 and 1/4."""
-    by = keys(high, by)
-    on = [*by, time]
-    joined = high.select(*on, F.col(value).alias("_h")).join(low.select(*on, F.col(value).alias("_l")), on, "full_outer")
-    filled = F.coalesce("_h", "_l")
-    if not smooth:
-        return joined.select(*on, filled.alias(value))
-    w = ordered(by, time)
-    joined = joined.withColumn("_i", F.row_number().over(w))
-    taken = F.when(F.col("_h").isNull() & F.col("_l").isNotNull(), F.col("_i"))
-    ahead = F.min(taken).over(w.rowsBetween(1, FADE)) - F.col("_i")
-    share = (FADE + 1 - ahead) / (FADE + 1)
-    blend = F.when(F.col("_h").isNotNull() & F.col("_l").isNotNull() & ahead.isNotNull(), F.col("_l") * share + F.col("_h") * (1 - share))
-    return joined.select(*on, F.coalesce(blend, filled).alias(value))
+    return seamless([high, low], smooth, by, time, value)
+
 
+def seamless(models: list[DataFrame], smooth: bool = False, by: list[str] | None = None, time: str = "valid_time", value: str = "value", hard: Column | None = None) -> DataFrame:
+    """Models in order of priority, each read once, in one shuffle whatever their number. hard: rows that are cut hard all the same.
 
-def seamless(models: list[DataFrame], smooth: bool = False, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Models in order of priority. Cut hard, all are read once and one aggregate picks the first that has a value."""
+    Cut hard, one aggregate picks the first model that has a value. Blended, the models are dealt by series, stand side by side at each
+    step, and are folded from the first to the last: the model with number k counts 3/4, 2/4 and 1/4 at the three steps before
+    one that only it (or a later one) can fill. Which model fills a step is told by the missing values alone, so looking ahead
+    is one window for all of them.
+    """
     by = keys(models[0], by)
-    if smooth:
-        return reduce(lambda high, low: fill_from_lower_priority(high, low, True, by, time, value), models)
     stacked = reduce(DataFrame.unionByName, [m.select(*by, time, F.col(value), F.lit(i).alias("_rank")) for i, m in enumerate(models)])
-    return stacked.groupBy(*by, time).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_rank"))).alias(value))
+    if not smooth or len(models) == 1:
+        return stacked.groupBy(*by, time).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_rank"))).alias(value))
+    side = [F.max(F.when(F.col("_rank") == i, F.col(value))).alias(f"_v{i}") for i in range(len(models))]
+    steps = stacked.repartition(*by).groupBy(*by, time).agg(*side)
+    fills = F.coalesce(*[F.when(F.col(f"_v{i}").isNotNull(), F.lit(i)) for i in range(len(models))])
+    w = ordered(by, time)
+    steps = steps.withColumn("_fills", fills).withColumns({f"_a{d}": F.lead("_fills", d).over(w) for d in range(1, FADE + 1)})
+    found = F.col("_v0")
+    for k in range(1, len(models)):
+        own, ahead = F.col(f"_v{k}"), F.coalesce(*[F.when(F.col(f"_a{d}") == k, F.lit(d)) for d in range(1, FADE + 1)])
+        share = (FADE + 1 - ahead) / (FADE + 1)
+        blends = found.isNotNull() & own.isNotNull() & ahead.isNotNull()
+        blends = blends if hard is None else blends & ~hard
+        found = F.when(blends, own * share + found * (1 - share)).otherwise(F.coalesce(found, own))
+    return steps.select(*by, time, found.alias(value))
 
 
 def read_priority_layers(layers: list[DataFrame], by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:

@@ -2,6 +2,8 @@
 
 An output has rules in order of preference; the first whose inputs can be had, raw or derived, is taken. All outputs
 of a request become column expressions of one projection, so nothing runs in Python and unused inputs are pruned.
+Some rules need the place, time and step besides columns: the sun's geometry of the interval, or a panel's angles. The planner
+finds out which of the taken rules do, and attaches each geometry once.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobarn.functions import air, codes, meteo
+from isobarn.functions import air, codes, meteo, solar
 from isobarn.operators.series import bounded
 
 
@@ -20,12 +22,44 @@ from isobarn.operators.series import bounded
 ARCHIVE_RADIATION = 10_000_000 / (3600 * 3600)
 
 
+@dataclass(frozen=True)
+class Site:
+    """Where and when the rows of a table are, and what a request sets besides: seconds of a step, tilt and azimuth of a
+    panel (degrees; azimuth 0 south, -90 east; None tracks the sun)."""
+
+    time: str = "valid_time"
+    lat: str = "lat"
+    lon: str = "lon"
+    dt: int = 3600
+    tilt: float | None = 0.0
+    azimuth: float | None = 0.0
+
+    @property
+    def sun(self) -> solar.Sun:
+        """The sun over the whole interval between rise and set."""
+        return solar.Sun(_SUN)
+
+    @property
+    def high_sun(self) -> solar.Sun:
+        """The sun while it is some degrees above the horizon."""
+        return solar.Sun(_HIGH)
+
+
+#: Prefixes of the geometries' columns, and the geometries that a rule may need.
+_SUN, _HIGH = "_sun_", "_high_"
+_DAY = "_is_day"
+GEOMETRIES = ("sun", "high_sun", "day")
+
+
 @dataclass(frozen=True)
 class Rule:
+    """geometry: what of GEOMETRIES must be attached; the expression then takes the Site before its inputs."""
+
     output: str
     inputs: tuple[str, ...]
     expression: Callable[..., Column]
     unit: str
+    geometry: tuple[str, ...] = ()
 
 
 RULES: dict[str, list[Rule]] = {}
@@ -33,10 +67,10 @@ RULES: dict[str, list[Rule]] = {}
 DATASET_RULES: dict[str, dict[str, list[Rule]]] = {}
 
 
-def register_rule(output: str, inputs: list[str], expression: Callable[..., Column], unit: str = "", dataset: str | None = None) -> None:
+def register_rule(output: str, inputs: list[str], expression: Callable[..., Column], unit: str = "", dataset: str | None = None, geometry: tuple[str, ...] = ()) -> None:
     """Add a rule; later rules for an output are tried after earlier ones, those of a dataset before all general ones."""
     table = RULES if dataset is None else DATASET_RULES.setdefault(dataset, {})
-    table.setdefault(output, []).append(Rule(output, tuple(inputs), expression, unit))
+    table.setdefault(output, []).append(Rule(output, tuple(inputs), expression, unit, geometry))
 
 
 def _same(x: Column) -> Column:
@@ -67,7 +101,7 @@ def _register_all() -> None:
     r("apparent_temperature", ["temperature_2m", "relative_humidity_2m", "wind_speed_10m"], meteo.apparent_temperature, "°C")
     r("vapour_pressure_deficit", ["temperature_2m", "dew_point_2m"], meteo.vapour_pressure_deficit, "kPa")
     r("evapotranspiration", ["latent_heat_flux"], meteo.evapotranspiration, "mm")
-    r("et0_fao_evapotranspiration", ["temperature_2m", "wind_speed_10m", "dew_point_2m", "shortwave_radiation", "elevation", "potential_radiation"], lambda t, w, d, s, e, p: meteo.reference_evapotranspiration(t, w, d, s, e, p, 3600), "mm")
+    r("et0_fao_evapotranspiration", ["temperature_2m", "wind_speed_10m", "dew_point_2m", "shortwave_radiation", "elevation"], lambda at, t, w, d, s, e: meteo.reference_evapotranspiration(t, w, d, s, e, at.sun.potential(), at.dt), "mm", geometry=("sun",))
     r("leaf_wetness_probability", ["temperature_2m", "dew_point_2m", "precipitation"], meteo.leaf_wetness, "%")
     r("surface_pressure", ["temperature_2m", "pressure_msl", "elevation"], meteo.surface_pressure, "hPa")
     r("pressure_msl", ["temperature_2m", "surface_pressure", "elevation"], meteo.sea_level_pressure, "hPa")
@@ -114,6 +148,23 @@ def _register_all() -> None:
     r("direct_radiation", ["shortwave_radiation", "diffuse_radiation"], lambda s, d: meteo.at_least(s - d, 0.0), "W/m²")
     r("shortwave_radiation", ["direct_radiation", "diffuse_radiation"], lambda a, b: a + b, "W/m²")
     r("shortwave_radiation_spread", ["direct_radiation_spread", "diffuse_radiation_spread"], lambda a, b: F.sqrt(a * a + b * b), "W/m²")
+    watts = lambda name, inputs, expression, *geometry: r(name, inputs, expression, "W/m²", geometry=geometry)
+    watts("diffuse_radiation", ["shortwave_radiation"], lambda at, s: at.sun.diffuse(s), "sun")
+    watts("direct_radiation", ["shortwave_radiation"], lambda at, s: meteo.at_least(s - at.sun.diffuse(s), 0.0), "sun")
+    watts("terrestrial_radiation", [], lambda at: at.sun.potential(), "sun")
+    watts("terrestrial_radiation_instant", [], lambda at: at.sun.potential_instant(), "sun")
+    watts("shortwave_radiation_clear_sky", [], lambda at: at.sun.clear_sky(), "sun")
+    for name in ("shortwave_radiation", "direct_radiation", "diffuse_radiation", "shortwave_radiation_clear_sky"):
+        watts(f"{name}_instant", [name], lambda at, x: x * at.sun.instant_factor(), "sun")
+    # direct radiation on a moving or tilted plane is cut near the horizon; its instant form follows the whole sun
+    normal, tilted = lambda at, d: at.high_sun.direct_normal(d), lambda at, d, f: at.high_sun.tilted(d, f, F.col(at.lat), at.tilt, at.azimuth)
+    for end in ("", "_spread"):
+        watts(f"direct_normal_irradiance{end}", [f"direct_radiation{end}"], normal, "high_sun")
+    watts("direct_normal_irradiance_instant", ["direct_radiation"], lambda at, d: normal(at, d) * at.sun.instant_factor(), "sun", "high_sun")
+    watts("global_tilted_irradiance", ["direct_radiation", "diffuse_radiation"], tilted, "high_sun")
+    watts("global_tilted_irradiance_instant", ["direct_radiation", "diffuse_radiation"], lambda at, d, f: tilted(at, d, f) * at.sun.instant_factor(), "sun", "high_sun")
+    r("sunshine_duration", ["direct_radiation"], lambda at, d: at.sun.sunshine(d, at.dt), "s", geometry=("sun",))
+    r("is_day", [], lambda at: F.col(_DAY), "", geometry=("day",))
     for name in ("ocean_current", "wave"):
         r(f"{name}_velocity", [f"{name}_u", f"{name}_v"], meteo.wind_speed, "m/s")
         # currents and waves are named by where they go
@@ -131,10 +182,8 @@ def _register_all() -> None:
     for x in ("soil_moisture", "soil_temperature"):
         r(f"{x}_0_to_100cm_mean", [f"{x}_0_to_7cm_mean", f"{x}_7_to_28cm_mean", f"{x}_28_to_100cm_mean"], meteo.soil_0_to_100cm, "", d)
         r(f"{x}_0_to_100cm_mean", [f"{x}_0_to_10cm_mean"], _same, "", d)
-    # reanalysis has radiation as direct and global; its gusts and winds at 100 m only stand in for others
+    # reanalysis has winds at 100 m, which stand in for others; without showers and instability, codes come from cloud and amounts
     r("wind_speed_80m", ["wind_u_component_100m", "wind_v_component_100m"], lambda u, v: meteo.wind_at_height(meteo.wind_speed(u, v), 100, 80), "m/s", "reanalysis")
-    r("rain", ["precipitation", "snowfall_water_equivalent"], meteo.rain, "mm", "reanalysis")
-    r("weather_code", ["cloud_cover", "precipitation", "snowfall"], codes.weather_code, "wmo code", "reanalysis")
     # humidity of open pressure-level data comes from specific humidity
     for p in (1000, 925, 850, 700, 500, 300, 250, 200, 50):
         r(f"relative_humidity_{p}hPa", [f"specific_humidity_{p}hPa", f"temperature_{p}hPa"], lambda q, t, p=p: meteo.humidity_from_specific(q, t, F.lit(float(p))), "%", "pressure_levels")
@@ -143,37 +192,103 @@ def _register_all() -> None:
 _register_all()
 
 
-def resolve(output: str, columns: set[str], _open: frozenset[str] = frozenset(), dataset: str | None = None) -> Column | None:
-    """The output as an expression over the columns, by the first rule that can be met; None if there is none."""
+@dataclass(frozen=True)
+class Node:
+    """An output by the rule that is taken for it, over raw columns (names) and other nodes."""
+
+    output: str
+    rule: Rule
+    inputs: tuple[str | Node, ...]
+
+    @property
+    def needs(self) -> frozenset[str]:
+        return frozenset(self.rule.geometry).union(*(x.needs for x in self.inputs if isinstance(x, Node)))
+
+    @property
+    def depth(self) -> int:
+        return 1 + max((x.depth for x in self.inputs if isinstance(x, Node)), default=0)
+
+    def nodes(self) -> dict[Node, None]:
+        """This node and those below it, each once."""
+        out: dict[Node, None] = {self: None}
+        for x in self.inputs:
+            out |= x.nodes() if isinstance(x, Node) else {}
+        return out
+
+    def expression(self, site: Site | None, inputs: list[Column]) -> Column:
+        return self.rule.expression(site, *inputs) if self.rule.geometry else self.rule.expression(*inputs)
+
+
+def chosen(output: str, columns: set[str], _open: frozenset[str] = frozenset(), dataset: str | None = None, site: Site | None = None) -> str | Node | None:
+    """What gives the output: its name if it is a column, else the first rule that can be met; None if there is none. Without
+    a site, rules with geometry can't be met."""
     if output in columns:
-        return F.col(output)
+        return output
     if output in _open:
         return None
     for rule in [*DATASET_RULES.get(dataset or "", {}).get(output, []), *RULES.get(output, [])]:
-        inputs = [resolve(i, columns, _open | {output}, dataset) for i in rule.inputs]
+        if rule.geometry and site is None:
+            continue
+        inputs = tuple(chosen(i, columns, _open | {output}, dataset, site) for i in rule.inputs)
         if all(i is not None for i in inputs):
-            return rule.expression(*inputs)
+            return Node(output, rule, inputs)
     return None
 
 
-def inputs_of(outputs: list[str]) -> set[str]:
+def resolve(output: str, columns: set[str], dataset: str | None = None, site: Site | None = None) -> Column | None:
+    """The output as one expression over the columns; None if no rule gives it."""
+
+    def written(x: str | Node) -> Column:
+        return F.col(x) if isinstance(x, str) else x.expression(site, [written(i) for i in x.inputs])
+
+    found = chosen(output, columns, dataset=dataset, site=site)
+    return None if found is None else written(found)
+
+
+def inputs_of(outputs: list[str], dataset: str | None = None) -> set[str]:
     """All names from which the outputs may be derived, themselves included."""
     found, open_ = set(), list(outputs)
     while open_:
         name = open_.pop()
         if name not in found:
             found.add(name)
-            open_ += [i for rule in RULES.get(name, []) for i in rule.inputs]
+            open_ += [i for rule in [*DATASET_RULES.get(dataset or "", {}).get(name, []), *RULES.get(name, [])] for i in rule.inputs]
     return found
 
 
-def derive(df: DataFrame, outputs: list[str], dataset: str | None = None) -> DataFrame:
-    """Add the outputs, a dataset's own rules first. An output that no rule can give is an error that names it."""
+def with_geometries(df: DataFrame, needs: frozenset[str] | set[str], site: Site) -> DataFrame:
+    """The columns of the geometries, each once, behind the sun's position, which they share."""
+    if "day" in needs:
+        df = solar.is_day(df.withColumn("_kept", F.col("is_day")) if "is_day" in df.columns else df, site.time, site.lat, site.lon).withColumnRenamed("is_day", _DAY)
+        df = df.withColumnRenamed("_kept", "is_day") if "_kept" in df.columns else df
+    if {"sun", "high_sun"} & set(needs):
+        df = solar.with_sun_position(df, solar.epoch(F.col(site.time)))
+        for name, prefix, cutoff in (("sun", _SUN, 0.0), ("high_sun", _HIGH, solar.CUTOFF)):
+            if name in needs:
+                df = solar.attach_sun(df, prefix, site.time, site.lat, site.lon, site.dt, cutoff)
+        df = df.drop("sun_declination", "sun_equation_of_time")
+    return df
+
+
+def derive(df: DataFrame, outputs: list[str], dataset: str | None = None, site: Site | None = None) -> DataFrame:
+    """Add the outputs, a dataset's own rules first. An output that no rule can give is an error that names it.
+
+    Every node that the outputs share is a column of its own, written before those that use it, so that it is computed once a row.
+    """
     columns = set(df.columns)
-    found = {o: resolve(o, columns, dataset=dataset) for o in outputs}
+    found = {o: chosen(o, columns, dataset=dataset, site=site) for o in outputs}
     if missing := [o for o, x in found.items() if x is None]:
         raise ValueError(f"no rule gives {missing} from {sorted(columns)}")
-    return df.withColumns({o: x for o, x in found.items() if o not in columns})
+    tops = {o: x for o, x in found.items() if isinstance(x, Node)}
+    nodes: dict[Node, None] = {}
+    for x in tops.values():
+        nodes |= x.nodes()
+    needs = frozenset().union(*(x.needs for x in tops.values()))
+    wide = with_geometries(df, needs, site) if needs else df
+    name = {x: f"_node{i}" for i, x in enumerate(nodes)} | {x: o for o, x in tops.items()}
+    for depth in range(1, max((x.depth for x in nodes), default=0) + 1):
+        wide = wide.withColumns({name[x]: x.expression(site, [F.col(i if isinstance(i, str) else name[i]) for i in x.inputs]) for x in nodes if x.depth == depth})
+    return wide.select(*df.columns, *tops)
 
 
 def phase_corrected(df: DataFrame, temperature: str, model_height: str, height: str, precipitation: str = "precipitation", snow: str = "snowfall_water_equivalent", code: str = "weather_code") -> DataFrame:

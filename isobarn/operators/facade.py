@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.functions import solar
 from isobarn.operators import aggregate, combine, derive, requests, resample
 from isobarn.operators.grids import Grid, best_terrain_cell, filter_bounding_box, locate, nearest_sea_cell, read_elevation
-from isobarn.sources.catalog import variable
+from isobarn.sources.catalog import known, variable, variables_of
+from isobarn.sources.storage import prune_to_ranges
 
 
 @dataclass(frozen=True)
@@ -41,12 +41,16 @@ PRODUCTS = {
 
 @dataclass
 class Request:
-    """hourly, daily: outputs. units: temperature, wind, precipitation, length (see requests.convert_units). past_days and
-    forecast_days count only with now. cells: nearest, land or sea. run: one model run's time; None takes, of runs, the one with
-    the shortest lead. lead_day: forecasts of so many days before, where series have them."""
+    """hourly, daily, minutely_15, current: outputs of the sections, old spellings included; current is the step that `now` lies in. units:
+    temperature, wind, precipitation, length (see requests.convert_units). past_days and forecast_days count only with now. cells: nearest,
+    land or sea. run: one model run's time; None takes, of runs, the one with the shortest lead. lead_day: forecasts of so
+    many days before, where series have them. dataset: whose rules come before the general ones. tilt, azimuth: of a panel, in
+    degrees (azimuth 0 south, -90 east); None tracks the sun."""
 
-    hourly: list[str]
+    hourly: list[str] = field(default_factory=list)
     daily: list[str] = field(default_factory=list)
+    minutely_15: list[str] = field(default_factory=list)
+    current: list[str] = field(default_factory=list)
     models: list[str] = field(default_factory=list)
     product: str = "forecast"
     units: dict[str, str] = field(default_factory=dict)
@@ -60,18 +64,24 @@ class Request:
     lead_day: int = 0
     members: int | None = None
     dt: int | None = None
+    dataset: str | None = None
+    tilt: float | None = 0.0
+    azimuth: float | None = 0.0
 
 
 def _cells(places: DataFrame, grid: Grid, heights: DataFrame | None, request: Request, key: str) -> DataFrame:
-    """key, location_id and cell_elevation of the cell that serves each place."""
+    """key, location_id and cell_elevation of the cell that serves each place on the grid; null where its height isn't known."""
+    own = locate(places, grid).select(key, F.col("cell_id").alias("location_id"))
     if heights is None:
-        return locate(places, grid).select(key, F.col("cell_id").alias("location_id"), F.lit(None).cast("double").alias("cell_elevation"))
+        return own.withColumn("cell_elevation", F.lit(None).cast("double"))
     if request.cells == "land":
-        found = best_terrain_cell(places, heights, grid, key)
-        return found.select(key, F.col("cell_id").alias("location_id"), "cell_elevation")
-    here = heights.where("elevation IS NOT NULL").select("cell_id", F.col("elevation").alias("cell_elevation"))
-    found = nearest_sea_cell(places, heights, grid, key).select(key, "cell_id") if request.cells == "sea" else locate(places, grid).select(key, "cell_id")
-    return found.join(here, "cell_id").select(key, F.col("cell_id").alias("location_id"), "cell_elevation")
+        found = best_terrain_cell(places, heights, grid, key).withColumnRenamed("cell_id", "_best")
+        return own.join(found, key, "left").select(key, F.coalesce("_best", "location_id").alias("location_id"), "cell_elevation")
+    if request.cells == "sea":
+        found = nearest_sea_cell(places, heights, grid, key).select(key, F.col("cell_id").alias("_best"))
+        own = own.join(found, key, "left").select(key, F.coalesce("_best", "location_id").alias("location_id"))
+    known = heights.select(F.col("cell_id").alias("location_id"), F.col("elevation").alias("cell_elevation"))
+    return own.join(known, "location_id", "left").select(key, "location_id", "cell_elevation")
 
 
 def _one_run(series: DataFrame, request: Request) -> DataFrame:
@@ -84,15 +94,6 @@ def _one_run(series: DataFrame, request: Request) -> DataFrame:
     return combine.latest_by_lead(series).drop("run_time")
 
 
-def _solar(part: DataFrame, dt_old: int, dt_new: int, by: list[str]) -> DataFrame:
-    """Radiation to shorter steps by the potential radiation of the place."""
-    low = solar.potential_radiation(part, "valid_time", "lat", "lon", dt_old).withColumn("_low", F.col("potential_radiation") / solar.SOLAR_CONSTANT).drop("potential_radiation", "potential_radiation_instant")
-    steps = dt_old // dt_new
-    fine = part.select(*by, "lat", "lon", F.timestamp_seconds(F.unix_seconds("valid_time") + F.explode(F.sequence(F.lit(-((steps - 1) // 2)), F.lit(steps // 2))) * dt_new).alias("valid_time")).distinct()
-    high = solar.potential_radiation(fine, "valid_time", "lat", "lon", dt_new).withColumn("_high", F.col("potential_radiation") / solar.SOLAR_CONSTANT)
-    return resample.upsample_solar(low, "_low", high, "_high", dt_old, dt_new, None, by).drop("_low")
-
-
 def resampled(series: DataFrame, names: list[str], dt_old: int, dt_new: int, by: list[str]) -> DataFrame:
     """Each variable to other steps by its kind of interpolation. series: by (with variable), lat, lon, valid_time, value."""
     if dt_old == dt_new:
@@ -106,7 +107,7 @@ def resampled(series: DataFrame, names: list[str], dt_old: int, dt_new: int, by:
         if dt_new > dt_old:
             parts.append(resample.downsample(part, dt_old, dt_new, {"backwards_sum": "sum", "solar": "mean"}.get(kind, "instant"), [*by, "lat", "lon"]))
         elif kind == "solar":
-            parts.append(_solar(part, dt_old, dt_new, by))
+            parts.append(resample.upsample_radiation(part, dt_old, dt_new, by=by))
         elif kind in ("backwards", "backwards_sum"):
             parts.append(resample.upsample_backwards(part, dt_old, dt_new, kind == "backwards_sum"))
         else:
@@ -116,24 +117,21 @@ def resampled(series: DataFrame, names: list[str], dt_old: int, dt_new: int, by:
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
-def _mixed(models: list[DataFrame], names: list[str], smooth: bool, by: list[str]) -> DataFrame:
-    """Models by priority: blended, but for codes, flags and soil types, which are cut hard."""
-    if not smooth or len(models) == 1:
-        return combine.seamless(models, False, by)
+def _mixed(models: list[DataFrame], smooth: bool, names: list[str], by: list[str]) -> DataFrame:
+    """Models by priority: blended, but for codes and values without a unit, which are cut hard."""
     cut = [n for n in names if variable(n)["unit"] in ("wmo code", "")]
-    blended = combine.seamless([m.where(~F.col("variable").isin(cut)) for m in models], True, by)
-    return blended.unionByName(combine.seamless([m.where(F.col("variable").isin(cut)) for m in models], False, by)) if cut else blended
+    return combine.seamless(models, smooth, by, hard=F.col("variable").isin(cut) if cut else None)
 
 
 def _unit(output: str, wanted: dict[str, str]) -> tuple[Column, str]:
     """An output column in the wanted units, and its unit."""
     if output in aggregate.EVENTS or output in aggregate.DOMINANT:
         return F.col(output), "°" if output in aggregate.DOMINANT else ""
-    base = output
+    base = requests.resolve_alias(output)
     for kind in ("_max", "_min", "_mean", "_sum"):
         base = base.removesuffix(kind)
     rules = derive.RULES.get(base, [])
-    unit = variable(base)["unit"] or (rules[0].unit if rules else "")
+    unit = variable(base)["unit"] if known(base) else rules[0].unit if rules else ""
     amount = wanted.get("precipitation") or ("inch" if wanted.get("length") == "imperial" else "mm")
     for (own, name), (factor, shift, new) in requests.UNITS.items():
         if own == unit and name in (wanted.get("temperature"), wanted.get("wind"), amount):
@@ -141,62 +139,139 @@ def _unit(output: str, wanted: dict[str, str]) -> tuple[Column, str]:
     return F.col(output), unit
 
 
-def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id", heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
-    """Sections hourly and daily for all places, ordered by place and time. series: long tables by model, in order of priority.
-
-    places: key, lat, lon, elevation, utc_offset_seconds, and start and stop unless the request has now. heights: cells with
-    elevation by model, for land and sea cells and the correction by height. steps: seconds of a model's step. available: raw
-    variables of the models; without it their names are read from the series, which for stored series is a partition column.
-    Each model's cells are found by arithmetic and its series are joined once; outputs are derived in one projection.
-    """
-    product = PRODUCTS[request.product]
-    if request.now:
-        past, ahead = (b if a is None else a for a, b in ((request.past_days, product.past_days), (request.forecast_days, product.forecast_days)))
-        places = requests.time_range_for(places, F.lit(request.now).cast("timestamp"), past, ahead, max_days=product.max_days)
-    models = request.models or list(series)
-    needed = aggregate.daily_inputs(request.daily)
-    raw = sorted(derive.inputs_of([*request.hourly, *needed]) - {"elevation"})
-    if available is None:
-        found = [series[m].where(F.col("variable").isin(raw)).select("variable").distinct() for m in models]
-        available = [r["variable"] for r in reduce(DataFrame.union, found).distinct().collect()]  # names of variables, a short list
-    names = [x for x in raw if x in set(available)]
-    corrected = [n for n in names if variable(n)["elevation_correctable"]]
-    dt = request.dt or product.dt
-    has_members = any("member" in series[m].columns for m in models)
-    on = [key, "member"] if has_members else [key]
-    mixed = []
-    for model in models:
-        own_dt = (steps or {}).get(model, dt)
-        cells = _cells(places, grids[model], (heights or {}).get(model), request, key)
+@dataclass
+class _Reader:
+    """What a request reads from: models by priority with grids, heights, seconds of their steps, and the names that they have."""
+
+    series: dict[str, DataFrame]
+    grids: dict[str, Grid]
+    heights: dict[str, DataFrame]
+    steps: dict[str, int]
+    models: list[str]
+    key: str
+    available: set[str]
+    request: Request
+    product: Product
+
+    def __post_init__(self) -> None:
+        self.on = [self.key, "member"] if any("member" in self.series[m].columns for m in self.models) else [self.key]
+
+    def model(self, name: str, places: DataFrame, cells: DataFrame, names: list[str], dt: int) -> DataFrame:
+        """One model's series at the places, in steps of dt: on, variable, valid_time, value."""
+        request, key, on = self.request, self.key, self.on
+        own_dt = self.steps.get(name, self.product.dt)
         wanted = places.select(key, "lat", "lon", "elevation", "start", "stop").join(cells, key)
-        wide_range = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
-        own = _one_run(series[model].where(F.col("variable").isin(names)), request)
-        if has_members:
+        wide = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
+        own = self.series[name].where(F.col("variable").isin(names))
+        if "time_chunk" in own.columns:
+            # by the places' own ranges: a plan with a join in it is not reused for pruning
+            own = prune_to_ranges(own, resample.expand_for_resampling(places, "hermite", own_dt) if own_dt > dt else places)
+        own = _one_run(own, request)
+        if len(on) > 1:
             own = own if "member" in own.columns else own.withColumn("member", F.lit(0))
-            n = request.members if request.members is not None else product.members
+            n = request.members if request.members is not None else self.product.members
             own = own if n is None else own.where(F.col("member") < n)
-        read = own.join(wide_range, "location_id").where("valid_time >= start AND valid_time < stop")
-        if request.correct_elevation and corrected:
+        read = own.join(wide, "location_id").where("valid_time >= start AND valid_time < stop")
+        if request.correct_elevation and (corrected := [n for n in names if variable(n)["elevation_correctable"]]):
             read = requests.correct_elevation(read, corrected)
         read = resampled(read.select(*on, "variable", "lat", "lon", "valid_time", "value"), names, own_dt, dt, [*on, "variable"])
         if own_dt > dt:
             read = read.join(wanted.select(key, "start", "stop"), key).where("valid_time >= start AND valid_time < stop")
-        mixed.append(read.select(*on, "variable", "valid_time", "value"))
-    mix = _mixed(mixed, names, product.smooth, [*on, "variable"])
-    wide = mix.groupBy(*on, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
-    wide = wide.join(places.select(key, "elevation", "utc_offset_seconds"), key)
-    outputs = [_unit(o, request.units)[0] for o in request.hourly]
-    hourly = derive.derive(wide, request.hourly).select(*on, "valid_time", *outputs)
-    out = {"hourly": hourly.orderBy(*on, "valid_time")}
-    if request.daily:
-        long = derive.derive(wide, needed).select(*on, "utc_offset_seconds", "valid_time", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])).alias("x"))
-        long = long.select(*on, "utc_offset_seconds", "valid_time", "x.variable", "x.value")
+        return read.select(*on, "variable", "valid_time", "value")
+
+    def wide(self, places: DataFrame, outputs: list[str], dt: int) -> DataFrame:
+        """A row for each place and step with the raw variables behind the outputs, and where the place's cell of the first model lies."""
+        names = sorted(n for n in derive.inputs_of(outputs, self.request.dataset) if n in self.available)
+        cells = {m: _cells(places, self.grids[m], self.heights.get(m), self.request, self.key) for m in self.models}
+        first = self.models[0]
+        lat, lon = self.grids[first].coordinates(F.col("location_id"))
+        sites = places.join(cells[first].select(self.key, lat.alias("_lat"), lon.alias("_lon")), self.key, "left")
+        sites = sites.select(self.key, "elevation", "utc_offset_seconds", F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lon", "lon").alias("lon"))
+        if not names:  # outputs of the sun alone
+            spine = requests.time_spine(places.select(self.key, "start", "stop"), dt)
+            return (spine.withColumn("member", F.lit(0)) if len(self.on) > 1 else spine).select(*self.on, "valid_time").join(sites, self.key)
+        mix = _mixed([self.model(m, places, cells[m], names, dt) for m in self.models], self.product.smooth, names, [*self.on, "variable"])
+        wide = mix.groupBy(*self.on, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
+        return wide.join(sites, self.key)
+
+    def derived(self, wide: DataFrame, outputs: list[str], dt: int) -> DataFrame:
+        site = derive.Site(dt=dt, tilt=self.request.tilt, azimuth=self.request.azimuth)
+        return derive.derive(wide, outputs, self.request.dataset, site)
+
+    def section(self, wide: DataFrame, outputs: list[str], dt: int) -> DataFrame:
+        """The outputs under the names and in the units that were asked for."""
+        names = [requests.resolve_alias(o) for o in outputs]
+        found = self.derived(wide, names, dt)
+        return found.select(*self.on, "valid_time", *[_unit(n, self.request.units)[0].alias(o) for o, n in zip(outputs, names)])
+
+    def days(self, wide: DataFrame, places: DataFrame, dt: int) -> DataFrame:
+        request, key, on = self.request, self.key, self.on
+        needed = aggregate.daily_inputs(request.daily)
         own = [o for o in request.daily if o not in aggregate.EVENTS]
-        found = aggregate.daily_summary(long, own, request.steps or 86400 // dt, dt, on, "utc_offset_seconds")
+        values = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in needed])
+        long = self.derived(wide, needed, dt).select(*on, "utc_offset_seconds", "valid_time", F.explode(values).alias("x")) if needed else None
+        if own:
+            found = aggregate.daily_summary(long.select(*on, "utc_offset_seconds", "valid_time", "x.variable", "x.value"), own, request.steps or 86400 // dt, dt, on, "utc_offset_seconds")
+        else:
+            found = wide.select(*on, aggregate.local_day("valid_time", "utc_offset_seconds").alias("day")).distinct()
         if len(own) < len(request.daily):
             days = found.select(key, "day").distinct().join(places.select(key, "lat", "lon", "utc_offset_seconds"), key)
             found = found.join(aggregate.daily_events(days, request.daily, key).drop("lat", "lon", "utc_offset_seconds"), [key, "day"])
-        out["daily"] = found.select(*on, "day", *[_unit(o, request.units)[0] for o in request.daily]).orderBy(*on, "day")
+        return found.select(*on, "day", *[_unit(o, request.units)[0] for o in request.daily])
+
+
+def _names_of(series: dict[str, DataFrame], models: list[str], raw: list[str]) -> set[str]:
+    """The raw variables that the models have: from the catalogue for its datasets, otherwise from the series."""
+    found, unknown = set(), []
+    for m in models:
+        names = variables_of(m)
+        found |= names
+        unknown += [] if names else [series[m].where(F.col("variable").isin(raw)).select("variable").distinct()]
+    if unknown:
+        found |= {r["variable"] for r in reduce(DataFrame.union, unknown).distinct().collect()}  # names of variables, a short list
+    return found
+
+
+def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id", heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
+    """The sections that are asked for, for all places, ordered by place and time. series: long tables by model, in order of priority.
+
+    places: key, lat, lon, elevation, utc_offset_seconds, and start and stop unless the request has now. heights: cells with
+    elevation by model, for land and sea cells and the correction by height; a place whose cell has no height is not
+    corrected. steps: seconds of a model's step. available: raw variables of the models; without it they come from the
+    catalogue, or are read from the series. Series that keep their time_chunk (see storage.read_series) are read by the chunks of
+    the requested ranges only. Each model's cells are found by arithmetic and its series are joined once; outputs are derived
+    in one projection, those of the sun at the cell of the first model.
+    """
+    product = PRODUCTS[request.product]
+    now = F.lit(request.now).cast("timestamp") if request.now else None
+    if now is not None and "start" not in places.columns:
+        past, ahead = (b if a is None else a for a, b in ((request.past_days, product.past_days), (request.forecast_days, product.forecast_days)))
+        places = requests.time_range_for(places, now, past, ahead, max_days=product.max_days)
+    models = request.models or [m for m in product.models if m in series] or list(series)
+    needed = aggregate.daily_inputs(request.daily)
+    names = lambda outputs: [requests.resolve_alias(o) for o in outputs]
+    every = names([*request.hourly, *request.minutely_15, *request.current]) + needed
+    raw = sorted(derive.inputs_of(every, request.dataset) - {"elevation"})
+    have = set(available) if available is not None else _names_of(series, models, raw)
+    reader = _Reader(series, grids, heights or {}, steps or {}, models, key, have & set(raw), request, product)
+    dt = request.dt or product.dt
+    out = {}
+    if request.hourly or request.daily:
+        wide = reader.wide(places, [*names(request.hourly), *needed], dt)
+        if request.hourly:
+            out["hourly"] = reader.section(wide, request.hourly, dt).orderBy(*reader.on, "valid_time")
+        if request.daily:
+            out["daily"] = reader.days(wide, places, dt).orderBy(*reader.on, "day")
+    for section, outputs, step in (("minutely_15", request.minutely_15, 900), ("current", request.current, product.dt)):
+        if not outputs:
+            continue
+        asked = places
+        if section == "current":
+            if now is None:
+                raise ValueError("the current section needs now")
+            at = F.timestamp_seconds(F.floor(F.unix_seconds(now) / step) * step)
+            asked = places.withColumns({"start": at, "stop": at + F.expr(f"interval {step} second")})
+        out[section] = reader.section(reader.wide(asked, names(outputs), step), outputs, step).orderBy(*reader.on, "valid_time")
     return out
 
 
@@ -215,11 +290,11 @@ def flood(members: DataFrame, key: str = "place_id", statistics: bool = True) ->
     return aggregate.ensemble_quantiles(members, [key, "valid_time"]) if statistics else members
 
 
-def bounding_box(cells: DataFrame, grid: Grid, box: tuple[float, float, float, float], series: dict[str, DataFrame], request: Request, start: str, stop: str) -> dict[str, DataFrame]:
-    """forecast for all cells of a box of one model."""
+def bounding_box(cells: DataFrame, grid: Grid, box: tuple[float, float, float, float], series: dict[str, DataFrame], request: Request, start: str, stop: str, heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
+    """forecast for all cells of a box of one model; heights, steps and available as there."""
     inside = filter_bounding_box(cells, grid, *box)
     places = inside.select(F.col("cell_id").alias("place_id"), "lat", "lon", "elevation", F.lit(0).alias("utc_offset_seconds"), F.lit(start).cast("timestamp").alias("start"), F.lit(stop).cast("timestamp").alias("stop"))
-    return forecast(places, series, {grid.domain: grid}, request)
+    return forecast(places, series, {m: grid for m in series}, request, heights=heights, steps=steps, available=available)
 
 
 __all__ = ["PRODUCTS", "Product", "Request", "bounding_box", "elevation", "flood", "forecast", "output_units", "requests"]

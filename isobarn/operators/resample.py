@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT, cubic
+from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT, Sun, cubic, with_geometry
 from isobarn.operators.series import keys, ordered, rounded, seconds
 
 
@@ -60,13 +60,8 @@ def upsample_backwards(df: DataFrame, dt_old: int, dt_new: int, summation: bool
     return df.withColumns({time: F.timestamp_seconds(seconds(time) - F.col("_j") * dt_new), value: rounded(share, scale)}).drop("_j")
 
 
-def upsample_solar(df: DataFrame, low: str, high: DataFrame, potential: str, dt_old: int, dt_new: int, scale: float | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """Interval means of radiation to shorter intervals, by the cubic of the clearness times the potential radiation.
-
-    low: column with the potential radiation (fraction of the solar constant) of the old intervals; high: keys, time and
-    column `potential` with that of the new ones. Clearness at low sun is taken from neighbours.
-    """
-    by = keys(df, by)
+def _clear_steps(df: DataFrame, low: str, dt_old: int, dt_new: int, by: list[str], time: str, value: str) -> DataFrame:
+    """Rows of the new steps with the clearness of four old ones. Clearness at low sun is taken from neighbours."""
     w = ordered(by, time)
     ratio = F.when(F.col(low) > LOW_SUN, F.least(F.col(value) / F.col(low), F.lit(SOLAR_CONSTANT * 0.95)))
     df = df.withColumn("_k", ratio)
@@ -77,13 +72,39 @@ def upsample_solar(df: DataFrame, low: str, high: DataFrame, potential: str, dt_
     # interval means belong to the interval's middle, so a row serves the new steps around its own middle
     first = -((n - 1) // 2)
     df = df.withColumn("_j", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
-    df = df.withColumns({"_f": (F.col("_j") + (n - 1) / 2) / n, time: F.timestamp_seconds(seconds(time) + F.col("_j") * dt_new)})
-    joined = df.join(high.select(*by, time, F.col(potential).alias("_high")), [*by, time])
-    f, sun = F.col("_f"), F.col("_high")
+    return df.withColumns({"_f": (F.col("_j") + (n - 1) / 2) / n, time: F.timestamp_seconds(seconds(time) + F.col("_j") * dt_new)})
+
+
+def _lit_again(df: DataFrame, sun: Column, scale: float | None, value: str) -> DataFrame:
+    f = F.col("_f")
     bent = cubic(F.col("_ka"), F.col("_k"), F.col("_kc"), F.col("_kd"), f) * sun
     line = (F.col("_k") * (1 - f) + F.col("_kc") * f) * sun
     out = F.when(F.col(value).isNull(), None).when(sun == 0, F.lit(0.0)).when((bent < 0) & (F.col(value) >= 0) & (F.coalesce(F.col("_vc"), F.lit(0.0)) >= 0), line).otherwise(bent)
-    return joined.withColumn(value, rounded(out, scale)).drop("_k", "_ka", "_kc", "_kd", "_vc", "_f", "_j", "_high")
+    return df.withColumn(value, rounded(out, scale)).drop("_k", "_ka", "_kc", "_kd", "_vc", "_f", "_j")
+
+
+def upsample_solar(df: DataFrame, low: str, high: DataFrame, potential: str, dt_old: int, dt_new: int, scale: float | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
+    """Interval means of radiation to shorter intervals, by the cubic of the clearness times the potential radiation.
+
+    low: column with the potential radiation (fraction of the solar constant) of the old intervals; high: keys, time and
+    column `potential` with that of the new ones.
+    """
+    by = keys(df, by)
+    fine = _clear_steps(df, low, dt_old, dt_new, by, time, value)
+    joined = fine.join(high.select(*by, time, F.col(potential).alias("_high")), [*by, time])
+    return _lit_again(joined, F.col("_high"), scale, value).drop("_high")
+
+
+def upsample_radiation(df: DataFrame, dt_old: int, dt_new: int, lat: str = "lat", lon: str = "lon", scale: float | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
+    """As upsample_solar, with the potential radiation of both steps computed from the place of the row itself: one window by series
+    and no join."""
+    by = keys(df, by)
+    share = lambda x, dt: with_geometry(x, time, lat, lon, dt)
+    sun = Sun().potential() / SOLAR_CONSTANT
+    low = share(df, dt_old).withColumn("_low", sun).select(*df.columns, "_low")
+    fine = _clear_steps(low, "_low", dt_old, dt_new, by, time, value).drop("_low")
+    lit = share(fine, dt_new).withColumn("_high", sun).select(*fine.columns, "_high")
+    return _lit_again(lit, F.col("_high"), scale, value).select(*df.columns)
 
 
 def downsample(df: DataFrame, dt_old: int, dt_new: int, kind: str = "instant", by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:

@@ -26,6 +26,11 @@ VARIABLES = [
     (r"snowfall", "cm", "backwards_sum", 10.0, 0.0, None, False), (r"snow_depth", "m", "linear", 100.0, 0.0, None, False), (r"(shortwave|direct|diffuse)_radiation(_mean)?", "W/m²", "solar", 1.0, 0.0, None, False),
     (r"(latent|sensible)_heat_flux", "W/m²", "hermite", 0.144, None, None, False), (r"cape", "J/kg", "hermite", 0.1, 0.0, None, False), (r"convective_inhibition", "J/kg", "hermite", 1.0, None, None, False),
     (r"visibility|boundary_layer_height|freezing_level_height|snowfall_height|geopotential_height_.*", "m", "linear", 0.1, None, None, False), (r"soil_moisture.*", "m³/m³", "hermite", 1000.0, 0.0, None, False),
+    (r"diffuse_fraction", "1", "linear", 100.0, 0.0, 1.0, False), (r"snow_density", "kg/m³", "linear", 1.0, 0.0, None, False), (r"snow_depth_water_equivalent", "mm", "linear", 10.0, 0.0, None, False),
+    (r"k_index|total_totals_index", "K", "hermite", 10.0, None, None, False), (r"albedo|sea_ice_concentration|sea_ice_thickness", "", "linear", 100.0, 0.0, None, False), (r"sunshine_duration", "s", "backwards_sum", 0.1, 0.0, None, False),
+    (r"(convective|mass_density|vertically_integrated)_.*|updraft|lightning_potential|hail", "", "linear", 100.0, None, None, False), (r"omega_.*", "Pa/s", "hermite", 100.0, None, None, False), (r"roughness_length", "m", "linear", 100.0, 0.0, None, False),
+    (r"soil_type|land_sea_mask|categorical_freezing_rain|is_day", "", "backwards", 1.0, None, None, False), (r"swell_wave_.*|secondary_.*|tertiary_.*", "m", "hermite", 50.0, None, None, False), (r"(terrestrial|clear_sky|shortwave_radiation_clear_sky).*", "W/m²", "solar", 1.0, 0.0, None, False),
+    (r"dew_point_\d+hPa", "°C", "hermite", 20.0, None, None, False), (r"thunderstorm_probability|(rain|snowfall|ice_pellets|freezing_rain)_probability", "%", "linear", 1.0, 0.0, 100.0, False), (r"hail_.*", "mm", "linear", 10.0, 0.0, None, False),
     (r"uv_index.*", "", "hermite", 20.0, 0.0, None, False), (r"weather_code", "wmo code", "backwards", 1.0, None, None, False), (r"vertical_velocity_.*", "m/s", "hermite", 20.0, None, None, False),
     (r"(pm2_5|pm10|dust|nitrogen_dioxide|nitrogen_monoxide|ozone|sulphur_dioxide|ammonia|carbon_monoxide)", "µg/m³", "hermite", 10.0, 0.0, None, False), (r"(alder|birch|grass|mugwort|olive|ragweed)_pollen", "grains/m³", "linear", 10.0, 0.0, None, False),
     (r"carbon_dioxide|methane", "ppm", "hermite", 1.0, 0.0, None, False), (r"aerosol_optical_depth|lifted_index", "", "hermite", 100.0, None, None, False), (r"river_discharge", "m³/s", "hermite", 1000.0, 0.0, None, False),
@@ -157,11 +162,20 @@ FAMILIES: dict[str, tuple[list[str], list[Domain]]] = {
 
 
 def variable(name: str) -> dict:
-    """Unit, interpolation, scale, bounds and correction by height of a variable; defaults for unknown names."""
+    """Unit, interpolation, scale, bounds and correction by height of a variable; an unknown name is an error."""
     for pattern, unit, interpolation, scale, low, high, corrected in VARIABLES:
         if re.fullmatch(pattern, name) or re.fullmatch(pattern, re.sub("_(mean|max|min|spread)$", "", name)):
             return {"variable": name, "unit": unit, "interpolation": interpolation, "scalefactor": scale, "lower_bound": low, "upper_bound": high, "elevation_correctable": corrected}
-    return {"variable": name, "unit": "", "interpolation": "linear", "scalefactor": 1.0, "lower_bound": None, "upper_bound": None, "elevation_correctable": False}
+    raise ValueError(f"unknown variable {name}; add it to VARIABLES")
+
+
+def known(name: str) -> bool:
+    return any(re.fullmatch(v[0], name) or re.fullmatch(v[0], re.sub("_(mean|max|min|spread)$", "", name)) for v in VARIABLES)
+
+
+def variables_of(domain: str) -> set[str]:
+    """The variables of a dataset of the catalogue; none for other names."""
+    return {name for vocabularies, domains in FAMILIES.values() if any(d.name == domain for d in domains) for v in vocabularies for name, _ in fields(v).values()}
 
 
 def fields(vocabulary: str) -> dict[str, tuple[str, str]]:
@@ -247,4 +261,4 @@ def grid_of(domain: str) -> Grid | str:
     return next(d.grid for _, domains in FAMILIES.values() for d in domains if d.name == domain)
 
 
-__all__ = ["FAMILIES", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_table"]
+__all__ = ["FAMILIES", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "known", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_of", "variables_table"]

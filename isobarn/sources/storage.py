@@ -38,8 +38,9 @@ def write_series(series: DataFrame, path: str, mode: str = "overwrite", chunk: i
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("domain", "variable", "time_chunk").parquet(path)
 
 
-def read_series(spark: SparkSession, path: str, domain: str | None = None, variables: list[str] | None = None, start: str | None = None, stop: str | None = None, chunk: int = CHUNK_SECONDS) -> DataFrame:
-    """A time range of variables (UTC). The range is turned into chunk numbers as well, so that partitions are pruned."""
+def read_series(spark: SparkSession, path: str, domain: str | None = None, variables: list[str] | None = None, start: str | None = None, stop: str | None = None, chunk: int = CHUNK_SECONDS, keep_chunks: bool = False) -> DataFrame:
+    """A time range of variables (UTC). The range is turned into chunk numbers as well, so that partitions are pruned.
+    keep_chunks: leave the column time_chunk, by which prune_to_ranges reads the chunks of many ranges."""
     df = spark.read.schema(SCHEMA + ", time_chunk bigint").parquet(path)
     if domain:
         df = df.where(F.col("domain") == domain)
@@ -50,7 +51,21 @@ def read_series(spark: SparkSession, path: str, domain: str | None = None, varia
             moment = F.lit(text).cast("timestamp")
             number = int(dt_.datetime.fromisoformat(text).replace(tzinfo=dt_.UTC).timestamp() // chunk)
             df = df.where(chunk_rule(F.col("time_chunk"), F.lit(number))).where(rule(F.col("valid_time"), moment))
-    return df.drop("time_chunk")
+    return df if keep_chunks else df.drop("time_chunk")
+
+
+#: Most chunks of time that the ranges of a request may touch.
+MOST_CHUNKS = 100_000
+
+
+def prune_to_ranges(series: DataFrame, ranges: DataFrame, chunk: int = CHUNK_SECONDS) -> DataFrame:
+    """Stored series (with time_chunk) of the chunks that any of the ranges (start, stop) touches. The chunks are a small table made
+    of the ranges; it is broadcast, and its values prune the scan's partitions when the query runs, so other files are not read."""
+    first, last = F.floor(seconds("start") / chunk), F.floor((seconds("stop") - 1) / chunk)
+    touched = ranges.where("stop > start").select(F.explode(F.sequence(first, last)).alias("time_chunk")).distinct()
+    # runtime pruning asks for a filter on the small side
+    touched = bounded(touched.where(F.col("time_chunk") > -(1 << 40)), MOST_CHUNKS, "a table of time chunks")
+    return series.join(touched, "time_chunk", "left_semi").drop("time_chunk")
 
 
 def read_run(runs: DataFrame, run_time: str, spine: DataFrame | None = None, by: list[str] | None = None, fill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
