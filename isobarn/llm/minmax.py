@@ -2,7 +2,7 @@
 
 A permutation of the shingles' hashes gives two values of a signature, the least and the greatest hash, so HASHES permutations
 give 2 * HASHES values, each equal for two sets with the probability of their Jaccard similarity. The values are banded, ROWS to a key:
-two sets at 0.85 share none of the BANDS keys with probability (1 - 0.85^5)^24 < 10^-6.
+two sets at 0.85 share none of the 24 keys with probability (1 - 0.85^5)^24 < 10^-6.
 
 Equal sets are one code. Codes that share a key may be linked, and all are compared on their full sets; the comparison is exact
 and emits no pairs. Codes that share keys, directly or by others, are a family. A family is compared as a whole, its sets sent once,
@@ -23,6 +23,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,13 @@ WORDS = 3
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (85, 100)
 HASHES, ROWS = 60, 5
-BANDS = 2 * HASHES // ROWS
 #: Sets and shingles of a block. Tasks hold two blocks and the counts of their pairs (64 MB).
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 2 << 20
 #: Shingles hashed at a time, and columns of an incidence matrix.
 HASH_BLOCK = 4096
 COLUMNS = 2048
-_MULTIPLY = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_FLIP = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64))
+
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -61,32 +60,40 @@ def code_of(own: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(own.tobytes(), 42)).astype(np.int64)) if len(own) else 0
 
 
-def signature(own: np.ndarray) -> np.ndarray:
+@cache
+def _permutations(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number to flip by and an odd one to multiply by for each permutation."""
+    return mix64(np.arange(1001, hashes + 1001, dtype=np.uint64))[:, None], mix64(np.arange(1, hashes + 1, dtype=np.uint64))[:, None] | np.uint64(1)
+
+
+def signature(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Least, then greatest value of each permutation of a non-empty set."""
-    low, high = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64), np.zeros(HASHES, np.uint64)
+    flip, multiply = _permutations(hashes)
+    low, high = np.full(hashes, np.iinfo(np.uint64).max, np.uint64), np.zeros(hashes, np.uint64)
     for begin in range(0, len(own), HASH_BLOCK):
-        part = (own[None, begin : begin + HASH_BLOCK] ^ _FLIP[:, None]) * _MULTIPLY[:, None]
+        part = (own[None, begin : begin + HASH_BLOCK] ^ flip) * multiply
         part ^= part >> np.uint64(32)
         low, high = np.minimum(low, part.min(axis=1)), np.maximum(high, part.max(axis=1))
     return np.concatenate([low, high])
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
+def band_keys(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """The keys (signed) of a non-empty set."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in signature(own).reshape(BANDS, ROWS).T:
+    bands = 2 * hashes // ROWS
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in signature(own, hashes).reshape(bands, ROWS).T:
         key = mix64(key ^ row)
     return key.view(np.int64)
 
 
-def signed(rows: DataFrame, words: int = WORDS) -> DataFrame:
+def signed(rows: DataFrame, words: int = WORDS, hashes: int = HASHES) -> DataFrame:
     """doc_id, mark, n (size of the set), code, bands of every row. rows: doc_id, mark (bigint, tells rows of a doc_id apart), text."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x, words) for x in as_bytes(batch.column(2))]
-            columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(code_of, sets)), pa.int64()), pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
+            columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(code_of, sets)), pa.int64()), pa.array([band_keys(x, hashes) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", "n", "code", "bands"])
 
     return rows.select("doc_id", "mark", "text").mapInArrow(run, "doc_id bigint, mark bigint, n bigint, code bigint, bands array<bigint>")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from isobarn.llm import boosting, chat, decontaminate, html, langid, near, packing, pii, quality, queries, simhash, sketch, substring
+from isobarn.llm import boosting, chat, decontaminate, html, langid, minmax, near, packing, pii, quality, queries, simhash, sketch, substring
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -430,9 +430,9 @@ def _stays(rows):
     return collections.Counter(min(ids, key=lambda x: (x is None, x)) for ids in groups.values())
 
 
-@pytest.mark.parametrize("small", [8, 3])
-def test_near_dedup_stage_finds_all_of_similarity(spark, small, monkeypatch):
-    monkeypatch.setattr(near, "PAIRS", small)  # with 3, large buckets must be split
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_dedup_stage_finds_all_of_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(minmax, "BLOCK_ROWS", block)  # with 4, groups are dealt into blocks
     rng = random.Random(5)
     rows = []
     for _ in range(25):
@@ -452,6 +452,21 @@ def test_near_dedup_stage_finds_all_of_similarity(spark, small, monkeypatch):
     assert collections.Counter(r.doc_id for r in found) == want
 
 
+def test_near_dedup_stage_in_one_large_group(spark, monkeypatch):
+    """Near copies of one text, of which many are below the threshold to each other: rows left as by comparing all pairs."""
+    monkeypatch.setattr(minmax, "BLOCK_ROWS", 150)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(500):
+        own = list(base)
+        for k in rng.sample(range(100), rng.randint(0, 8)):
+            own[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    found = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert collections.Counter(r.doc_id for r in found) == _stays(rows)
+
+
 def test_near_dedup_stage_drops_rows_and_not_ids(spark):
     text = " ".join(f"word{i}" for i in range(30))
     rows = [(1, text), (1, text), (1, "a different text under the same id"), (None, text), (None, "twice without an id"), (None, "twice without an id"), (5, None), (4, ""), (4, " ")]
