@@ -1,19 +1,23 @@
 """Gap filling inside series of regular steps: null values between valid ones are replaced.
 
 All take the long table and fill `value`; positions are row numbers in time order, so the steps must be complete
-(see time_spine). Series are windows by their keys; neighbours come from running last and first valid values.
+(see time_spine). Series are windows by their keys; neighbours come from running last and first valid values. Cubic and solar filling
+walk through a series, as what they fill feeds later gaps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT, cubic
+from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT
 from isobarn.operators.series import keys, ordered
+from isobarn.session import ship_package
 
-#: Spacings (in steps) at which cubic filling looks for filled or odd neighbours; equal spacings have no limit.
-ODD_SPACING = 24
 #: Hours without a value that solar filling bridges.
 SOLAR_HOURS = 12
 
@@ -72,121 +76,131 @@ def fill_backwards(df: DataFrame, summation: bool = False, by: list[str] | None
     return _drop(df.withColumn(value, F.coalesce(out, F.col(value))).drop("_n"))
 
 
-def _at_offset(columns: Column, steps: Column, most: int, window, ahead: bool = False) -> Column:
-    """A column some rows before (or after) the row, where the number of rows is a column too, of at most `most`."""
-    shift = F.lead if ahead else F.lag
-    out = F.lit(None)
-    for n in range(most, 0, -1):
-        out = F.when(steps == n, shift(columns, n).over(window)).otherwise(out)
-    return out
+def _walked(df: DataFrame, walk: Callable[..., np.ndarray], by: list[str], time: str, value: str, *more: str) -> DataFrame:
+    """Each series through walk(values, *more columns), in order of time, NaN for null; `value` is replaced by the result.
+
+    For rules in which what is filled feeds later gaps. Series are dealt and ordered once and stream through the tasks in batches; a
+    task holds the rows of one series and one batch.
+    """
+    ship_package(df.sparkSession)
+    columns, at = df.columns, "_i"
+    placed = df.withColumns({at: F.row_number().over(ordered(by, time)), value: F.col(value).cast("double"), **{c: F.col(c).cast("double") for c in more}})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*columns).schema)
+
+    def filled(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole series one after another."""
+        table = pa.Table.from_batches(batches).combine_chunks()
+        given = [table.column(c).to_numpy().astype(np.float64) for c in (value, *more)]
+        starts = np.flatnonzero(table.column(at).to_numpy() == 1)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            if np.isnan(given[0][a:b]).any():
+                given[0][a:b] = walk(*(x[a:b] for x in given))
+        out = table.set_column(columns.index(value), value, pa.array(given[0], pa.float64(), mask=np.isnan(given[0]))).select(columns)
+        yield from out.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index(at)).to_numpy() == 1)
+            if len(starts) and (last := int(starts[-1])) + sum(x.num_rows for x in open_):
+                yield from filled([*open_, batch.slice(0, last)])
+                open_, batch = [], batch.slice(last)
+            open_.append(batch)
+        if open_:
+            yield from filled(open_)
+
+    return placed.select(*columns, at).mapInArrow(run, schema)
+
+
+def _gaps(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of each run of missing values before a valid one: the valid place before (-1 if none), that after, and the next after that (-1 if none)."""
+    valid = np.flatnonzero(~np.isnan(x))
+    before, after = np.concatenate([[-1], valid[:-1]]), np.append(valid[1:], -1)
+    wide = valid - before > 1
+    return zip(before[wide].tolist(), valid[wide].tolist(), after[wide].tolist())
+
+
+def _cubic_walk(x: np.ndarray, bounds: tuple[float, float] | None) -> np.ndarray:
+    last_given = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x)))).tolist()
+    x, width = x.copy(), 0
+    for p, c, d in list(_gaps(x)):
+        width = d - c if d >= 0 else width
+        if p < 0:
+            continue
+        b = max(c - width, 0)
+        a = b - width if b >= width else b
+        if not width or np.isnan(x[b]):
+            b, a = p, last_given[p - 1] if p else p
+            a = a if a >= 0 else p
+        vb, vc = x[b], x[c]
+        va, vd = vb if np.isnan(x[a]) else x[a], x[d] if d >= 0 else vc
+        f = (np.arange(p + 1, c) - b) / (c - b)
+        found = vb + f * ((vc - va) / 2 + f * (va - 2.5 * vb + 2 * vc - vd / 2 + f * ((vd - va) / 2 + 1.5 * (vb - vc))))
+        x[p + 1 : c] = found if bounds is None else np.clip(found, *bounds)
+    return x
 
 
 def fill_hermite(df: DataFrame, bounds: tuple[float, float] | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """By a cubic through the end of the gap (c), the valid value after it (d), and two points before it (b and a) as far
-    from each other as d from c.
-
-    Where b or a is no valid value, spacings of up to ODD_SPACING steps take what the first pass filled there; else the last
-    two valid values before the gap are b and a. A missing a is b. Without a d the spacing is the gap's own and d is c. Gaps at
-    either end stay. Two passes of windows over one shuffle.
-    """
-    by = keys(df, by)
-    w = ordered(by, time)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*by).orderBy(F.col(time).desc())
-    df = _with_neighbours(df, by, time, value)
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_i").alias("i")))
-    df = df.withColumns({"_n": F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "_p": F.last(here, True).over(before)})
-    valid = F.col(value).isNotNull()
-    # of a valid row: what its gap needs; a row of the gap finds it by its next valid row
-    spacing = F.coalesce(F.col("_n.i") - F.col("_i"), F.col("_i") - F.col("_p.i"))
-    df = df.withColumns({"_w": spacing, "_pp": F.last(F.when(valid, F.col("_p")), True).over(before), "_first": F.first(value).over(w)})
-    for _ in range(2):
-        known = F.coalesce(F.col(value), F.col("_x")) if "_x" in df.columns else F.col(value)
-        twice = F.least(F.col("_w"), F.lit(ODD_SPACING + 1))
-        df = df.withColumns({"_k": known, "_bi": F.greatest(F.col("_i") - F.col("_w"), F.lit(0))})
-        b = F.when(F.col("_bi") == F.col("_p.i"), F.col("_p.v")).when(F.col("_i") < F.col("_w"), F.first("_k").over(w)).otherwise(_at_offset(F.col("_k"), twice, ODD_SPACING, w))
-        ai = F.col("_bi") - F.col("_w")
-        a = F.when((F.col("_bi") == F.col("_p.i")) & (ai == F.col("_pp.i")), F.col("_pp.v"))
-        for n in range(1, ODD_SPACING + 1):
-            a = a.when(twice == n, F.lag("_k", 2 * n).over(w))
-        df = df.withColumns({"_b": b, "_a": F.when(ai < 0, F.lit(None)).otherwise(a), "_alone": ai < 0})
-        last = "_x" in df.columns
-        point = F.when(F.col("_b").isNull() & F.lit(last), F.struct(F.col("_p.v").alias("b"), F.col("_p.i").alias("at"), F.coalesce("_pp.v", "_p.v").alias("a")))
-        enough = F.col("_b").isNotNull() & (F.col("_a").isNotNull() | F.col("_alone") | F.lit(last))
-        point = point.when(enough, F.struct(F.col("_b").alias("b"), F.col("_bi").alias("at"), F.coalesce("_a", "_b").alias("a")))
-        end = F.when(valid, F.struct(point.alias("p"), F.col(value).alias("c"), F.coalesce(F.col("_n.v"), F.col(value)).alias("d"), F.col("_i").alias("at")))
-        df = df.withColumn("_e", F.last(end, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-        f = (F.col("_i") - F.col("_e.p.at")) / (F.col("_e.at") - F.col("_e.p.at"))
-        x = cubic(F.col("_e.p.a"), F.col("_e.p.b"), F.col("_e.c"), F.col("_e.d"), f)
-        x = x if bounds is None else F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(bounds[0])), F.lit(bounds[1])))
-        df = df.withColumn("_x", F.when(~valid & F.col("_i0").isNotNull(), x))
-    return _drop(df.withColumn(value, F.coalesce(F.col(value), F.col("_x")))).drop("_n", "_p", "_pp", "_w", "_k", "_bi", "_b", "_a", "_alone", "_e", "_x")
-
-
-def fill_solar(df: DataFrame, shape: str, dt: int = 3600, mean_preserving: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value", passes: int = 2) -> DataFrame:
+    from each other as d from c; those may be values that were filled before. A b before the series' start is its first value, a missing a is b.
+    Without a d the spacing is that of the gap before and d is c. Where b is missing, the last two given values before the gap are b
+    and a. Gaps at either end stay."""
+    return _walked(df, lambda x: _cubic_walk(x, bounds), keys(df, by), time, value)
+
+
+def _solar_walk(x: np.ndarray, light: np.ndarray, most: int, mean_preserving: bool) -> np.ndarray:
+    x, n, limit = x.copy(), len(x), SOLAR_CONSTANT * 0.95
+    valid = np.flatnonzero(~np.isnan(x))
+    if not len(valid):
+        return x
+    # the spacing of the first two values tells how far the first one reaches back
+    first = int(valid[0]) if len(valid) == 1 else max(int(valid[0]) - (int(valid[1]) - int(valid[0]) - 1), 0)
+
+    def clearness(mean: float, shape: np.ndarray) -> float:
+        sun = shape.mean()
+        return min(mean / sun, limit) if sun > LOW_SUN else np.nan
+
+    for p, c, _ in list(_gaps(x)):
+        begin = max(p + 1, first)
+        if begin >= c:
+            continue
+        if c - begin > most:
+            break
+        b = begin - 1
+        width = c - b
+        a, d = b - width, c + width
+        over = (lambda i, j: slice(i + 1, j + 1)) if mean_preserving else (lambda i, j: slice(j, j + 1))
+        kc = clearness(x[c], light[over(b, c)]) if x[c] > 0 else np.nan
+        kb = clearness(x[over(a, b)].mean(), light[over(a, b)]) if a >= 0 and not np.isnan(x[a]) else np.nan
+        kd = clearness(x[d], light[over(c, d)]) if d < n and not np.isnan(x[d]) else np.nan
+        kb, kd = kc if np.isnan(kb) else kb, kc if np.isnan(kd) else kd
+        middle = next((k for k in (kc, kb, kd) if not np.isnan(k)), None)
+        if middle is None:
+            x[begin:c] = 0.0
+            continue
+        kb, kd = middle if np.isnan(kb) else kb, middle if np.isnan(kd) else kd
+        end = c + 1 if mean_preserving else c
+        f = (np.arange(begin, end) - b) / width
+        curve = (1 - f) ** 2 * (kb + middle) / 2 + 2 * f * (1 - f) * middle + f**2 * (middle + kd) / 2
+        found = np.maximum(curve, 0.0) * light[begin:end]
+        if mean_preserving and x[c] > 5:
+            total = found.sum()
+            found *= x[c] * len(found) / total if total > 5 else 0.0
+        x[begin:end] = found
+    return x
+
+
+def fill_solar(df: DataFrame, shape: str, dt: int = 3600, mean_preserving: bool = True, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """Radiation by the shape of the clear sky, column `shape` (interval means, see solar.clear_sky_radiation).
 
     The clearness of a gap with its end, of an equally long time before and of one after are points of a quadratic curve
-    through their borders; a step gets clearness times shape. If mean_preserving, the value after a gap is the mean over the
-    gap and itself, which the steps then share so that it stays their mean. Gaps without light are 0. A gap of over
-    SOLAR_HOURS ends the filling of its series. The spacing of the first two values tells how far the first one reaches back.
-
-    The mean before a gap is that of the values held back over their gaps, in a further pass that of the filled steps. All
-    are windows over one shuffle.
+    through their borders; a step gets clearness times shape. What was filled before counts for the time before. If
+    mean_preserving, the value after a gap is the mean over the gap and itself, which the steps then share so that it stays their mean.
+    Gaps without light are 0. A gap of over SOLAR_HOURS ends the filling of its series. The spacing of the first two values
+    tells how far the first one reaches back.
     """
-    by = keys(df, by)
-    w, whole = ordered(by, time), Window.partitionBy(*by)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*by).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    most = SOLAR_HOURS * 3600 // dt + 2
-    v, valid, c = F.col(value), F.col(value).isNotNull(), F.col
-    ratio = lambda x, light: F.least(x / light, F.lit(SOLAR_CONSTANT * 0.95))
-    df = _with_neighbours(df, by, time, value)
-    df = df.withColumn("_nth", F.when(valid, F.count(value).over(upto)))
-    one, two = (F.min(F.when(c("_nth") == k, c("_i"))).over(whole) for k in (1, 2))
-    df = df.withColumn("_first", F.when(two.isNull(), one).otherwise(F.greatest(one - (two - one - 1), F.lit(0))))
-    df = df.withColumns({"_s": F.sum(shape).over(upto), "_x": F.when(c("_i") >= c("_first"), c("_v1"))})
-    # a valid row ends a gap of _g steps, itself included
-    df = df.withColumn("_g", F.when(valid, c("_i") - F.coalesce(c("_i0"), c("_first") - 1)))
-    width = F.when(c("_g") <= most, c("_g"))
-    stopped = F.coalesce(F.max(F.when(valid, (c("_g") > most).cast("int"))).over(upto), F.lit(0)) > 0
-    df = df.withColumn("_stopped", stopped)
-    for _ in range(passes if mean_preserving else 1):
-        df = df.withColumn("_h", F.sum("_x").over(upto))
-        df = df.withColumn("_at", F.struct(c("_s").alias("s"), c("_h").alias("h"), v.alias("v"), c(shape).alias("now"), c("_i").alias("i")))
-        earlier = F.lit(None)
-        for n in range(most, 0, -1):
-            earlier = F.when(width == n, F.lag("_at", 2 * n).over(w)).otherwise(earlier)
-        df = df.withColumns({"_a": earlier, "_b": _at_offset(c("_at"), width, most, w), "_d": _at_offset(c("_at"), width, most, w, ahead=True)})
-        if mean_preserving:
-            zero = lambda x: F.coalesce(c(x), F.lit(0.0))
-            light = {"b": (c("_b.s") - zero("_a.s")) / width, "c": (c("_s") - zero("_b.s")) / width, "d": (c("_d.s") - c("_s")) / width}
-            mean_b = (c("_b.h") - zero("_a.h")) / width
-        else:
-            light, mean_b = {"b": c("_b.now"), "c": c(shape), "d": c("_d.now")}, c("_b.v")
-        kc = F.when((light["c"] > LOW_SUN) & (v > 0), ratio(v, light["c"]))
-        # what reaches back to before the first value says nothing
-        known_b = (c("_b.i") - width >= F.greatest(c("_first") - int(mean_preserving), F.lit(-int(mean_preserving)))) & c("_b.i").isNotNull()
-        kb = F.when(known_b & (light["b"] > LOW_SUN), ratio(mean_b, light["b"])).otherwise(kc)
-        kd = F.when(c("_d.v").isNotNull() & (light["d"] > LOW_SUN), ratio(c("_d.v"), light["d"])).otherwise(kc)
-        df = df.withColumns({"_kb": kb, "_kc": kc, "_kd": kd})
-        middle = F.coalesce("_kc", "_kb", "_kd")
-        end = F.when(valid & (c("_g") > 1), F.struct(v.alias("v"), c("_i").alias("i"), c("_g").alias("g"), middle.alias("c"), F.coalesce(c("_kb"), middle).alias("b"), F.coalesce(c("_kd"), middle).alias("d")))
-        # the nearest end of a gap from here on, if this row is in that gap
-        df = df.withColumn("_e", F.last(end, True).over(back))
-        inside = (c("_i") > c("_e.i") - c("_e.g")) & ~c("_stopped") & (c("_e.g") <= most) & (c("_i") >= c("_first"))
-        df = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
-        f = (c("_i") - (c("_e.i") - c("_e.g"))) / c("_e.g")
-        curve = (1 - f) * (1 - f) * (c("_e.b") + c("_e.c")) / 2 + 2 * f * (1 - f) * c("_e.c") + f * f * (c("_e.c") + c("_e.d")) / 2
-        df = df.withColumn("_y", F.when(c("_in"), F.greatest(curve, F.lit(0.0)) * c(shape)))
-        if mean_preserving:
-            total = F.sum("_y").over(Window.partitionBy(*by, "_e.i"))
-            scale = F.when(c("_e.v") > 5, F.when(total > 5, c("_e.v") * c("_e.g") / total).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
-            found = F.when(c("_e.c").isNotNull(), c("_y") * scale).when(c("_i") < c("_e.i"), F.lit(0.0)).otherwise(v)
-        else:
-            found = F.when(c("_i") == c("_e.i"), v).when(c("_e.c").isNotNull(), c("_y")).otherwise(F.lit(0.0))
-        df = df.withColumn("_x", F.when(c("_in"), found).otherwise(v))
-    return _drop(df.withColumn(value, c("_x"))).drop("_nth", "_s", "_h", "_at", "_g", "_stopped", "_a", "_b", "_d", "_kb", "_kc", "_kd", "_e", "_in", "_x", "_y")
+    most = SOLAR_HOURS * 3600 // dt + 1
+    return _walked(df, lambda x, light: _solar_walk(x, light, most, mean_preserving), keys(df, by), time, value, shape)
 
 
 def backfill_scan_time(df: DataFrame, scan_hours: str, mean_height: str, scan_height: str, low: float, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:

@@ -210,28 +210,17 @@ _FILL = f"{T.REGULAR}, {_NB.format(src='regular')}"
 _DEG = f"{T.REGULAR}, deg AS (SELECT location_id, valid_time, value * 7.3 % 360 AS value FROM regular), {_NB.format(src='deg')}"
 _F = "((i - i0) / (i1 - i0))"
 _LINEAR = f"{_FILL}, lin AS (SELECT location_id, valid_time, coalesce(value, v1 * {_F} + v0 * (1 - {_F})) AS value FROM nx)"
-# running frames only: the next valid row is the last one of the reversed order
-_RUNNING = f"""{T.REGULAR}, r0 AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time) - 1 AS i FROM regular), r1 AS (SELECT *, CASE WHEN value IS NOT NULL THEN i END AS pos FROM r0),
-nx AS (SELECT *, last_value(value IGNORE NULLS) OVER n AS v1, last_value(pos IGNORE NULLS) OVER n AS i1, last_value(pos IGNORE NULLS) OVER p AS i0 FROM r1
-  WINDOW p AS (PARTITION BY location_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY location_id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+# neighbours by number among the valid rows
+_RUNNING = f"""{T.REGULAR}, r0 AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS i, count(value) OVER w AS k FROM regular WINDOW w AS (PARTITION BY location_id ORDER BY valid_time ROWS UNBOUNDED PRECEDING)),
+vd AS MATERIALIZED (SELECT location_id, k, i AS pos, value AS v FROM r0 WHERE value IS NOT NULL),
+nx AS (SELECT r0.*, n.v AS v1, n.pos AS i1, p.pos AS i0 FROM r0 LEFT JOIN vd n ON n.location_id = r0.location_id AND n.k = r0.k + CASE WHEN value IS NULL THEN 1 ELSE 0 END
+  LEFT JOIN vd p ON p.location_id = r0.location_id AND p.k = r0.k - CASE WHEN value IS NULL THEN 0 ELSE 1 END)"""
 _BACK = """st AS (SELECT location_id, min(i) AS p1, min(CASE WHEN k = 2 THEN i END) AS p2 FROM (SELECT location_id, i, row_number() OVER (PARTITION BY location_id ORDER BY i) AS k FROM nx WHERE value IS NOT NULL) GROUP BY location_id),
 bk AS (SELECT nx.*, CASE WHEN p2 IS NULL THEN p1 ELSE greatest(p1 - (p2 - p1 - 1), 0) END AS fi FROM nx LEFT JOIN st USING (location_id))"""
-def _pass(n: int, known: str, last: bool) -> str:
-    """One pass of cubic filling: points b and a by offset among what is known, and the filled rows of the gaps."""
-    first = f"(SELECT k.v FROM {known} k WHERE k.location_id = g.location_id AND k.i = 0)"
-    b = f"CASE WHEN bi = pi THEN pv WHEN g.i < w THEN {first} WHEN w <= 24 THEN kb.v END"
-    a = "CASE WHEN ai < 0 THEN NULL WHEN bi = pi AND ai = ppi THEN ppv WHEN w <= 24 THEN ka.v END"
-    return f"""p{n} AS (SELECT g.*, {b} AS b, {a} AS a FROM g LEFT JOIN {known} kb ON kb.location_id = g.location_id AND kb.i = g.i - g.w LEFT JOIN {known} ka ON ka.location_id = g.location_id AND ka.i = g.i - 2 * g.w),
-      c{n} AS (SELECT *, CASE WHEN b IS NOT NULL AND (a IS NOT NULL OR ai < 0 OR {last}) THEN bi WHEN b IS NULL AND {last} THEN pi END AS spot, CASE WHEN b IS NULL THEN pv ELSE b END AS bb, CASE WHEN b IS NULL THEN coalesce(ppv, pv) ELSE coalesce(a, b) END AS aa, coalesce(nv, v) AS dd FROM p{n}),
-      f{n} AS (SELECT c.location_id, x.i, {_cubic('aa', 'bb', 'v', 'dd', '((x.i - spot) / (c.i - spot))')} AS x FROM c{n} c JOIN nx x ON x.location_id = c.location_id AND x.i > c.pi AND x.i < c.i WHERE spot IS NOT NULL)"""
-
-
 def _cubic(a: str, b: str, c: str, d: str, f: str) -> str:
     return f"least(greatest({b} + {f} * (({c} - {a}) / 2 + {f} * ({a} - 2.5 * {b} + 2 * {c} - {d} / 2 + {f} * (({d} - {a}) / 2 + 1.5 * ({b} - {c})))), 0), 500)"
 
 
-_PASSES = f"""k1 AS (SELECT location_id, i, value AS v FROM nx), {_pass(1, 'k1', False)},
-      k2 AS (SELECT k1.location_id, k1.i, coalesce(k1.v, f1.x) AS v FROM k1 LEFT JOIN f1 USING (location_id, i)), {_pass(2, 'k2', True)}"""
 _UP = "up AS (SELECT location_id, valid_time, value, {cols}, unnest(range({n})) AS j FROM {src})"
 _CUBIC = "(b + f * ((c - a) / 2 + f * (a - 2.5 * b + 2 * c - d / 2 + f * ((d - a) / 2 + 1.5 * (b - c)))))"
 _LIN_UP = "CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY location_id) THEN value ELSE lead(value) OVER w END"
@@ -242,12 +231,15 @@ ORACLE = {
       SELECT location_id, valid_time, {_r(f'coalesce(value, (a2 * {_F} + b2 * (1 - {_F})) % 360)')} AS value FROM a""",
     "fill_backwards": f"WITH {_RUNNING}, {_BACK} SELECT location_id, valid_time, {_r('CASE WHEN i >= fi THEN coalesce(v1, value) ELSE value END')} AS value FROM bk",
     "fill_backwards_sum": f"WITH {_RUNNING}, {_BACK} SELECT location_id, valid_time, {_r('CASE WHEN i >= fi THEN coalesce(v1 / (i1 - coalesce(i0, fi - 1)), value) ELSE value END')} AS value FROM bk",
-    "fill_hermite": f"""WITH {_RUNNING}, vp AS (SELECT location_id, i, value AS v, lead(i) OVER w AS ni, lead(value) OVER w AS nv, lag(i) OVER w AS pi, lag(value) OVER w AS pv FROM nx WHERE value IS NOT NULL WINDOW w AS (PARTITION BY location_id ORDER BY i)),
-      e AS (SELECT a.*, b.pi AS ppi, b.pv AS ppv, coalesce(a.ni - a.i, a.i - a.pi) AS w FROM vp a LEFT JOIN vp b ON b.location_id = a.location_id AND b.i = a.pi),
-      g AS (SELECT *, greatest(i - w, 0) AS bi, greatest(i - w, 0) - w AS ai FROM e WHERE i - pi > 1),
-      {_PASSES},
-      s AS (SELECT location_id, i, max(x) AS x FROM f2 GROUP BY ALL)
-      SELECT nx.location_id, nx.valid_time, {_r('coalesce(nx.value, s.x)')} AS value FROM nx LEFT JOIN s USING (location_id, i)""",
+    "fill_hermite": f"""WITH RECURSIVE {_RUNNING}, vp AS (SELECT location_id, pos AS i, v, lead(pos) OVER w AS ni, lead(v) OVER w AS nv, lag(pos) OVER w AS pi, lag(v, 2) OVER w AS ppv FROM vd WINDOW w AS (PARTITION BY location_id ORDER BY pos)),
+      gp AS (SELECT *, coalesce(ni - i, lag(ni - i) OVER w, 0) AS w FROM vp WHERE i - coalesce(pi, -1) > 1 WINDOW w AS (PARTITION BY location_id ORDER BY i)),
+      g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY i) AS n FROM gp WHERE pi IS NOT NULL),
+      h AS (SELECT location_id, 0::BIGINT AS n, list(value ORDER BY i) AS a FROM r0 GROUP BY location_id UNION ALL
+        SELECT location_id, n, a[1:pi + 1] || list_transform(range(pi + 1, i), lambda t: {_cubic('aa', 'bb', 'v', 'coalesce(nv, v)', '((t - spot) / (i - spot))')}) || a[i + 1:] FROM (
+          SELECT *, CASE WHEN far THEN pi ELSE bi END AS spot, CASE WHEN far THEN a[pi + 1] ELSE a[bi + 1] END AS bb, CASE WHEN far THEN coalesce(ppv, a[pi + 1]) ELSE coalesce(a[CASE WHEN bi >= w THEN bi - w ELSE bi END + 1], a[bi + 1]) END AS aa FROM (
+            SELECT h.location_id, h.n + 1 AS n, h.a, g.i, g.pi, g.v, g.nv, g.ppv, g.w, greatest(g.i - g.w, 0) AS bi, g.w = 0 OR h.a[greatest(g.i - g.w, 0) + 1] IS NULL AS far FROM h JOIN g ON g.location_id = h.location_id AND g.n = h.n + 1))),
+      l AS (SELECT location_id, arg_max(a, n) AS a FROM h GROUP BY location_id)
+      SELECT r0.location_id, r0.valid_time, {_r('l.a[r0.i + 1]')} AS value FROM r0 JOIN l USING (location_id)""",
     "upsample_linear": f"""WITH {T.REGULAR}, s AS (SELECT *, {_LIN_UP} AS b FROM regular {_W}), {_UP.format(cols='b', n=4, src='s')}
       SELECT location_id, valid_time + to_minutes(CAST(j * 15 AS INTEGER)) AS valid_time, {_r('value * (1 - j / 4) + b * (j / 4)')} AS value FROM up""",
     "upsample_degrees": f"""WITH {_DEG}, s AS (SELECT location_id, valid_time, value, {_LIN_UP} AS b FROM deg {_W}), {_UP.format(cols='b', n=2, src='s')},

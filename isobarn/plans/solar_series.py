@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from isobarn.functions import solar
 from isobarn.operators import fill, resample
 from isobarn.plans import tables as T
+from isobarn.plans.derived import _CUT, _GEO
+from isobarn.plans.solar_requests import _LIGHT
 
 LOC = ["location_id"]
 
@@ -49,7 +51,23 @@ _NEIGHBOURS = """n AS (SELECT *, epoch(valid_time) AS s, last_value(value IGNORE
     last_value(value IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN value IS NOT NULL THEN epoch(valid_time) END IGNORE NULLS) OVER a AS t1 FROM regular
   WINDOW b AS (PARTITION BY location_id ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY location_id ORDER BY valid_time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _LOW = 5 / 1367.7
+_MEAN = lambda x, a, b: f"list_avg({x}[{a} + 2:{b} + 1])"
+_CLEAR = lambda mean, a, b: f"CASE WHEN {_MEAN('s', a, b)} > {_LOW!r} THEN least(({mean}) / {_MEAN('s', a, b)}, {1367.7 * 0.95!r}) END"
+_CURVE = "greatest((1 - f(t)) * (1 - f(t)) * (kb + m) / 2 + 2 * f(t) * (1 - f(t)) * m + f(t) * f(t) * (m + kd) / 2, 0) * s[t + 1]".replace("f(t)", "((t - b) / width)")
+_SKY = f"""sunt AS (SELECT place_id, lat, lon, hour, CAST(1704067200 + (place_id * 17 % 366) * 86400 + hour * 3600 AS DOUBLE) AS s FROM (SELECT place_id, lat, lon, unnest(range(72)) AS hour FROM places)), {_GEO}, {_CUT('g3', '').format(src='g2')},
+      g4 AS (SELECT *, (lo + hi) / 2 AS mid, (hi - lo) / 2 AS half FROM g3), g5 AS (SELECT *, a + b * cos(mid - half * 0.77459667) AS m1, a + b * cos(mid) AS m2, a + b * cos(mid + half * 0.77459667) AS m3 FROM g4),
+      sky AS (SELECT place_id, hour, CASE WHEN hi > lo AND NOT (a < 0 AND -a / b >= 1) THEN 1098 * half * (5 / 9 * ({_LIGHT('m1')} + {_LIGHT('m3')}) + 8 / 9 * {_LIGHT('m2')}) / (r2 * w) ELSE 0 END AS light FROM g5)"""
 ORACLE = {
+    "filled_radiation": f"""WITH RECURSIVE {T.PLACES}, {_SKY}, src AS MATERIALIZED (SELECT place_id, hour, light, CASE WHEN hour % 3 = 2 THEN light * (0.3 + place_id % 7 / 10) END AS value FROM sky),
+      h AS (SELECT place_id, 0 AS n, list(value ORDER BY hour) AS x, list(light ORDER BY hour) AS s FROM src GROUP BY place_id UNION ALL
+        SELECT place_id, n + 1, x[1:b + 1] || CASE WHEN m IS NULL THEN list_transform(range(b + 1, c), lambda t: 0.0::DOUBLE) || x[c + 1:c + 1] WHEN x[c + 1] > 5 THEN list_transform(found, lambda y: CASE WHEN list_sum(found) > 5 THEN y * (x[c + 1] * len(found) / list_sum(found)) ELSE 0.0 END) ELSE found END || x[c + 2:], s FROM (
+          SELECT *, list_transform(range(b + 1, c + 1), lambda t: {_CURVE}) AS found FROM (
+            SELECT place_id, n, x, s, b, c, width, m, coalesce(kb0, m) AS kb, coalesce(kd0, m) AS kd FROM (
+              SELECT *, coalesce(kc, kb0, kd0) AS m FROM (SELECT place_id, n, x, s, b, c, width, kc, coalesce(kb1, kc) AS kb0, coalesce(kd1, kc) AS kd0 FROM (
+                SELECT *, CASE WHEN x[c + 1] > 0 THEN {_CLEAR('x[c + 1]', 'b', 'c')} END AS kc, CASE WHEN b - width >= 0 THEN {_CLEAR(_MEAN('x', '(b - width)', 'b'), '(b - width)', 'b')} END AS kb1,
+                  CASE WHEN c + width < 72 THEN {_CLEAR('x[c + width + 1]', 'c', '(c + width)')} END AS kd1 FROM (SELECT *, 3 * n - 1 AS b, 3 * n + 2 AS c, 3 AS width FROM h WHERE n < 24))))))),
+      l AS (SELECT place_id, x FROM h WHERE n = 24)
+      SELECT place_id, CAST(hour AS INTEGER) AS hour, {_r('x[hour + 1]', 3)} AS value FROM src JOIN l USING (place_id)""",
     "upsample_solar": f"""WITH {T.REGULAR}, {_NEIGHBOURS}, l AS (SELECT location_id, CAST(s AS BIGINT) AS s, {_H('CAST(s AS BIGINT)')} AS light, coalesce(value, v1 * ((s - t0) / (t1 - t0)) + v0 * (1 - (s - t0) / (t1 - t0))) * {_H('CAST(s AS BIGINT)')} AS v FROM n),
       k AS (SELECT *, CASE WHEN light > {_LOW!r} THEN least(v / light, {1367.7 * 0.95!r}) END AS k FROM l),
       m AS (SELECT *, coalesce(lag(k) OVER w, CASE WHEN lag(v) OVER w IS NULL THEN k END) AS a, k AS b, lead(k) OVER w AS c, lead(k, 2) OVER w AS d, lead(v) OVER w AS vc FROM k WINDOW w AS (PARTITION BY location_id ORDER BY s)),
