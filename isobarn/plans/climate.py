@@ -10,6 +10,7 @@ from isobarn.operators import bias as B
 from isobarn.plans import tables as T
 from isobarn.session import shared_dir
 from isobarn.sources import storage as S
+from isobarn.sources.versioned import Store
 from isobarn.streaming import streams as R
 
 LOC = ["location_id"]
@@ -147,7 +148,7 @@ def upserted_batches(spark, sf_dir):
     batch(_canonical(spark, sf_dir, False), 0)
     for _ in range(2):
         batch(_canonical(spark, sf_dir, True).withColumn("value", F.col("value") + 100), 1)
-    return T.tidy(spark.read.parquet(path).select("variable", "location_id", "valid_time", "value"))
+    return T.tidy(Store(spark, path).read().select("variable", "location_id", "valid_time", "value"))
 
 
 def streamed_pairs(spark, sf_dir):

@@ -12,6 +12,7 @@ from isobarn.operators.requests import time_spine
 from isobarn.plans import tables as T
 from isobarn.session import shared_dir
 from isobarn.sources import storage as S
+from isobarn.sources.versioned import Store
 from isobarn.streaming import streams as R
 
 
@@ -95,7 +96,22 @@ def upserted_lead_days(spark, sf_dir):
     batch(own, 0)
     for _ in range(2):
         batch(own.where("lead_day < 2 AND location_id % 3 = 0").withColumn("value", F.when(F.col("variable") != "error", F.col("value") + 50)), 1)
-    return T.tidy(spark.read.parquet(path).select("variable", "location_id", F.col("lead_day").cast("int").alias("lead_day"), "valid_time", "value"))
+    return T.tidy(Store(spark, path).read().select("variable", "location_id", F.col("lead_day").cast("int").alias("lead_day"), "valid_time", "value"))
+
+
+def versioned_upserts(spark, sf_dir):
+    """A store in commits: all events, then new values of its first days and of its last ones, one of them twice; read by a range, with
+    the number of the commit that each chunk of time comes from."""
+    store = Store(spark, _path(spark, "versions"), 5 * 86400)
+    own = T.hourly(spark, sf_dir)
+    store.upsert(own, batch="all")
+    day = F.dayofmonth("valid_time")
+    for name, days in (("first", day <= 2), ("last", day >= 29), ("last", day >= 29)):
+        store.upsert(own.where(days & (F.col("location_id") % 2 == 0)).withColumn("value", F.col("value") + 1000), batch=name)
+    store.vacuum()
+    commits = store.current().select("variable", "time_chunk", F.col("number").alias("commit_number"))
+    found = store.read(variables=["view", "click"], start="2024-01-02T00:00:00", stop="2024-01-30T00:00:00", keep_chunks=True)
+    return T.tidy(found.join(F.broadcast(commits), ["variable", "time_chunk"]).select("variable", "location_id", "valid_time", "value", "commit_number"))
 
 
 def streamed_fields(spark, sf_dir):
@@ -173,6 +189,10 @@ ORACLE = {
     "calendar_days": f"""WITH {T.DAILY}, d AS (SELECT * FROM daily_long WHERE NOT (month(date) = 2 AND day(date) = 29)) SELECT location_id, date, {_r('value')} AS value FROM d
       UNION ALL SELECT location_id, date + 1, {_r('value')} FROM d WHERE month(date) = 2 AND day(date) = 28 AND year(date) % 4 = 0 AND (year(date) % 100 <> 0 OR year(date) % 400 = 0)""",
     "assembled_chunks": "SELECT s_suppkey AS place_id, CAST(h AS INTEGER) AS hour, CAST(s_suppkey * h AS DOUBLE) AS value FROM supplier, (SELECT unnest(range(24)) AS h)",
+    "versioned_upserts": f"""WITH {T.HOURLY}, c AS (SELECT *, CAST(floor(epoch(valid_time) / 432000) AS BIGINT) AS chunk FROM hourly),
+      n AS (SELECT variable, chunk, CASE WHEN bool_or(location_id % 2 = 0 AND day(valid_time) >= 29) THEN 3 WHEN bool_or(location_id % 2 = 0 AND day(valid_time) <= 2) THEN 2 ELSE 1 END AS commit_number FROM c GROUP BY ALL)
+      SELECT variable, location_id, valid_time, {_r('value + CASE WHEN location_id % 2 = 0 AND (day(valid_time) <= 2 OR day(valid_time) >= 29) THEN 1000 ELSE 0 END')} AS value, CAST(commit_number AS BIGINT) AS commit_number FROM c JOIN n USING (variable, chunk)
+      WHERE variable IN ('view', 'click') AND valid_time >= '2024-01-02' AND valid_time < '2024-01-30'""",
     "upserted_lead_days": f"""WITH {_LEADS} SELECT variable, location_id, lead_day, valid_time, {_r("value + lead_day + CASE WHEN lead_day < 2 AND location_id % 3 = 0 AND variable <> 'error' THEN 50 ELSE 0 END")} AS value FROM leads""",
     "streamed_fields": f"WITH {_LEADS} SELECT variable, lead_day, count(*) AS n, {_r('avg(value + lead_day)')} AS mean FROM leads GROUP BY ALL",
     "streamed_differences": _DIFFERENCES,

@@ -8,14 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from isobarn.operators.series import SCHEMA, stored_keys
+from isobarn.operators.series import SCHEMA
 from isobarn.session import ship_package
-from isobarn.sources.storage import CHUNK_SECONDS, build_run_metadata, by_chunk, merge_series, time_chunk
+from isobarn.sources.storage import CHUNK_SECONDS, build_run_metadata
+from isobarn.sources.versioned import Store
 
 
 def stream_fields(spark: SparkSession, path: str, schema: str = SCHEMA, files_per_trigger: int | None = None) -> DataFrame:
@@ -103,27 +103,14 @@ def stream_sliding_mean(events: DataFrame, hours: int, by: list[str], watermark:
 
 
 def upsert_batch(path: str, by: list[str] | None = None, chunk: int = CHUNK_SECONDS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the batch's time chunks are merged with the stored ones and replaced as a whole.
-
-    Rows are told apart by series, lead day, run and time, as far as the batch has them. Merging the same batch again gives the same chunks, so a repeated batch does no harm. The merge is staged beside the
-    table first, because a table can't be read and replaced at once.
-    """
+    """A foreachBatch function: the batch is merged into a versioned store (sources.versioned) as one commit, which reads and replaces
+    the time chunks that it touches and no others. A batch that is repeated after its commit is left out; one that broke off
+    before it has changed nothing that readers see."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = batch.withColumn("time_chunk", time_chunk("valid_time", chunk))
-        parts = [p for p in ("domain", "variable") if p in batch.columns] + ["time_chunk"]
-        names = [*stored_keys(batch, by), "time_chunk"]
-        try:
-            stored = spark.read.schema(own.schema).parquet(path).join(own.select(*parts).distinct(), parts, "left_semi")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = own.limit(0)
-        staging = f"{path.rstrip('/')}_staging/{batch_id}"
-        merge_series(stored, own, names).write.mode("overwrite").parquet(staging)
-        whole = by_chunk(spark.read.schema(own.schema).parquet(staging), parts)
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        Store(spark, path, chunk).upsert(batch, by, f"{query}:{batch_id}")
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isobarn.operators import combine, grids
 from isobarn.sources import storage
+from isobarn.sources.versioned import Store
 from isobarn.streaming import streams
 
 
@@ -150,7 +151,7 @@ def test_stream_deaccumulate_and_upsert(spark, tmp_path):
     batch = streams.upsert_batch(str(tmp_path / "store"))
     for i in (0, 0, 1):  # a repeated batch does no harm
         batch(rows if i == 0 else _series(spark, [9, None]), i)
-    stored = spark.read.parquet(str(tmp_path / "store")).orderBy("valid_time")
+    stored = Store(spark, str(tmp_path / "store")).read().orderBy("valid_time")
     assert [r.value for r in stored.collect()] == [9, 2, 3]
 
 
@@ -160,12 +161,55 @@ def test_lead_days_and_other_columns_survive(spark, tmp_path):
     batch = streams.upsert_batch(str(tmp_path / "leads"))
     batch(spark.createDataFrame(rows, storage.SCHEMA), 0)
     batch(spark.createDataFrame([("d", "v", 1, 0, 2, start, 9.0), ("d", "v", 1, 0, 3, start, None)], storage.SCHEMA), 1)
-    assert sorted((r.lead_day, r.value) for r in spark.read.parquet(str(tmp_path / "leads")).collect()) == [(0, 0.0), (1, 1.0), (2, 9.0), (3, 3.0)]
+    assert sorted((r.lead_day, r.value) for r in Store(spark, str(tmp_path / "leads")).read().collect()) == [(0, 0.0), (1, 1.0), (2, 9.0), (3, 3.0)]
     more = spark.createDataFrame([(1, start, 1.0, "old")], "location_id bigint, valid_time timestamp, value double, note string")
     new = spark.createDataFrame([(1, start, None, "new")], "location_id bigint, valid_time timestamp, value double, note string")
     assert [tuple(r) for r in storage.merge_series(more, new).select("value", "note").collect()] == [(1.0, "new")]
 
 
+def test_commits_touch_only_their_chunks(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda days, value: spark.createDataFrame([("d", v, i, dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=d), value) for v in ("a=b/c", "7") for i in range(3) for d in days], "domain string, variable string, location_id bigint, valid_time timestamp, value double")
+    every = range(0, 400, 5)
+    assert store.upsert(rows(every, 1.0), batch="one") == 1
+    before = {(r.variable, r.time_chunk): r.v for r in store.current().collect()}
+    opened = []
+    plain = Store._open
+    monkeypatch.setattr(Store, "_open", lambda self, chunks: opened.extend((r.variable, r.time_chunk) for r in chunks.collect()) or plain(self, chunks))
+    assert store.upsert(rows([0, 395], 2.0).where("variable = '7' AND location_id < 2"), batch="two") == 2
+    touched = set(opened)
+    assert len(touched) == 2 and {v for v, _ in touched} == {"7"}  # two chunks of one variable, far apart
+    after = {(r.variable, r.time_chunk): r.v for r in store.current().collect()}
+    assert {k for k in after if after[k] != before[k]} == touched
+    assert store.upsert(rows([0], 9.0), batch="two") == -1  # it was committed before
+    want = {(v, i, d): 2.0 if v == "7" and i < 2 and d in (0, 395) else 1.0 for v in ("a=b/c", "7") for i in range(3) for d in every}
+    got = lambda: {(r.variable, r.location_id, (r.valid_time - dt.datetime(2024, 1, 1)).days): r.value for r in store.read().collect()}
+    assert got() == want
+    # a batch that breaks off leaves nothing that is read, and what it has written goes
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("broken")))
+        with pytest.raises(RuntimeError):
+            store.upsert(rows([0], 9.0), batch="three")
+    assert got() == want
+    folders = lambda: {p for p in (tmp_path / "s" / "data").rglob("time_chunk=*") if p.is_dir()}
+    assert len(folders()) == len(before) + 4
+    store.vacuum()
+    assert len(folders()) == len(before) and got() == want and store.has("two") and len(list((tmp_path / "s" / "log").glob("*.json"))) == 1
+    # of two writers one begins anew
+    taken = []
+    plain_commit = Store._commit
+
+    def late(self, number, lines):
+        if not taken:
+            taken.append(number)
+            plain_commit(self, number, [{"number": number, "batch": "other"}])
+        return plain_commit(self, number, lines)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    assert store.upsert(rows([395], 3.0), batch="four") == taken[0] + 1
+    assert got() == want | {(v, i, 395): 3.0 for v in ("a=b/c", "7") for i in range(3)}
+
+
 def test_small_tables_are_checked(spark):
     from isobarn.operators.series import bounded
 
