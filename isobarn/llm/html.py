@@ -1,15 +1,19 @@
 """Main text of web pages by a maximum-scoring subsequence (operator 3).
 
 A page is a sequence of words, which score positive, and tags, which score negative; one linear scan finds the
-contiguous region with the largest sum; headings right before it belong to it, however short. The weights are learned from pages that label themselves by holding exactly one
-article (or main) element: a tag, or a class, that is usual outside of it costs more.
+contiguous region with the largest sum. The region is then widened to the article (or main) that it lies in, or to the box (_HOLDERS) around it, if
+it holds most of its words, so that the sum chooses among parts of a page and cuts nothing off within one: tables, lists, figures and short last
+paragraphs of an article stay. Headings right before it belong to it, however short. The weights are learned from pages that label
+themselves by holding exactly one article (or main) element: a tag, or a class, that is usual outside of it costs more; a tag that no
+page has shown costs as much as tags of its kind.
 
 Elements that the task names are no content by rule: menus (nav, menu), page headers, footers, asides, forms, scripts,
 styles and what isn't text. Other sidebars, notices, adverts and readers' comments are known by the words of their class,
 id or role only. Each such name has a weight, the chance that its element lies beside the content: it starts from a prior
-(NAMES: a name that is such a word, or has one among others) and moves with the labelled pages that use it. An element is
-left out from a chance of one half on; one that holds the headline, an article or most of the page's words only if it is
-all but certain. What is left out scores nothing.
+(NAMES: a name that is such a word, or whose last word is one, apart from words that only say where or what box: `ad-slot` is
+an advert, `share-price` a price) and moves with the labelled pages that use it. An element is left out from a chance of one half
+on; one that holds the headline, an article or most of the page's words only if it is all but certain, and a form, aside or the like not
+even then. What is left out scores nothing.
 
 Tags are read as browsers read them: quoted attribute values may hold anything, and everything is one pass, so broken
 pages take no longer.
@@ -48,6 +52,15 @@ _BLOCKS = set("address article aside blockquote body caption center dd details d
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style title textarea noscript iframe noembed noframes xmp".split()}
 _NEVER = set("nav footer aside form button menu dialog object canvas audio video select template svg".split())
+#: Of these, elements that pages wrap around their content now and then.
+_WRAPPERS = set("aside form dialog object".split())
+#: Tags of content, cheap until pages show otherwise.
+_CONTENT = set(
+    "p b i em strong a span br h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre code q cite small u s del ins sub sup mark time abbr dfn var samp kbd table caption thead tbody tfoot tr td th "
+    "colgroup col figure figcaption img picture source details summary address hr wbr ruby rt rp".split()
+)
+#: Elements that pages put whole parts of themselves in.
+_HOLDERS = set("div section td form aside fieldset center".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME, _PLAIN_ATTRIBUTES = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[^>\"']*")
 NAMES = set(
@@ -55,6 +68,8 @@ NAMES = set(
     "consent disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words of a name that say where an element stands or what box it is, and not what it holds.
+_PLACES = set("left right top bottom upper lower inner outer main site page global primary secondary mobile desktop wrapper wrap container box block slot unit area section region zone panel bar list item items group row column col links buttons icons form text content 1 2 3 4 5 6 7 8 9".split())
 
 
 def names(attributes: str) -> list[str]:
@@ -70,7 +85,8 @@ def prior(name: str) -> float:
     """Chance that an element of that name is beside the content, before any page was seen."""
     if name in NAMES:
         return PLAIN
-    return PARTLY if not NAMES.isdisjoint(name.split("-")) else 0.05
+    told = [x for x in name.split("-") if x not in _PLACES]
+    return PARTLY if told and told[-1] in NAMES else 0.05
 
 
 class _Quotes:
@@ -115,10 +131,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
             return
         follows = page[open_ + 1 : open_ + 2]
         if page.startswith("<!--", open_):
-            end = page.find("-->", open_ + 4)
-            if end < 0:
+            if page.startswith((">", "->"), open_ + 4):  # an empty comment
+                at = page.find(">", open_) + 1
+                continue
+            ends = [x + len(mark) for mark in ("-->", "--!>") if (x := quotes.find(mark, open_ + 4)) >= 0]
+            if not ends:
                 return
-            at = end + 3
+            at = min(ends)
             continue
         closing = follows == "/"
         name = _NAME.match(page, open_ + 1 + closing)
@@ -163,7 +182,8 @@ class Page:
                     last = open_.pop()
                     tag = self.elements[last][2]
                     count[tag] -= 1
-                    self.elements[last][1] = here + 1
+                    if tag == name or name not in ("body", "html"):
+                        self.elements[last][1] = here + 1
                     if tag == name:
                         break
             else:
@@ -192,11 +212,13 @@ class Page:
         for begin, end, name, own in self.elements:
             if end is None or name in ("html", "body", "article", "main") or article[end] > article[begin]:
                 continue
-            if name in _NEVER or (name == "header" and not inside[begin]):
+            most = head[end] > head[begin] or 2 * (total[end] - total[begin]) > total[n]
+            if name in _WRAPPERS and most:
+                found = False
+            elif name in _NEVER or (name == "header" and not inside[begin]):
                 found = True
             elif own:
-                least = CERTAIN if head[end] > head[begin] or 2 * (total[end] - total[begin]) > total[n] else LEFT_OUT
-                found = max(map(chance, own)) >= least
+                found = max(map(chance, own)) >= (CERTAIN if most else LEFT_OUT)
             else:
                 continue
             if found:
@@ -214,7 +236,7 @@ class Weights:
     def of(self, tag: str) -> float:
         known = self.outside.get(tag)
         if known is None:
-            known = 0.05 if tag.lstrip("/") in ("p", "b", "i", "em", "strong", "a", "span", "br", "h1", "h2", "h3", "li", "ul", "ol", "blockquote", "pre", "code") else 0.1 if tag.lstrip("/") in ("div", "section") else 0.6
+            known = 0.05 if tag.lstrip("/") in _CONTENT else 0.1 if tag.lstrip("/") in ("div", "section") else 0.6
         return EASY + self.cost * known
 
     def chance(self, name: str) -> float:
@@ -248,6 +270,25 @@ def with_headline(tags: list[str], words: np.ndarray, out: np.ndarray, begin: in
     return first
 
 
+def widened(page: Page, out: np.ndarray, begin: int, end: int) -> tuple[int, int]:
+    """The region with the whole of what it lies in: the innermost article or main around it, those around its ends, or the innermost
+    box, if the region has at least half of its words."""
+    if begin >= end:
+        return begin, end
+    n = len(page.events)
+    parts = [(a, n if b is None else b) for a, b, name, _ in page.elements if name in ("article", "main")]
+    around = lambda x, y: min(((a, b) for a, b in parts if a <= x and b >= y), key=lambda r: r[1] - r[0], default=None)
+    if whole := around(begin, end):
+        return whole
+    first, last = around(begin, begin + 1), around(end - 1, end)
+    if first or last:
+        return (first[0] if first else begin), (last[1] if last else end)
+    total = np.concatenate([[0], np.cumsum(np.where(out, 0, page.words))])
+    holders = [(a, b) for a, b, name, _ in page.elements if b is not None and name in _HOLDERS and a <= begin and b >= end]
+    a, b = min(holders, key=lambda r: r[1] - r[0], default=(begin, end))
+    return (a, b) if 2 * (total[end] - total[begin]) >= total[b] - total[a] else (begin, end)
+
+
 def scores(tags: list[str], words: np.ndarray, out: np.ndarray, weights: Weights) -> list[float]:
     """What each event counts: words positive, tags negative, what is left out nothing."""
     return [0.0 if gone else (float(n) if tag == "" else -weights.of(tag)) for tag, n, gone in zip(tags, words.tolist(), out.tolist())]
@@ -273,7 +314,7 @@ def extract(page: str | None, weights: Weights) -> str:
     own = Page(page or "")
     out = own.beside(weights.chance)
     tags = [t for t, _, _ in own.events]
-    begin, end = region(scores(tags, own.words, out, weights))
+    begin, end = widened(own, out, *region(scores(tags, own.words, out, weights)))
     begin = with_headline(tags, own.words, out, begin)
     return "\n".join(blocks(own.events[begin:end], out[begin:end]))
 

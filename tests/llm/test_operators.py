@@ -135,6 +135,142 @@ def test_html_pages(page, text):
     assert html.extract(page, html.Weights()) == text
 
 
+CELLS = "".join(f"<tr><td>{i}</td><td>x{i}</td></tr>" for i in range(30))
+ITEMS = "".join(f"<li>item {i}</li>" for i in range(30))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article>{GOOD}<table>{CELLS}</table><p>the end</p></article>", "\n".join([PROSE, *(x for i in range(30) for x in (str(i), f"x{i}")), "the end"])),
+    (f"<article>{GOOD}<ul>{ITEMS}</ul><p>the end</p></article>", "\n".join([PROSE, *(f"item {i}" for i in range(30)), "the end"])),
+    (f"<article>{GOOD}{'<figure><img src=x><figcaption>a view</figcaption></figure>' * 5}<p>the end</p></article>", "\n".join([PROSE, *["a view"] * 5, "the end"])),
+    (f"<article><p class='byline'>by some one</p><h1>Head</h1>{GOOD}<p class='share-price'>the share price rose</p><div class='notice-of-hearing'>a hearing is held</div><p>bye now</p></article>", f"by some one\nHead\n{PROSE}\nthe share price rose\na hearing is held\nbye now"),
+    (f"<body><form id='aspnetForm'><div class='site-menu'>one two three</div><article>{GOOD}<form>your name here</form></article></form></body>", PROSE),
+    (f"<body><form><div>{GOOD}<p>the end</p></div></form></body>", f"{PROSE}\nthe end"),
+    (f"<!-->{GOOD}", PROSE), (f"<article><!--->{GOOD}<!-- x --!><p>more</p></article>", f"{PROSE}\nmore"),
+    (f"<body><main><article>{GOOD}<p>a</p></article><aside>other news here</aside></main></body>", f"{PROSE}\na"),
+    (f"<body><div class='ad-slot'>buy it now</div><div class=text>{GOOD}<dl><dt>a</dt><dd>b</dd></dl></div><div class='related-posts'>more of it</div></body>", f"{PROSE}\na\nb"),
+    ("<article><p>tie one</p></article><article><p>tie two</p></article>", "tie one"),
+])
+def test_html_articles_stay_whole(page, text):
+    labelled = [html.labelled(f"<body><nav><ul><li><a>x</a></li></ul></nav><div class=ad>buy</div><article><h1>h</h1>{GOOD}</article><footer>f</footer></body>")] * 20
+    assert html.extract(page, html.Weights()) == text and html.extract(page, html.learn(labelled)) == text
+
+
+class _Tree:
+    """A page as nested lists, by the standard library's parser: (tag, attributes, children); texts are strings."""
+
+    def __init__(self, page):
+        import html.parser as parser
+
+        self.root = self.now = ["", {}, [], None]
+        tree = self
+
+        class Reader(parser.HTMLParser):
+            def handle_starttag(self, tag, attributes):
+                own = [tag, dict(attributes), [], tree.now]
+                tree.now[2].append(own)
+                tree.now = own
+
+            def handle_endtag(self, tag):
+                tree.now = tree.now[3]
+
+            def handle_data(self, data):
+                tree.now[2].append(data)
+
+        Reader(convert_charrefs=False).feed(page)
+
+
+def _plain_extract(page, weights):
+    """The extraction by its definition, on a tree: what is left out, all runs of events, the article around the best, its blocks."""
+    events = []  # tag or "", text, left out, elements around
+    words = lambda node: sum(len(x.split()) if isinstance(x, str) else words(x) for x in node[2])
+    holds = lambda node, tags: any(not isinstance(x, str) and (x[0] in tags or holds(x, tags)) for x in node[2])
+    root = _Tree(page).root
+    every = words(root)
+
+    def walk(node, gone, around):
+        for x in node[2]:
+            if isinstance(x, str):
+                events.append(["", x, gone, around])
+                continue
+            most = x[0] == "h1" or holds(x, ("h1",)) or 2 * words(x) > every
+            named = [weights.chance(n) for n in html.names(" ".join(f'{k}="{v}"' for k, v in x[1].items()))]
+            mine = x[0] not in ("html", "body", "article", "main") and not holds(x, ("article", "main"))
+            if x[0] in ("form", "aside") and most:
+                mine = False
+            elif x[0] not in ("nav", "footer", "form", "aside"):
+                mine = mine and bool(named) and max(named) >= (0.9 if most else 0.5)
+            inner = [*around, x]
+            events.append([x[0], None, gone or mine, inner])
+            walk(x, gone or mine, inner)
+            events.append(["/" + x[0], None, gone or mine, inner])
+
+    walk(root, False, [])
+    score = [0.0 if gone else float(len(text.split())) if tag == "" else -weights.of(tag) for tag, text, gone, _ in events]
+    best, begin, end = 0.0, 0, 0
+    for b in range(len(score)):
+        for e in range(b + 1, len(score) + 1):
+            if sum(score[b:e]) > best + 1e-9:
+                best, begin, end = sum(score[b:e]), b, e
+    span = lambda node: [i for i, (_, _, _, around) in enumerate(events) if any(x is node for x in around)]
+    nodes = {id(x): x for *_, around in events for x in around}
+    articles = [s for x in nodes.values() if x[0] in ("article", "main") and (s := span(x))]
+    if end:
+        within = [s for s in articles if s[0] <= begin and s[-1] + 1 >= end]
+        first, last = ([s for s in articles if s[0] <= at <= s[-1]] for at in (begin, end - 1))
+        small = lambda found: min(found, key=len)
+        if within:
+            begin, end = small(within)[0], small(within)[-1] + 1
+        elif first or last:
+            begin, end = small(first)[0] if first else begin, small(last)[-1] + 1 if last else end
+        else:
+            holders = [s for x in nodes.values() if x[0] in html._HOLDERS and (s := span(x))[0] <= begin and s[-1] + 1 >= end]
+            count = lambda at: sum(len(events[i][1].split()) for i in at if events[i][0] == "" and not events[i][2])
+            if holders and 2 * count(range(begin, end)) >= count(small(holders)):
+                begin, end = small(holders)[0], small(holders)[-1] + 1
+    tags = [t for t, *_ in events]
+    counts = np.array([len(t.split()) if t is not None else 0 for _, t, _, _ in events], int)
+    gone = np.array([g for _, _, g, _ in events], bool)
+    begin = html.with_headline(tags, counts, gone, begin)
+    out, open_ = [], []
+    for tag, text, left, _ in [*events[begin:end], ["p", None, False, []]]:
+        if tag == "" and not left:
+            open_.append(text)
+        elif tag and tag.lstrip("/") in html._BLOCKS:
+            out.append(" ".join("".join(open_).split()))
+            open_ = []
+    return "\n".join(x for x in out if x)
+
+
+def test_html_extraction_equals_its_definition():
+    rng = random.Random(12)
+    names = ["", "", " class='ad'", " class='share-price'", " id='left-sidebar'", " class='post'"]
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                out.append(" ".join(rng.choices(["some", "words", "here", "now"], k=rng.choice([1, 2, 3, 15]))))
+            else:
+                tag = rng.choice(["p", "div", "section", "ul", "li", "td", "aside", "nav", "form", "article", "main", "h1", "span", "blink", "footer"])
+                out.append(f"<{tag}{rng.choice(names)}>{made(depth - 1)}</{tag}>")
+        return " ".join(out)
+
+    kinds = collections.Counter()
+    for _ in range(400):
+        page = f"<html><body>{made(3)}</body></html>"
+        weights = html.Weights(cost=rng.choice([5.0, 20.0]))
+        got = html.extract(page, weights)
+        assert got == _plain_extract(page, weights), page
+        kinds[bool(got)] += 1
+    assert kinds[True] > 300
+
+
+def test_html_elements_closed_by_the_body_are_not_left_out():
+    assert "main text" in html.extract("<body><aside>side<p>main text</body>", html.Weights())
+    assert html.extract("<body><aside>side</aside><p>main text</body>", html.Weights()) == "main text"
+
+
 def test_html_broken_pages_take_linear_time():
     import time
 
