@@ -6,11 +6,14 @@ Distributions are tables of one row for each series, bin and season, made by gro
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobarn.functions.solar import YEAR
 from isobarn.operators.series import keys, ordered, seconds
+from isobarn.session import ship_package
 
 QUANTILES = 100
 
@@ -74,8 +77,12 @@ def preferred_weights(layers: list[DataFrame], by: list[str]) -> DataFrame:
 
 def value_range_bins(df: DataFrame, n: int = QUANTILES, least: float | None = None, by: list[str] | None = None, value: str = "value") -> DataFrame:
     """Smallest value and width of n - 1 equal steps to the largest."""
+    return df.groupBy(*keys(df, by)).agg(*_range_of(n, least, value))
+
+
+def _range_of(n: int, least: float | None, value: str) -> list[Column]:
     low = F.min(value) if least is None else F.lit(float(least))
-    return df.groupBy(*keys(df, by)).agg(low.alias("bin_min"), ((F.max(value) - low) / (n - 1)).alias("bin_width"))
+    return [low.alias("bin_min"), ((F.max(value) - low) / (n - 1)).alias("bin_width")]
 
 
 def _cumulated(df: DataFrame, ranges: DataFrame, group: list[str], by: list[str], n: int, value: str) -> DataFrame:
@@ -83,7 +90,7 @@ def _cumulated(df: DataFrame, ranges: DataFrame, group: list[str], by: list[str]
 
     Weights are summed by bin first; running sums then run over at most n rows of a group, not over the data.
     """
-    joined = df.join(ranges, by)
+    joined = df.join(ranges.select(*by, "bin_min", "bin_width"), by)
     place = F.when(F.col("bin_width") > 0, (F.col(value) - F.col("bin_min")) / F.col("bin_width")).otherwise(F.lit(0.0))
     bin_ = F.least(F.greatest(F.floor(place), F.lit(-1)), F.lit(n - 1))
     part = F.when(bin_ >= 0, 1 - (place - bin_)).otherwise(F.lit(0.0))
@@ -109,10 +116,11 @@ def year_block(time: str | Column, first_year: Column, years: int = 10) -> tuple
     return F.floor(place), place - F.floor(place)
 
 
-def sliding_cdf(df: DataFrame, ranges: DataFrame, seasons: int = 4, years: int = 10, n: int = QUANTILES, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
-    """by, block, season, bin, cdf: distributions by season and block of years, shared in both directions."""
+def sliding_cdf(df: DataFrame, ranges: DataFrame, seasons: int = 4, years: int = 10, n: int = QUANTILES, by: list[str] | None = None, time: str = "valid_time", value: str = "value", span: DataFrame | None = None) -> DataFrame:
+    """by, block, season, bin, cdf: distributions by season and block of years, shared in both directions. span: first_year and
+    blocks of each series, if they are known."""
     by = keys(df, by)
-    span = _span(df, by, time, years)
+    span = (df.groupBy(*by).agg(*_span_of(time, years)) if span is None else span).select(*by, "first_year", "blocks")
     own = _shared(df.where(F.col(value).isNotNull()), time, seasons).join(span, by)
     block, place = year_block(time, F.col("first_year"), years)
     parts = F.array(F.struct(block.alias("block"), (1 - place).alias("share")), F.struct((block + 1).alias("block"), place.alias("share")))
@@ -126,10 +134,10 @@ def _curve(cdf: DataFrame, group: list[str], name: str) -> DataFrame:
     return cdf.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias(name))
 
 
-def _span(df: DataFrame, by: list[str], time: str, years: int) -> DataFrame:
-    """First year and number of blocks of each series."""
+def _span_of(time: str, years: int) -> list[Column]:
+    """First year and number of blocks of a series."""
     first, last = F.round(F.min(seconds(time)) / YEAR), F.round(F.max(seconds(time)) / YEAR)
-    return df.groupBy(*by).agg(first.alias("first_year"), F.greatest(F.floor((last - first + 1) / years), F.lit(1)).alias("blocks"))
+    return [first.alias("first_year"), F.greatest(F.floor((last - first + 1) / years), F.lit(1)).alias("blocks")]
 
 
 def _all_curves(cdf: DataFrame, name: str, by: list[str]) -> DataFrame:
@@ -139,27 +147,6 @@ def _all_curves(cdf: DataFrame, name: str, by: list[str]) -> DataFrame:
     return _curve(cdf, group, "_c").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key.cast("int").alias("k"), "_c"))).alias(name))
 
 
-def _between(a: Column, b: Column, place: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x * (1 - place) + y * place)
-
-
-def _at_time(name: str, seasons: int, time: Column, years: int | None = None) -> Column:
-    """The distribution at a time, from the map of column `name`: between two seasons and, with years, between two blocks, whose
-    first year and number are columns too."""
-    own, place = season(time, seasons)
-
-    def of_block(block: Column) -> Column:
-        at = lambda s: F.try_element_at(F.col(name), (block * 100 + s).cast("int"))
-        return _between(at(own), at((own + 1) % seasons), place)
-
-    if years is None:
-        return of_block(F.lit(0))
-    block, inside = year_block(time, F.col(name + "_first"), years)
-    last = F.col(name + "_blocks") - 1
-    low, high = F.least(F.greatest(block, F.lit(0)), last), F.least(F.greatest(block + 1, F.lit(0)), last)
-    return _between(of_block(low), of_block(high), F.when((block < 0) | (block >= last), F.lit(0.0)).otherwise(inside))
-
-
 def cdf_lookup(curve: str, value: Column, low: str = "bin_min", width: str = "bin_width", n: int = QUANTILES) -> Column:
     """Share below a value, on the line between bin edges; the ends hold beyond."""
     place = F.when(F.col(width) > 0, (value - F.col(low)) / F.col(width)).otherwise(F.lit(0.0))
@@ -170,8 +157,8 @@ def cdf_lookup(curve: str, value: Column, low: str = "bin_min", width: str = "bi
 
 
 def cdf_inverse(curve: str, share: Column, low: str = "bin_min", width: str = "bin_width", n: int = QUANTILES) -> Column:
-    """Value below which the share lies; the first bin whose right edge reaches it."""
-    left = F.array_position(F.transform(F.slice(F.col(curve), 2, n - 1), lambda y: y >= share), F.lit(True)) - 1
+    """Value below which the share lies; the first bin whose right edge reaches it, but for the noise of sums."""
+    left = F.array_position(F.transform(F.slice(F.col(curve), 2, n - 1), lambda y: y >= share - 1e-9), F.lit(True)) - 1
     left = F.when(left < 0, F.lit(n - 2)).otherwise(left).cast("int")
     a, b = F.get(F.col(curve), left), F.get(F.col(curve), left + 1)
     inside = F.when(b > a, F.least(F.greatest((share - a) / (b - a), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
@@ -196,31 +183,89 @@ def quantile_delta_mapping(reference: DataFrame, control: DataFrame, kind: str =
     least = None if kind == "add" else 0.0
     facts = reference.groupBy(*by).agg((F.max(seconds(time)) - YEAR * years // 2).alias("_end"))
     past = linear_trend_removed(reference, by, time, value) if detrend else reference
-    during = control
+    curves = [("_r", past, not detrend), ("_f", control, True)]
     if detrend:
         stop = reference.groupBy(*by).agg(F.max(time).alias("_stop"))
         during = linear_trend_removed(control.join(stop, by).where(F.col(time) <= F.col("_stop")).drop("_stop"), by, time, value)
-    for name, data, sliding in (("_r", past, not detrend), ("_c", during, not detrend), ("_f", control, True)):
-        ranges = value_range_bins(data, n, least, by, value)
-        cdf = sliding_cdf(data, ranges, 4, years, n, by, time, value) if sliding else seasonal_cdf(data, ranges, 3, n, by, time, value)
-        facts = facts.join(ranges.withColumnsRenamed({"bin_min": name + "_min", "bin_width": name + "_width"}), by).join(_all_curves(cdf, name + "_map", by), by)
-        if sliding:
-            facts = facts.join(_span(data, by, time, years).withColumnsRenamed({"first_year": name + "_map_first", "blocks": name + "_map_blocks"}), by)
-    # all that is known of a series is one row, so the series is joined once
-    out = control.join(facts, by)
-    over = seconds(time) >= F.col("_end")
-    back = F.col("_end") + seconds(time) % YEAR - YEAR
-    then = F.col(time) if detrend else F.timestamp_seconds(F.when(over, back).otherwise(seconds(time)))
+        curves.append(("_c", during, False))
+    for name, data, sliding in curves:
+        # range and span of a series are one pass, its distributions another
+        known = data.groupBy(*by).agg(*_range_of(n, least, value), *_span_of(time, years))
+        cdf = sliding_cdf(data, known, 4, years, n, by, time, value, known) if sliding else seasonal_cdf(data, known, 3, n, by, time, value)
+        known = known.withColumnsRenamed({"bin_min": name + "_min", "bin_width": name + "_width", "first_year": name + "_map_first", "blocks": name + "_map_blocks"})
+        facts = facts.join(known, by).join(_all_curves(cdf, name + "_map", by), by)
+    if not detrend:  # the control stands for its own reference period
+        facts = facts.withColumns({f"_c_{x}": F.col(f"_f_{x}") for x in ("min", "width", "map", "map_first", "map_blocks")})
+    # a series meets its curves, a row, once; rows do not carry curves
+    facts = facts.select(*by, "_end", *[F.col(f"{x}_{y}") for x in ("_r", "_c", "_f") for y in ("min", "width")], *[F.col(f"{x}_map_{y}") for x in ("_r", "_c", "_f") for y in ("first", "blocks")], *[F.map_entries(f"{x}_map").alias(f"{x}_map") for x in ("_r", "_c", "_f")])
+    rows = control.withColumns({"_s": seconds(time), value: F.col(value).cast("double")})
     sliding, seasons = (years, 4) if not detrend else (None, 3)
-    out = out.withColumns({"_f": _at_time("_f_map", 4, F.col(time), years), "_r": _at_time("_r_map", seasons, then, sliding), "_c": _at_time("_c_map", seasons, then, sliding)})
-    out = out.withColumn("_e", cdf_lookup("_f", F.col(value), "_f_min", "_f_width", n))
-    mapped, own = cdf_inverse("_r", F.col("_e"), "_r_min", "_r_width", n), cdf_inverse("_c", F.col("_e"), "_c_min", "_c_width", n)
+
+    def mapped(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or known.empty:
+            return own.drop(columns="_s").iloc[:0]
+        facts_ = known.iloc[0]
+        out = [_mapped_values(own[value].to_numpy(float)[a : a + MAP_ROWS], own["_s"].to_numpy(np.int64)[a : a + MAP_ROWS], facts_, kind, n, years, seasons, sliding, limit) for a in range(0, len(own), MAP_ROWS)]
+        return own.drop(columns="_s").assign(**{value: np.concatenate(out)})
+
+    ship_package(control.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != value else 'double'}" for f in control.schema)
+    return rows.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(mapped, schema)
+
+
+#: Rows of a series that are mapped at a time; each needs three curves.
+MAP_ROWS = 16_384
+
+
+def _curves_at(facts, name: str, s: np.ndarray, n: int, seasons: int, years: int | None) -> np.ndarray:
+    """The distribution at each second: between two seasons and, with years, between two blocks."""
+    held = {int(x["key"]): x["value"] for x in facts[f"{name}_map"]}
+    blocks = int(facts[f"{name}_map_blocks"]) if years else 1
+    curves = np.full((blocks, seasons, n), np.nan)
+    for k, curve in held.items():
+        if k // 100 < blocks:
+            curves[k // 100, k % 100] = curve
+    width = YEAR // seasons
+    second = s % YEAR
+    own, place = second // width, (second % width / width)[:, None]
+    of_block = lambda b: curves[b, own] * (1 - place) + curves[b, (own + 1) % seasons] * place
+    if not years:
+        return of_block(np.zeros(len(s), np.int64))
+    at = (s / YEAR - float(facts[f"{name}_map_first"]) - years / 2) / years
+    block, last = np.floor(at).astype(np.int64), blocks - 1
+    inside = np.where((block < 0) | (block >= last), 0.0, at - block)[:, None]
+    return of_block(np.clip(block, 0, last)) * (1 - inside) + of_block(np.clip(block + 1, 0, last)) * inside
+
+
+def _shares(curve: np.ndarray, value: np.ndarray, low: float, width: float) -> np.ndarray:
+    """As cdf_lookup, a curve a row."""
+    n = curve.shape[1]
+    place = np.clip((value - low) / width if width > 0 else np.zeros(len(value)), 0.0, n - 1.0)
+    left = np.minimum(np.floor(np.nan_to_num(place)), n - 2).astype(np.int64)[:, None]
+    a, b = (np.take_along_axis(curve, left + k, 1)[:, 0] for k in (0, 1))
+    return a + (b - a) * (place - left[:, 0])
+
+
+def _values(curve: np.ndarray, share: np.ndarray, low: float, width: float) -> np.ndarray:
+    """As cdf_inverse, a curve a row."""
+    reached = curve[:, 1:] >= share[:, None] - 1e-9
+    left = np.where(reached.any(axis=1), reached.argmax(axis=1), curve.shape[1] - 2)[:, None]
+    a, b = (np.take_along_axis(curve, left + k, 1)[:, 0] for k in (0, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = np.where(b > a, np.clip((share - a) / (b - a), 0.0, 1.0), 0.0)
+    return low + (left[:, 0] + inside) * width
+
+
+def _mapped_values(value: np.ndarray, s: np.ndarray, facts, kind: str, n: int, years: int, seasons: int, sliding: int | None, limit: float) -> np.ndarray:
+    end = int(facts["_end"])
+    then = s if sliding is None else np.where(s >= end, end + s % YEAR - YEAR, s)
+    share = _shares(_curves_at(facts, "_f", s, n, 4, years), value, facts["_f_min"], facts["_f_width"])
+    found, own = (_values(_curves_at(facts, x, then, n, seasons, sliding), share, facts[f"{x}_min"], facts[f"{x}_width"]) for x in ("_r", "_c"))
     if kind == "add":
-        found = mapped + F.col(value) - own
-    else:
-        scale = F.when(own == 0, F.lit(limit)).otherwise(F.least(F.greatest(F.col(value) / own, F.lit(-limit)), F.lit(limit)))
-        found = F.when(F.col(value) > 0, mapped * scale).otherwise(F.lit(0.0))
-    return out.withColumn(value, found).select(*control.columns)
+        return found + value - own
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scale = np.where(own == 0, limit, np.clip(value / own, -limit, limit))
+    return np.where(np.isnan(value), np.nan, np.where(value > 0, found * scale, 0.0))
 
 
 # normals -----------------------------------------------------------------------------------------------------------

@@ -194,7 +194,69 @@ ed AS (SELECT {group}, bin, sum(weight * CASE WHEN bin = {n - 1} THEN 1 WHEN val
 SELECT {group}, bin, {_r(f'CASE WHEN max(c) OVER (PARTITION BY {group}) > 0 THEN c / max(c) OVER (PARTITION BY {group}) ELSE 0 END')} AS cdf FROM ed"""
 
 
+_Y = 31557600
+
+
+def _curves(name: str, source: str, seasons: int, n: int, years: int | None, least: str = "min(value)") -> str:
+    """<name>: location_id, a, w, fy, bl and cs, the list of (k, q): all distributions of a series, by 100 * block + season."""
+    wide = _Y // seasons
+    blocks = f"SELECT *, pl AS b0 FROM (SELECT {name}w.*, (s / {_Y} - fy - {(years or 1) / 2}) / {years or 1} AS pl, bl FROM {name}w JOIN {name}g USING (location_id))"
+    shared = f"SELECT location_id, value, season, CAST(floor(pl) AS BIGINT) + o AS block, weight * CASE o WHEN 0 THEN 1 - (pl - floor(pl)) ELSE pl - floor(pl) END AS weight FROM ({blocks}), (SELECT unnest([0, 1]) AS o) WHERE floor(pl) + o >= 0 AND floor(pl) + o < bl"
+    return f"""{name}s AS (SELECT location_id, value, CAST(epoch(valid_time) AS BIGINT) AS s FROM {source}),
+      {name}g AS (SELECT location_id, {least} AS a, (max(value) - {least}) / {n - 1} AS w, round(min(s) / {_Y}) AS fy, greatest(floor((round(max(s) / {_Y}) - round(min(s) / {_Y}) + 1) / {years or 1}), 1) AS bl FROM {name}s GROUP BY ALL),
+      {name}w AS (SELECT location_id, s, value, (s % {_Y} // {wide} + o) % {seasons} AS season, CASE o WHEN 0 THEN 1 - s % {_Y} % {wide} / {wide} ELSE s % {_Y} % {wide} / {wide} END AS weight FROM {name}s, (SELECT unnest([0, 1]) AS o)),
+      {name}y AS ({shared if years else f"SELECT location_id, value, season, 0 AS block, weight FROM {name}w"}),
+      {name}e AS (SELECT location_id, block, season, bin, sum(weight * CASE WHEN bin = {n - 1} THEN 1 WHEN value < a + bin * w THEN 1 WHEN value < a + (bin + 1) * w THEN (a + (bin + 1) * w - value) / w ELSE 0 END) AS c
+        FROM {name}y JOIN {name}g USING (location_id), (SELECT unnest(range({n})) AS bin) GROUP BY ALL),
+      {name}q AS (SELECT location_id, 100 * block + season AS k, list(CASE WHEN m > 0 THEN c / m ELSE 0 END ORDER BY bin) AS q FROM (SELECT *, max(c) OVER (PARTITION BY location_id, block, season) AS m FROM {name}e) GROUP BY ALL),
+      {name} AS (SELECT location_id, any_value(a) AS a, any_value(w) AS w, any_value(fy) AS fy, any_value(bl) AS bl, list({{'k': k, 'q': q}}) AS cs FROM {name}q JOIN {name}g USING (location_id) GROUP BY location_id)"""
+
+
+def _curve_at(name: str, s: str, seasons: int, n: int, years: int | None) -> tuple[str, str, str]:
+    """Places in seasons and blocks, the curves there, and between them the distribution of `name` at the second s: columns over one another."""
+    wide, x = _Y // seasons, name
+    place = f"CAST(({s} % {_Y} + {_Y}) % {_Y} AS BIGINT)"
+    columns = f"{place} // {wide} AS {x}s0, ({place} // {wide} + 1) % {seasons} AS {x}s1, {place} % {wide} / {wide} AS {x}f"
+    if years:
+        block = f"(({s}) / {_Y} - {x}_fy - {years / 2}) / {years}"
+        columns += f", least(greatest(floor({block}), 0), {x}_bl - 1) AS {x}b0, least(greatest(floor({block}) + 1, 0), {x}_bl - 1) AS {x}b1, CASE WHEN floor({block}) < 0 OR floor({block}) >= {x}_bl - 1 THEN 0 ELSE {block} - floor({block}) END AS {x}p"
+    one = lambda block, season: f"list_filter({x}_cs, lambda c: c.k = {block} * 100 + {season})[1].q"
+    corners = [(f"{x}b0", f"{x}s0"), (f"{x}b0", f"{x}s1"), (f"{x}b1", f"{x}s0"), (f"{x}b1", f"{x}s1")] if years else [("0", f"{x}s0"), ("0", f"{x}s1")]
+    curves = ", ".join(f"{one(*c)} AS {x}q{i}" for i, c in enumerate(corners))
+    line = lambda a, b: f"({x}q{a}[i] * (1 - {x}f) + {x}q{b}[i] * {x}f)"
+    value = f"{line(0, 1)} * (1 - {x}p) + {line(2, 3)} * {x}p" if years else line(0, 1)
+    return columns, curves, f"list_transform(range(1, {n + 1}), lambda i: {value})"
+
+
+def _inverse(q: str, a: str, w: str, n: int) -> str:
+    left = f"coalesce(nullif(list_position(list_transform({q}[2:], lambda y: y >= e - 1e-9), true), 0), {n - 1})"
+    inside = f"CASE WHEN {q}[{left} + 1] > {q}[{left}] THEN least(greatest((e - {q}[{left}]) / ({q}[{left} + 1] - {q}[{left}]), 0), 1) ELSE 0 END"
+    return f"({a} + ({left} - 1 + {inside}) * {w})"
+
+
+def _mapped_sql(n: int, years: int, detrend: bool) -> str:
+    least = "0.0::DOUBLE" if detrend else "min(value)"
+    seasons, span = (3, None) if detrend else (4, years)
+    flat = lambda source: f"(SELECT location_id, valid_time, value - i * m - c / 2 AS value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY location_id ORDER BY valid_time) - 1 AS DOUBLE) AS i FROM {source}) JOIN (SELECT location_id, regr_slope(value, i) AS m, regr_intercept(value, i) AS c FROM (SELECT *, CAST(row_number() OVER (PARTITION BY location_id ORDER BY valid_time) - 1 AS DOUBLE) AS i FROM {source}) GROUP BY ALL) USING (location_id))"
+    during = "(SELECT c.* FROM control c JOIN en USING (location_id) WHERE c.valid_time <= en.stop)"
+    c = _curves("cc", flat(during), 3, n, None, least) if detrend else _curves("cc", "control", 4, n, years, least)
+    then = "s" if detrend else f"CASE WHEN s >= fin THEN fin + s % {_Y} - {_Y} ELSE s END"
+    names = {"ff": _curve_at("ff", "s", 4, n, years), "rr": _curve_at("rr", "z", seasons, n, span), "cc": _curve_at("cc", "z", seasons, n, span)}
+    joined = ", ".join(f"{x}.{y} AS {x}_{y}" for x in names for y in ("a", "w", "fy", "bl", "cs"))
+    found = "mp + value - ow" if not detrend else "CASE WHEN value > 0 THEN mp * CASE WHEN ow = 0 THEN 10 ELSE least(greatest(value / ow, -10), 10) END ELSE 0 END"
+    return f"""WITH {_TIMED}, {_CONTROL}, en AS (SELECT location_id, CAST(max(epoch(valid_time)) AS BIGINT) - {_Y * years // 2} AS fin, max(valid_time) AS stop FROM timed GROUP BY ALL),
+      {_curves('rr', flat('timed') if detrend else 'timed', seasons, n, span, least)}, {c}, {_curves('ff', 'control', 4, n, years, least)},
+      j1 AS (SELECT *, CAST(epoch(valid_time) AS BIGINT) AS s FROM control), j2 AS (SELECT j1.*, fin, {then} AS z, {joined} FROM j1 JOIN en USING (location_id) JOIN rr USING (location_id) JOIN cc USING (location_id) JOIN ff USING (location_id)),
+      j3 AS (SELECT *, {', '.join(x for x, _, _ in names.values())} FROM j2), j3q AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(f'{x}_cs' for x in names)}), {', '.join(x for _, x, _ in names.values())} FROM j3),
+      j4 AS MATERIALIZED (SELECT location_id, valid_time, value, rr_a, rr_w, cc_a, cc_w, ff_a, ff_w, {', '.join(f'{q} AS {x}q' for x, (_, _, q) in names.items())} FROM j3q),
+      j5 AS (SELECT *, least(greatest(CASE WHEN ff_w > 0 THEN (value - ff_a) / ff_w ELSE 0 END, 0), {n - 1}.0::DOUBLE) AS pl FROM j4), j6 AS (SELECT *, CAST(least(floor(pl), {n - 2}) AS BIGINT) AS lf FROM j5),
+      j7 AS (SELECT *, ffq[lf + 1] + (ffq[lf + 2] - ffq[lf + 1]) * (pl - lf) AS e FROM j6), j8 AS (SELECT *, {_inverse('rrq', 'rr_a', 'rr_w', n)} AS mp, {_inverse('ccq', 'cc_a', 'cc_w', n)} AS ow FROM j7)
+      SELECT location_id, valid_time, {_r(found, 3)} AS value FROM j8"""
+
+
 ORACLE = {
+    "quantile_mapped": _mapped_sql(50, 2, False),
+    "quantile_mapped_detrended": _mapped_sql(50, 2, True),
     "seasonal_means": f"WITH {_TIMED}, {_share('timed', 6)} SELECT location_id, season, CASE WHEN sum(weight) > 0.001 THEN {_r('sum(value * weight) / sum(weight)')} END AS mean FROM wt GROUP BY ALL",
     "bias_corrected": f"WITH {_TIMED}, {_CONTROL}, {_means('m', 'timed')}, {_means('o', 'control')}, {_AT} SELECT location_id, valid_time, {_r('least(greatest(value + m - o, 0), 500)')} AS value FROM j",
     "bias_scaled": f"WITH {_TIMED}, {_CONTROL}, {_means('m', 'timed')}, {_means('o', 'control')}, {_AT} SELECT location_id, valid_time, {_r('value * (m / o)')} AS value FROM j",
