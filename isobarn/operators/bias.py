@@ -197,7 +197,7 @@ def quantile_delta_mapping(reference: DataFrame, control: DataFrame, kind: str =
     if not detrend:  # the control stands for its own reference period
         facts = facts.withColumns({f"_c_{x}": F.col(f"_f_{x}") for x in ("min", "width", "map", "map_first", "map_blocks")})
     # a series meets its curves, a row, once; rows do not carry curves
-    facts = facts.select(*by, "_end", *[F.col(f"{x}_{y}") for x in ("_r", "_c", "_f") for y in ("min", "width")], *[F.col(f"{x}_map_{y}") for x in ("_r", "_c", "_f") for y in ("first", "blocks")], *[F.map_entries(f"{x}_map").alias(f"{x}_map") for x in ("_r", "_c", "_f")])
+    facts = facts.select(*[F.col(k).alias(f"_of_{k}") for k in by], "_end", *[F.col(f"{x}_{y}") for x in ("_r", "_c", "_f") for y in ("min", "width")], *[F.col(f"{x}_map_{y}") for x in ("_r", "_c", "_f") for y in ("first", "blocks")], *[F.map_entries(f"{x}_map").alias(f"{x}_map") for x in ("_r", "_c", "_f")])
     rows = control.withColumns({"_s": seconds(time), value: F.col(value).cast("double")})
     sliding, seasons = (years, 4) if not detrend else (None, 3)
 
@@ -210,7 +210,7 @@ def quantile_delta_mapping(reference: DataFrame, control: DataFrame, kind: str =
 
     ship_package(control.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != value else 'double'}" for f in control.schema)
-    return rows.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(mapped, schema)
+    return rows.groupBy(*by).cogroup(facts.groupBy(*[f"_of_{k}" for k in by])).applyInPandas(mapped, schema)
 
 
 #: Rows of a series that are mapped at a time; each needs three curves.
