@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isobarn.operators import aggregate, combine, derive, requests, resample
 from isobarn.operators.grids import Grid, best_terrain_cell, filter_bounding_box, locate, nearest_sea_cell, read_elevation
-from isobarn.sources.catalog import known, variable, variables_of
+from isobarn.sources.catalog import READERS, known, variable, variables_of
 from isobarn.sources.storage import prune_to_ranges
 
 
@@ -44,7 +44,8 @@ class Request:
     """hourly, daily, minutely_15, current: outputs of the sections, old spellings included; current is the step that `now` lies in. units:
     temperature, wind, precipitation, length (see requests.convert_units). past_days and forecast_days count only with now. cells: nearest,
     land or sea. run: one model run's time; None takes, of runs, the one with the shortest lead. lead_day: forecasts of so
-    many days before, where series have them. dataset: whose rules come before the general ones. tilt, azimuth: of a panel, in
+    many days before, where series have them. dataset: whose rules come before the general ones, or a reader of several datasets
+    (catalog.READERS), which also says what models are read. tilt, azimuth: of a panel, in
     degrees (azimuth 0 south, -90 east); None tracks the sun."""
 
     hourly: list[str] = field(default_factory=list)
@@ -149,9 +150,10 @@ class _Reader:
     steps: dict[str, int]
     models: list[str]
     key: str
-    available: set[str]
+    available: dict[str, set[str]]
     request: Request
     product: Product
+    rules: str | None
 
     def __post_init__(self) -> None:
         self.on = [self.key, "member"] if any("member" in self.series[m].columns for m in self.models) else [self.key]
@@ -159,6 +161,7 @@ class _Reader:
     def model(self, name: str, places: DataFrame, cells: DataFrame, names: list[str], dt: int) -> DataFrame:
         """One model's series at the places, in steps of dt: on, variable, valid_time, value."""
         request, key, on = self.request, self.key, self.on
+        names = [n for n in names if n in self.available[name]]
         own_dt = self.steps.get(name, self.product.dt)
         wanted = places.select(key, "lat", "lon", "elevation", "start", "stop").join(cells, key)
         wide = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
@@ -181,7 +184,7 @@ class _Reader:
 
     def wide(self, places: DataFrame, outputs: list[str], dt: int) -> DataFrame:
         """A row for each place and step with the raw variables behind the outputs, and where the place's cell of the first model lies."""
-        names = sorted(n for n in derive.inputs_of(outputs, self.request.dataset) if n in self.available)
+        names = sorted(derive.inputs_of(outputs, self.rules) & set().union(*self.available.values()))
         cells = {m: _cells(places, self.grids[m], self.heights.get(m), self.request, self.key) for m in self.models}
         first = self.models[0]
         lat, lon = self.grids[first].coordinates(F.col("location_id"))
@@ -190,13 +193,14 @@ class _Reader:
         if not names:  # outputs of the sun alone
             spine = requests.time_spine(places.select(self.key, "start", "stop"), dt)
             return (spine.withColumn("member", F.lit(0)) if len(self.on) > 1 else spine).select(*self.on, "valid_time").join(sites, self.key)
-        mix = _mixed([self.model(m, places, cells[m], names, dt) for m in self.models], self.product.smooth, names, [*self.on, "variable"])
+        read = [m for m in self.models if self.available[m] & set(names)]
+        mix = _mixed([self.model(m, places, cells[m], names, dt) for m in read], self.product.smooth, names, [*self.on, "variable"])
         wide = mix.groupBy(*self.on, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
         return wide.join(sites, self.key)
 
     def derived(self, wide: DataFrame, outputs: list[str], dt: int) -> DataFrame:
         site = derive.Site(dt=dt, tilt=self.request.tilt, azimuth=self.request.azimuth)
-        return derive.derive(wide, outputs, self.request.dataset, site)
+        return derive.derive(wide, outputs, self.rules, site)
 
     def section(self, wide: DataFrame, outputs: list[str], dt: int) -> DataFrame:
         """The outputs under the names and in the units that were asked for."""
@@ -220,25 +224,24 @@ class _Reader:
         return found.select(*on, "day", *[_unit(o, request.units)[0] for o in request.daily])
 
 
-def _names_of(series: dict[str, DataFrame], models: list[str], raw: list[str]) -> set[str]:
-    """The raw variables that the models have: from the catalogue for its datasets, otherwise from the series."""
-    found, unknown = set(), []
+def _names_of(series: dict[str, DataFrame], models: list[str], raw: list[str], given: list[str] | dict[str, list[str]] | None) -> dict[str, set[str]]:
+    """Which of the raw variables each model has: as given, from the catalogue for its datasets, otherwise from the series."""
+    found = {m: set(given.get(m, ()) if isinstance(given, dict) else given) if given is not None else variables_of(m) for m in models}
     for m in models:
-        names = variables_of(m)
-        found |= names
-        unknown += [] if names else [series[m].where(F.col("variable").isin(raw)).select("variable").distinct()]
-    if unknown:
-        found |= {r["variable"] for r in reduce(DataFrame.union, unknown).distinct().collect()}  # names of variables, a short list
-    return found
+        if given is None and not found[m]:
+            names = series[m].where(F.col("variable").isin(raw)).select("variable").distinct().collect()  # names of variables, a short list
+            found[m] = {r["variable"] for r in names}
+    return {m: found[m] & set(raw) for m in models}
 
 
-def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id", heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
+def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, Grid], request: Request, key: str = "place_id", heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The sections that are asked for, for all places, ordered by place and time. series: long tables by model, in order of priority.
 
     places: key, lat, lon, elevation, utc_offset_seconds, and start and stop unless the request has now. heights: cells with
     elevation by model, for land and sea cells and the correction by height; a place whose cell has no height is not
-    corrected. steps: seconds of a model's step. available: raw variables of the models; without it they come from the
-    catalogue, or are read from the series. Series that keep their time_chunk (see storage.read_series) are read by the chunks of
+    corrected. steps: seconds of a model's step. available: raw variables of the models, or of each; without it they come from the
+    catalogue, or are read from the series. A variable is taken from the first model that has a value, so a model with few variables
+    stands before one with all. Series that keep their time_chunk (see storage.read_series) are read by the chunks of
     the requested ranges only. Each model's cells are found by arithmetic and its series are joined once; outputs are derived
     in one projection, those of the sun at the cell of the first model.
     """
@@ -247,13 +250,13 @@ def forecast(places: DataFrame, series: dict[str, DataFrame], grids: dict[str, G
     if now is not None and "start" not in places.columns:
         past, ahead = (b if a is None else a for a, b in ((request.past_days, product.past_days), (request.forecast_days, product.forecast_days)))
         places = requests.time_range_for(places, now, past, ahead, max_days=product.max_days)
-    models = request.models or [m for m in product.models if m in series] or list(series)
+    chain, rules = READERS.get(request.dataset, ((), request.dataset))
+    models = request.models or [m for m in chain or product.models if m in series] or list(series)
     needed = aggregate.daily_inputs(request.daily)
     names = lambda outputs: [requests.resolve_alias(o) for o in outputs]
     every = names([*request.hourly, *request.minutely_15, *request.current]) + needed
-    raw = sorted(derive.inputs_of(every, request.dataset) - {"elevation"})
-    have = set(available) if available is not None else _names_of(series, models, raw)
-    reader = _Reader(series, grids, heights or {}, steps or {}, models, key, have & set(raw), request, product)
+    raw = sorted(derive.inputs_of(every, rules) - {"elevation"})
+    reader = _Reader(series, grids, heights or {}, steps or {}, models, key, _names_of(series, models, raw, available), request, product, rules)
     dt = request.dt or product.dt
     out = {}
     if request.hourly or request.daily:
@@ -290,7 +293,7 @@ def flood(members: DataFrame, key: str = "place_id", statistics: bool = True) ->
     return aggregate.ensemble_quantiles(members, [key, "valid_time"]) if statistics else members
 
 
-def bounding_box(cells: DataFrame, grid: Grid, box: tuple[float, float, float, float], series: dict[str, DataFrame], request: Request, start: str, stop: str, heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | None = None) -> dict[str, DataFrame]:
+def bounding_box(cells: DataFrame, grid: Grid, box: tuple[float, float, float, float], series: dict[str, DataFrame], request: Request, start: str, stop: str, heights: dict[str, DataFrame] | None = None, steps: dict[str, int] | None = None, available: list[str] | dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """forecast for all cells of a box of one model; heights, steps and available as there."""
     inside = filter_bounding_box(cells, grid, *box)
     places = inside.select(F.col("cell_id").alias("place_id"), "lat", "lon", "elevation", F.lit(0).alias("utc_offset_seconds"), F.lit(start).cast("timestamp").alias("start"), F.lit(stop).cast("timestamp").alias("stop"))

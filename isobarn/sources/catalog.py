@@ -164,13 +164,13 @@ FAMILIES: dict[str, tuple[list[str], list[Domain]]] = {
 def variable(name: str) -> dict:
     """Unit, interpolation, scale, bounds and correction by height of a variable; an unknown name is an error."""
     for pattern, unit, interpolation, scale, low, high, corrected in VARIABLES:
-        if re.fullmatch(pattern, name) or re.fullmatch(pattern, re.sub("_(mean|max|min|spread)$", "", name)):
+        if re.fullmatch(pattern, name) or re.fullmatch(pattern, re.sub("_(mean|max|min|sum|spread)$", "", name)):
             return {"variable": name, "unit": unit, "interpolation": interpolation, "scalefactor": scale, "lower_bound": low, "upper_bound": high, "elevation_correctable": corrected}
     raise ValueError(f"unknown variable {name}; add it to VARIABLES")
 
 
 def known(name: str) -> bool:
-    return any(re.fullmatch(v[0], name) or re.fullmatch(v[0], re.sub("_(mean|max|min|spread)$", "", name)) for v in VARIABLES)
+    return any(re.fullmatch(v[0], name) or re.fullmatch(v[0], re.sub("_(mean|max|min|sum|spread)$", "", name)) for v in VARIABLES)
 
 
 def variables_of(domain: str) -> set[str]:
@@ -227,6 +227,15 @@ def variables_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, variable string, unit string, interpolation string, scalefactor double, lower_bound double, upper_bound double, elevation_correctable boolean")
 
 
+# fixed values: readers of several datasets: name -> datasets by priority and the set of rules that comes before the general ones
+READERS: dict[str, tuple[tuple[str, ...], str | None]] = {
+    "era5_seamless": (("copernicus_era5_land", "copernicus_era5", "copernicus_era5_ocean"), "reanalysis"),
+    "era5": (("copernicus_era5", "copernicus_era5_ocean"), "reanalysis"),
+    "era5_land": (("copernicus_era5_land",), "reanalysis"),
+    "cerra": (("copernicus_cerra",), "reanalysis"),
+    "climate": ((), "daily_climate"),
+}
+
 # fixed values: regions of the best models in order: name, south, north, west, east, the domain whose grid must hold the place, and
 # the domains by priority. The region of the UK lacks a triangle of the Channel.
 CHANNEL = [(49.9, -0.2), (49.9, 1.8), (51.1, 1.8)]
@@ -261,4 +270,4 @@ def grid_of(domain: str) -> Grid | str:
     return next(d.grid for _, domains in FAMILIES.values() for d in domains if d.name == domain)
 
 
-__all__ = ["FAMILIES", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "known", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_of", "variables_table"]
+__all__ = ["FAMILIES", "READERS", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "known", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_of", "variables_table"]
