@@ -155,6 +155,16 @@ def deaverage(df: DataFrame, by: list[str] | None = None, time: str = "valid_tim
     return df.withColumn(value, F.when(F.col("_v0").isNull(), F.col(value)).otherwise(out)).drop("_i", "_v0", "_i0", "_s")
 
 
+def per_step(df: DataFrame, accumulated: tuple[str, ...], averaged: tuple[str, ...], by: list[str], time: str = "valid_time", value: str = "value") -> DataFrame:
+    """Series of several variables per step, by one window: some are sums since the start, some means; the others stay."""
+    df = _since_last(df, by, time, value)
+    v, last, n, n0 = F.col(value), F.col("_v0"), F.col("_i") - F.col("_s") + 1, F.col("_i0") - F.col("_s") + 1
+    summed, mean = (v - last) / (F.col("_i") - F.col("_i0")), (v * n - last * n0) / (n - n0)
+    kind = F.col("variable")
+    out = F.when(last.isNull(), v).when(kind.isin(*accumulated) if accumulated else F.lit(False), summed).when(kind.isin(*averaged) if averaged else F.lit(False), mean).otherwise(v)
+    return df.withColumn(value, out).drop("_i", "_v0", "_i0", "_s")
+
+
 def deaccumulate_sections(df: DataFrame, by: list[str], start: str = "step_start", stop: str = "step_end", kind: str = "step_type", value: str = "value") -> DataFrame:
     """Differences where a step continues the section of the step before; a step that starts at the other's end stands
     alone. Means are weighted by their lengths. Steps without length go, as do those that don't move on."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["daily", "resampling", "derived", "places", "climate", "stores", "rules", "solar_series", "datasets", "solar_requests"]
+MODULES: list[str] = ["daily", "resampling", "derived", "places", "climate", "stores", "rules", "solar_series", "datasets", "solar_requests", "chains"]
 
 
 def _collect(attribute: str) -> dict:

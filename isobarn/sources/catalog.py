@@ -266,8 +266,16 @@ def best_match(places: DataFrame, key: str, lat: str = "lat", lon: str = "lon")
     return places.withColumn("_m", out).select(key, F.col("_m.region").alias("region"), F.posexplode("_m.domains").alias("priority", "domain"))
 
 
+def domain_of(name: str) -> Domain:
+    return next(d for _, domains in FAMILIES.values() for d in domains if d.name == name)
+
+
+def vocabularies_of(name: str) -> list[str]:
+    return next(v for v, domains in FAMILIES.values() if any(d.name == name for d in domains))
+
+
 def grid_of(domain: str) -> Grid | str:
-    return next(d.grid for _, domains in FAMILIES.values() for d in domains if d.name == domain)
+    return domain_of(domain).grid
 
 
-__all__ = ["FAMILIES", "READERS", "REGIONS", "best_match", "Domain", "domains_table", "fields", "grid_of", "known", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_of", "variables_table"]
+__all__ = ["FAMILIES", "READERS", "REGIONS", "best_match", "Domain", "domain_of", "domains_table", "fields", "grid_of", "known", "mapping_rows", "mapping_table", "rescaling", "variable", "variables_of", "variables_table", "vocabularies_of"]
