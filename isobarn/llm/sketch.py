@@ -139,9 +139,11 @@ def _compare(doc_id: int | None, text: str, own: np.ndarray, following: str, nex
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-#: Ranges of ids for each shuffle partition at least; several make partitions even. Rows of a range at most, about.
+#: Ranges of ids for each shuffle partition at least; several make partitions even. Rows of a range, about, up to so many ranges: their
+#: heads pass through the driver. Beyond, ranges get longer; tasks stream through them and hold one text.
 RANGES = 4
 RANGE_ROWS = 4000
+MOST_RANGES = 8192
 #: Stands for a missing id, after all others; its negative is a number as well.
 _NO_ID = -(1 << 63) + 1
 
@@ -164,7 +166,7 @@ def compare_with_next(documents: DataFrame, k: int = K, words: int = WORDS) -> D
     prepare(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     placed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // RANGE_ROWS))
+    ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-documents.count() // RANGE_ROWS)))
     n = -(-ranges // RANGES)
     heads = spark.sparkContext.broadcast(_range_heads(placed, ranges))  # a pair of numbers for each range
 
