@@ -49,7 +49,8 @@ CHAINS: dict[str, Chain] = {
 
 
 def ingest(raw: DataFrame, domain: str, chain: Chain | None = None) -> DataFrame:
-    """Series of one domain from its fields. raw: variable (the provider's name), run_time, x, y, member, valid_time, value."""
+    """Series of one domain from its fields. raw: variable (the provider's name), run_time, x, y, member, valid_time, value; a step that is
+    missing within a run is a row without a value, so that sums and means are told apart over it."""
     chain, own = chain or CHAINS[domain], domain_of(domain)
     grid: Grid = own.grid
     turned = normalise_orientation(raw, grid.nx, grid.ny, own.from_greenwich, own.north_first)
