@@ -156,12 +156,12 @@ def period_view(df: DataFrame, period: str, kinds: dict[str, str], by: list[str]
 
 def period_anomaly(view: DataFrame, normals: DataFrame, by: list[str], column: str, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:
     """by, <column>_mean, <column>_anomaly against normals (by, normal), and the percent of members whose anomaly is above each
-    threshold (_gt<n>) and below its negative (_lt<n>). view: by, one row for each member."""
+    threshold (_gt<n>) and below its negative (_ltm<n>; _lt0 for zero). view: by, one row for each member."""
     joined = view.join(normals.select(*by, "normal"), by)
     off = F.col(column) - F.col("normal")
     name = lambda t: f"{t:g}".replace(".", "_")
     share = lambda c: F.avg(F.when(c, 100.0).when(c.isNotNull(), 0.0))
-    odds = [x for t in thresholds for x in (share(off > t).alias(f"{column}_anomaly_gt{name(t)}"), share(off < -t).alias(f"{column}_anomaly_lt{name(t)}"))]
+    odds = [x for t in thresholds for x in (share(off > t).alias(f"{column}_anomaly_gt{name(t)}"), share(off < -t).alias(f"{column}_anomaly_lt{'m' if t else ''}{name(t)}"))]
     return joined.groupBy(*by).agg(F.avg(column).alias(f"{column}_mean"), F.avg(off).alias(f"{column}_anomaly"), *odds)
 
 

@@ -218,7 +218,7 @@ ORACLE = {
       {_r('(m0 + 43200 - 947182440) / (29.530588853 * 86400) - floor((m0 + 43200 - 947182440) / (29.530588853 * 86400))', 2)} AS moon_phase FROM b""",
     "weekly_anomalies": f"""WITH {T.MEMBERS}, v AS (SELECT location_id, member, date_trunc('week', valid_time)::TIMESTAMP AS week, avg(value) AS x FROM members GROUP BY ALL), n AS (SELECT location_id, week, avg(x) - 0.02 AS n FROM v GROUP BY ALL), o AS (SELECT *, x - n AS o FROM v JOIN n USING (location_id, week))
       SELECT location_id, week, {_r('avg(x)')} AS value_mean, {_r('avg(o)')} AS value_anomaly, {_r('100.0 * count(*) FILTER (o > 0) / count(*)')} AS value_anomaly_gt0, {_r('100.0 * count(*) FILTER (o < 0) / count(*)')} AS value_anomaly_lt0,
-      {_r('100.0 * count(*) FILTER (o > 0.1) / count(*)')} AS value_anomaly_gt0_1, {_r('100.0 * count(*) FILTER (o < -0.1) / count(*)')} AS value_anomaly_lt0_1 FROM o GROUP BY ALL""",
+      {_r('100.0 * count(*) FILTER (o > 0.1) / count(*)')} AS value_anomaly_gt0_1, {_r('100.0 * count(*) FILTER (o < -0.1) / count(*)')} AS value_anomaly_ltm0_1 FROM o GROUP BY ALL""",
     "weekly_outputs": f"""WITH {T.WEATHER}, w AS (SELECT part % 20 AS location_id, date_trunc('week', valid_time)::TIMESTAMP AS week, avg(precipitation) AS p, avg(wind_u_component_10m) AS u, avg(wind_v_component_10m) AS v, avg(cloud_cover) AS c, avg(pressure_msl) AS d FROM weather GROUP BY ALL)
       SELECT location_id, week, {_r('p * 0.7')} AS snowfall_mean, {_r('c / d')} AS snow_depth_mean, {_r('sqrt(u * u + v * v)')} AS wind_speed_10m_mean FROM w""",
     "weekly_monthly_view": f"""WITH {T.DAILY} SELECT location_id, 'week' AS period, date_trunc('week', date)::TIMESTAMP AS start, {_r('avg(value)')} AS value FROM daily_long GROUP BY ALL
