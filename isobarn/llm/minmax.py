@@ -99,10 +99,11 @@ def signed(rows: DataFrame, words: int = WORDS, hashes: int = HASHES) -> DataFra
     return rows.select("doc_id", "mark", "text").mapInArrow(run, "doc_id bigint, mark bigint, n bigint, code bigint, bands array<bigint>")
 
 
-def distinct_codes(rows: DataFrame) -> DataFrame:
-    """code, least (the row with the smallest doc_id, null last, then the smallest mark), n, bands, copies. rows: of `signed`."""
+def distinct_codes(rows: DataFrame, kept: str = "bands") -> DataFrame:
+    """code, least (the row with the smallest doc_id, null last, then the smallest mark), n, bands, copies. rows: of `signed`, or with
+    another column `kept` in place of bands that follows from the code."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    return materialize(rows.groupBy("code").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "codes")
+    return materialize(rows.groupBy("code").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first(kept).alias(kept), F.count(F.lit(1)).alias("copies")), "codes")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,9 +149,13 @@ def roots_of(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarr
     return root
 
 
-def families(codes: DataFrame) -> DataFrame:
-    """code, key, family of every code that shares a key with another one; one row a key."""
-    keyed = codes.where("code <> 0").select("code", F.explode("bands").alias("key"))
+def banded(codes: DataFrame) -> DataFrame:
+    """code, key: a row for each band of a code."""
+    return codes.where("code <> 0").select("code", F.explode("bands").alias("key"))
+
+
+def families(keyed: DataFrame) -> DataFrame:
+    """code, key, family of every code that shares a key with another one; one row a key. keyed: code, key."""
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("code").alias("centre")).where("many > 1"), "buckets")
     members = materialize(joined(keyed, sizes.select("key", "centre"), "key", sizes.count()), "members")
     edges = members.where("code <> centre").select(F.col("code").alias("u"), F.col("centre").alias("v"))
@@ -170,9 +175,9 @@ def joined_left(rows: DataFrame, facts: DataFrame, key: str, n: int) -> DataFram
     return rows.join(F.broadcast(facts) if n <= FEW else facts, key, "left")
 
 
-def groups(codes: DataFrame) -> DataFrame:
+def groups(codes: DataFrame, keyed: DataFrame) -> DataFrame:
     """group, i, j, code: every two codes that share a key meet in a group at least once. i, j: the pair of blocks of the group."""
-    members = families(codes)
+    members = families(keyed)
     spread = F.xxhash64("code").cast("decimal(20,0)")
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum(spread).alias("sum"), F.min("family").alias("family"))
     # equal buckets are compared once
@@ -197,10 +202,11 @@ def groups(codes: DataFrame) -> DataFrame:
     return found
 
 
-def links(rows: DataFrame, codes: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """vertex, root: each code that is linked to a smaller one, and the smallest of its class. rows: doc_id, mark, text."""
+def links(rows: DataFrame, codes: DataFrame, keyed: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """vertex, root: each code that is linked to a smaller one, and the smallest of its class. rows: doc_id, mark, text; keyed: code, key
+    of the candidates, which share a key."""
     spark = rows.sparkSession
-    wanted = groups(codes)
+    wanted = groups(codes, keyed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +254,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, least: tuple[int,
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     own = materialize(signed(rows, words), "signatures")
     codes = distinct_codes(own)
-    found = links(rows, codes, words, least)
+    found = links(rows, codes, banded(codes), words, least)
     rooted = joined_left(codes.where("code <> 0").select("code", "copies", "least.doc_id"), found.select(F.col("vertex").alias("code"), "root"), "code", found.count())
     rooted = materialize(rooted.select("code", "copies", "doc_id", F.coalesce("root", "code").alias("root")), "roots")
     total = rooted.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobarn.llm.common import as_bytes, attach, materialize, prepare
+from isobarn.llm.common import as_bytes, attach, materialize, mix64, prepare
 from isobarn.llm.components import connected_components
 
 WORDS = 4
@@ -34,6 +34,8 @@ GROUP_LIMIT = 4096
 FAN = 8
 #: Codes that search the index at a time.
 SEARCH_BLOCK = 2048
+#: Hashes whose bits are counted at a time, in one byte a bit.
+COUNT_BLOCK = 255
 
 
 def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -53,6 +55,16 @@ def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int
     return int(np.packbits(2 * set_ > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(own: np.ndarray, n_words: int) -> np.ndarray:
+    """SimHash of 64 * n_words bits: a set's 64-bit hashes are mixed anew for each word, and a bit is set where over half of them have it set."""
+    turn = mix64(np.arange(2001, n_words + 2001, dtype=np.uint64))
+    set_ = np.zeros(64 * n_words, np.int64)
+    for begin in range(0, len(own), COUNT_BLOCK):
+        part = mix64(own[begin : begin + COUNT_BLOCK, None] ^ turn)
+        set_ += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_ > len(own), bitorder="little").view(np.uint64)
+
+
 def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, code (the fingerprint as a signed 64-bit number) of every row."""
     prepare(documents.sparkSession)
@@ -115,6 +127,15 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_ranks(words: np.ndarray) -> np.ndarray:
+    """The same for wide codes, word by word, the highest word first."""
+    ranks, odd = [], np.zeros(words.shape[1], np.uint64)
+    for word in words:
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))
+        odd = ranks[-1] & np.uint64(1)
+    return np.array(ranks)
+
+
 def merged(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
     """Smallest member of each member's component, given links a-b and earlier roots."""
     root = np.arange(n) if root is None else root
@@ -137,41 +158,58 @@ class GrayIndex:
     """
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        ones, zeros = [self.codes], [~self.codes]
-        while len(ones[-1]) > FAN:
-            cut = np.arange(0, len(ones[-1]), FAN)
-            ones.append(np.bitwise_and.reduceat(ones[-1], cut))
-            zeros.append(np.bitwise_and.reduceat(zeros[-1], cut))
+        """codes: one number a code, or rows of them, one for each 64-bit word of wide codes."""
+        words = np.atleast_2d(codes)
+        self.order = np.lexsort(gray_ranks(words)[::-1])
+        self.words = words[:, self.order]
+        self.codes = self.words[0]
+        ones, zeros = [self.words], [~self.words]
+        while ones[-1].shape[1] > FAN:
+            cut = np.arange(0, ones[-1].shape[1], FAN)
+            ones.append(np.bitwise_and.reduceat(ones[-1], cut, axis=1))
+            zeros.append(np.bitwise_and.reduceat(zeros[-1], cut, axis=1))
         self.pattern = ones
         agreed = [a | b for a, b in zip(ones, zeros)]
-        self.mask = [own & ~np.repeat(up, FAN)[: len(own)] for own, up in zip(agreed, agreed[1:])] + [agreed[-1]]
+        self.mask = [own & ~np.repeat(up, FAN, axis=1)[:, : own.shape[1]] for own, up in zip(agreed, agreed[1:])] + [agreed[-1]]
 
-    def components(self, distance: int) -> np.ndarray:
-        """Root index of each code; codes within the distance of each other have one root."""
-        codes, n, top = self.codes, len(self.codes), len(self.mask) - 1
-        near = np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance
+    def components(self, distance: int, block: int = SEARCH_BLOCK) -> np.ndarray:
+        """Root index of each code; codes within the distance of each other have one root. `block` codes search at a time."""
+        words, n, top = self.words, len(self.codes), len(self.mask) - 1
+        count = np.uint8 if len(words) < 4 else np.uint16
+        near = sum(np.bitwise_count(w[1:] ^ w[:-1]).astype(np.int64) for w in words) <= distance
         root = merged(n, np.flatnonzero(near), np.flatnonzero(near) + 1)
-        for begin in range(0, n, SEARCH_BLOCK):
+        sizes = [m.shape[1] for m in self.mask]
+        for begin in range(0, n, block):
             least, most = [root], [root]
             for level in range(top):
                 cut = np.arange(0, len(least[level]), FAN)
                 least.append(np.minimum.reduceat(least[level], cut))
                 most.append(np.maximum.reduceat(most[level], cut))
-            who = np.arange(begin, min(n, begin + SEARCH_BLOCK))
-            node = np.tile(np.arange(len(self.mask[top])), len(who))
-            who = np.repeat(who, len(self.mask[top]))
-            differ = np.zeros(len(who), np.uint8)
-            for level in range(top, -1, -1):
-                if level < top:  # the children of the nodes that are left
-                    node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    who, differ = np.repeat(who, FAN), np.repeat(differ, FAN)
-                    there = node < len(self.mask[level])
-                    node, who, differ = node[there], who[there], differ[there]
-                differ = differ + np.bitwise_count((codes[who] ^ self.pattern[level][node]) & self.mask[level][node])
-                known = (least[level][node] == root[who]) & (most[level][node] == root[who])
-                behind = (node + 1) * FAN**level <= who  # each pair once
-                keep = (differ <= distance) & ~known & ~behind
+            one = [np.where(a == b, a, -1) for a, b in zip(least, most)]  # the root of all codes of a node, or -1
+            who = np.arange(begin, min(n, begin + block))
+            # all nodes from the block's own on as a table, as long as most of them are left
+            apart, start, level = np.zeros((len(who), 1), count), 0, top + 1
+            left = np.ones(apart.shape, bool)
+            while level and 4 * np.count_nonzero(left) >= left.size:
+                level -= 1
+                above, start = start, begin // FAN**level
+                if level < top:
+                    skip = slice(start - above * FAN, sizes[level] - above * FAN)
+                    apart, left = (np.repeat(x, FAN, axis=1)[:, skip] for x in (apart, left))
+                for own, pattern, mask in zip(words, self.pattern[level], self.mask[level]):
+                    apart = apart + np.bitwise_count((own[who][:, None] ^ pattern[start:]) & mask[start:])
+                behind = np.arange(start, sizes[level]) < (who // FAN**level)[:, None]  # each pair once
+                left = left & (apart <= distance) & (one[level][start:] != root[who][:, None]) & ~behind
+            at, which = np.nonzero(left)
+            who, node, differ = who[at], which + start, apart[at, which]
+            for level in range(level - 1, -1, -1):  # then the children of the nodes that are left
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                who, differ = np.repeat(who, FAN), np.repeat(differ, FAN)
+                there = node < sizes[level]
+                node, who, differ = node[there], who[there], differ[there]
+                for own, pattern, mask in zip(words, self.pattern[level], self.mask[level]):
+                    differ = differ + np.bitwise_count((own[who] ^ pattern[node]) & mask[node])
+                keep = (differ <= distance) & (one[level][node] != root[who]) & (node >= who // FAN**level)
                 node, who, differ = node[keep], who[keep], differ[keep]
             root = merged(n, who, node, root)
         return root
