@@ -61,7 +61,8 @@ def upsample_backwards(df: DataFrame, dt_old: int, dt_new: int, summation: bool
 
 
 def _clear_steps(df: DataFrame, low: str, dt_old: int, dt_new: int, by: list[str], time: str, value: str) -> DataFrame:
-    """Rows of the new steps with the clearness of four old ones. Clearness at low sun is taken from neighbours."""
+    """Rows of the new steps: value is their clearness by the cubic through four old ones, or by the line where that falls below zero,
+    and _given whether the old step had a value. Clearness at low sun is taken from neighbours."""
     w = ordered(by, time)
     ratio = F.when(F.col(low) > LOW_SUN, F.least(F.col(value) / F.col(low), F.lit(SOLAR_CONSTANT * 0.95)))
     df = df.withColumn("_k", ratio)
@@ -72,27 +73,37 @@ def _clear_steps(df: DataFrame, low: str, dt_old: int, dt_new: int, by: list[str
     # interval means belong to the interval's middle, so a row serves the new steps around its own middle
     first = -((n - 1) // 2)
     df = df.withColumn("_j", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
-    return df.withColumns({"_f": (F.col("_j") + (n - 1) / 2) / n, time: F.timestamp_seconds(seconds(time) + F.col("_j") * dt_new)})
+    df = df.withColumns({"_f": (F.col("_j") + (n - 1) / 2) / n, time: F.timestamp_seconds(seconds(time) + F.col("_j") * dt_new)})
+    f, v = F.col("_f"), F.col(value)
+    bent = cubic(F.col("_ka"), F.col("_k"), F.col("_kc"), F.col("_kd"), f)
+    line = F.col("_k") * (1 - f) + F.col("_kc") * f
+    shape = F.when((bent < 0) & (v >= 0) & (F.coalesce(F.col("_vc"), F.lit(0.0)) >= 0), line).otherwise(bent)
+    return df.withColumns({"_given": v.isNotNull(), value: shape}).drop("_k", "_ka", "_kc", "_kd", "_vc", "_f", "_j")
 
 
 def _lit_again(df: DataFrame, sun: Column, scale: float | None, value: str) -> DataFrame:
-    f = F.col("_f")
-    bent = cubic(F.col("_ka"), F.col("_k"), F.col("_kc"), F.col("_kd"), f) * sun
-    line = (F.col("_k") * (1 - f) + F.col("_kc") * f) * sun
-    out = F.when(F.col(value).isNull(), None).when(sun == 0, F.lit(0.0)).when((bent < 0) & (F.col(value) >= 0) & (F.coalesce(F.col("_vc"), F.lit(0.0)) >= 0), line).otherwise(bent)
-    return df.withColumn(value, rounded(out, scale)).drop("_k", "_ka", "_kc", "_kd", "_vc", "_f", "_j")
+    """Clearness to radiation. The sun is never negative, so it doesn't matter for the choice of cubic or line."""
+    out = F.when(~F.col("_given"), None).when(sun == 0, F.lit(0.0)).otherwise(F.col(value) * sun)
+    return df.withColumn(value, rounded(out, scale)).drop("_given")
 
 
 def upsample_solar(df: DataFrame, low: str, high: DataFrame, potential: str, dt_old: int, dt_new: int, scale: float | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:
     """Interval means of radiation to shorter intervals, by the cubic of the clearness times the potential radiation.
 
     low: column with the potential radiation (fraction of the solar constant) of the old intervals; high: keys, time and
-    column `potential` with that of the new ones.
+    column `potential` with that of the new ones, once for each. Both are as large as the result, whatever a plan takes their size for,
+    so they aren't joined, which could broadcast one: they meet as rows of one table, grouped by key and time. Tables that are
+    dealt by series already are not shuffled for that.
     """
     by = keys(df, by)
     fine = _clear_steps(df, low, dt_old, dt_new, by, time, value)
-    joined = fine.join(high.select(*by, time, F.col(potential).alias("_high")), [*by, time])
-    return _lit_again(joined, F.col("_high"), scale, value).drop("_high")
+    others = [c for c in df.columns if c not in (*by, time, value)]
+    kinds = {f.name: f.dataType for f in fine.schema}
+    lit = high.select(*by, time, *[F.lit(None).cast(kinds[c]).alias(c) for c in (value, "_given", *others)], F.col(potential).cast("double").alias("_high"), F.lit(True).alias("_there"))
+    both = fine.withColumns({"_high": F.lit(None).cast("double"), "_there": F.lit(None).cast("boolean")}).unionByName(lit)
+    met = both.groupBy(*by, time).agg(*[F.max(c).alias(c) for c in (value, "_given", "_high", "_there")], *[F.first(c, True).alias(c) for c in others])
+    lit = met.where("_given IS NOT NULL AND _there").drop("_there").select(*df.columns, "_given", "_high")
+    return _lit_again(lit, F.col("_high"), scale, value).drop("_high")
 
 
 def upsample_radiation(df: DataFrame, dt_old: int, dt_new: int, lat: str = "lat", lon: str = "lon", scale: float | None = None, by: list[str] | None = None, time: str = "valid_time", value: str = "value") -> DataFrame:

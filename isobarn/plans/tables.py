@@ -47,10 +47,13 @@ HOURLY = "hourly AS (SELECT user_id AS location_id, event_type AS variable, date
 
 def regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as complete hourly series by location, null where nothing happened."""
-    events = table(spark, sf_dir, "events")
-    values = events.groupBy(F.col("user_id").alias("location_id"), F.date_trunc("hour", "ts").alias("valid_time")).agg(F.avg("value").alias("value"))
-    bounds = events.groupBy(F.col("user_id").alias("location_id")).agg(F.date_trunc("hour", F.min("ts")).alias("start"), (F.date_trunc("hour", F.max("ts")) + F.expr("interval 1 hour")).alias("stop"))
-    return time_spine(bounds, 3600).select("location_id", "valid_time").join(values, ["location_id", "valid_time"], "left")
+    # the few events are dealt by location, in so many parts for good: whole series come of them, which stay where they are
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("location_id"), F.date_trunc("hour", "ts").alias("valid_time"), "value")
+    events = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "location_id")
+    bounds = events.groupBy("location_id").agg(F.min("valid_time").alias("start"), (F.max("valid_time") + F.expr("interval 1 hour")).alias("stop"))
+    spine = time_spine(bounds, 3600).select("location_id", "valid_time", F.lit(None).cast("double").alias("value"))
+    seen = events.where("location_id IS NOT NULL AND valid_time IS NOT NULL")
+    return spine.unionByName(seen).groupBy("location_id", "valid_time").agg(F.avg("value").alias("value"))
 
 
 REGULAR = """eventhours AS (SELECT user_id AS location_id, date_trunc('hour', ts) AS valid_time, avg(value) AS value FROM events GROUP BY ALL),

@@ -203,3 +203,17 @@ def test_solar_upsampling_follows_the_sun(spark):
     assert joined.count() == out.count() > 85
     assert joined.where(f"value IS NULL OR abs(value - 0.6 * want * {solar.SOLAR_CONSTANT}) > 1").count() == 0
     assert out.where("value < 0").count() == 0
+
+
+def test_solar_upsampling_broadcasts_nothing(spark):
+    """The table of the new steps is larger than a plan takes it for: it comes of an explode."""
+    low = spark.sql("SELECT explode(sequence(1L, 3L)) AS location_id").selectExpr("location_id", "explode(sequence(timestamp'2024-05-01 01:00:00', timestamp'2024-05-03 00:00:00', interval 1 hour)) AS valid_time")
+    low = low.withColumns({"value": F.when(F.hour("valid_time") % 5 > 0, F.hour("valid_time") * 20.0), "sun": F.hour("valid_time") / 24, "name": F.concat(F.lit("p"), "location_id")})
+    high = low.select("location_id", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("j"), "valid_time").selectExpr("location_id", "timestamp_seconds(unix_seconds(valid_time) + j * 1200) AS valid_time", "0.5D AS sun")
+    out = resample.upsample_solar(low, "sun", high.where("location_id < 3"), "sun", 3600, 1200, by=["location_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    rows = out.collect()
+    assert len(rows) == 2 * 48 * 3 and {(r.location_id, r.name) for r in rows} == {(1, "p1"), (2, "p2")}
+    # missing old steps stay missing, five of them in a day
+    assert sum(r.value is None for r in rows) == 2 * 2 * 3 * 5
