@@ -1,10 +1,14 @@
 """Requests: what is read, places without a height, sun outputs against the functions of the sun, sections and spellings."""
 
+import calendar
+
 import pytest
 from pyspark.sql import functions as F
 
 from isobarn.functions import solar
 from isobarn.operators import derive, facade, grids
+from isobarn.plans import datasets
+from isobarn.plans import tables as T
 from isobarn.sources import catalog, storage
 
 GRID = grids.Grid("m", 4, 2, -135.0, -45.0, 90.0, 90.0)
@@ -132,3 +136,21 @@ def test_dataset_rules_come_first_and_unknown_names_are_errors(spark):
     assert "temperature_2m" in catalog.variables_of("dwd_icon") and not catalog.variables_of("mine")
     # every name that a source field stands for, and every raw input of a rule, is in the table of variables
     assert all(catalog.known(r[2]) for r in catalog.mapping_rows())
+
+
+def _vectors(spark, path, ids):
+    """Suppliers, and members of vectors with these numbers: a folder of tables as the queries read them."""
+    spark.range(60).selectExpr("id AS s_suppkey", "CAST(id % 25 AS INT) AS s_nationkey", "id * 10.0D AS s_acctbal").write.parquet(f"{path}/supplier.parquet")
+    rows = [(i, [float(i % 97 + m) for m in range(5)], i % 10) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_members_of_all_times_are_read(spark, tmp_path):
+    """Vectors are hours from 2024 on; over 87,672 of them lie beyond 2033."""
+    ids = [*range(40), *range(87_660, 87_690), *range(700_000, 700_010)]
+    found = datasets.forecast_members(spark, _vectors(spark, tmp_path, ids)).collect()
+    cells = {r.place_id: r.cell_id for r in grids.locate(T.places(spark, str(tmp_path)), datasets.GRID).collect()}
+    want = {(p, START + i * 3600): tuple(float(i % 97 + m) for m in range(4)) for p, c in cells.items() for i in ids if i % 10 == c}
+    got = {(r.place_id, calendar.timegm(r.valid_time.timetuple())): (r.temperature_2m, r.temperature_2m_member01, r.temperature_2m_member02, r.temperature_2m_member03) for r in found}
+    assert got == want and len(found) == len(want) and max(t for _, t in want) > START + 700_000 * 3600
