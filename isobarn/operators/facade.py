@@ -140,6 +140,12 @@ def _unit(output: str, wanted: dict[str, str]) -> tuple[Column, str]:
     return F.col(output), unit
 
 
+#: Cells and bytes of one model's series that are sent to the tasks of a request's places; beyond, the series are dealt by cell.
+MOST_CELLS, MOST_SENT = 100_000, 192 << 20
+#: Rows of places that a task makes, but for so many tasks.
+PLACE_ROWS, MOST_PARTS = 500_000, 20_000
+
+
 @dataclass
 class _Reader:
     """What a request reads from: models by priority with grids, heights, seconds of their steps, and the names that they have."""
@@ -158,30 +164,61 @@ class _Reader:
     def __post_init__(self) -> None:
         self.on = [self.key, "member"] if any("member" in self.series[m].columns for m in self.models) else [self.key]
 
-    def model(self, name: str, places: DataFrame, cells: DataFrame, names: list[str], dt: int) -> DataFrame:
-        """One model's series at the places, in steps of dt: on, variable, valid_time, value."""
-        request, key, on = self.request, self.key, self.on
-        names = [n for n in names if n in self.available[name]]
-        own_dt = self.steps.get(name, self.product.dt)
-        wanted = places.select(key, "lat", "lon", "elevation", "start", "stop").join(cells, key)
-        wide = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
+    def rows(self, name: str, places: DataFrame, names: list[str], wider: bool) -> DataFrame:
+        """One model's stored rows of the names, of the chunks, run and members that are asked for. wider: ranges reach beyond their ends."""
+        request = self.request
         own = self.series[name].where(F.col("variable").isin(names))
         if "time_chunk" in own.columns:
             # by the places' own ranges: a plan with a join in it is not reused for pruning
-            own = prune_to_ranges(own, resample.expand_for_resampling(places, "hermite", own_dt) if own_dt > dt else places)
+            own = prune_to_ranges(own, resample.expand_for_resampling(places, "hermite", self.step(name)) if wider else places)
         own = _one_run(own, request)
-        if len(on) > 1:
+        if len(self.on) > 1:
             own = own if "member" in own.columns else own.withColumn("member", F.lit(0))
             n = request.members if request.members is not None else self.product.members
             own = own if n is None else own.where(F.col("member") < n)
-        read = own.join(wide, "location_id").where("valid_time >= start AND valid_time < stop")
-        if request.correct_elevation and (corrected := [n for n in names if variable(n)["elevation_correctable"]]):
+        return own
+
+    def step(self, name: str) -> int:
+        return self.steps.get(name, self.product.dt)
+
+    def corrected(self, names: list[str]) -> list[str]:
+        return [n for n in names if variable(n)["elevation_correctable"]] if self.request.correct_elevation else []
+
+    def model(self, name: str, places: DataFrame, cells: DataFrame, names: list[str], dt: int) -> DataFrame:
+        """One model's series at the places, in steps of dt: on, variable, valid_time, value."""
+        key, on = self.key, self.on
+        names = [n for n in names if n in self.available[name]]
+        own_dt = self.step(name)
+        wanted = places.select(key, "lat", "lon", "elevation", "start", "stop").join(cells, key)
+        wide = resample.expand_for_resampling(wanted, "hermite", own_dt) if own_dt > dt else wanted
+        read = self.rows(name, places, names, own_dt > dt).join(wide, "location_id").where("valid_time >= start AND valid_time < stop")
+        if corrected := self.corrected(names):
             read = requests.correct_elevation(read, corrected)
         read = resampled(read.select(*on, "variable", "lat", "lon", "valid_time", "value"), names, own_dt, dt, [*on, "variable"])
         if own_dt > dt:
             read = read.join(wanted.select(key, "start", "stop"), key).where("valid_time >= start AND valid_time < stop")
         return read.select(*on, "variable", "valid_time", "value")
 
+    def sent(self, name: str, places: DataFrame, cells: DataFrame, sites: DataFrame, names: list[str]) -> DataFrame | None:
+        """As wide, of one model in its own steps: variables stand side by side at the cells already, and if those few rows fit into every
+        task, they are sent to the places, which are dealt by ranges of their key. Rows of places, many for one of a cell, are then
+        never shuffled, nor for their order. None if there is too much to send."""
+        key, on = self.key, self.on
+        dealt = sites.join(places.select(key, "start", "stop"), key).join(cells, key)
+        asked = dealt.groupBy("location_id").agg(F.min("start").alias("_from"), F.max("stop").alias("_to"), F.count(F.lit(1)).alias("_places"))
+        if asked.count() > MOST_CELLS:
+            return None
+        own = self.rows(name, places, names, False).join(asked, "location_id").where("valid_time >= _from AND valid_time < _to")
+        pivoted = own.groupBy("location_id", *on[1:], "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names], F.first("_places").alias("_places"))
+        size = pivoted.agg(F.count(F.lit(1)).alias("sent"), F.sum("_places").alias("found")).first()
+        if size["sent"] * (8 * len(pivoted.columns) + 32) > MOST_SENT:
+            return None
+        parts = min(max((size["found"] or 0) // PLACE_ROWS + 1, 1), MOST_PARTS)
+        found = dealt.repartitionByRange(parts, key).join(F.broadcast(pivoted.drop("_places")), "location_id").where("valid_time >= start AND valid_time < stop")
+        lapse = requests.lapse()
+        found = found.withColumns({n: F.coalesce(F.col(n) + lapse, F.col(n)) for n in self.corrected(names)})
+        return found.select(*on, "valid_time", *names, *[c for c in sites.columns if c != key])
+
     def wide(self, places: DataFrame, outputs: list[str], dt: int) -> DataFrame:
         """A row for each place and step with the raw variables behind the outputs, and where the place's cell of the first model lies."""
         names = sorted(derive.inputs_of(outputs, self.rules) & set().union(*self.available.values()))
@@ -194,6 +231,8 @@ class _Reader:
             spine = requests.time_spine(places.select(self.key, "start", "stop"), dt)
             return (spine.withColumn("member", F.lit(0)) if len(self.on) > 1 else spine).select(*self.on, "valid_time").join(sites, self.key)
         read = [m for m in self.models if self.available[m] & set(names)]
+        if len(read) == 1 and self.step(read[0]) == dt and (found := self.sent(read[0], places, cells[read[0]], sites, names)) is not None:
+            return found
         mix = _mixed([self.model(m, places, cells[m], names, dt) for m in read], self.product.smooth, names, [*self.on, "variable"])
         wide = mix.groupBy(*self.on, "valid_time").agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
         return wide.join(sites, self.key)

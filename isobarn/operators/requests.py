@@ -179,10 +179,15 @@ def pascal_to_hectopascal(series: DataFrame, value: str = "value", unit: str = "
     return series.withColumns({value: F.when(pascal, F.col(value) / 100).otherwise(F.col(value)), unit: F.when(pascal, F.lit("hPa")).otherwise(F.col(unit))})
 
 
+def lapse(model: str = "cell_elevation", target: str = "elevation") -> Column:
+    """0.65 K for 100 m from the model's height to the wanted one."""
+    return (F.col(model) - F.col(target)) * 0.0065
+
+
 def correct_elevation(series: DataFrame, variables: list[str], model: str = "cell_elevation", target: str = "elevation", value: str = "value") -> DataFrame:
     """0.65 K for 100 m on the variables that depend on height; nothing where a height is missing."""
-    lapse = (F.col(model) - F.col(target)) * 0.0065
-    return series.withColumn(value, F.when(F.col("variable").isin(variables) & lapse.isNotNull(), F.col(value) + lapse).otherwise(F.col(value)))
+    by = lapse(model, target)
+    return series.withColumn(value, F.when(F.col("variable").isin(variables) & by.isNotNull(), F.col(value) + by).otherwise(F.col(value)))
 
 
 def clamp_values(series: DataFrame, bounds: DataFrame, value: str = "value") -> DataFrame:

@@ -154,3 +154,28 @@ def test_members_of_all_times_are_read(spark, tmp_path):
     want = {(p, START + i * 3600): tuple(float(i % 97 + m) for m in range(4)) for p, c in cells.items() for i in ids if i % 10 == c}
     got = {(r.place_id, calendar.timegm(r.valid_time.timetuple())): (r.temperature_2m, r.temperature_2m_member01, r.temperature_2m_member02, r.temperature_2m_member03) for r in found}
     assert got == want and len(found) == len(want) and max(t for _, t in want) > START + 700_000 * 3600
+
+
+@pytest.mark.parametrize("members", [False, True])
+def test_rows_of_places_are_not_shuffled(spark, stored, monkeypatch, members):
+    """Few cells and many places: the cells' rows go to the places, whose rows stay where they are made, in order; where there is too much
+    to send, the rows are the same."""
+    series = storage.read_series(spark, stored, domain="m").drop("domain", "lead_day", "member")
+    if members:
+        series = series.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("value", F.col("value") + F.col("member"))
+    days = "date_add(date'2024-02-01', CAST(id % 40 AS INT))"
+    places = spark.range(300).selectExpr("(id * 7) % 300 AS place_id", "id % 160 - 80.0D AS lat", "id * 11 % 360 - 180.0D AS lon", "IF(id % 9 = 0, NULL, id * 3.0D) AS elevation", "0 AS utc_offset_seconds", f"timestamp({days}) AS start", f"timestamp(date_add({days}, 2)) AS stop")
+    heights = GRID.cells(spark).withColumn("elevation", F.col("cell_id") * 100.0).where("cell_id <> 3")
+    request = facade.Request(["temperature_2m", "shortwave_radiation", "is_day"], members=2)
+    run = lambda: facade.forecast(places, {"m": series}, {"m": GRID}, request, heights={"m": heights}, available=["temperature_2m", "shortwave_radiation"])["hourly"]
+    monkeypatch.setattr(facade, "PLACE_ROWS", 2_000)
+    found = run()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "rangepartitioning(place_id" in plan and "valid_time" not in plan.split("rangepartitioning")[1].split("\n")[0]
+    assert found.rdd.getNumPartitions() > 4
+    rows = found.collect()
+    assert len(rows) == 300 * 48 * (2 if members else 1)
+    keys = [(r.place_id, r.member, r.valid_time) if members else (r.place_id, r.valid_time) for r in rows]
+    assert keys == sorted(keys)
+    monkeypatch.setattr(facade, "MOST_SENT", 0)
+    assert rows == run().collect()
