@@ -6,13 +6,16 @@ Distributions are tables of one row for each series, bin and season, made by gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobarn.functions.solar import YEAR
-from isobarn.operators.series import keys, ordered, seconds
+from isobarn.operators.series import keys, ordered, seconds, whole_series
 from isobarn.session import ship_package
 
 QUANTILES = 100
@@ -129,24 +132,12 @@ def sliding_cdf(df: DataFrame, ranges: DataFrame, seasons: int = 4, years: int =
     return _cumulated(own, ranges, [*by, "block", "season"], by, n, value)
 
 
-def _curve(cdf: DataFrame, group: list[str], name: str) -> DataFrame:
-    """A group's distribution as one array by bin; n numbers."""
-    return cdf.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias(name))
-
-
 def _span_of(time: str, years: int) -> list[Column]:
     """First year and number of blocks of a series."""
     first, last = F.round(F.min(seconds(time)) / YEAR), F.round(F.max(seconds(time)) / YEAR)
     return [first.alias("first_year"), F.greatest(F.floor((last - first + 1) / years), F.lit(1)).alias("blocks")]
 
 
-def _all_curves(cdf: DataFrame, name: str, by: list[str]) -> DataFrame:
-    """All distributions of a series in one row: a map from block and season to a curve."""
-    group = [*by, *(["block"] if "block" in cdf.columns else []), "season"]
-    key = (F.col("block") * 100 if "block" in cdf.columns else F.lit(0)) + F.col("season")
-    return _curve(cdf, group, "_c").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key.cast("int").alias("k"), "_c"))).alias(name))
-
-
 def cdf_lookup(curve: str, value: Column, low: str = "bin_min", width: str = "bin_width", n: int = QUANTILES) -> Column:
     """Share below a value, on the line between bin edges; the ends hold beyond."""
     place = F.when(F.col(width) > 0, (value - F.col(low)) / F.col(width)).otherwise(F.lit(0.0))
@@ -180,58 +171,107 @@ def quantile_delta_mapping(reference: DataFrame, control: DataFrame, kind: str =
     is kept within the limit, and zero stays zero. detrend: distributions of detrended series by season alone.
     """
     by = keys(control, by)
-    least = None if kind == "add" else 0.0
-    facts = reference.groupBy(*by).agg((F.max(seconds(time)) - YEAR * years // 2).alias("_end"))
-    past = linear_trend_removed(reference, by, time, value) if detrend else reference
-    curves = [("_r", past, not detrend), ("_f", control, True)]
-    if detrend:
-        stop = reference.groupBy(*by).agg(F.max(time).alias("_stop"))
-        during = linear_trend_removed(control.join(stop, by).where(F.col(time) <= F.col("_stop")).drop("_stop"), by, time, value)
-        curves.append(("_c", during, False))
-    for name, data, sliding in curves:
-        # range and span of a series are one pass, its distributions another
-        known = data.groupBy(*by).agg(*_range_of(n, least, value), *_span_of(time, years))
-        cdf = sliding_cdf(data, known, 4, years, n, by, time, value, known) if sliding else seasonal_cdf(data, known, 3, n, by, time, value)
-        known = known.withColumnsRenamed({"bin_min": name + "_min", "bin_width": name + "_width", "first_year": name + "_map_first", "blocks": name + "_map_blocks"})
-        facts = facts.join(known, by).join(_all_curves(cdf, name + "_map", by), by)
-    if not detrend:  # the control stands for its own reference period
-        facts = facts.withColumns({f"_c_{x}": F.col(f"_f_{x}") for x in ("min", "width", "map", "map_first", "map_blocks")})
-    # a series meets its curves, a row, once; rows do not carry curves
-    facts = facts.select(*[F.col(k).alias(f"_of_{k}") for k in by], "_end", *[F.col(f"{x}_{y}") for x in ("_r", "_c", "_f") for y in ("min", "width")], *[F.col(f"{x}_map_{y}") for x in ("_r", "_c", "_f") for y in ("first", "blocks")], *[F.map_entries(f"{x}_map").alias(f"{x}_map") for x in ("_r", "_c", "_f")])
-    rows = control.withColumns({"_s": seconds(time), value: F.col(value).cast("double")})
-    sliding, seasons = (years, 4) if not detrend else (None, 3)
-
-    def mapped(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or known.empty:
-            return own.drop(columns="_s").iloc[:0]
-        facts_ = known.iloc[0]
-        out = [_mapped_values(own[value].to_numpy(float)[a : a + MAP_ROWS], own["_s"].to_numpy(np.int64)[a : a + MAP_ROWS], facts_, kind, n, years, seasons, sliding, limit) for a in range(0, len(own), MAP_ROWS)]
-        return own.drop(columns="_s").assign(**{value: np.concatenate(out)})
-
     ship_package(control.sparkSession)
+    # both tables are dealt by series once, as rows of one; the distributions of a series are made and read where its rows are
+    others = [c for c in control.columns if c != value]
+    side = lambda past: [F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), F.lit(past).alias("_past"), F.col(value).cast("double").alias(value)]
+    types = {f.name: f.dataType for f in control.schema}
+    past = reference.select(*[F.col(c) if c in by else F.lit(None).cast(types[c]).alias(c) for c in others], *side(True))
+    both = past.unionByName(control.select(*others, *side(False))).where(" AND ".join(f"`{k}` IS NOT NULL" for k in by) or "true")
+    placed = both.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_past"), "_us")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != value else 'double'}" for f in control.schema)
-    return rows.groupBy(*by).cogroup(facts.groupBy(*[f"_of_{k}" for k in by])).applyInPandas(mapped, schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches, "_i"):
+            x, us = table.column(value).to_numpy().astype(np.float64), table.column("_us").to_numpy()
+            is_past = table.column("_past").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(table.column("_i").to_numpy() == 1)
+            kept = np.zeros(table.num_rows, bool)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                m = a + int(is_past[a:b].sum())
+                if a < m < b and (out := _mapped_series(x[a:m], us[a:m], x[m:b], us[m:b], kind, detrend, n, years, limit)) is not None:
+                    x[m:b], kept[m:b] = out, True
+            out = table.set_column(table.schema.get_field_index(value), value, pa.array(x, pa.float64(), mask=np.isnan(x)))
+            yield from out.filter(pa.array(kept)).select(columns).combine_chunks().to_batches(max_chunksize=10_000)
+
+    columns = control.columns
+    return placed.mapInArrow(mapped, schema)
 
 
 #: Rows of a series that are mapped at a time; each needs three curves.
 MAP_ROWS = 16_384
 
 
-def _curves_at(facts, name: str, s: np.ndarray, n: int, seasons: int, years: int | None) -> np.ndarray:
+class _Curves(NamedTuple):
+    """Distributions of a series by block of years and season (NaN where nothing was seen), its least value, the width of a bin, and the
+    first year."""
+
+    shares: np.ndarray
+    low: float
+    width: float
+    first: float
+
+
+def _curves_of(value: np.ndarray, s: np.ndarray, n: int, least: float | None, seasons: int, years: int | None) -> _Curves | None:
+    """As value_range_bins with sliding_cdf, or seasonal_cdf without years, of one series; None without a value."""
+    good = ~np.isnan(value)
+    if not good.any():
+        return None
+    first, last = (float(np.copysign(np.floor(abs(x) + 0.5), x)) for x in (s.min() / YEAR, s.max() / YEAR))
+    blocks = max(int((last - first + 1) // years), 1) if years else 1
+    value, s = value[good], s[good]
+    low = float(value.min()) if least is None else least
+    width = (float(value.max()) - low) / (n - 1)
+    second, wide = s % YEAR, YEAR // seasons
+    own, at = second // wide, second % wide / wide
+    in_years = [(np.zeros(len(s), np.int64), np.ones(len(s)))]
+    if years:
+        place = (s / YEAR - first - years / 2) / years
+        block = np.floor(place).astype(np.int64)
+        in_years = [(block, 1 - (place - block)), (block + 1, place - block)]
+    place = (value - low) / width if width > 0 else np.zeros(len(value))
+    bin_ = np.clip(np.floor(place), -1, n - 1).astype(np.int64)
+    part = np.where(bin_ >= 0, np.maximum(1 - (place - bin_), 0), 0.0)
+    cells, weights, rows = [], [], []
+    for block, share in in_years:
+        inside = np.flatnonzero((block >= 0) & (block < blocks))
+        for k, weight in ((own, 1 - at), ((own + 1) % seasons, at)):
+            cells.append((block * seasons + k)[inside])
+            weights.append((weight * share)[inside])
+            rows.append(inside)
+    cell, weight, row = (np.concatenate(x) for x in (cells, weights, rows))
+    place = cell * (n + 1) + bin_[row] + 1
+    count = lambda w: np.bincount(place, w, blocks * seasons * (n + 1)).reshape(-1, n + 1)
+    w, p = count(weight), count(weight * part[row])
+    counted = np.cumsum(w, axis=1)[:, :n]
+    counted[:, : n - 1] += p[:, 1:n]
+    counted[:, n - 1] += w[:, n]
+    total = counted.max(axis=1, keepdims=True)
+    shares = np.divide(counted, total, out=np.zeros_like(counted), where=total > 0)
+    shares[np.bincount(cell, minlength=blocks * seasons) == 0] = np.nan
+    return _Curves(shares.reshape(blocks, seasons, n), low, width, first)
+
+
+def _trendless(value: np.ndarray) -> np.ndarray:
+    """As linear_trend_removed, of one series in order; all missing without a line."""
+    i, good = np.arange(len(value), dtype=np.float64), ~np.isnan(value)
+    x, y = i[good], value[good]
+    if len(x) < 2:
+        return np.full(len(value), np.nan)
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    return value - i * slope - (y.mean() - slope * x.mean()) / 2
+
+
+def _curves_at(curves: _Curves, s: np.ndarray, years: int | None) -> np.ndarray:
     """The distribution at each second: between two seasons and, with years, between two blocks."""
-    held = {int(x["key"]): x["value"] for x in facts[f"{name}_map"]}
-    blocks = int(facts[f"{name}_map_blocks"]) if years else 1
-    curves = np.full((blocks, seasons, n), np.nan)
-    for k, curve in held.items():
-        if k // 100 < blocks:
-            curves[k // 100, k % 100] = curve
+    blocks, seasons, _ = curves.shares.shape
     width = YEAR // seasons
     second = s % YEAR
     own, place = second // width, (second % width / width)[:, None]
-    of_block = lambda b: curves[b, own] * (1 - place) + curves[b, (own + 1) % seasons] * place
+    of_block = lambda b: curves.shares[b, own] * (1 - place) + curves.shares[b, (own + 1) % seasons] * place
     if not years:
         return of_block(np.zeros(len(s), np.int64))
-    at = (s / YEAR - float(facts[f"{name}_map_first"]) - years / 2) / years
+    at = (s / YEAR - curves.first - years / 2) / years
     block, last = np.floor(at).astype(np.int64), blocks - 1
     inside = np.where((block < 0) | (block >= last), 0.0, at - block)[:, None]
     return of_block(np.clip(block, 0, last)) * (1 - inside) + of_block(np.clip(block + 1, 0, last)) * inside
@@ -256,11 +296,26 @@ def _values(curve: np.ndarray, share: np.ndarray, low: float, width: float) -> n
     return low + (left[:, 0] + inside) * width
 
 
-def _mapped_values(value: np.ndarray, s: np.ndarray, facts, kind: str, n: int, years: int, seasons: int, sliding: int | None, limit: float) -> np.ndarray:
-    end = int(facts["_end"])
+def _mapped_series(past: np.ndarray, past_us: np.ndarray, value: np.ndarray, us: np.ndarray, kind: str, detrend: bool, n: int, years: int, limit: float) -> np.ndarray | None:
+    """A series of the control mapped onto its reference; None where either has no distribution."""
+    least, past_s, s = None if kind == "add" else 0.0, past_us // 1_000_000, us // 1_000_000
+    future = _curves_of(value, s, n, least, 4, years)
+    if detrend:
+        during = us <= past_us[-1]
+        reference, control = (_curves_of(_trendless(x), t, n, least, 3, None) if len(x) else None for x, t in ((past, past_s), (value[during], s[during])))
+    else:  # the control stands for its own reference period
+        reference, control = _curves_of(past, past_s, n, least, 4, years), future
+    if future is None or reference is None or control is None:
+        return None
+    end, sliding = int(past_s[-1]) - YEAR * years // 2, None if detrend else years
+    parts = [slice(a, a + MAP_ROWS) for a in range(0, len(value), MAP_ROWS)]
+    return np.concatenate([_mapped_values(value[x], s[x], end, future, reference, control, kind, years, sliding, limit) for x in parts])
+
+
+def _mapped_values(value: np.ndarray, s: np.ndarray, end: int, future: _Curves, reference: _Curves, control: _Curves, kind: str, years: int, sliding: int | None, limit: float) -> np.ndarray:
     then = s if sliding is None else np.where(s >= end, end + s % YEAR - YEAR, s)
-    share = _shares(_curves_at(facts, "_f", s, n, 4, years), value, facts["_f_min"], facts["_f_width"])
-    found, own = (_values(_curves_at(facts, x, then, n, seasons, sliding), share, facts[f"{x}_min"], facts[f"{x}_width"]) for x in ("_r", "_c"))
+    share = _shares(_curves_at(future, s, years), value, future.low, future.width)
+    found, own = (_values(_curves_at(x, then, sliding), share, x.low, x.width) for x in (reference, control))
     if kind == "add":
         return found + value - own
     with np.errstate(divide="ignore", invalid="ignore"):

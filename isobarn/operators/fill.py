@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobarn.functions.solar import LOW_SUN, SOLAR_CONSTANT
-from isobarn.operators.series import keys, ordered
+from isobarn.operators.series import keys, ordered, whole_series
 from isobarn.session import ship_package
 
 #: Hours without a value that solar filling bridges.
@@ -87,27 +87,16 @@ def _walked(df: DataFrame, walk: Callable[..., np.ndarray], by: list[str], time:
     placed = df.withColumns({at: F.row_number().over(ordered(by, time)), value: F.col(value).cast("double"), **{c: F.col(c).cast("double") for c in more}})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*columns).schema)
 
-    def filled(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole series one after another."""
-        table = pa.Table.from_batches(batches).combine_chunks()
-        given = [table.column(c).to_numpy().astype(np.float64) for c in (value, *more)]
-        starts = np.flatnonzero(table.column(at).to_numpy() == 1)
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
-            if np.isnan(given[0][a:b]).any():
-                given[0][a:b] = walk(*(x[a:b] for x in given))
-        out = table.set_column(columns.index(value), value, pa.array(given[0], pa.float64(), mask=np.isnan(given[0]))).select(columns)
-        yield from out.to_batches(max_chunksize=10_000)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.RecordBatch] = []
-        for batch in batches:
-            starts = np.flatnonzero(batch.column(batch.schema.get_field_index(at)).to_numpy() == 1)
-            if len(starts) and (last := int(starts[-1])) + sum(x.num_rows for x in open_):
-                yield from filled([*open_, batch.slice(0, last)])
-                open_, batch = [], batch.slice(last)
-            open_.append(batch)
-        if open_:
-            yield from filled(open_)
+        """Whole series one after another."""
+        for table in whole_series(batches, at):
+            given = [table.column(c).to_numpy().astype(np.float64) for c in (value, *more)]
+            starts = np.flatnonzero(table.column(at).to_numpy() == 1)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                if np.isnan(given[0][a:b]).any():
+                    given[0][a:b] = walk(*(x[a:b] for x in given))
+            out = table.set_column(columns.index(value), value, pa.array(given[0], pa.float64(), mask=np.isnan(given[0]))).select(columns)
+            yield from out.to_batches(max_chunksize=10_000)
 
     return placed.select(*columns, at).mapInArrow(run, schema)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -45,6 +49,19 @@ def rounded(value: Column, scale: float | None) -> Column:
     return value if scale is None else F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
 
 
+def whole_series(batches: Iterator[pa.RecordBatch], at: str) -> Iterator[pa.Table]:
+    """Batches of ordered series, whose rows are numbered from 1 in column `at`, as tables of whole series: at most one batch and one series."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(batch.schema.get_field_index(at)).to_numpy() == 1)
+        if len(starts) and (last := int(starts[-1])) + sum(x.num_rows for x in held):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def missing_to_null(df: DataFrame, *columns: str) -> DataFrame:
     """NaN becomes null, once, at the source."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,36 @@ def test_solar_upsampling_broadcasts_nothing(spark):
     assert len(rows) == 2 * 48 * 3 and {(r.location_id, r.name) for r in rows} == {(1, "p1"), (2, "p2")}
     # missing old steps stay missing, five of them in a day
     assert sum(r.value is None for r in rows) == 2 * 2 * 3 * 5
+
+
+def _drops(spark, places=3):
+    """Every fourth day of ten years with gaps; the last place has no value."""
+    days = spark.range(places).selectExpr("id AS location_id", "explode(sequence(timestamp'1991-03-01', timestamp'2001-02-01', interval 4 day)) AS valid_time")
+    h = F.pmod(F.xxhash64("location_id", "valid_time"), F.lit(1000)) / 10
+    return days.withColumn("value", F.when((F.col("location_id") < places - 1) & (h > 5), h + F.col("location_id")))
+
+
+def test_quantile_mapping_deals_its_rows_once(spark):
+    """Distributions are made where the series are: tables of bins were twenty times as much as the rows."""
+    reference, control = _drops(spark, 3), _drops(spark, 4).withColumns({"value": F.col("value") * 1.2 + 3, "model": F.concat(F.lit("m"), "location_id")})
+    for detrend in (False, True):
+        out = bias.quantile_delta_mapping(reference, control, "add", detrend, ["location_id"], n=20, years=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+        rows = out.collect()
+        # series without a value in the reference have no distribution, missing values stay missing
+        given = {(r.location_id, r.valid_time): r.value for r in control.where("location_id < 2").collect()}
+        assert {(r.location_id, r.valid_time): r.value is None for r in rows} == {k: v is None for k, v in given.items()} and len(rows) == len(given)
+        assert {(r.location_id, r.model) for r in rows} == {(0, "m0"), (1, "m1")} and out.columns == control.columns
+
+
+@pytest.mark.parametrize("seasons, years, least", [(4, 2, None), (3, None, None), (4, 3, 0.0)])
+def test_distributions_of_a_series_are_those_of_the_tables(spark, seasons, years, least):
+    series = _drops(spark, 2)
+    ranges = bias.value_range_bins(series, 20, least, ["location_id"])
+    table = bias.sliding_cdf(series, ranges, seasons, years, 20, ["location_id"]) if years else bias.seasonal_cdf(series, ranges, seasons, 20, ["location_id"])
+    want = {(r["block"] if years else 0, r.season, r.bin): r.cdf for r in table.where("location_id = 0").collect()}
+    rows = series.where("location_id = 0").select(F.unix_seconds("valid_time").alias("s"), "value").orderBy("s").collect()
+    curves = bias._curves_of(np.array([N if r.value is None else r.value for r in rows], float), np.array([r.s for r in rows]), 20, least, seasons, years)
+    found = {k: v for k, v in np.ndenumerate(curves.shares) if not np.isnan(v)}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
